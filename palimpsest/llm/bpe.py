@@ -14,6 +14,7 @@ tokens, so their strings are ordinary text; an empty table gives an empty result
 from __future__ import annotations
 
 import base64
+import zlib
 from heapq import heappop, heappush
 
 import numpy as np
@@ -287,12 +288,12 @@ class Encoder:
 _encoders: dict[int, Encoder] = {}
 
 
-def _encode(batches, text: str, sent):
+def _encode(batches, text: str, sent, name: int):
     # A worker's later tasks use the encoder, and what it has kept, again.
-    if sent._jbroadcast_id not in _encoders:
+    if name not in _encoders:
         _encoders.clear()
-        _encoders[sent._jbroadcast_id] = Encoder(sent.value)
-    encoder = _encoders[sent._jbroadcast_id]
+        _encoders[name] = Encoder(sent.value)
+    encoder = _encoders[name]
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         sizes = np.cumsum(pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False))
@@ -308,8 +309,9 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
     """docs with ids array<int> added. pattern: only PATTERN is known."""
     if pattern != PATTERN:
         raise ValueError(f"pre-tokens of another pattern than {PATTERN}")
-    sent = docs.sparkSession.sparkContext.broadcast(load_ranks(docs.sparkSession, path))
-    return docs.mapInArrow(lambda b: _encode(b, text, sent), docs.withColumn("ids", F.array().cast("array<int>")).schema)
+    ranks = load_ranks(docs.sparkSession, path)
+    sent, name = docs.sparkSession.sparkContext.broadcast(ranks), zlib.crc32(b"".join(b"%d %b" % (r, t) for t, r in ranks.items()))
+    return docs.mapInArrow(lambda b: _encode(b, text, sent, name), docs.withColumn("ids", F.array().cast("array<int>")).schema)
 
 
 def _decode(batches, sent):
