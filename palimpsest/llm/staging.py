@@ -30,7 +30,6 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
 
 
-def grain(spark: SparkSession, n_bytes: int, chunk_bytes: int = 4 << 20, part_bytes: int = 16 << 20) -> tuple[int, int]:
-    """(chunks, parts): how many groups of documents and how many hash ranges; both follow the input's bytes."""
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(4 * least, math.ceil(n_bytes / chunk_bytes)), max(least, math.ceil(n_bytes / part_bytes))
+def grain(spark: SparkSession, n_bytes: int, chunk_bytes: int = 4 << 20, part_bytes: int = 8 << 20) -> tuple[int, int]:
+    """(chunks, parts): groups of documents, and hash ranges. Each chunk sends each part a row, so parts follow the bytes alone."""
+    return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_bytes / chunk_bytes)), max(12, math.ceil(n_bytes / part_bytes))
