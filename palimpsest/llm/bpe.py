@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from .words import BASE, U64, inverse, mix, powers
 
 #: Distinct pre-tokens, of at most LONGEST_KEPT characters, whose ids a task keeps; beyond, it starts anew.
-KEPT, LONGEST_KEPT = 400_000, 64
+KEPT, LONGEST_KEPT = 200_000, 64
 
 #: Characters of texts that a task encodes at once, if not one text has more.
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 1_000_000
 
 #: Fixed value: the pattern of pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
