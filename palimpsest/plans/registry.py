@@ -2,8 +2,455 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import items
+from ..operators import chain, evaluate, lifecycle, search
+from ..session import shared_dir, staged
+from ..sources import records
+from ..streaming import jobs
+
+NOW = 30
 FLAGSHIP = "a2_consolidate"
+KEY = b"test-signing-key"
 
 QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _statements(spark, sf_dir) -> DataFrame:
+    return records.statements(_read(spark, sf_dir, "events"))
+
+
+def _memories(spark, sf_dir) -> DataFrame:
+    return lifecycle.ingest(_statements(spark, sf_dir))
+
+
+def _semantic(spark, sf_dir, supersession: bool = True) -> DataFrame:
+    return lifecycle.consolidate(_memories(spark, sf_dir), supersession)
+
+
+def _vectors(spark, sf_dir) -> DataFrame:
+    return records.vectors_of(_read(spark, sf_dir, "embeddings"))
+
+
+S = """WITH st AS (SELECT (user_id % 10)::INT AS agent_id, event_id AS seq, printf('M%07d', event_id) AS id, date_diff('day', DATE '2024-01-01', ts::DATE)::INT AS created_day,
+ 'user:' || user_id AS subject, CASE WHEN event_type <> 'error' THEN 'last_' || event_type END AS attribute, CASE WHEN event_type <> 'error' THEN 'v' || ((props->>'$.k')::INT % 7) END AS "value",
+ least("value", 100.0) / 100 AS importance, CASE event_type WHEN 'view' THEN 7 WHEN 'error' THEN 14 END AS ttl_days, CASE WHEN event_type <> 'error' THEN 'last ' || event_type || ': v' || ((props->>'$.k')::INT % 7) ELSE 'error of user ' || user_id END AS content FROM events)"""
+
+SEM = S + """, g AS (SELECT agent_id, subject, attribute, "value", max((created_day, seq)) AS o, max(created_day) AS created_day, max(importance) AS importance, count(*) AS support,
+ string_agg(id, ',' ORDER BY created_day, seq) AS provenance FROM st WHERE attribute IS NOT NULL GROUP BY agent_id, subject, attribute, "value"),
+ s0 AS (SELECT *, sha256(agent_id || '|' || subject || '|' || attribute || '|' || coalesce('=' || "value", 'null')) AS id, replace(attribute, '_', ' ') || ': ' || coalesce("value", '') AS content, first_value("value") OVER w AS top FROM g WINDOW w AS (PARTITION BY agent_id, subject, attribute ORDER BY o DESC)),
+ sem AS (SELECT agent_id, subject, attribute, "value", created_day, importance, support, provenance, id, content, CASE WHEN "value" IS DISTINCT FROM top THEN sha256(agent_id || '|' || subject || '|' || attribute || '|' || coalesce('=' || top, 'null')) END AS superseded_by FROM s0)"""
+
+_EP = "agent_id, seq, id, content, created_day, importance, subject, attribute, value, ttl_days"
+
+
+@query("p1_ingest", S + f" SELECT {_EP}, 1::BIGINT AS support, 'episodic' AS mtype FROM st")
+def p1(spark, d):
+    return _memories(spark, d).select(*_EP.split(", "), "support", "mtype")
+
+
+@query("p2_write_audit", S + " SELECT agent_id, seq, created_day AS day, 'write' AS op, id AS item_id, coalesce(attribute || '=' || value, 'episodic') AS detail FROM st")
+def p2(spark, d):
+    return lifecycle.write_audit(_memories(spark, d))
+
+
+@query("p3_fact_split", S + " SELECT agent_id, count(attribute)::BIGINT AS facts, (count(*) - count(attribute))::BIGINT AS others FROM st GROUP BY agent_id")
+def p3(spark, d):
+    m = _memories(spark, d)
+    both = lifecycle.facts(m).select("agent_id", F.lit(1).alias("f")).unionAll(lifecycle.non_facts(m).select("agent_id", F.lit(0)))
+    return both.groupBy("agent_id").agg(F.sum("f").alias("facts"), F.sum(1 - F.col("f")).alias("others"))
+
+
+@query("a1_dedupe", SEM + " SELECT agent_id, subject, attribute, value, created_day, importance, support, provenance, content FROM sem")
+def a1(spark, d):
+    return _semantic(spark, d, False).select("agent_id", "subject", "attribute", "value", "created_day", "importance", "support", F.array_join("provenance", ",").alias("provenance"), "content")
+
+
+@query("a2_consolidate", SEM + " SELECT agent_id, subject, attribute, value, created_day, importance, support, id, superseded_by, superseded_by IS NULL AS active FROM sem")
+def a2(spark, d):
+    return lifecycle.consolidate(_memories(spark, d), lineage=False).select("agent_id", "subject", "attribute", "value", "created_day", "importance", "support", "id", "superseded_by", F.col("superseded_by").isNull().alias("active"))
+
+
+@query("p4_active", SEM + " SELECT agent_id, subject, attribute, value, id FROM sem WHERE superseded_by IS NULL")
+def p4(spark, d):
+    return lifecycle.active(_semantic(spark, d)).select("agent_id", "subject", "attribute", "value", "id")
+
+
+@query("p5_expired", S + f" SELECT id, {NOW} - created_day > ttl_days AS expired FROM st WHERE ttl_days IS NOT NULL")
+def p5(spark, d):
+    return _memories(spark, d).where("ttl_days is not null").select("id", items.expired(F.col("created_day"), F.col("ttl_days"), F.lit(NOW)).alias("expired"))
+
+
+@query("p6_retention", SEM + f""", a AS (SELECT agent_id, id, created_day, ttl_days, NULL AS superseded_by FROM st UNION ALL SELECT agent_id, id, created_day, NULL, superseded_by FROM sem),
+ j AS (SELECT agent_id, id, CASE WHEN {NOW} - created_day > ttl_days THEN 'ttl-expired' WHEN superseded_by IS NOT NULL AND {NOW} - created_day > 20 THEN 'superseded-by:' || superseded_by END AS detail FROM a)
+ SELECT agent_id, {NOW} AS day, 'forget' AS op, id AS item_id, detail FROM j WHERE detail IS NOT NULL""")
+def p6(spark, d):
+    m, s = _memories(spark, d), _semantic(spark, d)
+    every = m.select("agent_id", "id", "created_day", "ttl_days", F.lit(None).cast("string").alias("superseded_by")).unionByName(s.select("agent_id", "id", "created_day", F.lit(None).cast("int").alias("ttl_days"), "superseded_by"))
+    return lifecycle.retain(every, NOW, grace=20)[2]
+
+
+_POOL = SEM + f""", pool AS (SELECT agent_id, id, content, 'semantic' AS mtype, created_day, importance FROM sem WHERE superseded_by IS NULL
+ UNION ALL SELECT agent_id, id, content, 'episodic', created_day, importance FROM st WHERE attribute IS NULL AND NOT coalesce({NOW} - created_day > ttl_days, false))"""
+
+
+@query("p7_candidates", _POOL + " SELECT * FROM pool")
+def p7(spark, d):
+    return lifecycle.candidates(_memories(spark, d), _semantic(spark, d), NOW).select("agent_id", "id", "content", "mtype", "created_day", "importance")
+
+
+@query("u1_pool_without_consolidation", S + f" SELECT agent_id, count(*) AS n, sum(created_day)::BIGINT AS days FROM st WHERE NOT coalesce({NOW} - created_day > ttl_days, false) GROUP BY agent_id")
+def u1(spark, d):
+    return lifecycle.candidates(_memories(spark, d), None, NOW).groupBy("agent_id").agg(F.count("*").alias("n"), F.sum("created_day").alias("days"))
+
+
+_AUDIT = S + ", au AS (SELECT agent_id, seq, created_day AS day, 'write' AS op, id AS item_id, coalesce(attribute || '=' || value, 'episodic') AS detail FROM st)"
+
+
+@query("p8_audit_lookup", _AUDIT + " SELECT * FROM au WHERE op = 'write' AND item_id LIKE 'M00001%'")
+def p8(spark, d):
+    return lifecycle.write_audit(_memories(spark, d)).where("op = 'write' and item_id like 'M00001%'")
+
+
+@query("a3_consolidation_audit", SEM + f""" SELECT agent_id, {NOW} AS day, 'supersede' AS op, id AS item_id, 'superseded-by:' || superseded_by AS detail FROM sem WHERE superseded_by IS NOT NULL
+ UNION ALL SELECT agent_id, {NOW}, 'consolidate', max(id) FILTER (superseded_by IS NULL), 'statements=' || sum(support)::BIGINT FROM sem GROUP BY agent_id, subject, attribute""")
+def a3(spark, d):
+    return lifecycle.consolidation_audit(_semantic(spark, d), True, NOW)
+
+
+@query("a3_dedupe_audit", SEM + f" SELECT agent_id, {NOW} AS day, 'consolidate' AS op, id AS item_id, 'support=' || support AS detail FROM sem")
+def a3b(spark, d):
+    return lifecycle.consolidation_audit(_semantic(spark, d, False), False, NOW)
+
+
+@query("a4_stats", SEM + " SELECT agent_id, count(*) FILTER (a) AS active, count(*) FILTER (NOT a) AS superseded FROM (SELECT agent_id, superseded_by IS NULL AS a FROM sem UNION ALL SELECT agent_id, true FROM st WHERE attribute IS NULL) GROUP BY agent_id")
+def a4(spark, d):
+    return lifecycle.stats(_memories(spark, d), _semantic(spark, d))
+
+
+@query("a9_op_counts", SEM + " SELECT 'write' AS op, count(*) AS n FROM st UNION ALL SELECT 'supersede', count(*) FROM sem WHERE superseded_by IS NOT NULL UNION ALL SELECT 'consolidate', count(*) FROM sem WHERE superseded_by IS NULL")
+def a9(spark, d):
+    return lifecycle.op_counts(lifecycle.write_audit(_memories(spark, d)).drop("seq").unionByName(lifecycle.consolidation_audit(_semantic(spark, d), True, NOW)))
+
+
+@query("a10_clock", S + " SELECT agent_id, (max(created_day) + 1)::INT AS now FROM st GROUP BY agent_id")
+def a10(spark, d):
+    return lifecycle.clock(_memories(spark, d))
+
+
+@query("w4_working_memory", S + " SELECT agent_id, id, importance, created_day, row_number() OVER (PARTITION BY agent_id ORDER BY importance DESC, created_day, seq DESC)::INT AS place FROM st QUALIFY place <= 8")
+def w4(spark, d):
+    return lifecycle.working_memory(_memories(spark, d)).select("agent_id", "id", "importance", "created_day", "place")
+
+
+@query("w7_procedures", S + " SELECT agent_id, subject AS trigger, arg_max(content, seq) AS content, max(seq) AS seq FROM st GROUP BY agent_id, subject")
+def w7(spark, d):
+    return lifecycle.procedures(_memories(spark, d).withColumn("trigger", F.col("subject")))
+
+
+@query("j3_prior_values", SEM + " SELECT a.agent_id, a.subject, a.attribute, a.value AS current, b.value AS prior, b.created_day AS prior_day FROM sem a JOIN sem b ON a.agent_id = b.agent_id AND a.subject = b.subject AND a.attribute = b.attribute WHERE a.superseded_by IS NULL AND b.superseded_by IS NOT NULL")
+def j3(spark, d):
+    return lifecycle.prior_values(_semantic(spark, d))
+
+
+@query("j4_lineage", SEM + " SELECT s.agent_id, s.id AS fact_id, st.id, st.created_day AS stated_day, st.content AS statement FROM sem s JOIN st USING (agent_id, subject, attribute, value)")
+def j4(spark, d):
+    return lifecycle.lineage_links(_semantic(spark, d), _memories(spark, d)).drop("place")
+
+
+@query("f3_words_and_recency", S + f" SELECT id, len(list_filter(string_split_regex(content, '\\s+'), lambda x: x <> ''))::BIGINT AS words, round(pow(0.5, greatest(0, {NOW} - created_day) / 21.0), 6) AS recency FROM st")
+def f3(spark, d):
+    return _memories(spark, d).select("id", items.word_count(F.col("content")).alias("words"), F.round(items.recency(F.col("created_day"), F.lit(NOW)), 6).alias("recency"))
+
+
+@query("f8_policy_label", "SELECT r, c, s, coalesce(nullif(concat_ws('+', CASE WHEN r THEN 'recency' END, CASE WHEN c THEN 'consolidation' END, CASE WHEN c AND s THEN 'supersession' END), ''), 'flat-vector') AS label, n FROM (SELECT event_type IN ('click', 'view') AS r, user_id % 2 = 0 AS c, user_id % 3 = 0 AS s, count(*) AS n FROM events GROUP BY 1, 2, 3)")
+def f8(spark, d):
+    flags = _read(spark, d, "events").groupBy(F.col("event_type").isin("click", "view").alias("r"), (F.col("user_id") % 2 == 0).alias("c"), (F.col("user_id") % 3 == 0).alias("s")).agg(F.count("*").alias("n"))
+    return flags.withColumn("label", items.policy_label(F.col("r"), F.col("c"), F.col("s")))
+
+
+@query("f7_tokens", "SELECT doc_id, len(t)::BIGINT AS n, array_to_string(t, ' ') AS tokens FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents)")
+def f7(spark, d):
+    t = items.tokens(F.col("text"))
+    return _read(spark, d, "documents").select("doc_id", F.size(t).cast("long").alias("n"), F.array_join(t, " ").alias("tokens"))
+
+
+@query("f6_norms", "SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings")
+def f6(spark, d):
+    v = F.col("embedding")
+    return _read(spark, d, "embeddings").select("vec_id", F.round(F.sqrt(items.dot(v, v)), 6).alias("norm"))
+
+
+@query("x1_md5_embedding", r"""WITH t AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark), b AS (SELECT item_id, (('0x' || substr(md5(w), 1, 8))::BIGINT % 64)::INT AS bucket, count(*) AS n FROM t GROUP BY ALL)
+ SELECT item_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY item_id)), 6) AS weight FROM b""")
+def x1(spark, d):
+    made = _read(spark, d, "benchmark").select("item_id", F.posexplode(items.md5_bag(items.tokens(F.col("text")), 64)).alias("bucket", "weight"))
+    return made.where("weight > 0").select("item_id", "bucket", F.round("weight", 6).alias("weight"))
+
+
+@query("x1_blake2b_embedding")
+def x1b(spark, d):
+    return search.embed(_read(spark, d, "benchmark"), 64, "text").select("item_id", F.round(items.dot(F.col("embedding"), F.col("embedding")), 4).alias("length"), F.array_position("embedding", F.array_max("embedding")).alias("top"))
+
+
+@query("j6_embed_once", "SELECT count(*) AS items, count(DISTINCT text) AS texts, count(*) AS embedded FROM conversations")
+def j6(spark, d):
+    turns = _read(spark, d, "conversations").withColumnRenamed("text", "content").select("conv_id", "turn", "content")
+    cache = search.embed(turns.where("turn = 0").withColumn("text_key", F.sha2("content", 256)).dropDuplicates(["text_key"]).select("text_key", "content"), 32).select("text_key", "embedding")
+    cache = staged(cache, "embed-cache")
+    done, grown = search.embed_new(turns, cache, 32)
+    counts = done.agg(F.count("*").alias("items"), F.count("embedding").alias("embedded"))
+    return counts.join(F.broadcast(grown.agg(F.count("*").alias("texts")))).select("items", "texts", "embedded")
+
+
+_SIM = """WITH v AS (SELECT vec_id, label::INT AS agent_id, embedding::DOUBLE[] AS e, (vec_id % 30)::INT AS created_day, (vec_id % 10) / 10.0 AS importance FROM embeddings),
+ s AS (SELECT q.vec_id AS query_id, m.agent_id, m.vec_id, m.created_day, m.importance, round(list_dot_product(q.e, m.e), 6) AS sim FROM v q JOIN v m USING (agent_id) WHERE q.vec_id % 25 = 0)"""
+
+
+@query("t1_exact_top", _SIM + " SELECT query_id, agent_id, vec_id, sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id)::INT AS rank FROM s QUALIFY rank <= 10")
+def t1(spark, d):
+    v = _vectors(spark, d)
+    return search.exact_top(v, records.vector_queries(v), 10)
+
+
+_T3 = _SIM + f""", sl AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) <= 20),
+ sc AS (SELECT *, round(sim + 0.25 * pow(0.5, greatest(0, {NOW} - created_day) / 21.0) + 0.1 * importance, 6) AS score FROM sl),
+ hit AS (SELECT query_id, agent_id, vec_id, sim, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, sim DESC, vec_id)::INT AS rank FROM sc QUALIFY rank <= 5)"""
+
+
+@query("t3_recall", _T3 + " SELECT * FROM hit")
+def t3(spark, d):
+    v = _vectors(spark, d)
+    return search.recall(v, records.vector_queries(v), 5, NOW).select("query_id", "agent_id", "vec_id", "sim", "score", "rank")
+
+
+@query("t4_recall_audit", _T3 + f" SELECT agent_id, {NOW} AS day, 'recall' AS op, vec_id::VARCHAR AS item_id, left('vector ' || query_id, 48) AS detail FROM hit")
+def t4(spark, d):
+    v = _vectors(spark, d)
+    q = records.vector_queries(v)
+    return search.recall_audit(search.recall(v, q, 5, NOW), q, NOW)
+
+
+@query("a8_access", _T3 + f" SELECT agent_id, vec_id::VARCHAR AS item_id, count(*) AS access_count, {NOW} AS last_access_day FROM hit GROUP BY agent_id, vec_id")
+def a8(spark, d):
+    v = _vectors(spark, d)
+    q = records.vector_queries(v)
+    hits = search.recall(v, q, 5, NOW)
+    log = search.recall_audit(hits, q, NOW).withColumn("seq", F.xxhash64("item_id", "detail"))
+    return lifecycle.access(log)
+
+
+@query("p9_public_hits", _T3 + " SELECT query_id, rank, 'V' || h.vec_id AS id, 'vector ' || h.vec_id AS content, 'semantic' AS type, v.importance, false AS superseded FROM hit h JOIN v USING (vec_id)")
+def p9(spark, d):
+    v = _vectors(spark, d)
+    hits = search.recall(v, records.vector_queries(v), 5, NOW).withColumn("id", F.concat(F.lit("V"), F.col("vec_id").cast("string")))
+    known = v.select(F.concat(F.lit("V"), F.col("vec_id").cast("string")).alias("id"), F.concat(F.lit("vector "), F.col("vec_id").cast("string")).alias("content"), F.lit("semantic").alias("mtype"), "importance", F.lit(None).cast("string").alias("superseded_by"))
+    return search.public_hits(hits, known)
+
+
+@query("t2_approximate_top")
+def t2(spark, d):
+    """Recall of the approximate search against the exact one, by query."""
+    v = _vectors(spark, d)
+    q = records.vector_queries(v)
+    near = search.approximate_top(v, q, 10).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    return search.exact_top(v, q, 10).join(near, ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+
+
+@query("j5_remove", "SELECT count(*) AS n, sum(vec_id)::BIGINT AS ids FROM embeddings WHERE label <> 3")
+def j5(spark, d):
+    v = _vectors(spark, d)
+    return search.without(v, v.where("agent_id = 3")).agg(F.count("*").alias("n"), F.sum("vec_id").alias("ids"))
+
+
+@query("w6_vector_ids")
+def w6(spark, d):
+    return search.vector_ids(_semantic(spark, d)).select("agent_id", "id", "vec_id")
+
+
+@query("s4_vector_table", "SELECT label::INT AS agent_id, count(*) AS n FROM embeddings GROUP BY label")
+def s4(spark, d):
+    path = f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    search.save_vectors(_vectors(spark, d), path)
+    return spark.read.parquet(path).groupBy("agent_id").agg(F.count("*").alias("n"))
+
+
+_EV = """WITH q AS (SELECT item_id, lower(text) AS t, CASE item_id % 3 WHEN 0 THEN 5 ELSE (item_id % 3)::INT END AS category FROM benchmark),
+ h AS (SELECT q.item_id, category, doc_id FROM q JOIN documents d ON contains(lower(d.text), q.t)), g AS (SELECT item_id, category, list(doc_id ORDER BY doc_id) AS ids FROM h GROUP BY ALL)"""
+
+
+def _gold(spark, d) -> DataFrame:
+    """Benchmark items with the documents that hold their text."""
+    items_ = _read(spark, d, "benchmark").select("item_id", F.lower("text").alias("t"), F.when(F.col("item_id") % 3 == 0, 5).otherwise((F.col("item_id") % 3).cast("int")).alias("category"))
+    docs = _read(spark, d, "documents").select("doc_id", F.lower("text").alias("body"))
+    # Items are few; their number is checked before they go to all tasks.
+    sent = F.broadcast(items_) if items_.count() <= 10_000 else items_
+    return docs.join(sent, F.col("body").contains(F.col("t"))).groupBy("item_id", "category").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
+
+
+@query("p10_scorable", _EV + " SELECT item_id, category FROM g WHERE category <> 5")
+def p10(spark, d):
+    return evaluate.scorable(_gold(spark, d).withColumn("evidence", F.col("ids"))).select("item_id", "category")
+
+
+@query("a6_retrieval_metrics", _EV + """, r AS (SELECT item_id, category, list_prepend(-1::BIGINT, ids) AS ranked, ids FROM g),
+ m AS (SELECT category, len(list_intersect(ranked[1:1], ids)) / len(ids) AS r1, len(list_intersect(ranked[1:5], ids)) / len(ids) AS r5, len(list_intersect(ranked[1:10], ids)) / len(ids) AS r10, len(list_intersect(ranked[1:20], ids)) / len(ids) AS r20 FROM r)
+ SELECT category, round(avg(r1), 6) AS recall_1, round(avg(r5), 6) AS recall_5, round(avg(r10), 6) AS recall_10, round(avg(r20), 6) AS recall_20, 0.5 AS mrr_10, count(*) AS n FROM m GROUP BY ROLLUP (category)""")
+def a6(spark, d):
+    results = _gold(spark, d).select("category", F.col("ids").alias("gold"), F.concat(F.array(F.lit(-1).cast("long")), "ids").alias("ranked"))
+    return evaluate.retrieval_metrics(results)
+
+
+def _recalled(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Under each policy, what recall inside a key gives; the key's values as gold. Similarity is alike inside a key."""
+    m, sem = _memories(spark, d), _semantic(spark, d)
+    stated = lifecycle.facts(m).select(*lifecycle.KEY, "value", "content", "created_day", "importance", "seq", F.lit(False).alias("consolidated"), F.lit(False).alias("superseded"))
+    known = sem.select(*lifecycle.KEY, "value", "content", "created_day", "importance", "seq", F.lit(True).alias("consolidated"), F.col("superseded_by").isNotNull().alias("superseded"))
+    policies = spark.createDataFrame([("flat-vector", False, False, False), ("recency", True, False, False), ("recency+consolidation", True, True, False), ("recency+consolidation+supersession", True, True, True)], "policy string, r boolean, c boolean, s boolean")
+    pool = stated.unionByName(known).join(F.broadcast(policies), F.col("consolidated") == F.col("c")).where("not (s and superseded)")
+    score = F.when(F.col("r"), F.round(0.25 * items.recency(F.col("created_day"), F.lit(NOW)) + 0.1 * F.col("importance"), 6)).otherwise(F.lit(0.0))
+    query_id = F.concat_ws("|", *[F.col(c).cast("string") for c in lifecycle.KEY])
+    order = Window.partitionBy("policy", "query_id").orderBy(F.desc("score"), "seq")
+    hits = pool.withColumns({"score": score, "query_id": query_id}).withColumn("rank", F.row_number().over(order)).where("rank <= 5")
+    hits = hits.select("policy", "query_id", "rank", "value", items.word_count(F.col("content")).alias("words"))
+    gold = sem.groupBy(*lifecycle.KEY).agg(F.max(F.when(F.col("superseded_by").isNull(), F.col("value"))).alias("gold_value"), F.collect_list(F.when(F.col("superseded_by").isNotNull(), F.col("value"))).alias("prior_values"))
+    gold = gold.select(query_id.alias("query_id"), "gold_value", "prior_values", F.when(F.size("prior_values") > 0, "changing").otherwise("stable").alias("category"))
+    return hits, gold
+
+
+_FLAGS = SEM + f""", p AS (SELECT * FROM (VALUES ('flat-vector', false, false, false), ('recency', true, false, false), ('recency+consolidation', true, true, false), ('recency+consolidation+supersession', true, true, true)) t(policy, r, c, s)),
+ u AS (SELECT agent_id, subject, attribute, value, content, created_day, importance, seq, false AS cons, false AS sup FROM st WHERE attribute IS NOT NULL UNION ALL SELECT agent_id, subject, attribute, value, content, created_day, importance, NULL, true, superseded_by IS NOT NULL FROM sem),
+ u2 AS (SELECT u.* REPLACE (coalesce(seq, (SELECT max(st.seq) FROM st WHERE st.agent_id = u.agent_id AND st.subject = u.subject AND st.attribute = u.attribute AND st.value = u.value AND st.created_day = u.created_day)) AS seq) FROM u),
+ k AS (SELECT policy, agent_id || '|' || subject || '|' || attribute AS query_id, value, content, row_number() OVER (PARTITION BY policy, agent_id, subject, attribute ORDER BY CASE WHEN r THEN round(0.25 * pow(0.5, greatest(0, {NOW} - created_day) / 21.0) + 0.1 * importance, 6) ELSE 0 END DESC, seq) AS rank FROM u2 JOIN p ON cons = c AND NOT (s AND sup)),
+ l AS (SELECT policy, query_id, list(value ORDER BY rank) AS vs, sum(len(string_split(content, ' ')))::BIGINT AS words FROM k WHERE rank <= 5 GROUP BY ALL),
+ gd AS (SELECT agent_id || '|' || subject || '|' || attribute AS query_id, max(value) FILTER (superseded_by IS NULL) AS gv, list(value) FILTER (superseded_by IS NOT NULL) AS pv FROM sem GROUP BY 1),
+ fl AS (SELECT policy, l.query_id, CASE WHEN pv IS NULL OR len(pv) = 0 THEN 'stable' ELSE 'changing' END AS category, (vs[1] = gv)::INT::DOUBLE AS acc_1, list_contains(vs, gv)::INT::DOUBLE AS found_k, coalesce(list_has_any(vs, pv), false)::INT::DOUBLE AS stale_k, words FROM l JOIN gd USING (query_id))"""
+
+
+@query("u4_hit_flags", _FLAGS + " SELECT * FROM fl")
+def u4(spark, d):
+    return evaluate.hit_flags(*_recalled(spark, d))
+
+
+@query("a5_ablation", _FLAGS + " SELECT policy, category, round(avg(acc_1), 3) AS acc_1, round(avg(found_k), 3) AS found_k, round(avg(stale_k), 3) AS stale_k, round(avg(words), 3) AS ctx_words, count(*) AS n FROM fl GROUP BY GROUPING SETS ((policy), (policy, category))")
+def a5(spark, d):
+    return evaluate.ablation(evaluate.hit_flags(*_recalled(spark, d)))
+
+
+@query("a7_answer_f1")
+def a7(spark, d):
+    """An assistant's turn as the answer to the user's turn before it, by words in common."""
+    t = _read(spark, d, "conversations")
+    before = Window.partitionBy("conv_id").orderBy("turn")
+    answers = t.withColumn("gold", F.lag("text").over(before)).where("role = 'assistant' and gold is not null").select(F.concat_ws("-", "conv_id", "turn").alias("id"), (F.col("turn") % 4 + 1).cast("int").alias("category"), F.col("text").alias("prediction"), "gold")
+    return evaluate.f1_metrics(evaluate.answer_f1(answers))
+
+
+@query("s3_turns", "SELECT conv_id AS sample_id, (turn // 2)::INT AS session, 'D' || ((turn // 2) + 1) || ':' || turn AS dia_id, role || ': ' || text AS content FROM conversations")
+def s3(spark, d):
+    return records.turns_of(_read(spark, d, "conversations"))
+
+
+def _audit(spark, d) -> DataFrame:
+    """Write rows by chain of a user, numbered from 0."""
+    log = lifecycle.write_audit(_memories(spark, d).withColumn("chain", F.regexp_extract("subject", r"(\d+)", 1).cast("int")).withColumn("agent_id", F.col("chain")))
+    place = Window.partitionBy("agent_id").orderBy("seq")
+    return log.withColumn("seq", (F.row_number().over(place) - 1).cast("long")).withColumnRenamed("agent_id", "chain_id")
+
+
+_CHAIN = S.replace("WITH st", "WITH RECURSIVE st", 1) + """, au AS (SELECT replace(subject, 'user:', '')::INT AS chain_id, row_number() OVER (PARTITION BY subject ORDER BY seq) - 1 AS seq, created_day AS day, id AS item_id, coalesce(attribute || '=' || value, 'episodic') AS detail FROM st),
+ b AS (SELECT *, sha256('{"detail":' || to_json(detail) || ',"item_id":' || to_json(item_id) || ',"op":"write","payload":null}') AS content_hash FROM au),
+ ch AS (SELECT chain_id, -1::BIGINT AS seq, NULL::VARCHAR AS content_hash, NULL::VARCHAR AS prev_hash, 'pag:genesis' AS entry_hash FROM (SELECT DISTINCT chain_id FROM b)
+ UNION ALL SELECT b.chain_id, b.seq, b.content_hash, ch.entry_hash, sha256(ch.entry_hash || '{"agent_id":"memory-service","attestation_level":"none","content_hash":"' || b.content_hash || '","day":' || b.day || ',"detail":' || to_json(b.detail) || ',"item_id":' || to_json(b.item_id) || ',"model_id":null,"op":"write","payload":null,"seq":' || b.seq || '}')
+ FROM ch JOIN b ON b.chain_id = ch.chain_id AND b.seq = ch.seq + 1)"""
+
+
+@query("x4_chain_build", _CHAIN + " SELECT chain_id, seq, content_hash, prev_hash, entry_hash FROM ch WHERE seq >= 0")
+def x4(spark, d):
+    return chain.build(_audit(spark, d)).select("chain_id", "seq", "content_hash", "prev_hash", "entry_hash")
+
+
+@query("w3_chain_verify", S + """, n AS (SELECT replace(subject, 'user:', '')::INT AS chain_id, count(*) AS length FROM st GROUP BY subject)
+ SELECT chain_id, NOT (chain_id % 3 = 0 AND length > 2) AS ok, length, CASE WHEN chain_id % 3 = 0 AND length > 2 THEN 2::BIGINT END AS broken_at, true AS signed, NOT (chain_id % 3 = 0 AND length > 2) AS content_ok FROM n""")
+def w3(spark, d):
+    """Every third chain has its third entry changed."""
+    entries = staged(chain.build(_audit(spark, d), KEY), "chain")
+    touched = entries.withColumn("detail", F.when((F.col("chain_id") % 3 == 0) & (F.col("seq") == 2), "changed").otherwise(F.col("detail")))
+    return chain.verify(touched, KEY).drop("sig_failures")
+
+
+@query("s5_snapshot", S + " SELECT replace(subject, 'user:', '')::INT AS chain_id, count(*) - 1 AS last_seq, count(*) AS length FROM st GROUP BY subject")
+def s5(spark, d):
+    path = f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}"
+    chain.export(staged(chain.build(_audit(spark, d)), "chain"), path)
+    return chain.heads(chain.restore(spark, path)).drop("head")
+
+
+@query("r1_stream_ingest", _AUDIT + " SELECT agent_id, seq, day, op, item_id, detail FROM au")
+def r1(spark, d):
+    return jobs.continuous_ingest(jobs.event_stream(spark, f"{d}/events.parquet"))[1]
+
+
+@query("r2_stream_current", SEM + ", n AS (SELECT agent_id, subject, attribute, sum(support)::BIGINT AS statements FROM sem GROUP BY ALL) SELECT agent_id, subject, attribute, value, created_day, statements FROM sem JOIN n USING (agent_id, subject, attribute) WHERE superseded_by IS NULL")
+def r2(spark, d):
+    return jobs.current_facts(jobs.event_stream(spark, f"{d}/events.parquet"))
+
+
+@query("r3_stream_changes", S + ", l AS (SELECT agent_id, subject, attribute, lag(value) OVER w AS old_value, value AS new_value, created_day AS day, seq FROM st WHERE attribute IS NOT NULL WINDOW w AS (PARTITION BY agent_id, subject, attribute ORDER BY created_day, seq)) SELECT * FROM l WHERE old_value IS NOT NULL AND old_value <> new_value")
+def r3(spark, d):
+    return jobs.change_log(jobs.event_stream(spark, f"{d}/events.parquet"))
+
+
+@query("r4_stream_working_memory", S + " SELECT agent_id, id, importance, created_day AS day, seq FROM st QUALIFY row_number() OVER (PARTITION BY agent_id ORDER BY importance DESC, created_day, seq DESC) > 8")
+def r4(spark, d):
+    return jobs.bounded_memory(jobs.event_stream(spark, f"{d}/events.parquet"))
+
+
+@query("r5_stream_expiry", S + " SELECT agent_id, id, created_day + ttl_days + 1 AS day FROM st WHERE created_day + ttl_days + 1 <= 28")
+def r5(spark, d):
+    return jobs.expiry(jobs.event_stream(spark, f"{d}/events.parquet"), 28)
+
+
+@query("r6_stream_chain", S + " SELECT replace(subject, 'user:', '')::INT AS chain_id, true AS ok, count(*) AS length FROM st GROUP BY subject")
+def r6(spark, d):
+    log = jobs.event_stream(spark, f"{d}/events.parquet").select(F.regexp_extract("subject", r"(\d+)", 1).cast("int").alias("chain_id"), "seq", F.col("ts_day").alias("day"), F.lit("write").alias("op"), F.col("id").alias("item_id"), F.coalesce(F.concat("attribute", F.lit("="), "value"), F.lit("episodic")).alias("detail"))
+    return chain.verify(jobs.append_chain(log)).select("chain_id", "ok", "length")
+
+
+@query("r7_stream_refresh", _POOL + " SELECT * FROM pool")
+def r7(spark, d):
+    def rebuild(rows: DataFrame) -> DataFrame:
+        m = lifecycle.ingest(rows)
+        return lifecycle.candidates(m, lifecycle.consolidate(m), NOW)
+
+    return jobs.refresh(jobs.event_stream(spark, f"{d}/events.parquet"), rebuild).select("agent_id", "id", "content", "mtype", "created_day", "importance")
+
+
+@query("x3_extract_facts", S + " SELECT agent_id, id, split_part(content, ' ', 1) AS attribute, content AS value FROM st WHERE attribute IS NOT NULL UNION ALL SELECT agent_id, id, NULL, NULL FROM st WHERE attribute IS NULL")
+def x3(spark, d):
+    def extractor(row):
+        if row["text"].startswith("error"):
+            raise ValueError("nothing to extract")
+        return None, row["text"].split(" ")[0], row["text"]
 
-ORACLE_SQL: dict = {}
+    return search.extract_facts(_statements(spark, d).select("agent_id", "id", "text", "subject", "attribute", "value"), extractor).select("agent_id", "id", "attribute", "value")
