@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 #: Bytes of words for the pattern [^\x20\x09-\x0D]+ .
 NOT_SPACE = np.ones(256, bool)
