@@ -13,9 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = Path(__file__).resolve().parent.parent
 _shipped: set[str] = set()
 
+#: Rows that go to a Python worker at once, where the session has Spark's default: texts of some kilobytes are
+#: a few megabytes so, and workers stay small beside the executor's heap.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS, SPARK_DEFAULT = "500", "10000"
+
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends the package's sources to the executors once an application, unless they are on PYTHONPATH already."""
+    """Sends the package's sources to the executors once an application, unless they are on PYTHONPATH already,
+    and bounds the batches that Python workers get."""
+    if spark.conf.get(BATCH, SPARK_DEFAULT) == SPARK_DEFAULT:
+        spark.conf.set(BATCH, BATCH_ROWS)
     app = spark.sparkContext.applicationId
     on_path = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
     if app not in _shipped and str(ROOT) not in on_path:
