@@ -9,6 +9,7 @@ threshold (a fraction, compared in whole numbers), and the join gives the classe
 3. Most points are at distance 1 from most others, so pivots are chosen near the points: of the points that share
    one of their rarest shingles, as many as two linked points must have in common one of, the first by hash is the
    pivot. Every two linked points so meet in the region of at least one pivot; a point near a boundary is in several.
+   The region that a point shares most of them with comes first; the others only where that left several classes.
 4. Inside a region, distances to its pivots bound those between points (triangle inequality): pairs outside the
    window, of too different sizes, or joined already are spared, the others are compared exactly. A region beyond
    REGION points is dealt by hash into blocks that each have the pivot; points not joined to the pivot go on to all
@@ -219,10 +220,25 @@ def _link(table: pa.Table, least: tuple[int, int]) -> pa.Table:
 
 
 def links(points: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """Links a, b whose components are those of all pairs that reach the threshold. points: POINTS, written."""
+    """Links a, b whose components are those of all pairs that reach the threshold. points: POINTS, written.
+
+    First every point is compared in the region of the pivot it shares most with. Shingles whose points are of one
+    class by then can add no link; the regions of all others are compared with all their points.
+    """
     entries = points.select("doc_id", F.explode("prefix").alias("s"))
     pivots = entries.groupBy("s").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")).alias("p")).where("c > 1").select("s", F.col("p.doc_id").alias("pivot"))
-    visits = staged(entries.join(pivots, "s").select("pivot", "doc_id").distinct(), "visits")
+    near = staged(entries.join(pivots, "s").select("s", "pivot", "doc_id"), "near")
+    home = near.groupBy("doc_id", "pivot").agg(F.count("*").alias("c")).groupBy("doc_id").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("pivot")).select("pivot", "doc_id")
+    first = staged(regions(points, home.unionAll(home.select("pivot", F.col("pivot").alias("doc_id"))).distinct(), least), "links-home")
+    known = components(first).withColumnRenamed("node", "doc_id")
+    class_ = F.coalesce("component", "doc_id")
+    several = near.join(known, "doc_id", "left").groupBy("s").agg(F.min(class_).alias("a"), F.max(class_).alias("b")).where("a < b").select("s")
+    return first.unionAll(regions(points, near.join(several, "s").select("pivot", "doc_id").distinct(), least))
+
+
+def regions(points: DataFrame, visits: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """Links found in the regions of visits (pivot, doc_id), each with its pivot among its points."""
+    visits = staged(visits, "visits")
     sizes = visits.groupBy("pivot").agg(F.ceil(F.count("*") / REGION).cast("int").alias("blocks"))
     large = sizes.where("blocks > 1")
     payload = points.select("doc_id", "n", "shingles")
