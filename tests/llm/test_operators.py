@@ -1,0 +1,266 @@
+"""Operators against brute force, on small cases with nulls, empty and repeated rows, and clashing column names."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from palimpsest.llm import bpe, decontamination, html_extraction, language_id, ngram_jaccard, pii, quality_rules, sharding, substring_dedup, url_filters
+
+WORD = re.compile("[^\x20\x09-\x0d]+")
+SCHEMA = "doc_id long, text string, lang string, n_words string, kept string"
+
+
+def corpus(seed=1, n=60):
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choice("abcdeéñ") for _ in range(rng.randint(1, 7))) for _ in range(300)]
+    texts = [None, "", "   \n ", "one", "a b c", "same words " * 60]
+    passage = " ".join(rng.choice(vocabulary) for _ in range(50))
+    for i in range(n):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(1, 160))]
+        if i % 4 == 0:
+            words[len(words) // 2 : len(words) // 2] = passage.split()
+        texts.append(rng.choice([" ", "\n", "  "]).join(words))
+        if i % 5 == 0:
+            texts.append(texts[-1])
+        if i % 6 == 0:
+            changed = list(words)
+            changed[rng.randrange(len(changed))] = "Changed"
+            texts.append(" ".join(changed).upper() if i % 12 == 0 else " ".join(changed))
+    texts.append(" ".join(rng.choice(vocabulary) for _ in range(20_000)))
+    return [(i, t, "en" if t else None, "x", None) for i, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), SCHEMA).repartition(3).cache()
+
+
+def test_sharding(docs, spark):
+    got = sharding.slots(docs, sharding.tree()).collect()
+    assert len(got) == docs.count()
+    text = {r.doc_id: r.text for r in docs.collect()}
+    for r in got:
+        raw = (text[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32) == (len(raw) + 1, zlib.crc32(raw)) and r.grown_shard in (r.shard, 8)
+    for s in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    many = spark.range(8000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    sizes = Counter(r.shard for r in sharding.slots(many, sharding.tree()).collect())
+    assert set(sizes) == set(range(8)) and max(sizes.values()) < 1.2 * min(sizes.values())
+    same = spark.createDataFrame([(None, "x")] * 7, "doc_id long, text string")
+    assert sorted(r.slot for r in sharding.slots(same, sharding.tree()).collect()) == list(range(7))
+
+
+def test_weights_move_rows_only_in_their_subtree(spark):
+    keys = spark.range(4000)
+    light = sharding.tree()
+    heavy = [light[0], ("region1", [("rack0", [("shard0", 3.0, 4), ("shard1", 1.0, 5)]), light[1][1][1]])]
+    moved = keys.select(sharding.place(F.col("id"), light).alias("a"), sharding.place(F.col("id"), heavy).alias("b")).where("a <> b").collect()
+    assert moved and all(r.b >= 4 for r in moved)
+
+
+def test_substring_dedup(docs):
+    rows = [(r.doc_id, WORD.findall(r.text or "")) for r in docs.collect()]
+    for window in (5, 35):
+        count = Counter(tuple(w[i : i + window]) for _, w in rows for i in range(len(w) - window + 1))
+        got = {r.doc_id: r for r in substring_dedup.remove_repeats(docs, window).collect()}
+        for i, w in rows:
+            gone = [False] * len(w)
+            for k in range(len(w) - window + 1):
+                if count[tuple(w[k : k + window])] > 1:
+                    gone[k : k + window] = [True] * window
+            assert (got[i].n_words, got[i].n_removed, got[i].kept_text) == (len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g))
+
+
+def vocabulary():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def test_bpe(docs, spark):
+    tiktoken = pytest.importorskip("tiktoken")
+    path, pattern = vocabulary()
+    ranks = bpe.load_ranks(spark, path)
+    encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(3)
+    odd = ["".join(rng.choice(letters) for _ in range(size)) for letters, size in (("'strvelmd ab\n", 400), ("  \n\t'a1é²", 400), ("'' s 　x9Ⅷ½漢字🙂é", 400), ("the", 20_000), ("=-", 20_000))]
+    frame = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(1000 + i, t, None) for i, t in enumerate([*odd, "<|endoftext|> it's"])], "doc_id long, text string, lang string"))
+    for r in bpe.decode(bpe.encode(frame, path, pattern), path).collect():
+        assert r.ids == encoding.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode()
+
+
+def test_pii(spark):
+    text = 'Mail x.34@mail7.example.com, +1 (499) 555-6503 or +1-499-555-6503; 9807915762804490$$$ token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" at 97.51.17.173. Mrs. Anna Smith met Mr Smith and Госпожа Иванова'
+    rows = [(1, text, "en"), (2, text.replace("x.34", "y.35"), "en"), (3, None, None), (4, "", None), (5, "clean text 4.0. and Version 2.0", None), (1, text, "en")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    got = pii.replace_pii(frame).orderBy("doc_id").collect()
+    assert [r.doc_id for r in got] == [1, 1, 2, 3, 4, 5] and got[0] == got[1] and "key" in got[0]
+    assert [r.text for r in got[3:]] == [None, "", "clean text 4.0. and Version 2.0"]
+    new = got[0].text
+    for secret in ("x.34@", "555-6503", "9807915762804490", "04dbebab", "97.51.17.173", "Smith", "Anna", "Иванова"):
+        assert secret not in new
+    assert sorted(set(got[0]._pii_types)) == ["card", "email", "hex", "ip", "name", "phone"]
+    phones = re.findall(r"\+\d \(\d{3}\) \d{3}-\d{4}|\+\d-\d{3}-\d{3}-\d{4}", new)
+    assert len(phones) == 2 and len({re.sub(r"\D", "", p) for p in phones}) == 1
+    woman, surname = re.search(r"Mrs\. (\w+) (\w+) met Mr (\w+)", new).group(1, 2)
+    assert woman.endswith("lina") and f"Mr {surname}" in new and re.search(r"Госпожа [А-Яа-я]+", new)
+    assert re.search(r"\S+@\S+\.example", new)[0] != re.search(r"\S+@\S+\.example", got[2].text)[0]
+    assert pii.replace_pii(frame.where("false")).count() == 0
+
+
+def test_surrogates_are_distinct_under_collisions(spark, monkeypatch):
+    few = lambda secret, type_, norm, attempt: F.substring(F.sha2(F.concat_ws("|", type_, norm, attempt.cast("string")), 256), 1, 2)
+    monkeypatch.setattr(pii, "draw", few)
+    entities = spark.range(60).select(F.lit("hex").alias("type"), F.concat(F.lit("e"), F.col("id").cast("string")).alias("norm"))
+    assert pii.surrogates(entities, "k").select("value").distinct().count() == 60
+
+
+def test_quality_rules(docs):
+    def base(text):
+        w = WORD.findall(text)
+        grams = list(zip(w, w[1:], w[2:]))
+        count, again, seen, lines = Counter(grams), [False] * len(w), set(), 0
+        for i, g in enumerate(grams):
+            if count[g] > 1:
+                again[i : i + 3] = [True] * 3
+        for line in text.split("\n"):
+            if WORD.search(line):
+                lines += line in seen
+                seen.add(line)
+        return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), lines, sum(again)
+
+    with_lines = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("\n x%\n\n x%\n"), "text")).otherwise(F.col("text"))).drop("n_words", "kept")
+    for r in quality_rules.judge(with_lines).collect():
+        b = base(r.text or "")
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == b
+        assert r.base_failed == (b[0] < 50 or 100 * b[4] > 50 * b[0]) and not (r.base_failed and r.kept)
+
+
+def test_viterbi_is_the_best_sequence():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        score, change = rng.normal(size=6) * 2, -rng.random()
+        value = lambda y: sum(s for s, a in zip(score, y) if a) + change * sum(a != b for a, b in zip(y, y[1:]))
+        best = max(map(value, itertools.product((0, 1), repeat=6)))
+        assert abs(value(quality_rules.viterbi(score, change).astype(int).tolist()) - best) < 1e-9
+
+
+def test_field_learns_lines():
+    good, bad = ["The thing is here and there.\nAnother line of words follows."] * 20, ["a%%% b### c***\nd$$$ e&&& f%%%"] * 20
+    weights, change = quality_rules.fit(good + bad, [False] * 20 + [True] * 20)
+    assert weights[quality_rules.FEATURES.index("symbols")] > 1 and change <= 0
+
+
+def test_decontamination(docs, spark):
+    token = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    low = lambda t: t.translate({i: i + 32 for i in range(65, 91)})
+    texts = [r.text for r in docs.collect()]
+    items = [(1, " ".join(WORD.findall(texts[9])[3:30])), (2, "A, b! c"), (3, None), (4, ""), (5, texts[12])]
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    windows = {}
+    for i, t in items:
+        w = token.findall(low(t or ""))
+        n = min(10, len(w))
+        for k in range(len(w) - n + 1 if n else 0):
+            windows.setdefault(tuple(w[k : k + n]), set()).add(i)
+    own = docs.select("doc_id", "text", "lang")
+    for block in (decontamination.BLOCK_BYTES, 100):
+        decontamination.BLOCK_BYTES, kept = block, decontamination.BLOCK_BYTES
+        got = {r.doc_id: r for r in decontamination.decontaminate(own, frame).collect()}
+        decontamination.BLOCK_BYTES = kept
+        for r in own.collect():
+            w, hit, found = token.findall(low(r.text or "")), set(), set()
+            for n in {len(k) for k in windows}:
+                for k in range(len(w) - n + 1):
+                    if ids := windows.get(tuple(w[k : k + n])):
+                        found |= ids
+                        hit |= set(range(k, k + n))
+            g = got[r.doc_id]
+            assert (g.n_words, g.n_hit, g.n_items, g.items_sha256) == (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest())
+            assert token.findall(low(g.text or "")) == [x for i, x in enumerate(w) if i not in hit]
+
+
+@pytest.mark.parametrize("region", [2000, 3])
+def test_ngram_jaccard(docs, region, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "REGION", region)
+    rows = docs.select("doc_id", "text").collect()
+    sets = {}
+    for r in rows:
+        w = WORD.findall((r.text or "").translate({i: i + 32 for i in range(65, 91)}))
+        sets[r.doc_id] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    parent = {i: i for i in sets}
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                parent[y] = x
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.classes(docs).collect()}
+    assert got == {i: (len(s), top(i)) for i, s in sets.items()}
+
+
+def test_ngram_jaccard_of_odd_rows(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    frame = spark.createDataFrame([(None, text), (5, text), (5, text), (5, "a b"), (7, "A B"), (9, None)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.component_id or 0) for r in ngram_jaccard.classes(frame).collect())
+    assert got == [(0, 0), (5, 5), (5, 5), (5, 5), (7, 5), (9, 9)]
+    assert ngram_jaccard.classes(frame.where("false")).count() == 0
+
+
+def test_url_filters(spark):
+    urls = [None, "nothing", "http://WWW.Example.org/es/1?x", "https://a.example.org/en/12#t", "http://x.com/de", "http://x.com/de/1", "http://x.com/fr/", "http://casino-win.example.net/en/1", "http://notcasinos.net/", "http://xample.org/en/1", "http://free-bets.net/responsible-gambling"]
+    frame = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, token string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filters.judge(frame).collect()}
+    assert got[0] == got[1] == ("", "", None, "allow")
+    assert got[2] == ("www.example.org", "/es/1", "example.org/es/", "block") and got[3][2:] == ("example.org/en/1", "block")
+    assert got[4][2:] == (None, "allow") and got[5][2:] == ("com/de/", "block") and got[6][2:] == ("com/fr/", "allow")
+    assert got[7][2:] == (None, "block") and got[8][3] == "allow" and got[9][2] == "org/" and got[10][3] == "allow"
+
+
+def test_language_id(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = language_id.fitted(docs)
+    got = language_id.predict(docs, model).where(language_id.in_fold(F.col("doc_id"))).collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.95 * len(got) and all(0 <= r.score <= 1 for r in got)
+    assert (model.weights == 0).mean() > 0.3
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, " 12 %"), (4, None)], "doc_id long, text string")
+    assert {(r.lang_pred, r.score) for r in language_id.predict(odd, model).collect()} == {("und", 0.0)}
+    assert language_id.fitted(docs.where("false")) is None and language_id.predict(odd, None).count() == 4
+
+
+def test_html_extraction(spark):
+    page = "<html><head><title>T</title></head><body><nav>menu<div class='ad'>x<article class='post'><header>H</header><h1>T &amp; U</h1><p>a <b>b</b>\n c<p>d<div class=\"share-bar\">s</div><section id=comments><p>no</p></section></article><footer>f"
+    assert html_extraction.scan_page(page)[0] == "T & U\na b c\nd"
+    box = "<div><p>About this site and its owners</p></div>"
+    rows = [(i, f"http://h.net/{i}", f"<body>{box}<p>Story number {i}</p></body>") for i in range(8)] + [(9, None, None), (10, "http://o.net/", f"{box}<p>x &lt; y"), (11, "http://h.net/a", f"<article>{box}<p>own</p></article>")]
+    got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(8)] == [f"Story number {i}" for i in range(8)]
+    assert got[9] == "" and got[10] == "About this site and its owners\nx < y" and got[11] == "About this site and its owners\nown"
+
+
+def test_pipeline(spark, small):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    final = corpus_pipeline.run(spark, small)
+    rows = final.collect()
+    assert 0 < len(rows) < docs.count() and all(r.round_trip and r.n_tokens == len(r.ids) for r in rows)
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
+    assert all(labels.get(r.doc_id, 1) == 1 for r in rows)
+    empty = docs.where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, small).count() == 0
