@@ -15,6 +15,10 @@ from palimpsest.llm.staging import staged
 from palimpsest.session import ship
 
 
+#: doc_ids that are broadcast at most, some 100 MB as a hash table; more of them are joined by shuffle.
+BROADCAST_IDS = 2_000_000
+
+
 def _changed(df: DataFrame, columns: list[str]) -> DataFrame:
     out = df.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in columns else df
     return out.select(*columns)
@@ -30,7 +34,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """The document of least doc_id of each class; of rows that share a doc_id one stays; those without one all stay."""
     ship(spark)
     classes = staged(ngram_jaccard.classes(docs), "classes")
-    others = classes.where("component_id <> doc_id").select("doc_id").distinct()
+    others = staged(classes.where("component_id <> doc_id").select("doc_id").distinct(), "others")
+    # Texts stay where they are while the list of ids is short.
+    others = F.broadcast(others) if others.count() <= BROADCAST_IDS else others.hint("shuffle_merge")
     kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
     repeated = classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
     if repeated.isEmpty():
