@@ -1,13 +1,15 @@
 """Operator 10, main text of web pages with site templates removed.
 
 Pages are read by a tolerant scanner. Elements that by tag, role or class are menus, headers, footers, sidebars,
-notices, adverts, forms or comments are left out. Of what remains, every element's subtree is hashed (outside of an
-article or main element, whose text is the page's own); Spark counts in how many pages of a host each hash occurs,
-and subtrees that recur in many pages of their host are deleted. A page with an article or main element gives the
-text of these; others give what is left.
-
-Cases: null html is empty, and gives an empty text; a null url, or one without "://", is of the host ""; copies count
-as pages of their own; equal rows get equal results; an empty table gives an empty result; other columns pass through.
+notices, adverts, forms or comments are left out. Of what remains, every block's subtree is hashed, inside and outside
+of article and main elements (not these themselves); Spark counts on how many distinct pages of a host each hash
+occurs, and subtrees that recur on many of them are deleted. A page with an article or main element gives what is left
+of these; others give all that is left. Inside and outside are counted apart: what is a box around the articles can be
+quoted in one.
+
+Cases: null html is empty, and gives an empty text; a null url, or one without "://", is of the host ""; pages of a
+host whose text is equal before the deletion count as one, so copies don't make their own text a template; equal rows
+get equal results; an empty table gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations
@@ -48,8 +50,12 @@ def _left_out(tag: str, attributes: str) -> bool:
     return tag in LEFT_OUT or bool(attributes) and any(w in MARKS for m in MARKED.findall(attributes) for w in re.split(r"[^a-z0-9]+", m.lower()))
 
 
+def _hash(text: str, key: bytes = b"") -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode(errors="surrogatepass"), digest_size=8, key=key).digest(), "big", signed=True)
+
+
 def scan_page(page: str, templates: frozenset[int] = frozenset(), want_hashes: bool = False) -> tuple[str, set[int]]:
-    """The page's text without what is left out and without templates; hashes of the subtrees outside its articles."""
+    """The page's text without what is left out and without templates; hashes of its subtrees that have text."""
     # Tag, blocks, characters and articles before it, and whether what is around it is left out or in an article.
     stack: list[tuple[str, int, int, int, bool, bool]] = []
     blocks: list[tuple[str, bool]] = []
@@ -70,8 +76,8 @@ def scan_page(page: str, templates: frozenset[int] = frozenset(), want_hashes: b
         tag, n_blocks, start, before, was_out, was_own = stack.pop()
         if tag in BLOCKS:
             flush()
-            if (want_hashes or templates) and not own and not out and articles == before and tag not in ("html", "body"):
-                h = int.from_bytes(hashlib.blake2b(" ".join(page[start:stop].split()).encode(errors="surrogatepass"), digest_size=8).digest(), "big", signed=True)
+            if (want_hashes or templates) and not out and len(blocks) > n_blocks and (own or articles == before) and tag not in ("html", "body", "article", "main"):
+                h = _hash(" ".join(page[start:stop].split()), b"own" if own else b"")
                 if want_hashes:
                     hashes.add(h)
                 if h in templates:
@@ -121,14 +127,18 @@ def scan_page(page: str, templates: frozenset[int] = frozenset(), want_hashes: b
 
 def _subtrees(batches):
     for batch in batches:
-        rows = [(host, h) for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()) for h in (*scan_page(page or "", want_hashes=True)[1], None)]
-        yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["host", "subtree"])
+        rows = []
+        for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
+            text, hashes = scan_page(page or "", want_hashes=True)
+            own = _hash(text)
+            rows += [(host, own, h) for h in (*hashes, None)]
+        yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["host", "page", "subtree"])
 
 
 def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """host, templates: the hashes of subtrees that recur in many of the host's pages. At most 1 / least_share
+    """host, templates: the hashes of subtrees that recur on many of the host's distinct pages. At most 1 / least_share
     times the subtrees of a page for a host."""
-    found = pages.select("host", "html").mapInArrow(_subtrees, "host string, subtree long").groupBy("host", "subtree").agg(F.count("*").alias("n"))
+    found = pages.select("host", "html").mapInArrow(_subtrees, "host string, page long, subtree long").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n"))
     found = staged(found, "subtrees")
     # A page's row without a subtree counts the page.
     hosts = found.where("subtree is null").select("host", F.col("n").alias("pages"))

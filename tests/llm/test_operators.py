@@ -252,6 +252,17 @@ def test_html_extraction(spark):
     assert got[9] == "" and got[10] == "About this site and its owners\nx < y" and got[11] == "About this site and its owners\nown"
 
 
+def test_html_templates_inside_articles(spark):
+    box = "<div><h4>About the author</h4><p>Writes here since long ago</p></div>"
+    article = "<article><h1>Title {0}</h1><p>Story {0}</p>" + box + "</article>"
+    rows = [(i, f"http://h.net/{i}", article.format(i)) for i in range(8)]
+    # Copies of an article, in pages that differ around it, keep their text; so does a box of one page only.
+    rows += [(10 + i, f"http://c.net/{i}", f"<nav>{i}</nav>" + article.format("x")) for i in range(8)] + [(20, "http://o.net/", article.format("y"))]
+    got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(8)] == [f"Title {i}\nStory {i}" for i in range(8)]
+    assert {got[10 + i] for i in range(8)} == {"Title x\nStory x\nAbout the author\nWrites here since long ago"} and got[20].endswith("long ago")
+
+
 def test_pipeline(spark, small):
     import corpus_pipeline
 
