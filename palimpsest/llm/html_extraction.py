@@ -17,7 +17,9 @@ from __future__ import annotations
 import hashlib
 import html as references
 import re
+from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,11 +27,11 @@ from pyspark.sql import functions as F
 from .staging import staged
 from .url_filters import host_path
 
-#: A subtree is a template if at least so many pages and this share of its host's pages have it.
-LEAST_PAGES, LEAST_SHARE = 5, 0.3
+#: A subtree is a template if at least so many distinct pages of its host have it, however many the host has.
+LEAST_PAGES = 5
 
-#: Hosts with templates up to this many are broadcast; more are joined by shuffle.
-BROADCAST_HOSTS = 20_000
+#: Templates up to this many, 8 bytes each, are broadcast; more are joined to the pages' subtrees by shuffle.
+BROADCAST_TEMPLATES = 1_000_000
 
 #: Elements left out whole, those whose content is no markup, and those without content.
 LEFT_OUT = set("head nav header footer aside form script style noscript template iframe svg button select textarea title menu dialog object canvas".split())
@@ -54,8 +56,9 @@ def _hash(text: str, key: bytes = b"") -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(errors="surrogatepass"), digest_size=8, key=key).digest(), "big", signed=True)
 
 
-def scan_page(page: str, templates: frozenset[int] = frozenset(), want_hashes: bool = False) -> tuple[str, set[int]]:
-    """The page's text without what is left out and without templates; hashes of its subtrees that have text."""
+def scan_page(page: str, is_template: Callable[[int], bool] | None = None, want_hashes: bool = False, host: str = "") -> tuple[str, set[int]]:
+    """The page's text without what is left out and without templates; hashes of its subtrees that have text, with
+    the host in each."""
     # Tag, blocks, characters and articles before it, and whether what is around it is left out or in an article.
     stack: list[tuple[str, int, int, int, bool, bool]] = []
     blocks: list[tuple[str, bool]] = []
@@ -76,11 +79,11 @@ def scan_page(page: str, templates: frozenset[int] = frozenset(), want_hashes: b
         tag, n_blocks, start, before, was_out, was_own = stack.pop()
         if tag in BLOCKS:
             flush()
-            if (want_hashes or templates) and not out and len(blocks) > n_blocks and (own or articles == before) and tag not in ("html", "body", "article", "main"):
-                h = _hash(" ".join(page[start:stop].split()), b"own" if own else b"")
+            if (want_hashes or is_template) and not out and len(blocks) > n_blocks and (own or articles == before) and tag not in ("html", "body", "article", "main"):
+                h = _hash(host + "\0" + " ".join(page[start:stop].split()), b"own" if own else b"")
                 if want_hashes:
                     hashes.add(h)
-                if h in templates:
+                if is_template and is_template(h):
                     del blocks[n_blocks:]
         out, own = was_out, was_own
 
@@ -125,37 +128,70 @@ def scan_page(page: str, templates: frozenset[int] = frozenset(), want_hashes: b
     return "\n".join(t for t, o in blocks if o or not articles), hashes
 
 
+def _columns(batch, *names: str):
+    return zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names))
+
+
 def _subtrees(batches):
     for batch in batches:
-        rows = []
-        for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            text, hashes = scan_page(page or "", want_hashes=True)
-            own = _hash(text)
-            rows += [(host, own, h) for h in (*hashes, None)]
-        yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["host", "page", "subtree"])
-
-
-def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """host, templates: the hashes of subtrees that recur on many of the host's distinct pages. At most 1 / least_share
-    times the subtrees of a page for a host."""
-    found = pages.select("host", "html").mapInArrow(_subtrees, "host string, page long, subtree long").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n"))
-    found = staged(found, "subtrees")
-    # A page's row without a subtree counts the page.
-    hosts = found.where("subtree is null").select("host", F.col("n").alias("pages"))
-    often = found.where((F.col("n") >= least_pages) & F.col("subtree").isNotNull()).join(hosts, "host").where(F.col("n") >= least_share * F.col("pages"))
-    return often.groupBy("host").agg(F.collect_list("subtree").alias("templates"))
-
-
-def _extract(batches):
+        texts, subtrees = [], []
+        for host, page in _columns(batch, "_host", "html"):
+            text, hashes = scan_page(page or "", want_hashes=True, host=host)
+            subtrees += hashes
+            texts += [_hash(text)] * len(hashes)
+        yield pa.record_batch([pa.array(texts, pa.int64()), pa.array(subtrees, pa.int64())], names=["text", "subtree"])
+
+
+def templates(hosted: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """subtree: the hashes, host included, of those that recur on many of their host's distinct pages; a row for each."""
+    found = hosted.select("_host", "html").mapInArrow(_subtrees, "text long, subtree long")
+    return found.distinct().groupBy("subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages).select("subtree")
+
+
+def _of_pages(batches):
+    """The subtrees of each page, by the page's key."""
     for batch in batches:
-        texts = [scan_page(page or "", frozenset(known or ()))[0] for page, known in zip(batch.column(batch.schema.get_field_index("html")).to_pylist(), batch.column(batch.schema.get_field_index("_templates")).to_pylist())]
-        yield batch.append_column("text", pa.array(texts, pa.string()))
+        keys, subtrees = [], []
+        for key, host, page in _columns(batch, "_page", "_host", "html"):
+            hashes = scan_page(page or "", want_hashes=True, host=host)[1]
+            subtrees += hashes
+            keys += [key] * len(hashes)
+        yield pa.record_batch([pa.array(keys, pa.string()), pa.array(subtrees, pa.int64())], names=["_page", "subtree"])
+
+
+def _with_text(batch, tests):
+    return batch.append_column("text", pa.array([scan_page(page or "", test, host=host)[0] for (host, page), test in zip(_columns(batch, "_host", "html"), tests)], pa.string()))
 
 
-def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def extract(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """pages (url, html and others) with text added."""
     hosted = pages.withColumn("_host", host_path(F.col("url"))[0])
-    known = staged(templates(hosted.select(F.col("_host").alias("host"), "html"), least_pages, least_share), "templates").withColumnsRenamed({"host": "_host", "templates": "_templates"})
-    # Hosts with templates are counted; few are sent to all tasks, so that no page moves.
-    joined = hosted.join(F.broadcast(known) if known.count() <= BROADCAST_HOSTS else known, "_host", "left").select(*pages.columns, "_templates")
-    return joined.mapInArrow(_extract, joined.withColumn("text", F.lit("")).schema).drop("_templates")
+    known = staged(templates(hosted, least_pages), "templates")
+    # Templates are counted; few are sent to all tasks, so that no page moves.
+    if known.count() <= BROADCAST_TEMPLATES:
+        sent = pages.sparkSession.sparkContext.broadcast(np.sort(known.toArrow()["subtree"].to_numpy()))
+
+        def one(batches):
+            # In order, and searched, as a set of so many would take several times the bytes.
+            every = sent.value
+
+            def test(h: int) -> bool:
+                at = every.searchsorted(h)
+                return bool(at < len(every) and every[at] == h)
+
+            for batch in batches:
+                yield _with_text(batch, [test if len(every) else None] * len(batch))
+
+        return hosted.mapInArrow(one, hosted.withColumn("text", F.lit("")).schema).drop("_host")
+
+    keyed = hosted.withColumn("_page", F.sha2(F.concat_ws("\0", "_host", "html"), 256))
+    # Copies have one key and one set of subtrees.
+    of_pages = keyed.select("_page", "_host", "html").mapInArrow(_of_pages, "_page string, subtree long").distinct()
+    by_page = of_pages.join(known, "subtree").groupBy("_page").agg(F.collect_list("subtree").alias("_templates"))
+    joined = keyed.join(by_page, "_page", "left")
+
+    def joint(batches):
+        for batch in batches:
+            yield _with_text(batch, [frozenset(t).__contains__ if t else None for t, in _columns(batch, "_templates")])
+
+    return joined.mapInArrow(joint, joined.withColumn("text", F.lit("")).schema).select(*pages.columns, "text")

@@ -263,6 +263,17 @@ def test_html_templates_inside_articles(spark):
     assert {got[10 + i] for i in range(8)} == {"Title x\nStory x\nAbout the author\nWrites here since long ago"} and got[20].endswith("long ago")
 
 
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_html_templates_of_a_section_of_a_large_host(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(html_extraction, "BROADCAST_TEMPLATES", broadcast)
+    box = "<div><p>About this section</p></div>"
+    rows = [(i, f"http://h.net/{i}", f"<body>{box if i < 10 else ''}<p>Story number {i}</p></body>") for i in range(60)]
+    rows += [(100 + i, f"http://s.net/{i}", f"<body>{box}<p>Story number {i}</p></body>") for i in range(4)] + [(200, None, None)]
+    got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert [got[i] for i in range(60)] == [f"Story number {i}" for i in range(60)] and got[200] == ""
+    assert [got[100 + i] for i in range(4)] == [f"About this section\nStory number {i}" for i in range(4)]
+
+
 def test_pipeline(spark, small):
     import corpus_pipeline
 
