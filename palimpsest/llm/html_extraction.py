@@ -44,12 +44,27 @@ BLOCKS = set("html address article aside blockquote body caption center dd detai
 #: Words of class, id and role that mark what isn't main text.
 MARKS = set("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent disqus footer header menu modal nav navbar navigation newsletter notice notices popup promo related search share sharing sidebar social sponsor sponsored subscribe toolbar".split())
 
+#: Words that say where or what kind of box a mark's is (share-bar, site-header); with any other word a
+#: class tells something about the page or its article (no-sidebar, header-fixed, has-navigation, share-enabled).
+PLACES = set("area bar block bottom box button buttons container content global inner left links list main outer page panel primary right row secondary section site top widget widgets wrap wrapper".split())
+
+#: Elements that are never left out for a mark, and those that an open head can hold.
+UNMARKED = set("html body main article".split())
+IN_HEAD = set("base basefont bgsound link meta noframes noscript script style template title".split())
+
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
-MARKED = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+MARKED = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+
+
+def _marked(attributes: str) -> bool:
+    """Is a whole token of class, id or role a mark: made of words of MARKS, and PLACES at most?"""
+    tokens = [t for m in MARKED.findall(attributes) for t in m.strip("\"'").lower().split()]
+    words = [[w for w in re.split(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])", t) if w] for t in tokens]
+    return any(any(w in MARKS for w in ws) and all(w in MARKS or w in PLACES or w.isdigit() for w in ws) for ws in words)
 
 
 def _left_out(tag: str, attributes: str) -> bool:
-    return tag in LEFT_OUT or bool(attributes) and any(w in MARKS for m in MARKED.findall(attributes) for w in re.split(r"[^a-z0-9]+", m.lower()))
+    return tag in LEFT_OUT or bool(attributes) and tag not in UNMARKED and _marked(attributes)
 
 
 def _hash(text: str, key: bytes = b"") -> int:
@@ -108,11 +123,17 @@ def scan_page(page: str, is_template: Callable[[int], bool] | None = None, want_
             words.append(" ")
         if tag in VOID:
             continue
+        if tag == "body" and any(s[0] == "head" for s in stack):
+            while any(s[0] == "head" for s in stack):
+                close(m.start())
+        elif tag not in IN_HEAD and stack and stack[-1][0] == "head":
+            # A head's end tag is optional.
+            close(m.start())
         if tag == "p" and stack and stack[-1][0] == "p":
             close(m.start())
         main = tag in ("article", "main")
-        if main and out and not own and not _left_out(tag, m[4]):
-            # An article isn't part of a menu or an advert that was left open.
+        if main and out and not own and not _marked(m[4]):
+            # An article isn't part of a menu or an advert that was left open, if it isn't a comment or the like itself.
             while out:
                 close(m.start())
         leaves = out or _left_out(tag, m[4])

@@ -252,6 +252,24 @@ def test_html_extraction(spark):
     assert got[9] == "" and got[10] == "About this site and its owners\nx < y" and got[11] == "About this site and its owners\nown"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<html class="no-ads"><body class="no-sidebar header-fixed"><p>Story</p>',
+        '<body class="menu"><p>Story</p>',
+        '<div id="page" class="has-navigation"><p>Story</p></div>',
+        '<div class="no-sidebar"><p>Story</p></div><div class="sidebar"><p>x</p></div><div class="site-header"><p>y</p></div>',
+        "<html><head><title>T</title><meta charset=x><body><p>Story</p>",
+        "<html><head><title>T</title><p>Story</p>",
+        '<article class="post share-enabled"><p>Story</p></article><p>x</p>',
+        '<main role="main" class="share"><p>Story</p></main>',
+        '<div data-class="menu"><p>Story</p></div><div class="comments"><article class="comment"><p>x</p></article></div>',
+    ],
+)
+def test_html_marks_are_of_whole_tokens(page):
+    assert html_extraction.scan_page(page)[0] == "Story"
+
+
 def test_html_templates_inside_articles(spark):
     box = "<div><h4>About the author</h4><p>Writes here since long ago</p></div>"
     article = "<article><h1>Title {0}</h1><p>Story {0}</p>" + box + "</article>"
