@@ -93,12 +93,12 @@ def _digits(hexes: Column) -> Column:
     return F.concat(*[F.lpad(F.substring(F.conv(F.substring(hexes, 1 + 15 * i, 15), 16, 10), -12, 12), 12, "0") for i in range(3)])
 
 
-def _name(hexes: Column, script: Column, gender: Column | None, n: int) -> Column:
-    """n syllables and, for a first name, the gender's ending."""
+def _name(hexes: Column, script: Column, gender: Column | None, n: Column) -> Column:
+    """n syllables (at most one for each of the 128 digits) and, for a first name, the gender's ending."""
     out = None
     for s, (syllables, female, male) in SYLLABLES.items():
         table = F.array(*map(F.lit, syllables))
-        built = F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.element_at(table, F.conv(F.substring(hexes, i, F.lit(1)), 16, 10).cast("int") + 1)), ""))
+        built = F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), F.least(n, F.lit(128))), lambda i: F.element_at(table, F.conv(F.substring(hexes, i, F.lit(1)), 16, 10).cast("int") + 1)), ""))
         if gender is not None:
             built = F.concat(built, F.when(gender == "f", female).otherwise(male))
         out = F.when(script == s, built) if out is None else out.when(script == s, built)
@@ -113,6 +113,7 @@ def draw(secret: str, type_: Column, norm: Column, attempt: Column) -> Column:
     number = F.substring(_digits(h), 1, 36)
     ip = F.when(attempt < WIDEN, F.concat((F.lit(240) + F.conv(F.substring(h, 1, 1), 16, 10).cast("int") % 15).cast("string"), F.lit("."), octet(1), F.lit("."), octet(2), F.lit("."), octet(3))).otherwise(F.concat(F.lit("fd"), F.substring(h, 1, 2), *[F.concat(F.lit(":"), F.substring(h, 3 + 4 * i, 4)) for i in range(7)]))
     extra = F.floor(attempt / 4).cast("int")  # longer numbers after some rounds
+    more = F.floor(attempt / 2).cast("int")  # and longer names, so that no number of names fills the space
     return (
         F.when(type_ == "email", F.concat(_letters(F.substring(h, 1, 12)), F.lit("@"), _letters(F.substring(_stream(secret, F.lit("domain"), F.substring_index(norm, "@", -1)), 1, 8)), F.lit(".example")))
         .when(type_ == "ip", ip)
@@ -122,8 +123,8 @@ def draw(secret: str, type_: Column, norm: Column, attempt: Column) -> Column:
         .when(type_ == "iban", F.concat(F.substring(norm, 1, 2), F.substr(number, F.lit(1), size - 2 + extra)))
         .when(type_ == "key", F.concat(F.regexp_extract(norm, "^(akia|gh._|sk-)", 1), F.substr(F.concat(h, h), F.lit(1), size - F.length(F.regexp_extract(norm, "^(akia|gh._|sk-)", 1)))))
         .when(type_ == "hex", F.substr(h, F.lit(1), size))
-        .when(type_.startswith("first:"), _name(h, F.element_at(F.split(type_, ":"), 3), F.element_at(F.split(type_, ":"), 2), 3))
-        .otherwise(_name(h, F.element_at(F.split(type_, ":"), 2), None, 5))
+        .when(type_.startswith("first:"), _name(h, F.element_at(F.split(type_, ":"), 3), F.element_at(F.split(type_, ":"), 2), more + 3))
+        .otherwise(_name(h, F.element_at(F.split(type_, ":"), 2), None, more + 5))
     )
 
 
@@ -146,7 +147,8 @@ def surrogates(entities: DataFrame, secret: str) -> DataFrame:
     waiting, done, attempt = entities.select("type", "norm"), None, 0
     while attempt == 0 or not waiting.isEmpty():
         drawn = waiting.withColumn("value", draw(secret, F.col("type"), F.col("norm"), F.lit(attempt)))
-        taken = entities.select("type", F.col("norm").alias("value"))
+        # Names are drawn with a capital.
+        taken = entities.select("type", F.when(F.col("type").rlike("^(first|surname):"), F.initcap("norm")).otherwise(F.col("norm")).alias("value"))
         taken = taken if done is None else taken.unionByName(done.select("type", "value"))
         first = drawn.groupBy("type", "value").agg(F.min("norm").alias("norm")).join(taken, ["type", "value"], "left_anti")
         first = staged(first.select("type", "norm", "value"), "pii-surrogates")

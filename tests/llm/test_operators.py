@@ -120,6 +120,25 @@ def test_surrogates_are_distinct_under_collisions(spark, monkeypatch):
     assert pii.surrogates(entities, "k").select("value").distinct().count() == 60
 
 
+def test_names_beyond_the_first_space(spark, monkeypatch):
+    rounds = []
+
+    def counted(df, name, staged=pii.staged):
+        rounds.append(name)
+        assert len(rounds) < 40
+        return staged(df, name)
+
+    monkeypatch.setattr(pii, "staged", counted)
+    type_ = F.lit("first:f:latin")
+    named = spark.range(5000).select(type_.alias("type"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("norm"))
+    # Names that are themselves the first draw of others.
+    entities = named.unionByName(named.limit(20).select("type", F.lower(pii.draw("k", F.col("type"), F.col("norm"), F.lit(0))).alias("norm"))).distinct()
+    got = pii.surrogates(entities, "k").collect()
+    values, norms = [r.value for r in got], {r.norm for r in got}
+    assert len(got) == len(norms) == len(set(values)) > 5000 and all(v.endswith("lina") for v in values)
+    assert not norms & {v.lower() for v in values}
+
+
 def test_quality_rules(docs):
     def base(text):
         w = WORD.findall(text)
