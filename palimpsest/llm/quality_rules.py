@@ -72,9 +72,10 @@ class Lines:
         self.first, self.last = first, np.append(first[1:], n_words)
         self.row = words.doc[first]
         # Whole lines, white space included, by hash: equal to an earlier one of the row?
-        ends = np.unique(np.concatenate([np.flatnonzero(data == 10), offsets[1:]]))
-        starts = np.maximum(offsets[self.row], np.append(-1, ends)[np.searchsorted(ends, words.start[first], side="right")] + 1) if n_words else first
-        starts = np.where(starts > (words.start[first] if n_words else 0), offsets[self.row], starts)
+        feeds = np.flatnonzero(data == 10)
+        ends = np.unique(np.concatenate([feeds, offsets[1:]]))
+        # A line starts after the line feed before it, or where its row does.
+        starts = np.maximum(offsets[self.row], np.append(-1, feeds)[np.searchsorted(feeds, words.start[first])] + 1) if n_words else first
         stops = ends[np.searchsorted(ends, words.end[self.last - 1])] if n_words else first
         raw, seen, self.duplicate = data.tobytes(), set(), np.zeros(len(first), bool)
         row = -1

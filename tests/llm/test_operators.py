@@ -160,6 +160,16 @@ def test_quality_rules(docs):
         assert r.base_failed == (b[0] < 50 or 100 * b[4] > 50 * b[0]) and not (r.base_failed and r.kept)
 
 
+def test_lines_that_begin_with_white_space():
+    import pyarrow as pa
+
+    texts = ["x", " foo\n foo", "", " foo\nfoo", None, "\tfoo\n\tfoo\nfoo", "\n\n foo\n\n foo", "foo\n foo\n foo ", " foo"]
+    expected = [0, 1, 0, 0, 0, 1, 1, 0, 0]
+    for shift in range(len(texts)):
+        got = quality_rules.Lines(pa.array(texts[shift:] + texts[:shift], pa.string())).n_dup_lines.tolist()
+        assert got == expected[shift:] + expected[:shift]
+
+
 def test_viterbi_is_the_best_sequence():
     import itertools
 
