@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from functools import cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +17,11 @@ from pyspark.sql import types as T
 PUNCTUATION = "!\"#$%&'()*+-./:;<=>?@[\\]^_`{|}~"
 
 
+#: Words of an item's anchor at most (characters, where it has no inner word), and anchors sent to all tasks at once;
+#: more are taken in blocks, a scan each.
+ANCHOR, ANCHOR_BLOCK = 8, 1 << 20
+
+
 def recall_at(ranked: Column, gold: Column, k: int) -> Column:
     """Share of gold ids among the first k; null without gold."""
     return F.when(F.size(gold) > 0, F.size(F.array_intersect(F.slice(ranked, 1, k), gold)) / F.size(F.array_distinct(gold)))
@@ -33,6 +42,67 @@ def retrieval_metrics(results: DataFrame, ks: tuple[int, ...] = (1, 5, 10, 20))
     return results.rollup("category").agg(*scores, F.round(F.avg(reciprocal_rank(F.col("ranked"), F.col("gold"))), 6).alias("mrr_10"), F.count("*").alias("n"))
 
 
+def metrics_of_rows(ranked: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 5, 10, 20), cutoff: int = 10) -> DataFrame:
+    """As retrieval_metrics, from rows: ranked (query_id, doc_id, rank) and gold (query_id, category, doc_id), both
+    without repeated rows. No query's ids are collected."""
+    found = gold.join(ranked, ["query_id", "doc_id"], "left").groupBy("query_id", "category")
+    scores = found.agg(*[(F.count_if(F.col("rank") <= k) / F.count("*")).alias(f"recall_{k}") for k in ks], F.min("rank").alias("first"))
+    first = F.coalesce(F.when(F.col("first") <= cutoff, 1 / F.col("first")), F.lit(0.0))
+    return scores.rollup("category").agg(*[F.round(F.avg(f"recall_{k}"), 6).alias(f"recall_{k}") for k in ks], F.round(F.avg(first), 6).alias(f"mrr_{cutoff}"), F.count("*").alias("n"))
+
+
+def _gram(kind: str, n: int, text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{kind}{n}:{text}".encode(errors="surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def _anchor(text: str) -> tuple[str, int, str]:
+    """A window that any text that contains this one has too: a substring can cut the first and the last word only."""
+    words = text.split()[1:-1][:ANCHOR]
+    return ("w", len(words), " ".join(words)) if words else ("c", min(ANCHOR, len(text)), text[:ANCHOR])
+
+
+def holding(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """items (with a text t) by the docs (doc_id, body) whose body contains t: the columns of items but t, and doc_id.
+
+    Bodies are searched for the hash of a window of each item, in Python workers; what is found is compared exactly."""
+    spark = docs.sparkSession
+
+    def anchors(batches):
+        for batch in batches:
+            made = [_anchor(t) for t in batch.column(batch.schema.get_field_index("t")).to_pylist()]
+            yield batch.append_column("kind", pa.array([m[0] for m in made], pa.string())).append_column("size", pa.array([m[1] for m in made], pa.int32())).append_column("anchor", pa.array([_gram(*m) for m in made], pa.int64()))
+
+    rows = items.where("t is not null")
+    keyed = rows.mapInArrow(anchors, rows.withColumns({"kind": F.lit(""), "size": F.lit(0), "anchor": F.lit(0).cast("long")}).schema)
+    # At most 2 * ANCHOR kinds of windows.
+    kinds = [(r["kind"], r["size"]) for r in keyed.select("kind", "size").distinct().collect()]
+    wanted = keyed.select("anchor").distinct()
+    blocks, found = max(1, math.ceil(wanted.count() / ANCHOR_BLOCK)), None
+    texts = docs.where("body is not null")
+    for block in range(blocks):
+        sent = spark.sparkContext.broadcast(np.sort(wanted.where(F.pmod(F.xxhash64("anchor"), F.lit(blocks)) == block).toArrow()["anchor"].to_numpy()))
+
+        def search(batches, sent=sent):
+            every = sent.value
+            for batch in batches:
+                at = batch.schema.get_field_index("doc_id")
+                rows, hits = [], []
+                for i, body in enumerate(batch.column(batch.schema.get_field_index("body")).to_pylist()):
+                    words = body.split()
+                    grams = {_gram(k, n, " ".join(words[j : j + n]) if k == "w" else body[j : j + n]) for k, n in kinds for j in range(len(words if k == "w" else body) - n + 1)}
+                    own = np.fromiter(grams, np.int64, len(grams))
+                    own = own[np.isin(own, every)]
+                    rows += [i] * len(own)
+                    hits += own.tolist()
+                yield pa.record_batch([batch.column(at).take(pa.array(rows, pa.int64())), pa.array(hits, pa.int64())], names=["doc_id", "anchor"])
+
+        part = texts.select("doc_id", "body").mapInArrow(search, texts.select("doc_id", F.lit(0).cast("long").alias("anchor")).schema)
+        found = part if found is None else found.unionAll(part)
+    pairs = found.distinct().join(keyed, "anchor").drop("anchor", "kind", "size").withColumnRenamed("doc_id", "_doc_id")
+    held = texts.join(pairs, F.col("_doc_id").eqNullSafe(F.col("doc_id"))).where(F.col("body").contains(F.col("t")))
+    return held.select(*[c for c in items.columns if c != "t"], "doc_id")
+
+
 def hit_flags(hits: DataFrame, gold: DataFrame, k: int = 5) -> DataFrame:
     """For each policy and query: right at rank 1, found in k, stale in k, and words of context.
     hits: policy, query_id, rank, value, words; gold: query_id, category, gold_value, prior_values."""

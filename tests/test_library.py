@@ -153,3 +153,43 @@ def test_expiry_is_strict_and_ttl_comes_first(spark):
 
 def test_policy_labels():
     assert items.Policy(False, True, False).label == "flat-vector" and items.Policy().label == "recency+consolidation+supersession"
+
+
+def test_gold_pairs_are_all_found_without_a_nested_loop(spark, small):
+    bodies = ["the red fox ran far away", "x the red fox ran", "thered fox", None, "", "fox", "a b c d e f g h i j k l", "zz a b  c"]
+    texts = ["he red fox ra", "red fox", "ox", "", None, "b c d e f g h i j", " fox ", "b c d e f g h i z", "  c", "e red fox r"]
+    docs = spark.createDataFrame([(i, b) for i, b in enumerate([*bodies, bodies[0]])] + [(None, "ox red fox")], "doc_id long, body string")
+    asked = spark.createDataFrame(list(enumerate(texts)), "item_id long, t string")
+    got = sorted((r.item_id, -1 if r.doc_id is None else r.doc_id) for r in evaluate.holding(docs, asked).collect())
+    assert got == sorted((i, -1 if r.doc_id is None else r.doc_id) for i, t in enumerate(texts) for r in docs.collect() if t is not None and r.body is not None and t in r.body)
+    plan = registry._gold(spark, small)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_evaluation_by_search_equals_brute_force(spark, small):
+    import pandas as pd
+
+    items_, docs = (spark.read.parquet(f"{small}/{t}.parquet").toPandas() for t in ("benchmark", "documents"))
+    sim = np.round(search.hash_embed(items_.text, 384).astype(float) @ search.hash_embed(docs.text, 384).astype(float).T, 6)
+    recalls, ranks = [], []
+    for item, text, row in zip(items_.item_id, items_.text, sim):
+        gold = {i for i, body in zip(docs.doc_id, docs.text) if text.lower() in body.lower()}
+        order = docs.doc_id.to_numpy()[np.lexsort((docs.doc_id, -row))]
+        if gold:
+            recalls.append(len(gold & set(order[:5])) / len(gold))
+            ranks.append(max([1 / (k + 1) for k, i in enumerate(order[:10]) if i in gold], default=0.0))
+    got = registry.QUERIES["a6_searched_metrics"](spark, small).where("category is null").first()
+    assert got.n == len(ranks) and abs(got.recall_5 - np.mean(recalls)) < 1e-5 and abs(got.mrr_10 - np.mean(ranks)) < 1e-5
+
+    stated = registry._memories(spark, small).toPandas()
+    facts = stated[stated.attribute.notna()]
+    made = search.hash_embed(stated.subject + " " + stated.content, 384).astype(float)
+    hits = registry._searched(spark, small)[0].where("policy = 'flat-vector'").toPandas().sort_values("rank").groupby("query_id").value.apply(list)
+    keys = facts[["agent_id", "subject", "attribute"]].drop_duplicates()
+    assert len(keys) == len(hits)
+    value = stated.agent_id.astype(str) + "|" + stated.subject + "|" + stated.attribute + "=" + stated.value
+    for agent, subject, attribute in keys.itertuples(index=False):
+        asked = search.hash_embed(pd.Series([subject + " " + attribute.replace("_", " ")]), 384)[0].astype(float)
+        row = np.where(stated.agent_id == agent, np.round(made @ asked, 6), -9)
+        best = np.lexsort((stated.seq, -row))[:5]
+        assert [v if isinstance(v, str) else None for v in hits[f"{agent}|{subject}|{attribute}"]] == [value[i] if isinstance(value[i], str) else None for i in best if row[i] > -9]
