@@ -3,7 +3,8 @@
 Words are lower-cased runs of ASCII letters, digits and any non-ASCII character. The windows of all benchmark items
 (`size` words; an item of fewer words is one window) are hashed and sent to every task as sorted arrays; each
 document's rolling windows are looked up in them, and a hit counts only after its words have been compared with the
-item's. Items beyond BLOCK_BYTES are taken in blocks, one scan of the documents each, so that what is sent is bounded.
+item's. Items beyond BLOCK_BYTES are taken in blocks, one scan of the documents each, so that what is sent is bounded:
+copies of an item are one, and a long item is cut into pieces, in Spark, that have each of its windows once.
 
 Cases: null and empty texts have no words and no hits; items without words find nothing; copies of an item or of a
 document are judged alike; a null item_id is named "null"; empty tables give no hits or no rows; extra columns pass
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .staging import staged
 from .words import LETTERS_DIGITS, LOWER, U64, Words, buffers, scan
 
 #: Bytes of item texts whose windows are sent to the tasks at once; about 4 bytes of windows for each.
@@ -64,10 +66,32 @@ def _find(batch: pa.RecordBatch, windows) -> list[list[dict]]:
     return hits
 
 
+def _pieces(batches, size: int, limit: int):
+    """item, text of at most `limit` bytes or `size` words: a longer text is cut so that each window is in one piece."""
+    for batch in batches:
+        column = batch.column("text")
+        words, (data, offsets) = scan(column, LETTERS_DIGITS, lower=True), buffers(column)
+        names, texts = [], []
+        for row, (item, text) in enumerate(zip(batch.column("item").to_pylist(), column.to_pylist())):
+            at, end = int(words.first[row]), int(words.first[row + 1])
+            if offsets[row + 1] - offsets[row] <= limit or end - at <= size:
+                names.append(item)
+                texts.append(text)
+                continue
+            while end - at >= size:
+                stop = max(at + size, at + int(np.searchsorted(words.end[at:end], words.start[at] + limit, side="right")))
+                names.append(item)
+                texts.append(data[int(words.start[at]) : int(words.end[stop - 1])].tobytes().decode())
+                at = stop - size + 1
+        yield pa.record_batch([pa.array(names, pa.string()), pa.array(texts, pa.string())], names=["item", "text"])
+
+
 def scan_items(docs: DataFrame, items: DataFrame, size: int = 10, text: str = "text") -> DataFrame:
     """docs with _hits added: every occurrence of an item's window, by item, first word and words."""
     spark = docs.sparkSession
     known = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text").where(F.col("text").isNotNull())
+    limit = BLOCK_BYTES // 8
+    known = staged(known.mapInArrow(lambda b: _pieces(b, size, limit), known.schema).distinct(), "benchmark-items")
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / BLOCK_BYTES))
     out = docs.withColumn("_hits", F.array().cast(HITS))

@@ -218,6 +218,19 @@ def test_decontamination(docs, spark):
             assert token.findall(low(g.text or "")) == [x for i, x in enumerate(w) if i not in hit]
 
 
+def test_blocks_of_items_are_bounded(spark, monkeypatch):
+    rng = random.Random(8)
+    long = [f"w{rng.randrange(3000)}" for _ in range(3000)]
+    items = spark.createDataFrame([(1, " ".join(long))] + [(2, " ".join(long[50:90]) + ", copied.")] * 300, "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(["a", *long[k : k + 25], "b"])) for i, k in enumerate(range(0, 2990, 7))], "doc_id long, text string")
+    rows = lambda: sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in decontamination.report(docs, items).collect())
+    expected, sizes, windows = rows(), [], decontamination.item_windows
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(decontamination, "item_windows", lambda part, size: sizes.append(sum(len(t) for _, t in part)) or windows(part, size))
+    assert rows() == expected and sum(r[2] > 0 for r in expected) == len(expected)
+    assert len(sizes) > 1 and max(sizes) <= 8000
+
+
 @pytest.mark.parametrize("region", [2000, 3])
 def test_ngram_jaccard(docs, region, monkeypatch):
     monkeypatch.setattr(ngram_jaccard, "REGION", region)
