@@ -8,7 +8,8 @@ A bucket's positions are a heap, because equal ranks merge from the left; entrie
 are skipped when they come up.
 
 Cases: null and empty texts have no ids; equal rows and copies are encoded alike; the vocabulary has no special
-tokens, so their strings are ordinary text; an empty table gives an empty result; other columns pass through.
+tokens, so their strings are ordinary text; an empty table gives an empty result; other columns pass through, but
+columns that have the names of the new ones (ids, decoded) are replaced. A text is held whole by a task.
 """
 
 from __future__ import annotations
@@ -21,15 +22,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .words import BASE, U64, inverse, mix, powers
+from .batches import replaced, with_columns, without
 
 #: Distinct pre-tokens, of at most LONGEST_KEPT characters, whose ids a task keeps; beyond, it starts anew.
 KEPT, LONGEST_KEPT = 200_000, 64
 
-#: Characters of texts that a task encodes at once, if not one text has more.
-GROUP_CHARS = 1_000_000
+#: Characters of texts that a task splits at once, if not one text has more, and of those whose new pre-tokens are
+#: merged together, so that a step of the queue has many positions.
+GROUP_CHARS, MERGED_CHARS = 1_000_000, 4_000_000
+
+#: Positions of a bucket that are worked off one by one.
+FEW = 60
 
 #: Fixed value: the pattern of pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -83,17 +87,19 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
 
 
 class Pairs:
-    """Ranks of adjacent tokens for whole arrays of them; -1: none."""
+    """Ranks of adjacent tokens for whole arrays of them; -1: none. of_bytes: those of two bytes, by a << 8 | b."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         pairs = pair_ranks(ranks)
         self.keys = np.array(sorted(pairs), np.int64)
         self.values = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+        self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        self.of_bytes = self(np.repeat(self.byte, 256), np.tile(self.byte, 256))
 
-    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    def __call__(self, left: np.ndarray | int, right: np.ndarray | int) -> np.ndarray:
         key = left << 20 | right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.values[at], -1)
+        return np.where(self.keys[at] == key, self.values[at], -1)
 
 
 def changes(values: np.ndarray) -> np.ndarray:
@@ -103,56 +109,91 @@ def changes(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def merge(data: np.ndarray, ends: np.ndarray, ranks: dict[bytes, int], pairs: Pairs) -> tuple[np.ndarray, np.ndarray]:
+def merge(data: np.ndarray, ends: np.ndarray, ranks: dict[bytes, int], pairs: Pairs, pair_dict: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all pre-tokens data[ends[k-1]:ends[k]], one after the other, and where each one's ids end.
 
     All pre-tokens share one linked list and one queue; no pair reaches over a pre-token's end. A step takes the
-    lowest rank of all, and of its bucket the leftmost valid position of each pre-token: within a pre-token that is
-    the order of one merge at a time.
+    lowest rank of all. A bucket of few positions is worked off one by one, from the left; of a larger one the
+    leftmost valid position of each pre-token is taken at once, and the others wait in the bucket. Within a pre-token
+    both are the order of one merge at a time.
     """
-    byte = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+    byte, first_pairs = pairs.byte, pairs.of_bytes
     n = len(data)
     token, piece = byte[data], np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
     after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
     after[ends - 1] = -1
     before[np.concatenate([[0], ends[:-1]])] = -1
-    queue = RankQueue()
+    # The rank of the pair that starts at each position; a bucket's entry is stale if this is another one by now. Pairs
+    # of a position only grow, so it is never filed twice in a bucket.
+    filed = np.full(n, -1, np.int64)
+    filed[:-1] = first_pairs[data[:-1].astype(np.int64) << 8 | data[1:]]
+    filed[ends - 1] = -1
+    # The same memory, for single positions.
+    tokens, afters, befores, ranked = memoryview(token), memoryview(after), memoryview(before), memoryview(filed)
+    queue, get = RankQueue(), pair_dict.get
     buckets = queue.buckets
 
-    def push(rank: np.ndarray, position: np.ndarray) -> None:
-        order = np.argsort(rank, kind="stable")
-        rank, position = rank[order], position[order]
+    def push(position: np.ndarray) -> None:
+        key = np.sort(filed[position] << 32 | position)
+        key = key[np.searchsorted(key, 0) :]
+        rank = key >> 32
         edges = np.flatnonzero(changes(rank))
-        for r, a, b in zip(rank[edges].tolist(), edges.tolist(), [*edges[1:].tolist(), len(rank)]):
-            if r >= 0:
-                bucket = buckets.get(r)
-                (queue.open(r) if bucket is None else bucket).append(position[a:b])
+        position = (key & 0xFFFFFFFF).tolist()
+        for r, a, b in zip(rank[edges].tolist(), edges.tolist(), [*edges[1:].tolist(), len(position)]):
+            bucket = buckets.get(r)
+            (queue.open(r) if bucket is None else bucket).extend(position[a:b])
 
-    start = np.flatnonzero(after >= 0)
-    push(pairs(token[start], token[start + 1]), start)
+    push(np.arange(n))
     while queue.top:
         rank = queue.lowest()
         bucket = buckets[rank]
-        i = bucket[0] if len(bucket) == 1 else np.unique(np.concatenate(bucket))
-        # Stale: the pair that starts here is another one by now, or part i is gone (its token is -1).
-        j = after[i]
-        good = (j >= 0) & (pairs(token[i], token[j]) == rank)
-        i = i[good]
+        if len(bucket) <= FEW:
+            queue.close(rank)
+            bucket.sort()
+            for at, i in enumerate(bucket):
+                if ranked[i] != rank:
+                    continue
+                j = afters[i]
+                k = afters[i] = afters[j]
+                tokens[i], tokens[j], ranked[i], ranked[j] = rank, -1, -1, -1
+                lower = False
+                if k >= 0:
+                    befores[k] = i
+                    if (r := get(rank << 20 | tokens[k])) is not None:
+                        ranked[i] = r
+                        (queue.open(r) if (own := buckets.get(r)) is None else own).append(i)
+                        lower = r < rank
+                if (h := befores[i]) >= 0:
+                    if (r := get(tokens[h] << 20 | rank)) is not None:
+                        ranked[h] = r
+                        (queue.open(r) if (own := buckets.get(r)) is None else own).append(h)
+                        lower |= r < rank
+                    else:
+                        ranked[h] = -1
+                if lower and at + 1 < len(bucket):
+                    # What is left waits for the lower rank.
+                    queue.open(rank).extend(bucket[at + 1 :])
+                    break
+            continue
+        i = np.sort(np.array(bucket))
+        i = i[filed[i] == rank]
         first = changes(piece[i])
         if first.all():
             queue.close(rank)
         else:
-            bucket[:] = [i[~first]]
+            bucket[:] = i[~first].tolist()
             i = i[first]
         if not len(i):
             continue
         j = after[i]
         k = after[i] = after[j]
-        token[i], token[j] = rank, -1
-        right, left = k >= 0, before[i] >= 0
-        before[k[right]] = i[right]
-        h, k, i = before[i[left]], k[right], i[right]
-        push(np.concatenate([pairs(np.full(len(k), rank), token[k]), pairs(token[h], np.full(len(h), rank))]), np.concatenate([i, h]))
+        token[i], token[j], filed[i], filed[j] = rank, -1, -1, -1
+        h = before[i]
+        right, left = k >= 0, h >= 0
+        k, i, h = k[right], i[right], h[left]
+        before[k] = i
+        filed[i], filed[h] = pairs(rank, token[k]), pairs(token[h], rank)
+        push(np.concatenate([i, h]))
     kept = token >= 0
     return token[kept].astype(np.int32), np.cumsum(kept)[ends - 1]
 
@@ -237,102 +278,137 @@ def cuts(chars: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> np.ndarray
     return np.flatnonzero(starts[:n])
 
 
-class Encoder:
-    """Encodes groups of texts; ids of pre-tokens are kept from group to group."""
+class Coder:
+    """Encodes groups of texts; ids of pre-tokens are kept from group to group. And decodes ids."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks, self.pairs, self.pair_dict = ranks, Pairs(ranks), pair_ranks(ranks)
         self.classes, self.kept = char_classes(), {}
+        by_rank = {r: t for t, r in ranks.items()}
+        tokens = [by_rank.get(i, b"") for i in range(max(by_rank) + 1)]
+        self.edges, self.bytes = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]), np.frombuffer(b"".join(tokens), np.uint8)
 
-    def ids_of(self, pieces: list[str]) -> list[bytes]:
-        """int32 ids of distinct pre-tokens."""
-        if len(self.kept) >= KEPT:
-            self.kept.clear()
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Keeps the int32 ids of pre-tokens that aren't kept yet; gives those of long ones back instead."""
         new, long = [], {}
         for p in pieces:
-            if p not in self.kept:
-                b = p.encode()
-                if (whole := self.ranks.get(b)) is not None:
-                    self.kept[p] = np.int32(whole).tobytes()
-                elif len(p) > LONGEST_KEPT:
-                    long[p] = np.array(merge_long(b, self.ranks, self.pair_dict), np.int32).tobytes()
-                else:
-                    new.append((p, b))
+            b = p.encode()
+            if (whole := self.ranks.get(b)) is not None:
+                self.kept[p] = np.int32(whole).tobytes()
+            elif len(p) > LONGEST_KEPT:
+                long[p] = np.array(merge_long(b, self.ranks, self.pair_dict), np.int32).tobytes()
+            else:
+                new.append((p, b))
         if new:
-            ids, ends = merge(np.frombuffer(b"".join(b for _, b in new), np.uint8), np.cumsum([len(b) for _, b in new]), self.ranks, self.pairs)
+            ids, ends = merge(np.frombuffer(b"".join(b for _, b in new), np.uint8), np.cumsum([len(b) for _, b in new]), self.ranks, self.pairs, self.pair_dict)
             raw = ids.tobytes()
             self.kept.update((p, raw[4 * a : 4 * b]) for (p, _), a, b in zip(new, [0, *ends.tolist()], ends.tolist()))
-        return [self.kept[p] if p in self.kept else long[p] for p in pieces]
+        return long
 
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """ids of the texts, one after the other, and where each text's ids end."""
+    def split(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """The texts' pre-tokens, one after the other, and how many there are up to the end of each text."""
         joined = "".join(t or "" for t in texts)
         sizes = np.array([len(t or "") for t in texts])
-        rows = (np.cumsum(sizes) - sizes)[sizes > 0]
         if not joined:
-            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-        chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.int64)
-        at = cuts(chars, rows, self.classes)
-        stop = np.append(at[1:], len(chars))
-        total = np.zeros(len(chars) + 1, U64)
-        np.cumsum((chars.astype(U64) + U64(1)) * powers(BASE, len(chars)), out=total[1:])
-        key = mix((total[stop] - total[at]) * powers(inverse(BASE), len(chars))[at] + (stop - at).astype(U64))
-        _, first, inverse_ = np.unique(key, return_index=True, return_inverse=True)
-        ids = self.ids_of([joined[a:b] for a, b in zip(at[first].tolist(), stop[first].tolist())])
-        size = np.array([len(x) // 4 for x in ids])
-        values = np.frombuffer(b"".join(map(ids.__getitem__, inverse_.tolist())), np.int32)
-        ends = np.concatenate([[0], np.cumsum(size[inverse_])])
-        return values, ends[np.searchsorted(at, np.cumsum(sizes))]
-
-
-_encoders: dict[int, Encoder] = {}
-
-
-def _encode(batches, text: str, sent, name: int):
-    # A worker's later tasks use the encoder, and what it has kept, again.
-    if name not in _encoders:
-        _encoders.clear()
-        _encoders[name] = Encoder(sent.value)
-    encoder = _encoders[name]
+            return [], np.zeros(len(texts), np.int64)
+        at = cuts(np.frombuffer(joined.encode("utf-32-le"), np.uint32), (np.cumsum(sizes) - sizes)[sizes > 0], self.classes)
+        edges = at.tolist()
+        return [joined[a:b] for a, b in zip(edges, [*edges[1:], len(joined)])], np.searchsorted(at, np.cumsum(sizes))
+
+    def encode(self, groups: list[list[str | None]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each group of texts, their ids, one after the other, and where each text's ids end. Pre-tokens are told
+        apart by their characters, and those of all groups that are new are merged together."""
+        split = [self.split(g) for g in groups]
+        if len(self.kept) >= KEPT:
+            # Those of the groups at hand stay.
+            self.kept = {p: ids for pieces, _ in split for p in set(pieces) if (ids := self.kept.get(p)) is not None}
+        kept = self.kept
+        long = self.learn({p for pieces, _ in split for p in pieces if p not in kept})
+        out = []
+        for pieces, rows in split:
+            ids = [kept[p] if p in kept else long[p] for p in pieces] if long else list(map(kept.__getitem__, pieces))
+            ends = np.zeros(len(ids) + 1, np.int64)
+            np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) >> 2, out=ends[1:])
+            out.append((np.frombuffer(b"".join(ids), np.int32), ends[rows]))
+        return out
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The bytes of each text's ids."""
+        size = self.edges[ids + 1] - self.edges[ids]
+        stop = np.concatenate([[0], np.cumsum(size)])
+        data = self.bytes[np.repeat(self.edges[ids] - stop[:-1], size) + np.arange(stop[-1])]
+        return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(stop[np.append(0, ends)]), pa.py_buffer(data)]).cast(pa.binary())
+
+
+_coders: dict[int, Coder] = {}
+
+
+def _coder(sent, name: int) -> Coder:
+    # A worker's later tasks use the coder, and what it has kept, again.
+    if name not in _coders:
+        _coders.clear()
+        _coders[name] = Coder(sent.value)
+    return _coders[name]
+
+
+def _groups(batches, text: str):
+    """Pieces of batches whose texts have GROUP_CHARS characters together, or one text."""
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index(text))
-        sizes = np.cumsum(pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False))
+        sizes = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
         at = 0
-        while at < len(column):
+        while at < len(batch):
             stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + GROUP_CHARS, side="right")))
-            ids, ends = encoder(column[at:stop].to_pylist())
-            yield batch.slice(at, stop - at).append_column("ids", pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids)))
+            yield batch.slice(at, stop - at), int(sizes[stop - 1] - (sizes[at - 1] if at else 0))
             at = stop
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """docs with ids array<int> added. pattern: only PATTERN is known."""
+def _encode(batches, text: str, sent, name: int, new: tuple[str, ...]):
+    coder, held, chars = _coder(sent, name), [], 0
+
+    def done():
+        for group, (ids, ends) in zip(held, coder.encode([g.column(text).to_pylist() for g in held])):
+            columns = {"ids": pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids))}
+            if "decoded" in new:
+                columns["decoded"] = coder.decode(ids, ends)
+            yield replaced(group, columns)
+        held.clear()
+
+    for group, size in _groups(batches, text):
+        held.append(group)
+        chars += size
+        if chars >= MERGED_CHARS:
+            yield from done()
+            chars = 0
+    if held:
+        yield from done()
+
+
+def _sent(spark: SparkSession, path: str):
+    ranks = load_ranks(spark, path)
+    return spark.sparkContext.broadcast(ranks), zlib.crc32(b"".join(b"%d %b" % (r, t) for t, r in ranks.items()))
+
+
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", and_decode: bool = False) -> DataFrame:
+    """docs with ids array<int>; and_decode: also decoded binary, what the ids decode to, in the same pass. Columns of
+    these names are replaced. pattern: only PATTERN is known."""
     if pattern != PATTERN:
         raise ValueError(f"pre-tokens of another pattern than {PATTERN}")
-    ranks = load_ranks(docs.sparkSession, path)
-    sent, name = docs.sparkSession.sparkContext.broadcast(ranks), zlib.crc32(b"".join(b"%d %b" % (r, t) for t, r in ranks.items()))
-    return docs.mapInArrow(lambda b: _encode(b, text, sent, name), docs.withColumn("ids", F.array().cast("array<int>")).schema)
+    sent, name = _sent(docs.sparkSession, path)
+    new = {"ids": "array<int>", "decoded": "binary"} if and_decode else {"ids": "array<int>"}
+    docs = without(docs, new, text)
+    return docs.mapInArrow(lambda b: _encode(b, text, sent, name, tuple(new)), with_columns(docs, new))
 
 
-def _decode(batches, sent):
-    tokens, edges = sent.value
+def _decode(batches, sent, name: int):
+    coder = _coder(sent, name)
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index("ids"))
-        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-        ids = column.values.to_numpy(zero_copy_only=False)
-        out = []
-        for a, b in zip(ends.tolist(), ends[1:].tolist()):
-            own = ids[a:b]
-            size = edges[own + 1] - edges[own]
-            stop = np.cumsum(size)
-            out.append(tokens[np.repeat(edges[own] - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)].tobytes())
-        yield batch.append_column("decoded", pa.array(out, pa.binary()))
+        column = pc.fill_null(batch.column("ids"), [])
+        ends = np.asarray(column.offsets).astype(np.int64)
+        yield replaced(batch, {"decoded": coder.decode(column.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]], ends[1:] - ends[0])})
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """encoded, with a column ids, with decoded binary added: the ids' bytes."""
-    by_rank = {r: t for t, r in load_ranks(encoded.sparkSession, path).items()}
-    tokens = [by_rank.get(i, b"") for i in range(max(by_rank) + 1)]
-    edges = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
-    sent = encoded.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(tokens), np.uint8), edges))
-    return encoded.mapInArrow(lambda b: _decode(b, sent), encoded.withColumn("decoded", F.lit(b"")).schema)
+    """encoded, with a column ids, with decoded binary, the ids' bytes (null ids: none); a column of this name is replaced."""
+    sent, name = _sent(encoded.sparkSession, path)
+    encoded = without(encoded, {"decoded": "binary"}, "ids")
+    return encoded.mapInArrow(lambda b: _decode(b, sent, name), with_columns(encoded, {"decoded": "binary"}))

@@ -92,6 +92,60 @@ def test_bpe(docs, spark):
     frame = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(1000 + i, t, None) for i, t in enumerate([*odd, "<|endoftext|> it's"])], "doc_id long, text string, lang string"))
     for r in bpe.decode(bpe.encode(frame, path, pattern), path).collect():
         assert r.ids == encoding.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode()
+    # Repeated rows, columns that clash with the new ones, and an empty table.
+    clash = docs.select("doc_id", "text", F.lit("x").alias("IDS"), F.lit(1).alias("decoded")).where("doc_id < 12")
+    got = bpe.encode(clash.unionAll(clash), path, pattern, and_decode=True)
+    assert got.columns == ["doc_id", "text", "ids", "decoded"] and got.count() == 24
+    assert all(r.ids == encoding.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode() for r in got.collect())
+    assert bpe.encode(clash.where("false"), path, pattern).count() == 0
+
+
+def thue_morse(a="a", b="b", n=2048):
+    """Two words whose polynomial hashes modulo 2 ** 64 are equal for every base."""
+    word = "".join(b if i.bit_count() % 2 else a for i in range(n))
+    return word, word.translate({ord(a): b, ord(b): a})
+
+
+def test_bpe_tells_pre_tokens_apart(spark):
+    tiktoken = pytest.importorskip("tiktoken")
+    path, pattern = vocabulary()
+    ranks = bpe.load_ranks(spark, path)
+    encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    texts = [[" ".join(thue_morse()), None, ""], [*thue_morse(n=64), "x y"]]
+    coder = bpe.Coder(ranks)
+    for few in (0, 60, 10**9):
+        bpe.FEW, before = few, bpe.FEW
+        coder.kept.clear()
+        for group, (ids, ends) in zip(texts, coder.encode(texts)):
+            assert [ids[a:b].tolist() for a, b in zip([0, *ends], ends)] == [encoding.encode_ordinary(t or "") for t in group]
+        bpe.FEW = before
+
+
+def test_bpe_of_ranks_out_of_order():
+    """A merge can give a pair of a lower rank: one at a time, as in the definition."""
+    rng = random.Random(4)
+    parts = ["ab", "bc", "abc", "ca", "cab", "aa", "bb", "aab", "abab", "bca", "cc", "acc"]
+    for _ in range(40):
+        rng.shuffle(parts)
+        ranks = {bytes([i]): i for i in range(256)} | {p.encode(): 256 + i for i, p in enumerate(parts)}
+        pieces = ["".join(rng.choice("abc") for _ in range(rng.randint(2, 30))).encode() for _ in range(20)]
+
+        def slow(piece):
+            own = [piece[i : i + 1] for i in range(len(piece))]
+            while found := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(own, own[1:])) if a + b in ranks]:
+                i = min(found)[1]
+                own[i : i + 2] = [own[i] + own[i + 1]]
+            return [ranks[x] for x in own]
+
+        import numpy as np
+
+        pairs, table = bpe.Pairs(ranks), bpe.pair_ranks(ranks)
+        for few in (0, 3, 10**9):
+            bpe.FEW, before = few, bpe.FEW
+            ids, ends = bpe.merge(np.frombuffer(b"".join(pieces), np.uint8), np.cumsum([len(p) for p in pieces]), ranks, pairs, table)
+            bpe.FEW = before
+            assert [ids[a:b].tolist() for a, b in zip([0, *ends], ends)] == [slow(p) for p in pieces]
+        assert [bpe.merge_long(p, ranks, table) for p in pieces] == [slow(p) for p in pieces]
 
 
 def test_pii(spark):
