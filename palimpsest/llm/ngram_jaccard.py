@@ -3,22 +3,28 @@
 Documents are sets of word shingles; 1 - Jaccard is a metric. Two documents link when their similarity reaches the
 threshold (a fraction, compared in whole numbers), and the join gives the classes that links form.
 
-1. Equal sets are one point: the document with the least doc_id stands for them.
+1. Equal sets are one point; rows of one doc_id with different sets are points of their own, joined in the end.
 2. How many points have a shingle is counted over all points (hashes packed by range; see substring_dedup). A point
    fewer of whose shingles than the threshold asks for occur elsewhere is at more than the radius from all others.
-3. Most points are at distance 1 from most others, so pivots are chosen near the points: of the points that share
-   one of their rarest shingles, as many as two linked points must have in common one of, the first by hash is the
-   pivot. Every two linked points so meet in the region of at least one pivot; a point near a boundary is in several.
-   The region that a point shares most of them with comes first; the others only where that left several classes.
-4. Inside a region, distances to its pivots bound those between points (triangle inequality): pairs outside the
-   window, of too different sizes, or joined already are spared, the others are compared exactly. A region beyond
-   REGION points is dealt by hash into blocks that each have the pivot; points not joined to the pivot go on to all
-   of the region's blocks, in blocks themselves, so a task's size is bounded and no link is lost.
-5. Links (a forest for each block) are joined to components.
+3. Most points are at distance 1 from most others, so the first pivots are chosen near the points: of the points that
+   share one of their rarest shingles, as many as two linked points must have in common one of, the first by hash is
+   the pivot. Every two linked points so meet in the region of at least one pivot. The region that a point shares most
+   of them with comes first; the others only where that left several classes.
+4. A region of up to REGION points is compared by one task: distances to its pivots bound those between points
+   (triangle inequality), pairs outside the window, of too different sizes, or joined already are spared, the others
+   are compared exactly.
+5. A larger region becomes Voronoi cells of new pivots, drawn from its points that no earlier pivot has within the
+   radius: a point goes to its nearest pivot, and near a boundary to all pivots that aren't farther by more than twice
+   the radius, so that every linked pair meets in the cell of one of them. A cell all of whose points are within the
+   radius of its pivot is joined already; the others are regions again, recursively. Where cells don't get smaller
+   (points all equally far from each other), the region is dealt by hash into blocks, and points not joined to its
+   pivot go to all of them; so a task's size is bounded at any rate and no link is lost.
+6. Links (a forest for each region) are joined to components.
 
 Cases: null and empty texts, and those without words, have no shingles and link with nothing; fewer words than a
 shingle are one shingle of the whole sequence; copies link; rows that share a doc_id are one vertex; a null doc_id
-has a null component and links with nothing; an empty table gives an empty result; other columns aren't carried.
+has a null component and links with nothing; an empty table gives an empty result; other columns aren't carried. A
+task holds a chunk whole, and a single text; rows equal in both doc_id and text are of one chunk.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .staging import grain, staged, text_bytes
+from .staging import grain, join_hot, staged, text_bytes
 from .substring_dedup import _edges, _ranged, _table
 from .words import U64, buffers, mix, scan
 
@@ -40,14 +46,18 @@ REGION = 2000
 #: Pivots of a region whose distances to all its points are kept as bounds.
 BOUNDS = 4
 
+#: New pivots of a larger region, times that it is cut into cells, and how much its cells may hold together, copies
+#: at the boundaries included, for that to be worth while.
+SEEDS, DEPTH, SPREAD = 16, 4, 4
+
 SIGNATURE = "doc_id long, chunk long, n long, s1 long, s2 long"
 SENT = "part int, chunk long, n int, hashes binary, counts binary"
 LEVELS = "chunk long, part int, levels binary"
-POINTS = "doc_id long, n long, prefix array<long>, shingles array<long>"
+POINTS = "id long, n long, prefix array<long>, shingles array<long>"
 
 _sent = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
 _levels = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("levels", pa.binary())])
-_points = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))])
+_points = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))])
 
 
 def shingles(column, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,19 +106,19 @@ def _sign(batches, size: int):
 
 
 def _chosen(docs: pa.Table, keys: pa.Table, size: int):
-    """The chunk's points: which rows stand for a set, and their shingles laid end to end."""
+    """The chunk's points: their ids, and their shingles laid end to end."""
     h, first = shingles(docs["text"], size)
     s1, s2 = set_hashes(h, first)
-    wanted = set(zip(*(keys[c].to_pylist() for c in ("doc_id", "s1", "s2"))))
-    take = []
+    wanted = dict(zip(zip(*(keys[c].to_pylist() for c in ("doc_id", "s1", "s2"))), keys["id"].to_pylist()))
+    take, ids = [], []
     for i, key in enumerate(zip(docs["doc_id"].to_pylist(), s1.tolist(), s2.tolist())):
         if key in wanted:
-            wanted.discard(key)
+            ids.append(wanted.pop(key))
             take.append(i)
     take = np.array(take, np.int64)
     sizes = (first[1:] - first[:-1])[take]
     stop = np.cumsum(sizes)
-    return take, h[np.repeat(first[:-1][take] - (stop - sizes), sizes) + np.arange(stop[-1] if len(stop) else 0)], np.append(0, stop)
+    return ids, h[np.repeat(first[:-1][take] - (stop - sizes), sizes) + np.arange(stop[-1] if len(stop) else 0)], np.append(0, stop)
 
 
 def _send(docs: pa.Table, keys: pa.Table, size: int, parts: int) -> pa.Table:
@@ -138,17 +148,16 @@ def _place(docs: pa.Table, keys: pa.Table, size: int, parts: int, least: tuple[i
     chosen, levels = keys.filter(pa.compute.is_null(keys["part"])), keys.filter(pa.compute.is_valid(keys["part"]))
     if not docs.num_rows or not chosen.num_rows:
         return _points.empty_table()
-    take, h, first = _chosen(docs, chosen, size)
+    ids, h, first = _chosen(docs, chosen, size)
     level = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x, np.uint8) for _, x in sorted(zip(levels["part"].to_pylist(), levels["levels"].to_pylist())))])
     level = level[np.unique(_ranged(h, parts), return_inverse=True)[1]] if len(h) else level
-    ids, rows = docs["doc_id"].to_pylist(), []
-    signed = h.view(np.int64)
-    for i, a, b in zip(take.tolist(), first[:-1].tolist(), first[1:].tolist()):
+    rows, signed = [], h.view(np.int64)
+    for i, a, b in zip(ids, first[:-1].tolist(), first[1:].tolist()):
         n, shared = b - a, level[a:b] > 0
         needed = -(-least[0] * n // least[1])
         if shared.sum() >= needed:
             order = np.lexsort((h[a:b], level[a:b]))[: n - needed + 1]
-            rows.append((ids[i], n, signed[a:b][order[shared[order]]], signed[a:b][shared]))
+            rows.append((i, n, signed[a:b][order[shared[order]]], signed[a:b][shared]))
     return _table(rows, _points)
 
 
@@ -196,72 +205,145 @@ class Region:
         return out, component
 
 
-EDGES = "a long, b long, pivot long"
-_edges_schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("pivot", pa.int64())])
+EDGES = "a long, b long, region long"
+_edges_schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("region", pa.int64())])
 
+CELLS = "region long, id long, seed long, far boolean"
+_cells_schema = pa.schema([("region", pa.int64()), ("id", pa.int64()), ("seed", pa.int64()), ("far", pa.bool_())])
 
-def _link(table: pa.Table, least: tuple[int, int]) -> pa.Table:
-    """Links of a region or block; for a block of several, also (doc_id, null, pivot) of points not joined to the pivot."""
-    table = table.combine_chunks()
-    ids, pivot = table["doc_id"].to_numpy(), table["pivot"][0].as_py()
-    # The pivot first; a point that came twice counts once.
-    order = np.lexsort((ids, ids != pivot))
+
+def _ordered(table: pa.Table, ahead: np.ndarray) -> Region:
+    """The table's points, those ahead first; a point that came twice counts once."""
+    ids = table["id"].to_numpy()
+    order = np.lexsort((~ahead, ids))
     order = order[np.append(True, ids[order][1:] != ids[order][:-1])]
+    order = order[np.argsort(~ahead[order], kind="stable")]
     table = table.take(pa.array(order))
     column = table["shingles"].combine_chunks()
     column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
     first = np.asarray(column.offsets).astype(np.int64)
-    region = Region(ids[order], table["n"].to_numpy(), np.asarray(column.values)[: first[-1]], first)
+    return Region(ids[order], table["n"].to_numpy(), np.asarray(column.values)[first[0] : first[-1]], first - first[0])
+
+
+def _link(table: pa.Table, least: tuple[int, int]) -> pa.Table:
+    """Links of a region or block; for a block of several, also (id, null, region) of points not joined to the pivot."""
+    table = table.combine_chunks()
+    region = _ordered(table, table["id"].to_numpy() == table["head"].to_numpy())
     links, component = region.link(least)
     rows = [(int(region.ids[p]), int(region.ids[q]), None) for p, q in links]
     if table["blocks"][0].as_py() > 1:
-        rows += [(int(i), None, pivot) for i in region.ids[component != component[0]].tolist()]
+        name = table["region"][0].as_py()
+        rows += [(int(i), None, name) for i in region.ids[component != component[0]].tolist()]
     return _table(rows, _edges_schema)
 
 
+def _deal(table: pa.Table, least: tuple[int, int]) -> pa.Table:
+    """The cells (region, id, seed, far) that a block's points go to: the nearest pivot's, and those of pivots not farther
+    by more than twice the radius. far: at more than the radius from that pivot; the others are links."""
+    table = table.combine_chunks()
+    ahead = table["is_seed"].to_numpy(zero_copy_only=False)
+    region, n_seeds = _ordered(table, ahead), len(np.unique(table["id"].to_numpy()[ahead]))
+    a, b = least
+    every, far, distance = np.arange(len(region.ids)), [], []
+    for p in range(n_seeds):
+        both = region.common(p, every)
+        union = region.n + region.n[p] - both
+        distance.append(1 - both / union)
+        far.append(b * both < a * union)
+    distance, far = np.stack(distance), np.stack(far)
+    visits = distance <= distance.min(axis=0) + 2 * (1 - a / b) + 1e-9
+    seed, point = np.nonzero(visits)
+    name = np.full(len(seed), table["region"][0].as_py())
+    return pa.table([pa.array(name), pa.array(region.ids[point]), pa.array(region.ids[seed]), pa.array(far[seed, point])], schema=_cells_schema)
+
+
 def links(points: DataFrame, least: tuple[int, int]) -> DataFrame:
     """Links a, b whose components are those of all pairs that reach the threshold. points: POINTS, written.
 
     First every point is compared in the region of the pivot it shares most with. Shingles whose points are of one
     class by then can add no link; the regions of all others are compared with all their points.
     """
-    entries = points.select("doc_id", F.explode("prefix").alias("s"))
-    pivots = entries.groupBy("s").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")).alias("p")).where("c > 1").select("s", F.col("p.doc_id").alias("pivot"))
-    near = staged(entries.join(pivots, "s").select("s", "pivot", "doc_id"), "near")
-    home = near.groupBy("doc_id", "pivot").agg(F.count("*").alias("c")).groupBy("doc_id").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("pivot")).select("pivot", "doc_id")
-    first = staged(regions(points, home.unionAll(home.select("pivot", F.col("pivot").alias("doc_id"))).distinct(), least), "links-home")
-    known = components(first).withColumnRenamed("node", "doc_id")
-    class_ = F.coalesce("component", "doc_id")
-    several = near.join(known, "doc_id", "left").groupBy("s").agg(F.min(class_).alias("a"), F.max(class_).alias("b")).where("a < b").select("s")
-    return first.unionAll(regions(points, near.join(several, "s").select("pivot", "doc_id").distinct(), least))
-
-
-def regions(points: DataFrame, visits: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """Links found in the regions of visits (pivot, doc_id), each with its pivot among its points."""
+    entries = points.select("id", F.explode("prefix").alias("s"))
+    pivots = entries.groupBy("s").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("p")).where("c > 1")
+    pivots = staged(pivots.select("s", "c", F.col("p.id").alias("pivot")), "pivots")
+    near = staged(join_hot(entries, pivots, "s", "c").select("s", "pivot", "id"), "near")
+    visit = lambda df: df.select(F.col("pivot").alias("region"), F.col("pivot").alias("head"), "id").distinct().withColumn("far", F.lit(True))
+    home = near.groupBy("id", "pivot").agg(F.count("*").alias("c")).groupBy("id").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("pivot")).select("pivot", "id")
+    first = staged(regions(points, visit(home.unionAll(home.select("pivot", F.col("pivot").alias("id")))), least), "links-home")
+    known = components(first).withColumnRenamed("node", "id")
+    class_ = F.coalesce("component", "id")
+    several = near.join(known, "id", "left").groupBy("s").agg(F.min(class_).alias("a"), F.max(class_).alias("b"), F.count("*").alias("c")).where("a < b").select("s", "c")
+    return first.unionAll(regions(points, visit(join_hot(near, staged(several, "several"), "s", "c")), least))
+
+
+def regions(points: DataFrame, visits: DataFrame, least: tuple[int, int], depth: int = 0) -> DataFrame:
+    """Links found in the regions of visits (region, head, id, far), each with its head, a pivot, among its points."""
     visits = staged(visits, "visits")
-    sizes = visits.groupBy("pivot").agg(F.ceil(F.count("*") / REGION).cast("int").alias("blocks"))
-    large = sizes.where("blocks > 1")
-    payload = points.select("doc_id", "n", "shingles")
-    compare = lambda t: _link(t, least)
-    block = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
-    small = visits.join(large, "pivot", "left_anti").withColumns({"block": F.lit(0), "blocks": F.lit(1)})
-    found = small.join(payload, "doc_id").groupBy("pivot", "block").applyInArrow(compare, EDGES)
+    payload = points.select("id", "n", "shingles")
+    sizes = visits.groupBy("region").agg(F.count("*").alias("c"))
+    large = staged(sizes.where(F.col("c") > REGION).withColumn("size", F.col("c")), "large")
+    compare = lambda df: df.join(payload, "id").groupBy("region").applyInArrow(lambda t: _link(t, least), EDGES).select("a", "b")
+    one = F.lit(1).alias("blocks")
     if large.isEmpty():
-        return found.select("a", "b")
-    found = staged(found, "links-small")
-    members = visits.join(large, "pivot").withColumn("block", block(F.col("blocks"))).select("pivot", "doc_id", "blocks", "block")
-    heads = large.select("pivot", F.col("pivot").alias("doc_id"), "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    first = staged(members.unionAll(heads).distinct().join(payload, "doc_id").groupBy("pivot", "block").applyInArrow(compare, EDGES), "links-blocks")
-    # Points apart from their pivot meet all blocks of the region, REGION of them at a time.
-    apart = first.where("pivot is not null").select("pivot", F.col("a").alias("doc_id"))
-    groups = apart.groupBy("pivot").agg(F.ceil(F.count("*") / REGION).cast("int").alias("groups"))
+        return compare(visits.select("region", "head", "id", one))
+    # Large regions are few: of more than REGION visits each.
+    found = compare(visits.join(large.select("region"), "region", "left_anti").select("region", "head", "id", one))
+    members = staged(join_hot(visits, large, "region", "c"), "members")
+    out = staged(found, "links-small")
+    whole = members
+    if depth < DEPTH:
+        cells = _cells(members, payload, least, depth)
+        out = out.unionAll(cells.where("not far and id <> seed").select(F.col("id").alias("a"), F.col("seed").alias("b")))
+        # Cells that still have points apart from their pivot, of regions that became smaller by them.
+        apart = cells.groupBy("region", "seed").agg(F.count("*").alias("c"), F.max("far").alias("far")).where("far")
+        total = apart.groupBy("region").agg(F.sum("c").alias("total"), F.max("c").alias("most"))
+        worth = large.join(total, "region", "left").withColumn("worth", F.coalesce((F.col("total") <= SPREAD * F.col("size")) & (10 * F.col("most") <= 9 * F.col("size")), F.isnull("total")))
+        worth = staged(worth.select("region", "worth"), "worth")
+        deeper = staged(apart.join(worth.where("worth"), "region").select("region", "seed", F.xxhash64("region", "seed").alias("cell"), "c"), "cells")
+        if not deeper.isEmpty():
+            inner = cells.withColumn("cell", F.xxhash64("region", "seed"))
+            inner = join_hot(inner, deeper.groupBy("cell").agg(F.sum("c").alias("c")), "cell", "c")
+            out = out.unionAll(regions(points, inner.select(F.col("cell").alias("region"), F.col("seed").alias("head"), "id", "far"), least, depth + 1))
+        rest = worth.where("not worth").join(large, "region")
+        if rest.isEmpty():
+            return out
+        whole = staged(join_hot(visits, rest.select("region", "size", "c"), "region", "c"), "members")
+    return out.unionAll(_blocks(whole, payload, least))
+
+
+def _block(n):
+    return F.pmod(F.xxhash64("id"), n).cast("int")
+
+
+def _cells(members: DataFrame, payload: DataFrame, least: tuple[int, int], depth: int) -> DataFrame:
+    """CELLS of large regions' members, by pivots drawn from those that are far from the region's own."""
+    blocks = F.ceil(F.col("size") / REGION).cast("int")
+    drawn = members.where("far").groupBy("region", F.pmod(F.xxhash64("id", F.lit(depth)), F.lit(SEEDS)).alias("draw"))
+    seeds = staged(drawn.agg(F.min(F.struct(F.xxhash64("id", "region").alias("h"), "id")).alias("p"), F.first("size").alias("size")).select("region", F.col("p.id").alias("id"), "size"), "seeds")
+    heads = seeds.select("region", "id", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(True).alias("is_seed"))
+    dealt = members.select("region", "id", _block(blocks).alias("block"), F.lit(False).alias("is_seed")).unionByName(heads).join(payload, "id")
+    # A pivot is in every block, and goes to its own cells once.
+    return staged(dealt.groupBy("region", "block").applyInArrow(lambda t: _deal(t, least), CELLS).distinct(), "dealt")
+
+
+def _blocks(members: DataFrame, payload: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """Links of regions in blocks by hash: first with the region's head, then points apart from it with all blocks."""
+    compare = lambda df, *by: df.join(payload, "id").groupBy("region", *by).applyInArrow(lambda t: _link(t, least), EDGES)
     grid = lambda df, name, n: df.withColumn(name, F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
-    columns = ["pivot", "doc_id", "block", "grp"]
-    rows = grid(members.join(groups, "pivot"), "grp", "groups").select(columns)
-    outs = grid(apart.join(groups, "pivot").join(large, "pivot").withColumn("grp", block(F.col("groups"))), "block", "blocks").select(columns)
-    tops = grid(grid(groups.join(large, "pivot"), "grp", "groups"), "block", "blocks").withColumn("doc_id", F.col("pivot")).select(columns)
-    second = rows.unionAll(outs).unionAll(tops).distinct().withColumn("blocks", F.lit(1)).join(payload, "doc_id").groupBy("pivot", "block", "grp").applyInArrow(compare, EDGES)
-    return found.select("a", "b").unionAll(first.where("pivot is null").select("a", "b")).unionAll(second.select("a", "b"))
+    members = members.withColumn("blocks", F.ceil(F.col("size") / REGION).cast("int")).withColumn("block", _block(F.col("blocks"))).select("region", "head", "id", "blocks", "block")
+    large = staged(members.select("region", "head", "blocks").distinct(), "heads")
+    heads = grid(large.withColumn("id", F.col("head")), "block", "blocks").select(members.columns)
+    first = staged(compare(members.unionAll(heads).distinct(), "block"), "links-blocks")
+    apart = first.where("region is not null").select("region", F.col("a").alias("id"))
+    groups = staged(apart.groupBy("region").agg(F.ceil(F.count("*") / REGION).cast("int").alias("groups")).join(large, "region"), "groups")
+    columns = ["region", "head", "id", "block", "grp"]
+    few = F.broadcast(groups.select("region", "groups")) if groups.count() <= 1_000_000 else groups.select("region", "groups")
+    rows = grid(members.join(few, "region"), "grp", "groups").select(columns)
+    few = F.broadcast(groups) if groups.count() <= 1_000_000 else groups
+    outs = grid(apart.join(few, "region").withColumn("grp", _block(F.col("groups"))), "block", "blocks").select(columns)
+    tops = grid(grid(groups, "grp", "groups"), "block", "blocks").withColumn("id", F.col("head")).select(columns)
+    second = compare(rows.unionAll(outs).unionAll(tops).distinct().withColumn("blocks", F.lit(1)), "block", "grp")
+    return first.where("region is null").select("a", "b").unionAll(second.select("a", "b"))
 
 
 def classes(docs: DataFrame, size: int = 5, least: tuple[int, int] = (75, 100), text: str = "text") -> DataFrame:
@@ -270,27 +352,38 @@ def classes(docs: DataFrame, size: int = 5, least: tuple[int, int] = (75, 100),
     chunks, parts = grain(spark, text_bytes(docs, text))
     # Copies have ids of their own, so a group of them is dealt over all chunks.
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), F.pmod(F.xxhash64("doc_id", F.crc32(F.col(text).cast("binary"))), F.lit(chunks)).alias("chunk"))
-    signed = staged(dealt.mapInArrow(lambda b: _sign(b, size), SIGNATURE), "signatures")
-    sets = signed.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "chunk")).alias("least"))
-    stands = sets.select("least.chunk", "least.doc_id", "s1", "s2")
+    signed = staged(dealt.mapInArrow(lambda b: _sign(b, size), SIGNATURE), "signatures").withColumn("set", F.struct("s1", "s2", "n"))
+    linked = signed.where("n > 0 and doc_id is not null")
+    sets = linked.groupBy("set").agg(F.min(F.struct("doc_id", "chunk")).alias("least"), F.count("*").alias("copies"))
+    # doc_ids that have several sets; such sets are points with ids by hash.
+    repeated = staged(linked.groupBy("doc_id").agg(F.count("*").alias("c"), F.min("set").alias("a"), F.max("set").alias("b")).where("a <> b").select("doc_id", "c"), "repeated")
+    any_repeated = not repeated.isEmpty()
+    sets = sets.select("set", "least.doc_id", "least.chunk", "copies", F.col("least.doc_id").alias("id"))
+    if any_repeated:
+        several = repeated.select("doc_id", F.lit(True).alias("several"), "c")
+        own = F.when(F.col("several"), F.xxhash64("doc_id", "set")).otherwise(F.col("doc_id"))
+        sets = sets.join(several.drop("c"), "doc_id", "left").withColumn("id", own).drop("several")
+    sets = staged(sets, "sets")
+    stands = sets.select("chunk", "doc_id", "set.s1", "set.s2", "id")
     by_chunk = dealt.groupBy("chunk")
     sent = by_chunk.cogroup(stands.groupBy("chunk")).applyInArrow(lambda d, k: _send(d, k, size, parts), SENT)
     levels = sent.repartitionById(parts, F.col("part")).mapInArrow(_count, LEVELS)
     keys = stands.withColumns({"part": F.lit(None).cast("int"), "levels": F.lit(None).cast("binary")}).unionByName(levels, allowMissingColumns=True)
     points = staged(by_chunk.cogroup(keys.groupBy("chunk")).applyInArrow(lambda d, k: _place(d, k, size, parts, least), POINTS), "points")
-    joined = components(links(points, least)).withColumnRenamed("node", "doc_id")
-    stood = sets.select("s1", "s2", "n", F.col("least.doc_id").alias("doc_id")).join(joined, "doc_id", "left").select("s1", "s2", "n", F.coalesce("component", "doc_id").alias("component"))
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    # Rows of one doc_id with different sets are one vertex.
-    out = signed.join(stood, ["s1", "s2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
-    return _one_vertex(out)
-
-
-def _one_vertex(out: DataFrame) -> DataFrame:
-    """Joins the components of rows that share a doc_id, if there are such."""
-    split = out.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("a"), F.max("component_id").alias("b")).where("a < b")
-    pairs = out.where("component_id is not null").join(split.select("doc_id"), "doc_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    if split.isEmpty():
-        return out
-    wider = components(pairs).withColumnsRenamed({"node": "component_id", "component": "wider"})
-    return out.join(wider, "component_id", "left").select("doc_id", "n_shingles", F.coalesce("wider", "component_id").alias("component_id"))
+    edges = links(points, least)
+    if any_repeated:
+        # Rows of one doc_id with different sets are one vertex.
+        shared = join_hot(linked.select("doc_id", "set"), repeated, "doc_id", "c").distinct().join(sets.select("set", "id"), "set").select("doc_id", "id")
+        shared = staged(shared, "shared")
+        edges = edges.unionAll(join_hot(shared, staged(shared.groupBy("doc_id").agg(F.min("id").alias("b"), F.count("*").alias("c")), "vertices"), "doc_id", "c").select(F.col("id").alias("a"), "b"))
+    joined = components(edges).withColumnRenamed("node", "id")
+    stood = sets.join(joined, "id", "left").select("set", "copies", "doc_id", F.coalesce("component", "id").alias("component"))
+    if any_repeated:
+        # The least doc_id of a class isn't its least id.
+        stood = staged(stood, "stood")
+        lowest = staged(stood.groupBy("component").agg(F.min("doc_id").alias("lowest"), F.count("*").alias("c")), "lowest")
+        stood = join_hot(stood, lowest, "component", "c").withColumn("component", F.col("lowest"))
+    stood = staged(stood.select("set", "component", "copies"), "stood")
+    out = join_hot(linked, stood, "set", "copies").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    rest = signed.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return out.unionAll(rest)

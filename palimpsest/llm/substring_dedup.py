@@ -3,7 +3,8 @@
 Every document is cut into non-overlapping reference blocks of (window + 1) // 2 words; any window of `window`
 words holds one whole block of its own document. The blocks' hashes are the index, and every rolling window of
 a block's length is a probe. A probe that meets a block found at another place is an anchor; a window around
-an anchored block is extended to its full length, and its 96-bit hash is counted over the corpus. Windows that
+an anchored block is extended to its full length, and its two hashes, of two independent keys for each word and 96 bits
+together, are counted over the corpus. Windows that
 start at two or more places are exact repeats; overlapping ones join into maximal repeats, whose words go.
 
 Only hashes are dealt out: documents are grouped into chunks, a chunk sends each hash range ("part") one row
@@ -12,7 +13,8 @@ documents share is therefore one entry a chunk, never a pair of documents.
 
 Cases: null and empty texts have no words, and keep null hash input ("" as kept text); equal rows and copies are
 places of their own, so all their words from `window` words on go; an empty table gives an empty result; extra
-columns are dropped unless named in `keep`.
+columns are dropped unless named in `keep`; a name in `keep` that a new column has is refused. A task holds a chunk
+whole, and a single text; rows that are equal in text and in all of `keep` are of one chunk.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .staging import grain, text_bytes
-from .words import U64, WORD_BASE_2, Words, buffers, scan
+from .words import U64, Words, buffers, scan
 
 PACKED = "part int, chunk long, n int, probes binary, more binary, blocks binary"
 FLAGS = "chunk long, round int, part int, n int, flags binary"
@@ -101,7 +103,7 @@ def _extend(words: Words, flags: np.ndarray, window: int, parts: int):
     start, h = words.windows(window)
     own = start + (words.first[words.doc[start]] - start) % block
     found = hit[own]
-    start, h, h2 = start[found], h[found], words.windows(window, WORD_BASE_2)[1][found].astype(np.uint32)
+    start, h, h2 = start[found], h[found], words.windows(window, second=True)[1][found].astype(np.uint32)
     part = ((h >> U64(33)) % U64(parts)).astype(np.int64)
     order = np.lexsort((h2, h, part))
     new = np.ones(len(order), bool)
@@ -115,7 +117,7 @@ def _extend(words: Words, flags: np.ndarray, window: int, parts: int):
 def _send_windows(docs: pa.Table, replies: pa.Table, window: int, parts: int) -> pa.Table:
     if not docs.num_rows:
         return _packed.empty_table()
-    _, group, part, h, h2 = _extend(scan(docs["text"]), _unflag(replies, 1), window, parts)
+    _, group, part, h, h2 = _extend(scan(docs["text"], second=True), _unflag(replies, 1), window, parts)
     edges, more = _edges(part, parts, 0), np.bincount(group, minlength=len(h)) > 1
     chunk = docs["chunk"][0].as_py()
     rows = [(p, chunk, edges[p + 1] - edges[p], h[edges[p] : edges[p + 1]].tobytes(), np.packbits(more[edges[p] : edges[p + 1]]).tobytes(), h2[edges[p] : edges[p + 1]].tobytes()) for p in np.flatnonzero(np.diff(edges)).tolist()]
@@ -139,7 +141,7 @@ def _answer_windows(batches):
 def _remove(docs: pa.Table, replies: pa.Table, window: int, parts: int, keep: list[str], schema: pa.Schema) -> pa.Table:
     if not docs.num_rows:
         return schema.empty_table()
-    words = scan(docs["text"])
+    words = scan(docs["text"], second=True)
     start, group, *_ = _extend(words, _unflag(replies, 1), window, parts)
     start = start[_unflag(replies, 2)[group]] if len(group) else start
     n = len(words.key)
@@ -159,11 +161,13 @@ def _remove(docs: pa.Table, replies: pa.Table, window: int, parts: int, keep: li
 def remove_repeats(docs: DataFrame, window: int = 35, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """keep's columns, n_words, n_removed and kept_text (words left, joined by one space), a row for each row of docs."""
     spark = docs.sparkSession
+    if clash := {"n_words", "n_removed", "kept_text"} & {c.lower() for c in keep}:
+        raise ValueError(f"{sorted(clash)} are the result's own columns")
     chunks, parts = grain(spark, text_bytes(docs, text))
     block = (window + 1) // 2
     keep = list(keep)
-    # The row's number spreads copies, equal rows and null ids alike; input splits are fixed, so a rerun task gives it again.
-    dealt = docs.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).alias("chunk"), F.col(text).alias("text"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
+    # What a row holds decides its chunk, so a rerun task deals it alike; copies differ by keep, which has their ids.
+    dealt = docs.select(F.pmod(F.xxhash64(*keep, F.crc32(F.col(text).cast("binary"))), F.lit(chunks)).alias("chunk"), F.col(text).alias("text"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
     names = [f"keep_{i}" for i in range(len(keep))]
     to_part = lambda df: df.repartitionById(parts, F.col("part"))
     probes = dealt.groupBy("chunk").applyInArrow(lambda t: _send_probes(t, block, parts), PACKED)

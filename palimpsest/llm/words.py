@@ -2,10 +2,15 @@
 
 A word is a maximal run of word bytes in the UTF-8 text. Every separator is an ASCII byte, so working on
 bytes gives the same words as working on code points. Null and empty texts have no words.
+
+A word's 64-bit key is made eight bytes at a time, each step multiplying and shifting, so that no pair of words has
+equal keys for a structural reason; a long word's is a BLAKE2b digest. A window's hash is a polynomial in its words'
+keys; the windows used have far fewer words than such a polynomial needs to be zero by structure.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +30,15 @@ LETTERS_DIGITS[0x30:0x3A] = LETTERS_DIGITS[0x41:0x5B] = LETTERS_DIGITS[0x61:0x7B
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-BASE, WORD_BASE, WORD_BASE_2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
+WORD_BASE, WORD_BASE_2 = 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
+
+#: What the keys of a word begin with; the second key is for windows that are told apart by two hashes.
+SEED, SEED_2 = 0x9FB21C651E98DF25, 0x2545F4914F6CDD1D
+
+#: Bytes of words whose keys are digests.
+LONG_WORD = 256
+
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -67,24 +80,42 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def word_keys(data: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """64-bit keys of the words data[start:start+size]; 8 bytes follow the last one in data."""
+    view = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    key = mix(view[start] & _MASKS[np.minimum(size, 8)] ^ mix(size.astype(U64) + U64(seed)))
+    rest, at = np.flatnonzero(size > 8), 8
+    while len(rest) and at < LONG_WORD:
+        key[rest] = mix(key[rest] * U64(WORD_BASE) ^ (view[start[rest] + at] & _MASKS[np.minimum(size[rest] - at, 8)]))
+        at += 8
+        rest = rest[size[rest] > at]
+    for i in rest.tolist():
+        word = data[start[i] : start[i] + size[i]].tobytes()
+        key[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=seed.to_bytes(8, "big")).digest(), "big")
+    return key
+
+
 @dataclass
 class Words:
-    """start, end: byte positions; doc: row number; key: 64-bit hash; first: number of each row's first word (n+1)."""
+    """start, end: byte positions; doc: row number; key: 64-bit hash; first: number of each row's first word (n+1);
+    key_2: another hash, if it was asked for."""
 
     start: np.ndarray
     end: np.ndarray
     doc: np.ndarray
     key: np.ndarray
     first: np.ndarray
+    key_2: np.ndarray
 
-    def windows(self, length: int, base: int = WORD_BASE) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, length: int, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers at which a window of so many words of one row starts, and the windows' hashes."""
-        n = len(self.key)
+        key, base = (self.key_2, WORD_BASE_2) if second else (self.key, WORD_BASE)
+        n = len(key)
         if n < length:
             return np.zeros(0, np.int64), np.zeros(0, U64)
         at = np.flatnonzero(np.arange(n) + length <= self.first[self.doc + 1])
         total = np.zeros(n + 1, U64)
-        np.cumsum(self.key * powers(base, n), out=total[1:])
+        np.cumsum(key * powers(base, n), out=total[1:])
         return at, mix((total[at + length] - total[at]) * powers(inverse(base), n)[at])
 
 
@@ -99,14 +130,16 @@ def _cut(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, stop: int) ->
     return int(row)
 
 
-def scan(column: pa.Array | pa.ChunkedArray, table: np.ndarray = NOT_SPACE, lower: bool = False) -> Words:
+def scan(column: pa.Array | pa.ChunkedArray, table: np.ndarray = NOT_SPACE, lower: bool = False, second: bool = False) -> Words:
     """All words of all rows, in pieces of about PIECE bytes, so that memory doesn't follow a text's length twice over."""
     data, offsets = buffers(column)
-    starts, ends, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, U64)]
+    starts, ends, keys, keys_2 = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, U64)], [np.zeros(0, U64)]
     at, n = 0, len(data)
     while at < n:
         stop = _cut(data, offsets, table, min(n, at + PIECE))
-        piece = data[at:stop]
+        padded = np.zeros(stop - at + 8, np.uint8)
+        piece = padded[: stop - at]
+        piece[:] = data[at:stop]
         inside = table[piece]
         before, after = np.zeros(len(piece), bool), np.zeros(len(piece), bool)
         before[1:], after[:-1] = inside[:-1], inside[1:]
@@ -114,15 +147,14 @@ def scan(column: pa.Array | pa.ChunkedArray, table: np.ndarray = NOT_SPACE, lowe
         before[rows], after[rows - 1] = False, False
         start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
         if lower:
-            piece = LOWER[piece]
-        total = np.zeros(len(piece) + 1, U64)
-        np.cumsum((piece.astype(U64) + U64(1)) * powers(BASE, len(piece)), out=total[1:])
-        key = (total[end] - total[start]) * powers(inverse(BASE), len(piece))[start]
-        keys.append(mix(key + (end - start).astype(U64) * U64(0x9FB21C651E98DF25)))
+            piece[:] = LOWER[piece]
+        keys.append(word_keys(padded, start, end - start))
+        if second:
+            keys_2.append(word_keys(padded, start, end - start, SEED_2))
         starts.append(start + at)
         ends.append(end + at)
         at = stop
     start = np.concatenate(starts)
     doc = np.searchsorted(offsets, start, side="right") - 1
     first = np.searchsorted(doc, np.arange(len(offsets)))
-    return Words(start, np.concatenate(ends), doc, np.concatenate(keys), first)
+    return Words(start, np.concatenate(ends), doc, np.concatenate(keys), first, np.concatenate(keys_2))

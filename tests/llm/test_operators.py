@@ -400,3 +400,62 @@ def test_pipeline(spark, small):
     empty = docs.where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, small).count() == 0
+
+
+def test_words_have_keys_of_their_own(spark):
+    import pyarrow as pa
+
+    from palimpsest.llm.words import scan
+
+    rng = random.Random(6)
+    texts = [t for n in (2, 64, 128, 2048, 4096) for t in thue_morse(n=n)] + ["x" * n for n in range(1, 600)] + ["".join(rng.choice("ab") for _ in range(rng.randint(1, 300))) for _ in range(3000)]
+    texts = list(dict.fromkeys(texts))
+    words = scan(pa.array([None, "", *texts, " ".join(texts), *texts]), second=True)
+    assert len(set(words.key.tolist())) == len(set(words.key_2.tolist())) == len(set(zip(words.key.tolist(), words.key_2.tolist()))) == len(texts)
+    n = len(texts)
+    assert words.key[:n].tolist() == words.key[n : 2 * n].tolist() == words.key[2 * n :].tolist()
+    frame = spark.createDataFrame(list(enumerate(thue_morse())), "doc_id long, text string")
+    assert {r.component_id for r in ngram_jaccard.classes(frame).collect()} == {0, 1}
+
+
+def test_ngram_jaccard_cuts_large_regions_into_cells(spark, monkeypatch):
+    """Clusters of near copies that have their rarest passage in common."""
+    import itertools
+
+    rng = random.Random(9)
+    passages = [[f"p{c}w{i}" for i in range(20)] for c in range(8)]
+    texts = []
+    for c, own in enumerate(list(itertools.combinations(passages, 3))[::2]):
+        for copy in range(3):
+            words = [f"s{i}" for i in range(20)] + sum(own, [])
+            words[rng.randrange(25, len(words))] = f"x{copy}"
+            texts.append(" ".join(words))
+        texts += [" ".join(sum(own, []) + [f"y{c}{k}w{i}" for i in range(40)]) for k in range(3)]
+    rng.shuffle(texts)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    near = [{j for j in range(len(sets)) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])} for i in range(len(sets))]
+
+    def reached(i):
+        seen, todo = {i}, [i]
+        while todo:
+            new = near[todo.pop()] - seen
+            seen |= new
+            todo += new
+        return min(seen)
+
+    depths, original = [], ngram_jaccard.regions
+    monkeypatch.setattr(ngram_jaccard, "REGION", 8)
+    monkeypatch.setattr(ngram_jaccard, "SPREAD", 100)
+    monkeypatch.setattr(ngram_jaccard, "regions", lambda points, visits, least, depth=0: depths.append(depth) or original(points, visits, least, depth))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in ngram_jaccard.classes(frame).collect()}
+    assert got == {i: reached(i) for i in range(len(texts))}
+    assert max(depths) >= 1 and len(set(got.values())) >= 28
+
+
+def test_rows_of_one_id_with_different_texts_lose_no_link(spark):
+    text = lambda c, *changed: " ".join(f"{c}x" if i in changed else f"{c}{i}" for i in range(40))
+    rows = [(7, text("a")), (7, text("b")), (8, text("a", 3)), (2, text("b", 5)), (9, text("b")), (7, text("a")), (1, text("z"))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in ngram_jaccard.classes(frame).collect())
+    assert got == [(1, 1), (2, 2), (7, 2), (7, 2), (7, 2), (8, 2), (9, 2)]
