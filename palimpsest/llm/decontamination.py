@@ -3,12 +3,14 @@
 Words are lower-cased runs of ASCII letters, digits and any non-ASCII character. The windows of all benchmark items
 (`size` words; an item of fewer words is one window) are hashed and sent to every task as sorted arrays; each
 document's rolling windows are looked up in them, and a hit counts only after its words have been compared with the
-item's. Items beyond BLOCK_BYTES are taken in blocks, one scan of the documents each, so that what is sent is bounded:
-copies of an item are one, and a long item is cut into pieces, in Spark, that have each of its windows once.
+item's. Items beyond BLOCK_BYTES are taken in blocks, one scan of the documents each, and a block's result is written
+before the next one is sent, so that what tasks hold is bounded: copies of an item are one, and a long item is cut into
+pieces, in Spark, that have each of its windows once. A document gets the runs of words that are hit and the set of
+items, never a row for each occurrence of each item.
 
 Cases: null and empty texts have no words and no hits; items without words find nothing; copies of an item or of a
 document are judged alike; a null item_id is named "null"; empty tables give no hits or no rows; extra columns pass
-through `scan_items` under any name but "_hits", "text" and "doc_id" staying as they are.
+through, but columns that have the names of the new ones are replaced. A text is held whole by a task.
 """
 
 from __future__ import annotations
@@ -21,13 +23,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import replaced, with_columns, without
 from .staging import staged
 from .words import LETTERS_DIGITS, LOWER, U64, Words, buffers, scan
 
 #: Bytes of item texts whose windows are sent to the tasks at once; about 4 bytes of windows for each.
 BLOCK_BYTES = 8 << 20
 
-HITS = "array<struct<item: string, start: bigint, length: int>>"
+#: What is added: runs of hit words by number, from the first to before the last, and the items found.
+FOUND = {"_runs": "array<struct<start: bigint, stop: bigint>>", "_items": "array<string>"}
+RUNS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+COUNTS = {"n_words": "long", "n_hit": "long"}
+NAMED = {"n_items": "long", "items_sha256": "string"}
 
 
 def _folded(column) -> bytes:
@@ -52,18 +59,39 @@ def item_windows(items: list[tuple[str, str]], size: int) -> dict[int, tuple[np.
     return {n: (np.array(sorted(by), U64), [by[h] for h in sorted(by)]) for n, by in found.items()}
 
 
-def _find(batch: pa.RecordBatch, windows) -> list[list[dict]]:
-    column = batch.column("text")
+def _runs(covered: np.ndarray) -> list[tuple[int, int]]:
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]])))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
+
+
+def _find(column, windows, old: list[tuple[list, list]] | None) -> tuple[list[list[dict]], list[list[str]]]:
+    """Runs of hit words and sorted items for each row, with those of old."""
     words, raw = scan(column, LETTERS_DIGITS, lower=True), None
-    hits: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+    change, items = np.zeros(len(words.key) + 1, np.int64), [set(o[1]) for o in old] if old else [set() for _ in range(len(column))]
     for length, (hashes, entries) in windows.items():
         at, h = words.windows(length)
         place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        seen = set()
         for i in np.flatnonzero(hashes[place] == h).tolist():
             raw = _folded(column) if raw is None else raw
-            text, doc = _texts_of(words, raw, int(at[i]), length), int(words.doc[at[i]])
-            hits[doc] += [{"item": item, "start": int(at[i] - words.first[doc]), "length": length} for item, own in entries[place[i]] if own == text]
-    return hits
+            start, doc = int(at[i]), int(words.doc[at[i]])
+            text, hit = _texts_of(words, raw, start, length), False
+            if (doc, text) in seen:
+                hit = True
+            elif own := {item for item, window in entries[place[i]] if window == text}:
+                seen.add((doc, text))
+                items[doc] |= own
+                hit = True
+            if hit:
+                change[start] += 1
+                change[start + length] -= 1
+    for row, (runs, _) in enumerate(old or []):
+        for run in runs:
+            change[words.first[row] + run["start"]] += 1
+            change[words.first[row] + run["stop"]] -= 1
+    covered = np.cumsum(change[:-1]) > 0
+    spans = [[{"start": a, "stop": b} for a, b in _runs(covered[x:y])] if covered[x:y].any() else [] for x, y in zip(words.first[:-1].tolist(), words.first[1:].tolist())]
+    return spans, [sorted(i) for i in items]
 
 
 def _pieces(batches, size: int, limit: int):
@@ -87,58 +115,54 @@ def _pieces(batches, size: int, limit: int):
 
 
 def scan_items(docs: DataFrame, items: DataFrame, size: int = 10, text: str = "text") -> DataFrame:
-    """docs with _hits added: every occurrence of an item's window, by item, first word and words."""
+    """docs with FOUND's columns added: runs of words in an occurrence of an item's window, and the items that have one there."""
     spark = docs.sparkSession
     known = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text").where(F.col("text").isNotNull())
     limit = BLOCK_BYTES // 8
     known = staged(known.mapInArrow(lambda b: _pieces(b, size, limit), known.schema).distinct(), "benchmark-items")
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / BLOCK_BYTES))
-    out = docs.withColumn("_hits", F.array().cast(HITS))
-    schema = out.schema
+    docs = without(docs, FOUND, text)
+    schema, out = with_columns(docs, FOUND), docs
     for block in range(blocks):
         # A block has about BLOCK_BYTES of items, by hash.
         part = known.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
         sent = spark.sparkContext.broadcast(item_windows([(r.item, r.text) for r in part], size))
 
-        def look(batches, sent=sent):
+        def look(batches, sent=sent, again=block > 0):
             for batch in batches:
-                column = batch.schema.get_field_index("_hits")
-                old, kind = batch.column(column).to_pylist(), batch.schema.field("_hits").type
-                new = [a + b for a, b in zip(old, _find(batch.set_column(batch.schema.get_field_index("text"), "text", batch.column(text)), sent.value))]
-                yield batch.set_column(column, "_hits", pa.array(new, kind))
+                old = list(zip(batch.column("_runs").to_pylist(), batch.column("_items").to_pylist())) if again else None
+                runs, names = _find(batch.column(text), sent.value, old)
+                yield replaced(batch.drop_columns(list(FOUND)) if again else batch, {"_runs": pa.array(runs, RUNS), "_items": pa.array(names, pa.list_(pa.string()))})
 
         out = out.mapInArrow(look, schema)
+        if block + 1 < blocks:
+            out = staged(out, "benchmark-hits")
     return out
 
 
-def _cut_hits(batches, remove: bool):
+def _cut_hits(batches, text: str, remove: bool):
     """n_words, n_hit and, if wanted, the text without the words that are hit."""
     for batch in batches:
-        words = scan(batch.column("text"), LETTERS_DIGITS, lower=True)
-        data, _ = buffers(batch.column("text"))
+        words = scan(batch.column(text), LETTERS_DIGITS, lower=True)
+        data, _ = buffers(batch.column(text))
         n_hit, texts = [], []
-        old = batch.column("text").to_pylist() if remove else []
-        for i, hits in enumerate(batch.column("_hits").to_pylist()):
-            change = np.zeros(words.first[i + 1] - words.first[i] + 1, np.int64)
-            for hit in hits:
-                change[hit["start"]] += 1
-                change[hit["start"] + hit["length"]] -= 1
-            gone = np.cumsum(change[:-1]) > 0
-            n_hit.append(int(gone.sum()))
+        old = batch.column(text).to_pylist() if remove else []
+        for i, runs in enumerate(batch.column("_runs").to_pylist()):
+            n_hit.append(sum(r["stop"] - r["start"] for r in runs))
             if remove:
-                texts.append(old[i] if not hits else _without(data, words, i, gone, old[i]))
-        out = batch.append_column("n_words", pa.array(np.diff(words.first), pa.int64())).append_column("n_hit", pa.array(n_hit, pa.int64()))
-        yield out.set_column(out.schema.get_field_index("text"), "text", pa.array(texts, pa.string())) if remove else out.drop_columns(["text"])
+                texts.append(_without(words, i, [(r["start"], r["stop"]) for r in runs], old[i]) if runs else old[i])
+        at = batch.schema.get_field_index(text)
+        out = batch.set_column(at, text, pa.array(texts, pa.string())) if remove else batch.drop_columns([text])
+        yield replaced(out, {"n_words": pa.array(np.diff(words.first), pa.int64()), "n_hit": pa.array(n_hit, pa.int64())})
 
 
-def _without(data: np.ndarray, words: Words, row: int, gone: np.ndarray, text: str) -> str:
+def _without(words: Words, row: int, runs: list[tuple[int, int]], text: str) -> str:
     """The text less each run of hit words, from its first word's start to its last word's end."""
     raw, first = text.encode(), int(words.first[row])
-    offset = len(raw) and int(words.start[first]) - _lead(raw)
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]])))
+    offset = int(words.start[first]) - _lead(raw)
     out, at = [], 0
-    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+    for a, b in runs:
         out.append(raw[at : int(words.start[first + a]) - offset])
         at = int(words.end[first + b - 1]) - offset
     return b"".join([*out, raw[at:]]).decode()
@@ -148,20 +172,17 @@ def _lead(raw: bytes) -> int:
     return int(np.flatnonzero(LETTERS_DIGITS[np.frombuffer(raw, np.uint8)])[0])
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, text: str = "text") -> DataFrame:
     """docs, a row each, with n_words, n_hit, n_items and items_sha256; text loses the spans that are hit."""
-    return _finished(docs, items, size, True)
+    return _finished(docs, items, size, text, True)
 
 
-def report(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
+def report(docs: DataFrame, items: DataFrame, size: int = 10, text: str = "text") -> DataFrame:
     """As decontaminate, without the text."""
-    return _finished(docs, items, size, False)
+    return _finished(docs, items, size, text, False)
 
 
-def _finished(docs: DataFrame, items: DataFrame, size: int, remove: bool) -> DataFrame:
-    found = scan_items(docs, items, size)
-    fields = [f for f in found.schema.fields if remove or f.name != "text"]
-    schema = found.select(*[f.name for f in fields]).withColumns({"n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long")}).schema
-    names = F.array_sort(F.array_distinct(F.col("_hits.item")))
-    counted = found.mapInArrow(lambda b: _cut_hits(b, remove), schema)
-    return counted.withColumns({"n_items": F.size(names).cast("long"), "items_sha256": F.sha2(F.array_join(names, ",").cast("binary"), 256)}).drop("_hits")
+def _finished(docs: DataFrame, items: DataFrame, size: int, text: str, remove: bool) -> DataFrame:
+    found = scan_items(without(docs, COUNTS | NAMED, text), items, size, text)
+    counted = found.mapInArrow(lambda b: _cut_hits(b, text, remove), with_columns(found if remove else found.drop(text), COUNTS))
+    return counted.withColumns({"n_items": F.size("_items").cast("long"), "items_sha256": F.sha2(F.array_join("_items", ",").cast("binary"), 256)}).drop(*FOUND)

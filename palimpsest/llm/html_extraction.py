@@ -7,9 +7,10 @@ occurs, and subtrees that recur on many of them are deleted. A page with an arti
 of these; others give all that is left. Inside and outside are counted apart: what is a box around the articles can be
 quoted in one.
 
-Cases: null html is empty, and gives an empty text; a null url, or one without "://", is of the host ""; pages of a
-host whose text is equal before the deletion count as one, so copies don't make their own text a template; equal rows
-get equal results; an empty table gives an empty result; other columns pass through.
+Cases: null html is empty, and gives an empty text; pages with a null url, or one without "://", are of no host and have
+no templates; pages of a host whose text is equal before the deletion count as one, so copies don't make their own text
+a template; equal rows get equal results; an empty table gives an empty result; other columns pass through, but a
+column named text is replaced. A page is held whole by a task and scanned in one pass, however it is nested or broken.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import html as references
 import re
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -24,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import replaced, with_columns, without
 from .staging import staged
 from .url_filters import host_path
 
@@ -52,7 +55,8 @@ PLACES = set("area bar block bottom box button buttons container content global
 UNMARKED = set("html body main article".split())
 IN_HEAD = set("base basefont bgsound link meta noframes noscript script style template title".split())
 
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
+#: Fixed value: comments, raw elements, tags and declarations; a tag ends before the next one begins, so that each is read once.
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^<>]*+>", re.S | re.I)
 MARKED = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 
 
@@ -74,14 +78,23 @@ def _hash(text: str, key: bytes = b"") -> int:
 def scan_page(page: str, is_template: Callable[[int], bool] | None = None, want_hashes: bool = False, host: str = "") -> tuple[str, set[int]]:
     """The page's text without what is left out and without templates; hashes of its subtrees that have text, with
     the host in each."""
-    # Tag, blocks, characters and articles before it, and whether what is around it is left out or in an article.
+    # Tag, and blocks, parts of the trail and articles before it, and whether what is around it is left out or in an article.
     stack: list[tuple[str, int, int, int, bool, bool]] = []
+    opened: Counter[str] = Counter()
+    # What has been read, with the digest of each closed block in place of its content.
+    trail: list[str] = []
+    hashing = want_hashes or is_template is not None
     blocks: list[tuple[str, bool]] = []
     words: list[str] = []
     hashes: set[int] = set()
     articles = 0
     out = own = False
 
+    def read(text: str) -> None:
+        words.append(text)
+        if hashing and (plain := " ".join(text.split())):
+            trail.append(plain)
+
     def flush() -> None:
         if words:
             text = " ".join(references.unescape("".join(words)).split())
@@ -89,66 +102,82 @@ def scan_page(page: str, is_template: Callable[[int], bool] | None = None, want_
             if text:
                 blocks.append((text, own))
 
-    def close(stop: int) -> None:
+    def close() -> None:
         nonlocal out, own
         tag, n_blocks, start, before, was_out, was_own = stack.pop()
+        opened[tag] -= 1
         if tag in BLOCKS:
             flush()
-            if (want_hashes or is_template) and not out and len(blocks) > n_blocks and (own or articles == before) and tag not in ("html", "body", "article", "main"):
-                h = _hash(host + "\0" + " ".join(page[start:stop].split()), b"own" if own else b"")
-                if want_hashes:
-                    hashes.add(h)
-                if is_template and is_template(h):
-                    del blocks[n_blocks:]
+            if hashing and not out:
+                whole = "\0".join(trail[start:])
+                del trail[start:]
+                h = _hash(whole)
+                trail.append(f"{h:x}")
+                if len(blocks) > n_blocks and (own or articles == before) and tag not in ("html", "body", "article", "main"):
+                    h = _hash(f"{host}\0{h:x}", b"own" if own else b"")
+                    if want_hashes:
+                        hashes.add(h)
+                    if is_template and is_template(h):
+                        del blocks[n_blocks:]
+        elif hashing and not out:
+            trail.append("/" + tag)
         out, own = was_out, was_own
 
     at = 0
     for m in TOKEN.finditer(page):
         if m.start() > at and not out:
-            words.append(page[at : m.start()])
+            read(page[at : m.start()])
         at = m.end()
         tag = m[3]
         if tag is None:
             continue
         tag = tag.lower()
         if m[2]:
-            if any(s[0] == tag for s in stack):
+            if opened[tag] > 0:
                 while stack[-1][0] != tag:
-                    close(m.start())
-                close(m.end())
+                    close()
+                close()
             continue
         if tag in BLOCKS and not out:
             flush()
         elif tag == "br" and not out:
             words.append(" ")
         if tag in VOID:
+            if hashing and not out:
+                trail.append(" ".join(m[0].split()))
             continue
-        if tag == "body" and any(s[0] == "head" for s in stack):
-            while any(s[0] == "head" for s in stack):
-                close(m.start())
+        if tag == "body" and opened["head"] > 0:
+            while opened["head"] > 0:
+                close()
         elif tag not in IN_HEAD and stack and stack[-1][0] == "head":
             # A head's end tag is optional.
-            close(m.start())
+            close()
         if tag == "p" and stack and stack[-1][0] == "p":
-            close(m.start())
+            close()
         main = tag in ("article", "main")
         if main and out and not own and not _marked(m[4]):
             # An article isn't part of a menu or an advert that was left open, if it isn't a comment or the like itself.
             while out:
-                close(m.start())
+                close()
         leaves = out or _left_out(tag, m[4])
-        stack.append((tag, len(blocks), m.start(), articles, out, own))
+        stack.append((tag, len(blocks), len(trail), articles, out, own))
+        opened[tag] += 1
+        if hashing and not leaves:
+            trail.append(" ".join(m[0].split()))
         if main and not leaves:
             articles += 1
         out, own = leaves, own or (main and not leaves)
     if at < len(page) and not out:
-        words.append(page[at:])
+        read(page[at:])
     while stack:
-        close(len(page))
+        close()
     flush()
     return "\n".join(t for t, o in blocks if o or not articles), hashes
 
 
+TEXT = {"text": "string"}
+
+
 def _columns(batch, *names: str):
     return zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names))
 
@@ -157,6 +186,8 @@ def _subtrees(batches):
     for batch in batches:
         texts, subtrees = [], []
         for host, page in _columns(batch, "_host", "html"):
+            if not host:
+                continue
             text, hashes = scan_page(page or "", want_hashes=True, host=host)
             subtrees += hashes
             texts += [_hash(text)] * len(hashes)
@@ -174,18 +205,19 @@ def _of_pages(batches):
     for batch in batches:
         keys, subtrees = [], []
         for key, host, page in _columns(batch, "_page", "_host", "html"):
-            hashes = scan_page(page or "", want_hashes=True, host=host)[1]
+            hashes = scan_page(page or "", want_hashes=True, host=host)[1] if host else ()
             subtrees += hashes
             keys += [key] * len(hashes)
         yield pa.record_batch([pa.array(keys, pa.string()), pa.array(subtrees, pa.int64())], names=["_page", "subtree"])
 
 
 def _with_text(batch, tests):
-    return batch.append_column("text", pa.array([scan_page(page or "", test, host=host)[0] for (host, page), test in zip(_columns(batch, "_host", "html"), tests)], pa.string()))
+    return replaced(batch, {"text": pa.array([scan_page(page or "", test if host else None, host=host)[0] for (host, page), test in zip(_columns(batch, "_host", "html"), tests)], pa.string())})
 
 
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """pages (url, html and others) with text added."""
+    pages = without(pages, TEXT, "html", "url")
     hosted = pages.withColumn("_host", host_path(F.col("url"))[0])
     known = staged(templates(hosted, least_pages), "templates")
     # Templates are counted; few are sent to all tasks, so that no page moves.
@@ -203,7 +235,7 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
             for batch in batches:
                 yield _with_text(batch, [test if len(every) else None] * len(batch))
 
-        return hosted.mapInArrow(one, hosted.withColumn("text", F.lit("")).schema).drop("_host")
+        return hosted.mapInArrow(one, with_columns(hosted, TEXT)).drop("_host")
 
     keyed = hosted.withColumn("_page", F.sha2(F.concat_ws("\0", "_host", "html"), 256))
     # Copies have one key and one set of subtrees.
@@ -215,4 +247,4 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
         for batch in batches:
             yield _with_text(batch, [frozenset(t).__contains__ if t else None for t, in _columns(batch, "_templates")])
 
-    return joined.mapInArrow(joint, joined.withColumn("text", F.lit("")).schema).select(*pages.columns, "text")
+    return joined.mapInArrow(joint, with_columns(joined, TEXT)).select(*pages.columns, "text")

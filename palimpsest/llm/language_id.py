@@ -6,8 +6,9 @@ with follow-the-regularised-leader (proximal, with L1 and L2 penalties, so most
 documents, and its scores are calibrated with one temperature, fitted on documents left out of training.
 
 Cases: null texts and those without a letter are "und" with score 0; equal rows and copies get equal results; ties
-go to the first language by name; with nothing to learn from all texts are "und"; an empty table gives an empty
-result; other columns pass through.
+go to the first language by name; with nothing to learn from all texts are "und"; of learning rows that share a doc_id the
+least text counts, with its least language; an empty table gives an empty result; other columns pass through, but
+columns named lang_pred or score are replaced. A text is held whole by a task, some fifty times its size.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import replaced, with_columns, without
 from .words import buffers
 
 #: Documents that the model is trained on, the lowest by hash of doc_id; the last fifth calibrates.
@@ -89,10 +91,9 @@ def _document_frequency(batches):
     for batch in batches:
         for _, _, texts in _groups(batch, "text"):
             f, first = grams(texts)
-            for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-                seen = np.zeros(1 << BITS, bool)
-                seen[f[a:b]] = True
-                total += seen
+            pairs = np.sort(np.repeat(np.arange(len(texts)), np.diff(first)) << BITS | f)
+            if len(pairs):
+                total += np.bincount(pairs[np.append(True, pairs[1:] != pairs[:-1])] & ((1 << BITS) - 1), minlength=1 << BITS)
             n += len(texts)
     found = np.flatnonzero(total)
     if n:
@@ -157,7 +158,7 @@ def fitted(docs: DataFrame) -> Model | None:
     idf = np.where(df > 0, np.log((1 + counts[-1]) / (1 + df)) + 1, 0.0)
     # Ids only are sorted; then at most FIT_DOCS texts are fetched.
     chosen = learn.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS)
-    rows = learn.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).withColumn("h", F.xxhash64("doc_id")).collect()
+    rows = learn.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("least")).select("doc_id", "least.*", F.xxhash64("doc_id").alias("h")).collect()
     rows.sort(key=lambda r: (r.h, r.doc_id))
     return train([r.text for r in rows], [r.lang for r in rows], idf)
 
@@ -165,7 +166,6 @@ def fitted(docs: DataFrame) -> Model | None:
 def _predict(batches, model: Model | None, text: str):
     for batch in batches:
         for at, stop, texts in _groups(batch, text):
-            out = batch.slice(at, stop - at)
             langs, best = np.full(stop - at, "und", object), np.zeros(stop - at)
             if model:
                 f, first = grams(texts)
@@ -175,10 +175,12 @@ def _predict(batches, model: Model | None, text: str):
                 found &= letters
                 langs[found] = np.array(model.languages, object)[got[found]]
                 best[found] = p.max(axis=1)[found]
-            yield out.append_column("lang_pred", pa.array(langs.tolist(), pa.string())).append_column("score", pa.array(best))
+            yield replaced(batch.slice(at, stop - at), {"lang_pred": pa.array(langs.tolist(), pa.string()), "score": pa.array(best)})
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """docs with lang_pred and score added."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(lambda b: _predict(b, sent.value, text), docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema)
+    new = {"lang_pred": "string", "score": "double"}
+    docs = without(docs, new, text)
+    return docs.mapInArrow(lambda b: _predict(b, sent.value, text), with_columns(docs, new))

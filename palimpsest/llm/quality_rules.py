@@ -2,13 +2,18 @@
 
 A linear-chain conditional random field marks each line of a document as content or boilerplate; Viterbi decoding
 gives the best sequence, and the share of words in content lines decides whether the document is kept. The field is
-fitted here, by gradient ascent on the conditional likelihood, on at most FIT_DOCS labelled documents: lines of a
-document of good quality count as content, those of a bad one as boilerplate.
+fitted here on at most FIT_DOCS labelled documents. Only documents have labels, so those of lines are hidden: they
+begin with the document's own, but lines that repeat an earlier one or consist of symbols are boilerplate in good
+documents too, and plain sentences are content in bad ones too. Then gradient ascent on the conditional likelihood and
+decoding take turns, and a document's decoded lines have to agree with its label: content words are at least
+LEAST_CONTENT of a good one's and fewer of a bad one's. The weight of a change of label is free.
 
 Base rules come first: too few words, or most words in repeated 3-word windows, fail whatever the lines say.
 
-Cases: null and empty texts have no words and fail; equal rows and copies are judged alike; with no labelled
-documents the field has DEFAULT_WEIGHTS; an empty table gives an empty result; other columns pass through.
+Cases: null and empty texts have no words and fail; equal rows and copies are judged alike; of labelled rows that
+share a doc_id the least text counts, and of its labels the lowest; with no labelled documents the field has
+DEFAULT_WEIGHTS; an empty table gives an empty result; other columns pass through, but columns that have the names of
+the new ones are replaced. A text is held whole by a task, some forty times its size.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import replaced, with_columns, without
 from .words import NOT_SPACE, U64, buffers, mix, scan
 
 #: Labelled documents that the field is fitted on, the lowest by hash of doc_id.
@@ -110,11 +116,53 @@ def viterbi(score: np.ndarray, change: float) -> np.ndarray:
     return np.array(out[::-1], bool)
 
 
+def seeds(lines: Lines, bad: np.ndarray) -> np.ndarray:
+    """Labels of lines that are plain whatever their document is (bad: of each line's document): 1 boilerplate, 0 content, -1 unknown."""
+    x = {n: lines.x[:, i] > 0 for i, n in enumerate(FEATURES)}
+    odd = x["many symbols"] | x["seen before"] | x["repeated word"]
+    plain = ~(odd | x["symbols"] | x["marks"] | x["no sentence end"] | x["short"] | x["capitals"] | x["digits"])
+    return np.where(~bad & odd, 1, np.where(bad & plain, 0, -1))
+
+
+def agreeing(score: np.ndarray, change: float, sizes: np.ndarray, bad: bool) -> np.ndarray:
+    """The best labels of a document's lines of which the share of content agrees with the document's label: by the
+    least shift of all scores, found by halving."""
+    enough = lambda y: sizes[~y].sum() >= LEAST_CONTENT * sizes.sum()
+    best = viterbi(score, change)
+    if enough(best) != bad:
+        return best
+    low, high = 0.0, 64.0
+    for _ in range(12):
+        middle = (low + high) / 2
+        found = viterbi(score + (middle if bad else -middle), change)
+        low, high = (low, middle) if enough(found) != bad else (middle, high)
+    return viterbi(score + (high if bad else -high), change)
+
+
+#: Turns of fitting and decoding, and the score of a line whose label is plain.
+TURNS, PLAIN = 3, 30.0
+
+
 def fit(texts: list[str], bad: list[bool], steps: int = 60, rate: float = 1.0, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights of the features and of a change, by gradient ascent over all sequences at once."""
+    """Weights of the features and of a change, from documents with labels of their own only."""
     lines = Lines(pa.array(texts, pa.string()))
-    y = np.array(bad)[lines.row].astype(int)
+    of_doc = np.array(bad)[lines.row]
+    plain = seeds(lines, of_doc)
+    y = np.where(plain >= 0, plain, of_doc).astype(int)
+    edges = np.searchsorted(lines.row, np.arange(len(texts) + 1))
     weights, change = np.zeros(len(FEATURES)), 0.0
+    for turn in range(TURNS):
+        weights, change = ascend(lines, y, weights, change, steps, rate, ridge)
+        if turn + 1 < TURNS:
+            score = lines.x @ weights + np.where(plain >= 0, PLAIN * (2 * plain - 1), 0)
+            for i, (a, b) in enumerate(zip(edges.tolist(), edges[1:].tolist())):
+                if b > a:
+                    y[a:b] = agreeing(score[a:b], change, lines.sizes[a:b], bad[i])
+    return weights, change
+
+
+def ascend(lines: Lines, y: np.ndarray, weights: np.ndarray, change: float, steps: int, rate: float, ridge: float) -> tuple[np.ndarray, float]:
+    """Weights of the greatest conditional likelihood of labels y, by gradient ascent over all sequences at once."""
     starts = np.flatnonzero(np.concatenate([[True], lines.row[1:] != lines.row[:-1]]))
     sizes = np.diff(np.append(starts, len(y)))
     order = np.argsort(-sizes, kind="stable")
@@ -145,7 +193,7 @@ def fit(texts: list[str], bad: list[bool], steps: int = 60, rate: float = 1.0, r
         cross = np.exp(forward[pairs, 0] + change + own[:, 1] - norm[pairs]) + np.exp(forward[pairs, 1] + change + own[:, 0] - norm[pairs])
         gradient = np.append(lines.x.T @ (y - p), changed - cross.sum()) / len(y) - ridge * np.append(weights, change)
         speed = 0.9 * speed + gradient
-        weights, change = weights + rate * speed[:-1], min(0.0, change + rate * speed[-1])
+        weights, change = weights + rate * speed[:-1], float(change + rate * speed[-1])
     return weights, change
 
 
@@ -154,7 +202,8 @@ def fitted(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS)
     # At most FIT_DOCS rows of two numbers.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull() & F.col("text").rlike(r"\S")).dropDuplicates(["doc_id"]).collect()
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull() & F.col("text").rlike(r"\S"))
+    rows = found.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: r.doc_id)
     if len({r.quality for r in rows}) < 2:
         return DEFAULT_WEIGHTS, DEFAULT_CHANGE
@@ -163,6 +212,8 @@ def fitted(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
 
 OUT = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "content_share": "double", "kept": "boolean"}
 
+ARROW = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
+
 #: Bytes of texts whose lines a task holds at once, if not one text has more.
 GROUP_BYTES = 2 << 20
 
@@ -182,15 +233,13 @@ def _judge(batches, weights: np.ndarray, change: float, text: str):
                 content[i] = lines.sizes[a:b][~viterbi(score[a:b], change)].sum()
             failed = (lines.n_words < MIN_WORDS) | (100 * lines.n_repeat_words > MOST_REPEATED * lines.n_words)
             share = content / np.maximum(lines.n_words, 1)
-            out = batch.slice(at, stop - at)
-            for name, values in zip(OUT, (lines.n_words, lines.word_chars, lines.n_symbols, lines.n_dup_lines, lines.n_repeat_words, failed, share, ~failed & (share >= LEAST_CONTENT))):
-                out = out.append_column(name, pa.array(values, {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}[OUT[name]]))
-            yield out
+            values = (lines.n_words, lines.word_chars, lines.n_symbols, lines.n_dup_lines, lines.n_repeat_words, failed, share, ~failed & (share >= LEAST_CONTENT))
+            yield replaced(batch.slice(at, stop - at), {n: pa.array(v, ARROW[t]) for (n, t), v in zip(OUT.items(), values)})
             at = stop
 
 
 def judge(docs: DataFrame, labels: DataFrame | None = None, field: tuple[np.ndarray, float] | None = None, text: str = "text") -> DataFrame:
     """docs with OUT's columns added; field, or else labels (doc_id, quality) of docs to fit one."""
     weights, change = field or (fitted(docs, labels) if labels is not None else (DEFAULT_WEIGHTS, DEFAULT_CHANGE))
-    schema = docs.withColumns({n: F.lit(None).cast(t) for n, t in OUT.items()}).schema
-    return docs.mapInArrow(lambda b: _judge(b, weights, change, text), schema)
+    docs = without(docs, OUT, text)
+    return docs.mapInArrow(lambda b: _judge(b, weights, change, text), with_columns(docs, OUT))
