@@ -5,10 +5,13 @@ digits only for telephone and card numbers) draws a surrogate from SHA-256 of ke
 Draws are checked over the corpus: a surrogate that two entities drew, or that is itself an entity there, is drawn
 again by all but the first, until none is left. So distinct entities stay distinct, and the same entity gets the
 same surrogate everywhere (a surname also with another first name). Surrogates keep the type, separators, length,
-letter case, and for names gender (from the title) and script.
+letter case, the first digit of telephone numbers, and for names gender (from the title) and script. A name found by
+its title is replaced in the rest of its text too, where it stands without one: first name and surname, or the surname
+alone.
 
 Cases: null texts stay null, empty ones empty; equal rows and copies get equal results; an empty table gives an
-empty result; all other columns pass through, under any name that doesn't begin with "_pii_".
+empty result; all other columns pass through, but columns whose names begin with "_pii_" are replaced. A text and its
+entities are held whole by a task.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import staged
+from .staging import join_hot, staged
 
 #: One pattern for each type, tried in this order. Runs are possessive and begin at their first
 #: character, so that a very long text takes linear time.
@@ -117,7 +120,7 @@ def draw(secret: str, type_: Column, norm: Column, attempt: Column) -> Column:
     return (
         F.when(type_ == "email", F.concat(_letters(F.substring(h, 1, 12)), F.lit("@"), _letters(F.substring(_stream(secret, F.lit("domain"), F.substring_index(norm, "@", -1)), 1, 8)), F.lit(".example")))
         .when(type_ == "ip", ip)
-        .when(type_ == "phone", F.concat(F.lit("9"), F.substr(number, F.lit(1), F.greatest(size, F.lit(8)) + extra - 1)))
+        .when(type_ == "phone", F.concat(F.substring(norm, 1, 1), F.substr(number, F.lit(1), F.greatest(size, F.lit(8)) + extra - 1)))
         .when(type_ == "card", F.substr(number, F.lit(1), size + extra))
         .when(type_ == "ssn", F.concat(F.lit("9"), F.substr(number, F.lit(1), size + extra - 1)))
         .when(type_ == "iban", F.concat(F.substring(norm, 1, 2), F.substr(number, F.lit(1), size - 2 + extra)))
@@ -166,20 +169,46 @@ def render(match: Column, type_: Column, value: Column) -> Column:
     return F.when(type_.isin("phone", "card", "ssn"), laid).when(type_ == "iban", F.when(match.contains(" "), spaced).otherwise(F.upper(value))).when(upper, F.upper(value)).otherwise(value)
 
 
-def replace_pii(docs: DataFrame, secret: str = "surrogate-key", text: str = "text") -> DataFrame:
-    """docs with the entities in text replaced, and _pii_types added: the types of the entities, in their order."""
+def untitled(piece: Column, names: Column) -> Column:
+    """Text between entities, with the names that titles have shown (full, surname and their surrogates) replaced."""
+    word = lambda name: F.concat(F.lit(r"(?<![\p{L}\p{N}])"), name, F.lit(r"(?![\p{L}\p{N}])"))
+
+    def one(text: Column, name: Column) -> Column:
+        # All full names come before all surnames alone, in the order of names.
+        return F.when(F.instr(text, name["old"]) > 0, F.regexp_replace(text, word(name["old"]), name["new"])).otherwise(text)
+
+    return F.aggregate(names, piece, one)
+
+
+def replace_pii(docs: DataFrame, secret: str, text: str = "text") -> DataFrame:
+    """docs with the entities in text replaced, and _pii_types added: the types of the entities, in their order.
+    secret: the key that surrogates are drawn with; who has it can't get entities back, but can test guesses."""
+    docs = docs.drop(*[c for c in docs.columns if c.lower().startswith("_pii_")])
     pattern = F.lit(any_entity())
     has = F.coalesce(signs(F.col(text)) & F.col(text).rlike(any_entity()), F.lit(False))
     keyed = docs.where(has).withColumn("_pii_key", F.md5(F.col(text).cast("binary")))
     found = keyed.select(F.col("_pii_key").alias("key"), F.posexplode(F.regexp_extract_all(F.col(text), pattern, F.lit(0))).alias("pos", "match"))
-    found = staged(parts(found.dropDuplicates(["key", "pos"])), "pii-found")
-    values = surrogates(found.select("type", "norm"), secret)
+    # Copies are one text, with their number.
+    found = found.groupBy("key", "pos").agg(F.min("match").alias("match"), F.count("*").alias("copies"))
+    found = staged(parts(found).withColumn("of", F.struct("type", "norm")), "pii-found")
+    values = surrogates(found.select("type", "norm"), secret).withColumn("of", F.struct("type", "norm")).select("of", "value")
+    times = found.groupBy("of").agg(F.count("*").alias("times"))
+    values = staged(values.join(times, "of"), "pii-values")
     one = F.when(F.col("kind") == "name", F.col("value")).otherwise(render(F.col("match"), F.col("kind"), F.col("value")))
-    by_match = found.join(values, ["type", "norm"]).groupBy("key", "pos", "match", "kind").agg(F.array_sort(F.collect_list(F.struct("part", one.alias("value")))).alias("made"))
+    by_match = join_hot(found, values, "of", "times").groupBy("key", "pos", "match", "kind", "copies").agg(F.array_sort(F.collect_list(F.struct("part", one.alias("value")))).alias("made"))
     joint = F.when(F.col("match").rlike(r"-\p{Lu}\p{Ll}+$"), "-").otherwise(" ")
     made = F.array_join(F.col("made.value"), "")
-    made = F.when(F.col("kind") == "name", F.concat(F.regexp_extract("match", r"^(\S+ )", 1), F.col("made")[0]["value"], F.when(F.size("made") > 1, F.concat(joint, F.col("made")[1]["value"])).otherwise(""))).otherwise(made)
-    by_text = by_match.withColumn("made", made).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "made", "kind"))).alias("_pii_made")).withColumnRenamed("key", "_pii_key")
-    spliced = F.array_join(F.zip_with(F.split(F.col(text), pattern, -1), F.col("_pii_made.made"), lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
-    replaced = keyed.join(by_text, "_pii_key").withColumn(text, spliced).withColumn("_pii_types", F.col("_pii_made.kind")).select(*docs.columns, "_pii_types")
+    name = F.concat(F.col("made")[0]["value"], F.when(F.size("made") > 1, F.concat(joint, F.col("made")[1]["value"])).otherwise(""))
+    made = F.when(F.col("kind") == "name", F.concat(F.regexp_extract("match", r"^(\S+ )", 1), name)).otherwise(made)
+    by_text = by_match.withColumn("new", made).groupBy("key").agg(F.max("copies").alias("copies"), F.array_sort(F.collect_list(F.struct("pos", F.col("new").alias("made"), "kind", "match"))).alias("_pii_made")).withColumnRenamed("key", "_pii_key")
+    bare = lambda c: F.regexp_replace(c, r"^\S+ ", "")
+    last = lambda c: F.regexp_extract(c, r"(\p{L}+)$", 1)
+    titled = F.filter("_pii_made", lambda m: m["kind"] == "name")
+    full = F.transform(titled, lambda m: F.struct(bare(m["match"]).alias("old"), bare(m["made"]).alias("new")))
+    surname = F.transform(titled, lambda m: F.struct(last(m["match"]).alias("old"), last(m["made"]).alias("new")))
+    by_text = staged(by_text.withColumn("_pii_names", F.array_distinct(F.concat(full, surname))), "pii-texts")
+    pieces = F.split(F.col(text), pattern, -1)
+    pieces = F.when(F.size("_pii_names") > 0, F.transform(pieces, lambda p: untitled(p, F.col("_pii_names")))).otherwise(pieces)
+    spliced = F.array_join(F.zip_with(pieces, F.col("_pii_made.made"), lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
+    replaced = join_hot(keyed, by_text, "_pii_key", "copies").withColumn(text, spliced).withColumn("_pii_types", F.col("_pii_made.kind")).select(*docs.columns, "_pii_types")
     return replaced.unionByName(docs.where(~has).withColumn("_pii_types", F.array().cast("array<string>")))

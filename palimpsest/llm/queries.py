@@ -19,6 +19,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+#: The key of surrogates over the test tables; production runs have a secret one.
+TEST_KEY = "key-of-the-test-tables"
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.slots(_table(spark, sf_dir, "documents"), sharding.tree())
 
@@ -35,7 +39,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = pii.replace_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = pii.replace_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"), TEST_KEY)
     return done.select("doc_id", "text", F.size("_pii_types").cast("long").alias("n_entities"), F.array_join(F.array_sort("_pii_types"), ",").alias("types"))
 
 
@@ -110,17 +114,64 @@ SELECT d.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(r.b) AS compon
 
 
 def _op8() -> str:
+    """Every pattern rule's regular expression on every URL."""
     fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
     rules = sorted(url_filters.PATH_RULES, key=lambda r: -len(r[0]) - len(r[1]))
     rule = " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for h, p, _ in rules)
     verdict = " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for h, p, v in rules)
-    found = {v: " OR ".join(f"regexp_matches(lower(url), '{r}')" for _, _, r, own in url_filters.PATTERN_RULES if own == v) for v in ("allow", "block")}
+    patterns = ", ".join(f"('{r}')" for r in url_filters.PATTERN_RULES)
     return rf"""
-WITH u AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://(.*)$', 1) ELSE '' END AS rest FROM pages),
+WITH b AS (SELECT starts_with(pattern, '@@') AS allow, regexp_replace(lower(pattern), '^@@', '') AS body FROM (VALUES {patterns}) AS t(pattern)),
+m AS (SELECT allow, body, regexp_replace(regexp_replace(regexp_replace(body, '^[|]{{1,2}}', ''), '[|]$', ''), '([.+?$(){{}}\\|\[\]])', '\\\1', 'g') AS t FROM b),
+g AS (SELECT allow, CASE WHEN starts_with(body, '||') THEN '{url_filters.HOST_START}' WHEN starts_with(body, '|') THEN '^' ELSE '' END
+ || replace(replace(replace(t, '*', chr(1)), '^', '{url_filters.SEPARATOR}'), chr(1), '.*') || CASE WHEN ends_with(body, '|') THEN '$' ELSE '' END AS regex FROM m),
+f AS (SELECT url, bool_or(allow) AS allow FROM (SELECT DISTINCT url FROM pages WHERE url IS NOT NULL) JOIN g ON regexp_matches(lower(url), regex, 's') GROUP BY url),
+u AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://(.*)$', 1) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, url, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM u)
 SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, CASE {rule} END AS rule,
-CASE {verdict} WHEN {found['allow']} THEN 'allow' WHEN {found['block']} THEN 'block' ELSE 'allow' END AS verdict FROM p
+CASE {verdict} WHEN f.allow THEN 'allow' WHEN NOT f.allow THEN 'block' ELSE 'allow' END AS verdict FROM p LEFT JOIN f USING (url)
+"""
+
+
+#: Level by level, the least -ln(u) / weight of all children; the checksum by its table, byte by byte.
+def _op1() -> str:
+    nodes = sharding.tree()
+    leaf = []
+
+    def walk(children, path, above, into):
+        for n in children:
+            key = f"{path}/{n[0]}"
+            (walk(n[1], key, [*above, key], into) if isinstance(n[1], list) else into.append(([*above, key], n[2])))
+
+    def shard(tree) -> str:
+        leaf.clear()
+        walk(tree, "", [], leaf)
+        weights = {}
+        for keys, _ in leaf:
+            for k in keys:
+                weights[k] = weights.get(k, 0) + 1.0
+
+        def choose(prefix, depth):
+            below = sorted({keys[depth] for keys, _ in leaf if keys[:depth] == prefix}, key=[keys[depth] for keys, _ in leaf if keys[:depth] == prefix].index)
+            then = [str(next(s for keys, s in leaf if keys == [*prefix, k])) if len(prefix) == 2 else choose([*prefix, k], depth + 1) for k in below]
+            if len(below) == 1:
+                return then[0]
+            draws = [f"(-ln((('0x' || substr(md5(k || '|{k}'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0) / {weights[k]})" for k in below]
+            cases = " ".join(f"WHEN {' AND '.join(f'{d} <= {o}' for o in draws[i + 1 :])} THEN {t}" for i, (d, t) in enumerate(zip(draws[:-1], then[:-1])))
+            if len(below) > 2:
+                least = f"least({', '.join(draws)})"
+                cases = " ".join(f"WHEN {d} = {least} THEN {t}" for d, t in zip(draws[:-1], then[:-1]))
+            return f"CASE {cases} ELSE {then[-1]} END"
+
+        return choose([], 0)
+
+    return f"""
+WITH t AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS crc),
+d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, 'null') AS k, coalesce(octet_length(encode(text)), 0)::BIGINT + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, k, size, xor(list_reduce(list_transform(range(size - 1), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT), lambda a, b: xor(a >> 8, t.crc[(xor(a, b) & 255) + 1]), 4294967295), 4294967295)::BIGINT AS text_crc32 FROM d, t),
+s AS (SELECT doc_id, k, size, text_crc32, ({shard(nodes)})::INTEGER AS shard, ({shard(sharding.grown(nodes))})::INTEGER AS grown_shard, ('0x' || substr(md5(concat_ws('|', k, size, text_crc32)), 1, 3))::INTEGER AS bucket FROM c)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id NULLS FIRST, size, text_crc32) - 1)::BIGINT AS slot, grown_shard FROM s
 """
 
 
-ORACLE_SQL = {"op2_substring_dedup": _OP2, "op6_decontamination": _OP6, "op7_ngram_jaccard": _OP7, "op8_url_filters": _op8()}
+ORACLE_SQL = {"op1_sharding": _op1(), "op2_substring_dedup": _OP2, "op6_decontamination": _OP6, "op7_ngram_jaccard": _OP7, "op8_url_filters": _op8()}

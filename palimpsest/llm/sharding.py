@@ -6,7 +6,8 @@ changed weight moves rows only into or out of the subtrees whose weight changed.
 decide. A new shard is added as a region of its own, so all other draws stay as they were and rows move into it only.
 
 Cases: a null key hashes as the text "null"; a null text has size 1 and checksum 0; equal rows get one shard and
-different slots; an empty table gives an empty result; other columns are left alone by `place` and not carried by `slots`.
+different slots; a shard of weight 0 gets none; an empty table gives an empty result; other columns are left alone by
+`place` and not carried by `slots`, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql.window import Window
 #: A leaf is (name, weight, shard number); a node is (name, [children]).
 Node = tuple
 
-#: Buckets of slots in a shard: slots are dealt bucket by bucket, each numbered on its own.
-BUCKETS = 4096
+#: Equal rows that are dealt at once.
+EQUAL = 1 << 16
 
 
 def tree(n_regions: int = 2, n_racks: int = 2, n_shards: int = 2) -> list[Node]:
@@ -66,16 +67,17 @@ def place(key: Column, nodes: Sequence[Node], path: str = "") -> Column:
 def slots(docs: DataFrame, nodes: Sequence[Node], key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, size, text_crc32, law, shard, slot and grown_shard of every row; slots of a shard are gapless from 0.
 
-    Equal rows are counted before they are dealt, and given their slots after. A shard's rows are numbered in
-    BUCKETS parts by hash of the whole row, so no task sorts a shard, nor all rows of one key.
+    Equal rows are counted before they are dealt, and given their slots after. A shard's rows are numbered in 4,096
+    buckets by three digits of an MD5 of the row, so no task sorts a shard, nor all rows of one key.
     """
     rows = docs.select(F.col(key).alias(key), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0)).cast("long").alias("text_crc32"))
-    same = rows.groupBy(key, "size", "text_crc32").agg(F.count("*").alias("n")).withColumn("bucket", F.pmod(F.xxhash64(key, "size", "text_crc32"), F.lit(BUCKETS)).cast("int"))
+    same = rows.groupBy(key, "size", "text_crc32").agg(F.count("*").alias("n")).withColumn("bucket", F.conv(F.substring(F.md5(F.concat_ws("|", F.coalesce(F.col(key).cast("string"), F.lit("null")), "size", "text_crc32").cast("binary")), 1, 3), 16, 10).cast("int"))
     same = same.withColumn("shard", place(F.col(key), nodes)).withColumn("grown_shard", place(F.col(key), grown(nodes)))
     in_bucket = Window.partitionBy("shard", "bucket").orderBy(key, "size", "text_crc32")
     numbered = same.withColumn("before", F.sum("n").over(in_bucket.rowsBetween(Window.unboundedPreceding, -1)))
-    # At most BUCKETS rows a shard.
+    # At most 4,096 rows a shard.
     starts = same.groupBy("shard", "bucket").agg(F.sum("n").alias("in_bucket"))
     starts = starts.select("shard", "bucket", (F.sum("in_bucket").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("in_bucket")).alias("start"))
-    placed = numbered.join(starts, ["shard", "bucket"]).withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
+    placed = numbered.join(starts, ["shard", "bucket"]).withColumn("slots", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(EQUAL).cast("long"))))
+    placed = placed.withColumn("slot", F.explode(F.sequence("slots", F.least(F.col("slots") + EQUAL, "n") - 1)))
     return placed.select(key, "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.coalesce("before", F.lit(0)) + F.col("slot")).cast("long").alias("slot"), "grown_shard")

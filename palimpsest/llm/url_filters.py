@@ -1,13 +1,17 @@
 """Operator 8, URL filters by pattern rules indexed by their rarest literal token, in DataFrame functions only.
 
-Every pattern rule has literal tokens (runs of letters and digits that any match must contain whole). The tokens'
-frequency is counted over all URLs, and the rule is filed under its rarest one. A URL fetches the rules filed
-under its own tokens, and only those run their regular expression. Path rules (host with subdomains, path prefix,
-longest wins) are tried first; they are few, written out as expressions.
-
-Cases: a null URL, or one without "://", has empty host and path, fits no rule and is allowed; equal rows are judged
-alike; two rules that fit a URL: an allowing rule wins over a blocking one; an empty table gives an empty result;
-other columns are left alone by `judge`.
+Rules are a table of texts in the usual syntax of filter lists: `*` any characters, `^` a separator or the end, `|` at
+an end the start or end of the URL, `||` at the start the start of the host or of one of its labels, `@@` in front an
+allowing rule; all else is literal, in any letter case. The regular expression and the literal tokens (runs of letters
+and digits that the URL must contain whole) are derived from the rule. The tokens' frequency is counted over all URLs,
+and a rule is filed under its rarest one, or under the empty token, which every URL has, where it has none. A URL
+fetches the rules filed under its own tokens, and only those run their regular expression. Path rules (host with
+subdomains, path prefix, longest wins) are tried first; they are few, written out as expressions.
+
+Cases: a null URL, or one without "://", has empty host and path, fits no path rule, and a null one no pattern rule
+either, and is allowed; equal rows are judged alike; two rules that fit a URL: an allowing rule wins over a blocking
+one; null and empty rules fit nothing; empty tables give no rules or no rows; other columns pass through, but columns
+that have the names of the new ones are replaced.
 """
 
 from __future__ import annotations
@@ -15,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .staging import staged
+
 #: Fixed values: (host, path, verdict); the longest rule that fits decides.
 PATH_RULES = [
     ("org", "/", "allow"),
@@ -24,25 +30,39 @@ PATH_RULES = [
     ("com", "/de/", "block"),
 ]
 
-#: Fixed values: (rule, literal tokens, regular expression over the lower-cased URL, verdict).
-PATTERN_RULES = [
-    ("gambling-casino", ["casino"], r"(^|[^a-z0-9])casino([^a-z0-9]|$)", "block"),
-    ("gambling-poker", ["poker"], r"(^|[^a-z0-9])poker([^a-z0-9]|$)", "block"),
-    ("gambling-bets", ["free", "bets"], r"://([^/?#]*[.-])?free-bets[.-]", "block"),
-    ("pharmacy-pills", ["cheap", "pills"], r"://([^/?#]*[.-])?cheap-pills[.-]", "block"),
-    ("pharmacy-viagra", ["viagra"], r"(^|[^a-z0-9])viagra([^a-z0-9]|$)", "block"),
-    ("spam-farm", ["spam", "farm"], r"://([^/?#]*[.-])?spam-farm[.-]", "block"),
-    ("tracking-host", ["ads", "track"], r"://([^/?#]*[.-])?ads-track[.-]", "block"),
-    ("ad-server", ["doubleclick"], r"://([^/?#]*\.)?doubleclick\.[a-z]+([:/?#]|$)", "block"),
-    ("ad-path", ["ads"], r"://[^/?#]*/([^?#]*/)?ads/", "block"),
-    ("tracking-pixel", ["pixel"], r"://[^/?#]*/([^?#]*/)?pixel\.(gif|png)([^a-z0-9]|$)", "block"),
-    ("adult-host", ["xxx"], r"://([^/?#]*\.)?xxx[.-]", "block"),
-    ("malware-download", ["crack", "keygen"], r"(^|[^a-z0-9])crack[^a-z0-9]+keygen([^a-z0-9]|$)", "block"),
-    ("help-pages", ["responsible", "gambling"], r"(^|[^a-z0-9])responsible-gambling([^a-z0-9]|$)", "allow"),
-]
-
-#: Rules up to this many are broadcast to the URLs; more are joined by shuffle.
-BROADCAST_RULES = 100_000
+#: Pattern rules, where no table of them is given.
+PATTERN_RULES = """
+||casino-
+||casino.
+-casino.
+/casino/
+||poker-
+||poker.
+-poker.
+^viagra^
+-viagra-
+||free-bets.
+||cheap-pills.
+||spam-farm.
+||ads-track.
+||doubleclick.*^
+://*/ads/
+/pixel.gif^
+/pixel.png^
+||xxx.
+||xxx-
+crack-keygen
+keygen-crack
+@@/responsible-gambling
+""".split()
+
+#: Rules up to this many are broadcast to the URLs; more are joined by shuffle. And rows, and bytes, of URLs that a
+#: pattern fits, which are broadcast to all of them.
+BROADCAST_RULES, BROADCAST_URLS, BROADCAST_BYTES = 100_000, 1_000_000, 64 << 20
+
+#: What the syntax's signs stand for.
+HOST_START = "^[a-z][a-z0-9+.-]*://([^/?#]*[.])?"
+SEPARATOR = "([^a-z0-9_.%-]|$)"
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -62,19 +82,34 @@ def path_rule(host: Column, path: Column, rules=PATH_RULES) -> tuple[Column, Col
 
 
 def url_tokens(url: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(url), "[^a-z0-9]+"), lambda t: t != ""))
+    """The runs of letters and digits of a URL, and the empty token."""
+    return F.array_distinct(F.concat(F.split(F.lower(url), "[^a-z0-9]+"), F.array(F.lit(""))))
 
 
 def rule_table(spark: SparkSession, rules=PATTERN_RULES) -> DataFrame:
-    return spark.createDataFrame([(n, t, r, v) for n, t, r, v in rules], "pattern string, tokens array<string>, regex string, pattern_verdict string")
+    return spark.createDataFrame([(r,) for r in rules], "pattern string")
+
+
+def parsed(rules: DataFrame) -> DataFrame:
+    """pattern, tokens, regex over the lower-cased URL, pattern_verdict of rules (pattern)."""
+    body = F.regexp_replace(F.lower("pattern"), "^@@", "")
+    middle = F.regexp_replace(F.regexp_replace(body, "^[|]{1,2}", ""), "[|]$", "")
+    literal = F.regexp_replace(middle, r"([\\.+?$(){}\[\]|])", r"\\$1")
+    signs = F.replace(F.replace(F.replace(literal, F.lit("*"), F.lit("\0")), F.lit("^"), F.lit(SEPARATOR)), F.lit("\0"), F.lit(".*"))
+    start = F.when(body.startswith("||"), HOST_START).when(body.startswith("|"), "^").otherwise("")
+    regex = F.concat(F.lit("(?s)"), start, signs, F.when(body.endswith("|"), "$").otherwise(""))
+    # A run at an end of the rule, or beside a star, may be part of a longer one of the URL.
+    tokens = F.array_distinct(F.regexp_extract_all(body, F.lit("(?<=[^a-z0-9*])([a-z0-9]+)(?=[^a-z0-9*])"), F.lit(1)))
+    verdict = F.when(F.col("pattern").startswith("@@"), "allow").otherwise("block")
+    return rules.where(F.length(middle) > 0).select("pattern", tokens.alias("tokens"), regex.alias("regex"), verdict.alias("pattern_verdict")).distinct()
 
 
 def rule_index(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rules with the token they are filed under: of their literal tokens, the one in the fewest URLs."""
-    wanted = rules.select(F.explode("tokens").alias("token")).distinct()
+    """Parsed rules with the token they are filed under: of their literal tokens, the one in the fewest URLs."""
+    filed = rules.withColumn("token", F.explode(F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit("")))))
+    wanted = filed.select("token").where("token <> ''").distinct()
     seen = urls.select(F.explode(url_tokens(F.col("url"))).alias("token")).join(_small(wanted, rules), "token").groupBy("token").agg(F.count("*").alias("n"))
-    filed = rules.withColumn("token", F.explode("tokens")).join(_small(seen, rules), "token", "left")
-    least = filed.groupBy("pattern").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
+    least = filed.join(_small(seen, rules), "token", "left").groupBy("pattern").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
     return rules.drop("tokens").join(least, "pattern")
 
 
@@ -84,13 +119,20 @@ def _small(df: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """pages with host, path, rule, pattern and verdict added; pages has a column url."""
-    rules = rule_table(pages.sparkSession) if rules is None else rules
+    """pages with host, path, rule, pattern and verdict added; pages has a column url, rules a column pattern."""
+    pages = pages.drop(*[c for c in pages.columns if c.lower() in ("host", "path", "rule", "pattern", "verdict", "_found")])
+    rules = staged(parsed(rule_table(pages.sparkSession) if rules is None else rules), "rules")
     urls = pages.select("url").where(F.col("url").isNotNull())
-    index = rule_index(urls, rules)
+    index = staged(rule_index(urls, rules), "rule-index")
     candidates = urls.select("url", F.explode(url_tokens(F.col("url"))).alias("token")).join(_small(index, rules), "token")
-    fitting = candidates.where(F.expr("rlike(lower(url), regex)")).groupBy("url").agg(F.min(F.struct(F.col("pattern_verdict"), F.col("pattern"))).alias("found"))
+    fitting = candidates.where(F.expr("rlike(lower(url), regex)")).groupBy("url").agg(F.min(F.struct(F.col("pattern_verdict"), F.col("pattern"))).alias("_found"))
+    fitting = staged(fitting, "fitting")
+    rows, size = fitting.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("url")), F.lit(0))).first()
+    fitting = F.broadcast(fitting) if rows <= BROADCAST_URLS and size <= BROADCAST_BYTES else fitting
+    # Rows without a URL don't meet in one task.
+    found = pages.where(F.col("url").isNotNull()).join(fitting, "url", "left")
+    none = pages.where(F.col("url").isNull()).withColumn("_found", F.lit(None).cast(fitting.schema["_found"].dataType))
     host, path = host_path(F.col("url"))
     rule, verdict = path_rule(F.col("host"), F.col("path"))
-    judged = pages.withColumns({"host": host, "path": path}).join(fitting, "url", "left").withColumn("rule", rule)
-    return judged.withColumns({"verdict": F.coalesce(verdict, F.col("found.pattern_verdict"), F.lit("allow")), "pattern": F.col("found.pattern")}).drop("found")
+    judged = found.select(*pages.columns, "_found").unionByName(none).withColumns({"host": host, "path": path}).withColumn("rule", rule)
+    return judged.withColumns({"verdict": F.coalesce(verdict, F.col("_found.pattern_verdict"), F.lit("allow")), "pattern": F.col("_found.pattern")}).drop("_found")

@@ -152,7 +152,7 @@ def test_pii(spark):
     text = 'Mail x.34@mail7.example.com, +1 (499) 555-6503 or +1-499-555-6503; 9807915762804490$$$ token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" at 97.51.17.173. Mrs. Anna Smith met Mr Smith and Госпожа Иванова'
     rows = [(1, text, "en"), (2, text.replace("x.34", "y.35"), "en"), (3, None, None), (4, "", None), (5, "clean text 4.0. and Version 2.0", None), (1, text, "en")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, key string")
-    got = pii.replace_pii(frame).orderBy("doc_id").collect()
+    got = pii.replace_pii(frame, "k").orderBy("doc_id").collect()
     assert [r.doc_id for r in got] == [1, 1, 2, 3, 4, 5] and got[0] == got[1] and "key" in got[0]
     assert [r.text for r in got[3:]] == [None, "", "clean text 4.0. and Version 2.0"]
     new = got[0].text
@@ -164,7 +164,46 @@ def test_pii(spark):
     woman, surname = re.search(r"Mrs\. (\w+) (\w+) met Mr (\w+)", new).group(1, 2)
     assert woman.endswith("lina") and f"Mr {surname}" in new and re.search(r"Госпожа [А-Яа-я]+", new)
     assert re.search(r"\S+@\S+\.example", new)[0] != re.search(r"\S+@\S+\.example", got[2].text)[0]
-    assert pii.replace_pii(frame.where("false")).count() == 0
+    assert pii.replace_pii(frame.where("false"), "k").count() == 0
+
+
+def test_pii_against_matches_one_by_one(spark, small):
+    """Surrogates are distinct, the same entity's are the same, and all else is as it was."""
+    import regex
+
+    rng = random.Random(12)
+    first, last = ["Anna", "Eva", "Ida"], ["Smith", "Jones", "Weber"]
+    texts = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").select("text").collect()]
+    texts += [f"Dear {rng.choice(['Mrs', 'Ms'])} {rng.choice(first)} {rng.choice(last)}, call +49 {rng.randrange(100, 999)} {rng.randrange(1000, 9999)} or mail u{rng.randrange(9)}@host{rng.randrange(3)}.com" for _ in range(60)]
+    found = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, _pii_key string, pos int")
+    got = {r.doc_id: r for r in pii.replace_pii(found, "k").collect()}
+    pattern, seen = regex.compile(pii.any_entity().replace(r"\p{IsGreek}", "x")), {}
+    for i, t in enumerate(texts):
+        old = pattern.findall(t) and [m[0] for m in pattern.finditer(t)] or []
+        assert len(got[i]._pii_types) == len(old) and got[i].pos == 1
+        new, at = got[i].text, 0
+        pieces = pattern.split(t)
+        pieces = [x for x in regex.sub(pattern, "\0", t).split("\0")]
+        for k, piece in enumerate(pieces):
+            assert new.startswith(piece, at)
+            at += len(piece)
+            if k < len(old):
+                stop = new.index(pieces[k + 1], at + 1) if pieces[k + 1] else len(new)
+                if got[i]._pii_types[k] in ("email", "hex", "ip", "card"):
+                    norm = regex.sub("[^0-9]", "", old[k]) if got[i]._pii_types[k] == "card" else old[k].lower()
+                    seen.setdefault((got[i]._pii_types[k], norm), set()).add(new[at:stop].lower())
+                at = stop
+        assert at == len(new)
+    assert all(len(v) == 1 for v in seen.values()) and len(seen) > 20
+    assert len({(t, *v) for (t, _), v in seen.items()}) == len(seen)
+
+
+def test_names_without_their_title(spark):
+    text = "Mrs Anna Smith wrote. Anna Smith, or Smith, says that Smithson and Annals stay; Herr Müller too: Müller."
+    got = pii.replace_pii(spark.createDataFrame([(1, text), (2, "Anna Smith is nobody here.")], "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    first, last = re.match(r"Mrs (\w+) (\w+) wrote", got[0].text).groups()
+    assert f"{first} {last}, or {last}, says that Smithson and Annals stay" in got[0].text and "Anna " not in got[0].text and "Müller" not in got[0].text
+    assert got[1].text == "Anna Smith is nobody here."
 
 
 def test_surrogates_are_distinct_under_collisions(spark, monkeypatch):
@@ -319,12 +358,53 @@ def test_ngram_jaccard_of_odd_rows(spark):
 
 def test_url_filters(spark):
     urls = [None, "nothing", "http://WWW.Example.org/es/1?x", "https://a.example.org/en/12#t", "http://x.com/de", "http://x.com/de/1", "http://x.com/fr/", "http://casino-win.example.net/en/1", "http://notcasinos.net/", "http://xample.org/en/1", "http://free-bets.net/responsible-gambling"]
-    frame = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, token string")
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filters.judge(frame).collect()}
+    frame = spark.createDataFrame([(i, u, "h", i) for i, u in enumerate(urls)], "page_id long, url string, Host string, token int")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filters.judge(frame.unionAll(frame)).collect()}
     assert got[0] == got[1] == ("", "", None, "allow")
     assert got[2] == ("www.example.org", "/es/1", "example.org/es/", "block") and got[3][2:] == ("example.org/en/1", "block")
     assert got[4][2:] == (None, "allow") and got[5][2:] == ("com/de/", "block") and got[6][2:] == ("com/fr/", "allow")
     assert got[7][2:] == (None, "block") and got[8][3] == "allow" and got[9][2] == "org/" and got[10][3] == "allow"
+    assert url_filters.judge(frame).count() == len(urls) and url_filters.judge(frame.where("false")).count() == 0
+
+
+def fits(rule, url):
+    """A filter rule on a URL, sign by sign."""
+    body, url = rule.lower().removeprefix("@@"), url.lower()
+    ends = body.endswith("|")
+    middle = re.sub(r"[|]$", "", re.sub(r"^[|]{1,2}", "", body))
+
+    def rest(k, at):
+        if k == len(middle):
+            return not ends or at == len(url)
+        if middle[k] == "*":
+            return any(rest(k + 1, i) for i in range(at, len(url) + 1))
+        if middle[k] == "^":
+            return (at == len(url) and rest(k + 1, at)) or (at < len(url) and not re.match(r"[a-z0-9_.%-]", url[at]) and rest(k + 1, at + 1))
+        return at < len(url) and url[at] == middle[k] and rest(k + 1, at + 1)
+
+    if body.startswith("||"):
+        host = re.match(r"[a-z][a-z0-9+.-]*://([^/?#]*)", url)
+        return bool(host) and any(rest(0, i) for i in range(host.start(1), host.end(1) + 1) if i == host.start(1) or url[i - 1] == ".")
+    return bool(middle) and any(rest(0, i) for i in ([0] if body.startswith("|") else range(len(url) + 1)))
+
+
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_every_url_rule_on_every_url(spark, monkeypatch, broadcast):
+    for name in ("BROADCAST_RULES", "BROADCAST_URLS"):
+        monkeypatch.setattr(url_filters, name, broadcast)
+    rng = random.Random(3)
+    labels = ["ads", "track", "ads2", "bad", "good", "x", "a.b", "pixel", "ädé"]
+    urls = list({f"http{rng.choice(['', 's'])}://{rng.choice(labels)}{rng.choice('.-')}{rng.choice(labels)}.net/{rng.choice(labels)}{rng.choice(['/', '_', '?', '=', '%2F', ''])}{rng.choice(labels).upper()}" for _ in range(250)})
+    # With and without tokens; tokens that are part of a longer one of the URL; signs of regular expressions.
+    rules = ["ads", "ads^", "^ads^", "||ads.", "||ads", "|http://ads", "net/ads|", "||*.net^bad", "/a.b", "a+b", "tr*k^", "||track.*/good^", "^pixel|", "@@||good.", "@@^x^", "", None, "||", "(ads", "[a-z]", "^ads^"]
+    frame = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    table = spark.createDataFrame([(r,) for r in rules], "pattern string")
+    rules = sorted({r for r in rules if r})
+    got = {r.page_id: (r.pattern, r.verdict) for r in url_filters.judge(frame, table).collect()}
+    for i, u in enumerate(urls):
+        found = [r for r in rules if fits(r, u)]
+        allowed = [r for r in found if r.startswith("@@")]
+        assert got[i] == ((allowed or found or [None])[0], "allow" if allowed or not found else "block"), (u, found)
 
 
 def test_language_id(spark, small):
@@ -459,3 +539,79 @@ def test_rows_of_one_id_with_different_texts_lose_no_link(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r.doc_id, r.component_id) for r in ngram_jaccard.classes(frame).collect())
     assert got == [(1, 1), (2, 2), (7, 2), (7, 2), (7, 2), (8, 2), (9, 2)]
+
+
+def test_columns_that_clash_with_new_ones(docs, spark, small):
+    """Repeated rows, tables without rows and columns with the names of the results' own."""
+    some = docs.select("doc_id", "text").where("doc_id < 40")
+    items = spark.createDataFrame([(1, "same words same words same words same words same words")], "item_id long, text string")
+    model = language_id.fitted(spark.read.parquet(f"{small}/documents.parquet"))
+    cases = {
+        "quality": (lambda d: quality_rules.judge(d), ["N_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "content_share", "kept"]),
+        "benchmark": (lambda d: decontamination.decontaminate(d, items), ["n_words", "N_HIT", "n_items", "items_sha256", "_runs", "_items"]),
+        "report": (lambda d: decontamination.report(d, items), ["n_words", "n_hit", "n_items", "items_sha256"]),
+        "language": (lambda d: language_id.predict(d, model), ["lang_pred", "Score"]),
+        "pii": (lambda d: pii.replace_pii(d, "k"), ["_pii_types", "_pii_made", "_pii_key"]),
+        "sharding": (lambda d: sharding.slots(d, sharding.tree()), ["size", "n", "bucket", "shard", "slot", "start", "before"]),
+        "substring": (lambda d: substring_dedup.remove_repeats(d), ["n_words", "chunk", "kept_text", "keep_0"]),
+        "jaccard": (lambda d: ngram_jaccard.classes(d), ["n", "id", "chunk", "s1", "set", "component_id"]),
+    }
+    for name, (run, clashing) in cases.items():
+        plain = run(some)
+        odd = run(some.select("*", *[F.lit(7).alias(c) for c in clashing]))
+        assert odd.columns == plain.columns, name
+        rows = lambda df: sorted(map(repr, df.collect()))
+        expected = rows(plain)
+        assert rows(odd) == expected, name
+        assert run(some.where("false")).count() == 0, name
+        twice = run(some.unionAll(some))
+        assert twice.count() == 2 * len(expected), name
+        if name not in ("sharding", "substring"):
+            assert rows(twice) == sorted(2 * expected), name
+    pages = spark.createDataFrame([(1, "http://a.net/", "<p>x</p>", "old")] * 2, "page_id long, url string, html string, Text string")
+    assert [tuple(r) for r in html_extraction.extract(pages).collect()] == [(1, "http://a.net/", "<p>x</p>", "x")] * 2
+    assert html_extraction.extract(pages.where("false")).count() == 0
+
+
+def test_lines_of_a_document_have_labels_of_their_own():
+    good = ["The thing is here and there among others.\nAnother line of words follows the first one."] * 20
+    good += ["A sentence that tells something to people.\nmenu | home | a%%%\nAnd one more that tells it again.\nmenu | home | a%%%"] * 10
+    bad = ["a%%% b### c***\nd$$$ e&&& f%%%\nA plain sentence stands between the two."] * 20
+    field = quality_rules.fit(good + bad, [False] * 30 + [True] * 20)
+    import pyarrow as pa
+
+    text = "\n".join(["This is a sentence about the thing itself."] * 1 + [f"Sentence x{i} y{i} tells z{i} of w{i} things." for i in range(9)] + ["x%%% y### z***", "u$$$ v&&& w%%%", "r%%% s### t***"])
+    (batch,) = quality_rules._judge([pa.record_batch({"text": pa.array([text])})], *field, "text")
+    share = batch.column("content_share")[0].as_py()
+    assert 0.5 < share < 1 and batch.column("kept")[0].as_py()
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for page in ("<a " * 300_000, "<div>" * 100_000, "<b>" * 100_000 + "</i>" * 100_000, "<!" * 300_000, "<a \"'" * 200_000, "<div>x" * 80_000 + "</div>" * 80_000):
+        start = time.time()
+        html_extraction.scan_page(page, lambda h: False, True, "h")
+        assert time.time() - start < 20
+
+
+def test_templates_against_counting_page_by_page(spark):
+    rng = random.Random(2)
+    boxes = [f"<div><p>Box {i} of the site</p></div>" for i in range(6)]
+    pages = []
+    for i in range(60):
+        own = "".join(f"<p>Page {i} says {k}</p>" for k in range(2))
+        pages.append((i, f"http://h{i % 3}.net/{i}" if i % 10 else None, f"<body><article>{own}{''.join(b for b in boxes if rng.random() < 0.3)}</article></body>"))
+    pages += pages[:5]
+    from collections import defaultdict
+
+    where = defaultdict(set)
+    for _, url, html in pages:
+        if url:
+            for b in boxes:
+                if b in html:
+                    where[url.split("/")[2], b].add(html)
+    got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i, url, html in pages:
+        expected = [m for m in re.findall(r"<p>(.*?)</p>", html) if m.startswith("Page") or url is None or len(where[url.split("/")[2], f"<div><p>{m}</p></div>"]) < html_extraction.LEAST_PAGES]
+        assert got[i] == "\n".join(expected)
