@@ -615,3 +615,26 @@ def test_templates_against_counting_page_by_page(spark):
     for i, url, html in pages:
         expected = [m for m in re.findall(r"<p>(.*?)</p>", html) if m.startswith("Page") or url is None or len(where[url.split("/")[2], f"<div><p>{m}</p></div>"]) < html_extraction.LEAST_PAGES]
         assert got[i] == "\n".join(expected)
+
+
+def test_pipeline_stages_of_odd_rows(spark, small):
+    """Nulls, repeated rows and ids, extra columns that clash, and stages against the operators' results one by one."""
+    import corpus_pipeline
+
+    text = " ".join(f"Word{i} of the story number{i} goes on." for i in range(40))
+    rows = [(1, text, "en", "a", 5, "k", 1), (1, text, "en", "a", 5, "k", 1), (1, text + " Also more.", "en", "b", 5, None, 2), (2, text, None, None, None, "k", 3), (3, None, "en", "a", None, "k", 4), (4, "", "en", "a", 0, "k", 5), (None, text + " Mail a@b.com", "en", "a", 1, "k", 6), (7, "% # * " * 60, "de", "a", 1, "k", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string, `n_words` int")
+    stages = dict(corpus_pipeline.STAGES)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, small)
+        assert out.columns == docs.columns and set(r.kept for r in out.collect()) <= {"k", None}
+    kept = sorted((r.doc_id or 0, r.n_words) for r in stages["quality_rules"](spark, docs, small).collect())
+    assert kept == [(0, 6), (1, 1), (1, 1), (1, 2), (2, 3)]
+    near = sorted((r.doc_id or 0, r.n_words) for r in stages["ngram_jaccard"](spark, docs, small).collect())
+    assert near == [(0, 6), (1, 1), (1, 2), (3, 4), (4, 5), (7, 7)]
+    clean = {r.n_words: r.text for r in stages["decontamination"](spark, docs, small).collect()}
+    assert clean == {r[6]: r[1] for r in rows}
+    private = {r.n_words: r.text for r in stages["pii"](spark, docs, small).collect()}
+    assert {k: v for k, v in private.items() if k != 6} == {r[6]: r[1] for r in rows if r[6] != 6} and "a@b.com" not in private[6]
+    tokens = stages["byte_bpe"](spark, docs, small).collect()
+    assert len(tokens) == len(rows) and all(r.round_trip for r in tokens)
