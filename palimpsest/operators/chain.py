@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: What the first entry of a chain continues, and the actor that entries name.
+#: What the first entry of a chain continues, the actor that entries name where none is given, the
+#: embedder's algorithm, the operation and item of an attestation, and the tag of snapshots.
 GENESIS = "pag:genesis"
 ACTOR = {"agent_id": "memory-service", "attestation_level": "none", "model_id": None}
+ALGORITHM, ATTEST, EMBEDDER, SCHEMA = "hashing-bow/blake2b8", "model-attest", "embedder", "pag/1"
 
-ENTRY = "chain_id int, seq long, day int, op string, item_id string, detail string, payload string, content_hash string, prev_hash string, entry_hash string, sig string"
+ENTRY = "chain_id int, seq long, day int, op string, item_id string, detail string, agent_id string, model_id string, attestation_level string, payload string, content_hash string, prev_hash string, entry_hash string, sig string"
 
 
 def canonical(value: dict) -> str:
@@ -29,42 +31,65 @@ def _sha(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def entry_of(prev: str, seq: int, day: int, op: str, item_id: str, detail: str, payload: str | None, key: bytes | None) -> dict:
+def entry_of(prev: str, seq: int, day: int, op: str, item_id: str, detail: str, payload: str | None, key: bytes | None, actor: dict = ACTOR) -> dict:
     parsed = json.loads(payload) if payload is not None else None
     content = _sha(canonical({"op": op, "item_id": item_id, "detail": detail, "payload": parsed}))
-    entry = _sha(prev + canonical({**ACTOR, "seq": seq, "day": day, "op": op, "item_id": item_id, "detail": detail, "content_hash": content, "payload": parsed}))
-    return {"seq": seq, "day": day, "op": op, "item_id": item_id, "detail": detail, "payload": payload, "content_hash": content, "prev_hash": prev, "entry_hash": entry, "sig": hmac.new(key, entry.encode(), hashlib.sha256).hexdigest() if key else None}
+    entry = _sha(prev + canonical({**actor, "seq": seq, "day": day, "op": op, "item_id": item_id, "detail": detail, "content_hash": content, "payload": parsed}))
+    return {"seq": seq, "day": day, "op": op, "item_id": item_id, "detail": detail, **actor, "payload": payload, "content_hash": content, "prev_hash": prev, "entry_hash": entry, "sig": hmac.new(key, entry.encode(), hashlib.sha256).hexdigest() if key else None}
 
 
 def attest(dim: int) -> dict:
     """Identity of the hashing embedder: a hash of its settings."""
-    print_ = "cfg:" + _sha(canonical({"algorithm": "hashing-bow/blake2b8", "dim": dim}))[:32]
+    print_ = "cfg:" + _sha(canonical({"algorithm": ALGORITHM, "dim": dim}))[:32]
     return {"model": f"hashing-bow-{dim}", "grade": "config-hash", "fingerprint": print_}
 
 
+def declared(model: str) -> dict:
+    """Identity of a model that is known by its name only."""
+    return {"model": model, "grade": "declared", "fingerprint": None}
+
+
+def _given(audit: DataFrame, name: str, default: str | None) -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit(default)) if name in audit.columns else F.lit(default).cast("string")
+
+
+def attested(audit: DataFrame, identity: dict, agent_id: str = ACTOR["agent_id"]) -> DataFrame:
+    """audit with the model's attestation ahead of each chain, and with actors: those given in actor_id, model_id and
+    attestation_level, else agent_id under the attested model."""
+    actor = {"actor_id": (agent_id, "actor_id"), "model_id": (identity["model"], "model_id"), "attestation_level": (identity["grade"], "attestation_level")}
+    rows = audit.select("chain_id", "seq", "day", "op", "item_id", "detail", _given(audit, "payload", None).alias("payload"), *[_given(audit, c, d).alias(n) for n, (d, c) in actor.items()])
+    first = audit.groupBy("chain_id").agg((F.min("seq") - 1).alias("seq")).select(
+        "chain_id", "seq", F.lit(0).alias("day"), F.lit(ATTEST).alias("op"), F.lit(EMBEDDER).alias("item_id"), F.lit(f"{identity['model']} ({identity['grade']})").alias("detail"),
+        F.lit(canonical(identity)).alias("payload"), *[F.lit(d).alias(n) for n, (d, _) in actor.items()],
+    )
+    return first.unionByName(rows)
+
+
 def build(audit: DataFrame, key: bytes | None = None, heads: DataFrame | None = None) -> DataFrame:
-    """ENTRY rows of audit (chain_id, seq, day, op, item_id, detail and, if there, payload), seq from 0 in each chain.
+    """ENTRY rows of audit (chain_id, seq, day, op, item_id, detail and, if there, payload, actor_id, model_id and
+    attestation_level), numbered from 0 in each chain in the order of seq.
 
     A chain is serial by nature. Rows are dealt by chain and sorted, and a task reads them as a stream, so its memory
-    holds a batch and not a chain. heads (chain_id, last_seq, head) continues stored chains.
+    holds a batch and not a chain; a single chain's time follows its length. heads (chain_id, last_seq, head) continues
+    stored chains.
     """
-    rows = audit if "payload" in audit.columns else audit.withColumn("payload", F.lit(None).cast("string"))
-    rows = rows.select("chain_id", "seq", "day", "op", "item_id", "detail", "payload")
+    actor = [_given(audit, c, ACTOR[n]).alias(n) for n, c in (("agent_id", "actor_id"), ("model_id", "model_id"), ("attestation_level", "attestation_level"))]
+    rows = audit.select("chain_id", "seq", "day", "op", "item_id", "detail", _given(audit, "payload", None).alias("payload"), *actor)
     rows = rows.join(heads.select("chain_id", "last_seq", "head"), "chain_id", "left") if heads is not None else rows.withColumns({"last_seq": F.lit(None).cast("long"), "head": F.lit(None).cast("string")})
     ordered = rows.repartition("chain_id").sortWithinPartitions("chain_id", "seq")
     schema = T._parse_datatype_string(ENTRY)
 
     def fold(batches):
-        chain, prev, offset = object(), GENESIS, 0
+        chain, prev, n = object(), GENESIS, 0
         for batch in batches:
             out = []
             for r in batch.to_pylist():
                 if r["chain_id"] != chain:
-                    chain, prev, offset = r["chain_id"], r["head"] or GENESIS, (r["last_seq"] if r["last_seq"] is not None else -1) + 1
-                made = entry_of(prev, r["seq"] + offset, r["day"], r["op"], r["item_id"], r["detail"], r["payload"], key)
-                prev = made["entry_hash"]
+                    chain, prev, n = r["chain_id"], r["head"] or GENESIS, (r["last_seq"] if r["last_seq"] is not None else -1) + 1
+                made = entry_of(prev, n, r["day"], r["op"], r["item_id"], r["detail"], r["payload"], key, {a: r[a] for a in ACTOR})
+                prev, n = made["entry_hash"], n + 1
                 out.append({"chain_id": chain, **made})
-            yield pa.RecordBatch.from_pylist(out, schema=arrow) if out else pa.RecordBatch.from_pylist([], schema=arrow)
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -72,36 +97,30 @@ def build(audit: DataFrame, key: bytes | None = None, heads: DataFrame | None =
     return ordered.mapInArrow(fold, schema)
 
 
-@F.pandas_udf(T.StringType())
-def _escaped(op: pd.Series, item_id: pd.Series, detail: pd.Series, payload: pd.Series) -> pd.Series:
-    """Content as canonical JSON, for characters that Spark's JSON writes another way."""
-    return pd.Series([canonical({"op": o, "item_id": i, "detail": d, "payload": json.loads(p) if p is not None else None}) for o, i, d, p in zip(op, item_id, detail, payload)])
+#: Parts of an entry's content and of its body, and what body hashes are of.
+CONTENT = ["op", "item_id", "detail", "payload"]
+BODY = [*ACTOR, "content_hash", "seq", "day", *CONTENT]
 
 
 @F.pandas_udf(T.StringType())
-def _escaped_body(content: pd.Series, seq: pd.Series, day: pd.Series, op: pd.Series, item_id: pd.Series, detail: pd.Series, payload: pd.Series) -> pd.Series:
-    return pd.Series([canonical({**ACTOR, "content_hash": c, "seq": int(s), "day": int(y), "op": o, "item_id": i, "detail": d, "payload": json.loads(p) if p is not None else None}) for c, s, y, o, i, d, p in zip(content, seq, day, op, item_id, detail, payload)])
+def _escaped(rows: pd.DataFrame) -> pd.Series:
+    """Canonical JSON of rows with a payload, or with characters that Spark's JSON writes another way."""
+    whole = lambda n, v: None if v is None or v != v else json.loads(v) if n == "payload" else int(v) if n in ("seq", "day") else v
+    return pd.Series([canonical({n: whole(n, v) for n, v in r.items()}) for r in rows.to_dict("records")])
 
 
 def _plain() -> Column:
     """Rows whose JSON Spark writes as canonical JSON does: printable ASCII and no payload."""
-    return F.concat_ws("", "op", "item_id", "detail").rlike("^[ -~]*$") & F.col("payload").isNull()
+    return F.concat_ws("", "op", "item_id", "detail", *ACTOR).rlike("^[ -~]*$") & F.col("payload").isNull()
 
 
-def _json(value: Column) -> Column:
-    return F.to_json(value, {"ignoreNullFields": "false"})
-
-
-def content_hash() -> Column:
-    plain = _json(F.struct("detail", "item_id", "op", F.lit(None).cast("string").alias("payload")))
-    return F.sha2(F.when(_plain(), plain).otherwise(_escaped("op", "item_id", "detail", "payload")), 256)
-
-
-def entry_hash(prev: Column) -> Column:
-    fixed = [F.lit(ACTOR["agent_id"]).alias("agent_id"), F.lit(ACTOR["attestation_level"]).alias("attestation_level")]
-    none = F.lit(None).cast("string")
-    plain = _json(F.struct(*fixed, "content_hash", "day", "detail", "item_id", none.alias("model_id"), "op", none.alias("payload"), "seq"))
-    return F.sha2(F.concat(prev, F.when(_plain(), plain).otherwise(_escaped_body("content_hash", "seq", "day", "op", "item_id", "detail", "payload"))), 256)
+def hashed(entries: DataFrame) -> DataFrame:
+    """entries with _content and _entry, what content_hash and entry_hash should be. Only rows that aren't plain go to Python."""
+    none = F.lit(None).cast("string").alias("payload")
+    json_ = lambda names: F.to_json(F.struct(*[none if n == "payload" else F.col(n) for n in sorted(names)]), {"ignoreNullFields": "false"})
+    own = {"_content": F.sha2(json_(CONTENT), 256), "_entry": F.sha2(F.concat("prev_hash", json_(BODY)), 256)}
+    odd = {"_content": F.sha2(_escaped(F.struct(*CONTENT)), 256), "_entry": F.sha2(F.concat("prev_hash", _escaped(F.struct(*BODY))), 256)}
+    return entries.where(_plain()).withColumns(own).unionByName(entries.where(~_plain()).withColumns(odd))
 
 
 def hmac_sha256(message: Column, key: bytes) -> Column:
@@ -113,17 +132,21 @@ def hmac_sha256(message: Column, key: bytes) -> Column:
 
 def verify(entries: DataFrame, key: bytes | None = None) -> DataFrame:
     """A row for each chain: ok, length, broken_at (the first entry that doesn't continue the one before), signed,
-    sig_failures before it, and whether all content hashes fit."""
-    place = Window.partitionBy("chain_id").orderBy("seq")
-    linked = entries.withColumn("_before", F.lag("entry_hash", 1, GENESIS).over(place)).withColumn("_n", F.row_number().over(place))
-    fits = (F.col("prev_hash") == F.col("_before")) & (F.col("entry_hash") == entry_hash(F.col("prev_hash")))
+    sig_failures before it, and whether all content hashes fit.
+
+    An entry meets the one before it by an equi-join of chain and number, so that a chain's entries are spread over
+    tasks; one without a predecessor, or with two, is broken.
+    """
+    before = entries.groupBy("chain_id", (F.col("seq") + 1).alias("seq")).agg(F.min("entry_hash").alias("_before"), F.count("*").alias("_twins"))
+    linked = hashed(entries).join(before, ["chain_id", "seq"], "left")
+    first = F.when(F.col("seq") == 0, F.lit(GENESIS)).when(F.col("_twins") == 1, F.col("_before"))
+    fits = (F.col("prev_hash") == first) & (F.col("entry_hash") == F.col("_entry"))
     forged = F.lit(False) if not key else ~F.coalesce(F.col("sig") == hmac_sha256(F.col("entry_hash"), key), F.lit(False))
-    judged = linked.select("chain_id", "seq", "_n", (~F.coalesce(fits, F.lit(False))).alias("bad"), forged.alias("forged"), (F.col("content_hash") == content_hash()).alias("content_fits"))
-    first = judged.groupBy("chain_id").agg(F.count("*").alias("length"), F.min_by("seq", F.when(F.col("bad"), F.col("_n"))).alias("broken_at"), F.min(F.when(F.col("bad"), F.col("_n"))).alias("_at"), F.min("content_fits").alias("content_ok"))
-    failures = judged.where("forged").select("chain_id", "seq", "_n").join(first.select("chain_id", "_at"), "chain_id").where("_at is null or _n < _at").groupBy("chain_id").agg(F.array_sort(F.collect_list("seq")).alias("sig_failures"))
-    report = first.withColumn("broken_at", F.when(F.col("_at").isNotNull(), F.col("broken_at"))).join(failures, "chain_id", "left")
-    sigs = F.coalesce("sig_failures", F.array().cast("array<bigint>"))
-    return report.select("chain_id", (F.col("broken_at").isNull() & (F.size(sigs) == 0)).alias("ok"), "length", "broken_at", F.lit(bool(key)).alias("signed"), sigs.alias("sig_failures"), "content_ok")
+    judged = linked.select("chain_id", "seq", (~F.coalesce(fits, F.lit(False))).alias("bad"), forged.alias("forged"), F.coalesce(F.col("content_hash") == F.col("_content"), F.lit(False)).alias("content_fits"))
+    report = judged.groupBy("chain_id").agg(F.count("*").alias("length"), F.min(F.when(F.col("bad"), F.col("seq"))).alias("broken_at"), F.min("content_fits").alias("content_ok"), F.collect_list(F.when(F.col("forged"), F.col("seq"))).alias("_forged"))
+    sigs = F.array_sort(F.filter("_forged", lambda s: F.col("broken_at").isNull() | (s < F.col("broken_at"))))
+    report = report.withColumn("sig_failures", sigs)
+    return report.select("chain_id", (F.col("broken_at").isNull() & (F.size("sig_failures") == 0)).alias("ok"), "length", "broken_at", F.lit(bool(key)).alias("signed"), "sig_failures", "content_ok")
 
 
 def heads(entries: DataFrame) -> DataFrame:
@@ -133,7 +156,7 @@ def heads(entries: DataFrame) -> DataFrame:
 def export(entries: DataFrame, path: str) -> None:
     """A snapshot: the entries, and a manifest with each chain's head."""
     entries.write.mode("overwrite").json(f"{path}/entries")
-    heads(entries).withColumn("schema", F.lit("pag/1")).write.mode("overwrite").json(f"{path}/manifest")
+    heads(entries).withColumn("schema", F.lit(SCHEMA)).write.mode("overwrite").json(f"{path}/manifest")
 
 
 def restore(spark: SparkSession, path: str, key: bytes | None = None) -> DataFrame:

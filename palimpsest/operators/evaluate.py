@@ -208,3 +208,11 @@ def stem(word: str) -> str:
     if word.endswith("ll") and _measure(word) > 1:
         word = word[:-1]
     return word
+
+
+def report_rows(metrics: DataFrame, by: list[str], places: int = 3) -> DataFrame:
+    """A report as rows: by's columns, metric, value (rounded), and null values left out; a null in by is "overall"."""
+    named = [c for c in metrics.columns if c not in by]
+    keys = [F.coalesce(F.col(c).cast("string"), F.lit("overall")).alias(c) for c in by]
+    long = metrics.select(*keys, *[F.col(c).cast("double").alias(c) for c in named]).unpivot(by, named, "metric", "value")
+    return long.where("value is not null").withColumn("value", F.round("value", places))

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.items import Policy, blended, expired
+from ..session import staged
 
 #: Queries that are sent to all tasks at once; more are taken in blocks, a scan each.
 QUERY_BLOCK = 4096
@@ -29,34 +30,58 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def _first(sim: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the n greatest, by id where equal."""
+    order = np.lexsort((ids, -sim), axis=1)[:, :n]
+    return np.take_along_axis(sim, order, 1), np.take_along_axis(ids, order, 1)
+
+
 def exact_top(vectors: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     """query_id, agent_id, vec_id, sim and rank of the n nearest vectors of the query's agent (fewer if it has fewer).
+    Where vectors have a last day, `until`, and queries a `day`, a query doesn't see vectors whose last day has passed.
 
-    Queries (query_id, agent_id, embedding) go to the tasks in blocks of bounded size; each batch of vectors is
-    multiplied by those of its agents and gives its own n best, so only winners are shuffled.
+    Queries (query_id, agent_id, embedding) go to the tasks in blocks of bounded size, one block after the other; a
+    task multiplies each batch of vectors by those of its agents and keeps the n best so far of each query, so only
+    its winners are shuffled.
     """
     spark = vectors.sparkSession
-    corpus = vectors.where("embedding is not null").select("vec_id", F.col("agent_id").cast("int").alias("agent_id"), "embedding")
-    asked = queries.where("embedding is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("agent_id").cast("int").alias("agent_id"), "embedding")
+    never = F.lit(2**31 - 1)
+    until = F.coalesce(F.col("until").cast("int"), never) if "until" in vectors.columns else never
+    corpus = vectors.where("embedding is not null").select("vec_id", F.col("agent_id").cast("int").alias("agent_id"), until.alias("until"), "embedding")
+    day = F.coalesce(F.col("day").cast("int"), F.lit(-(2**31))) if "day" in queries.columns else F.lit(-(2**31))
+    asked = queries.where("embedding is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("agent_id").cast("int").alias("agent_id"), day.alias("day"), "embedding")
     blocks, out = max(1, math.ceil(asked.count() / QUERY_BLOCK)), None
+    asked = staged(asked, "asked") if blocks > 1 else asked
     for block in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()
-        sent = spark.sparkContext.broadcast((part["query_id"].to_numpy(), part["agent_id"].to_numpy(), _matrix(part["embedding"])))
+        sent = spark.sparkContext.broadcast((part["query_id"].to_numpy(), part["agent_id"].to_numpy(), part["day"].to_numpy(), _matrix(part["embedding"])))
 
         def best(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterable[pa.RecordBatch]:
-            ids, agents, matrix = sent.value
+            ids, agents, days, matrix = sent.value
+            held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
             for batch in batches:
-                agent, vec, rows = batch.column("agent_id").to_numpy(), batch.column("vec_id").to_numpy(), _matrix(batch.column("embedding"))
-                for a in np.unique(agent):
+                agent, vec, last, rows = batch.column("agent_id").to_numpy(), batch.column("vec_id").to_numpy(), batch.column("until").to_numpy(), _matrix(batch.column("embedding"))
+                for a in np.unique(agent).tolist():
                     mine, asks = np.flatnonzero(agent == a), np.flatnonzero(agents == a)
                     if not len(asks):
                         continue
+                    mine = mine[np.argsort(vec[mine], kind="stable")]
                     sim = np.round(matrix[asks] @ rows[mine].T, 6)
-                    for q, row in zip(asks, sim):
-                        top = np.lexsort((vec[mine], -row))[:n]
-                        yield pa.record_batch([pa.array(np.full(len(top), ids[q])), pa.array(np.full(len(top), a, np.int32)), pa.array(vec[mine][top]), pa.array(row[top])], names=["query_id", "agent_id", "vec_id", "sim"])
+                    sim[days[asks][:, None] > last[mine][None, :]] = -np.inf
+                    # Vectors are in order of ids, so a stable order of similarities settles ties.
+                    order = np.argsort(-sim, axis=1, kind="stable")[:, :n]
+                    sim, own = np.take_along_axis(sim, order, 1), vec[mine][order]
+                    if a in held:
+                        sim, own = _first(np.concatenate([held[a][1], sim], axis=1), np.concatenate([held[a][2], own], axis=1), n)
+                    held[a] = (asks, sim, own)
+            for a, (asks, sim, own) in held.items():
+                q, k = np.nonzero(sim > -np.inf)
+                yield pa.record_batch([pa.array(ids[asks[q]]), pa.array(np.full(len(q), a, np.int32)), pa.array(own[q, k]), pa.array(sim[q, k])], names=["query_id", "agent_id", "vec_id", "sim"])
 
         found = corpus.mapInArrow(best, HITS)
+        if blocks > 1:
+            found = staged(found, "hits")
+            sent.unpersist()
         out = found if out is None else out.unionAll(found)
     return ranked(out, n)
 
@@ -66,22 +91,47 @@ def ranked(hits: DataFrame, n: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def approximate_top(vectors: DataFrame, queries: DataFrame, n: int, cells: int = 16, probe: int = 8, seed: int = 7) -> DataFrame:
-    """As exact_top over the vectors of the query's nearest cells only: k-means centres are fitted on a bounded
-    sample, every vector is filed under its nearest one, and a query probes several. Scores are exact."""
+#: Vectors that cells are fitted on, at most, and queries among them that the number of probed cells is found with.
+FIT_VECTORS, TRIED = 20_000, 200
+
+
+def probes(sample: np.ndarray, agents: np.ndarray, centres: np.ndarray, n: int, target: float) -> int:
+    """The least number of nearest cells that hold the target's share of the n nearest, over vectors of the sample."""
+    far = lambda rows: (centres**2).sum(axis=1) - 2 * rows @ centres.T
+    cell = far(sample).argmin(axis=1)
+    depths = []
+    for i in np.linspace(0, len(sample) - 1, min(TRIED, len(sample))).astype(int).tolist():
+        mine = np.flatnonzero(agents == agents[i])
+        top = mine[np.argsort(-(sample[mine] @ sample[i]), kind="stable")[:n]]
+        depths.append(np.argsort(np.argsort(far(sample[i : i + 1])[0]))[cell[top]])
+    depths = np.concatenate(depths) if depths else np.zeros(1)
+    return int(np.quantile(depths, target, method="higher")) + 1
+
+
+def approximate_top(vectors: DataFrame, queries: DataFrame, n: int, cells: int | None = None, target: float = 0.97, seed: int = 7) -> DataFrame:
+    """As exact_top over the vectors of the query's nearest cells only: k-means centres are fitted on a bounded sample,
+    every vector is filed under its nearest one, and a query probes as many as a recall of target needs, measured on
+    the sample. The number of cells follows the number of vectors. Scores are exact."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    total = vectors.count()
-    sample = vectors.where("embedding is not null").sample(min(1.0, 20_000 / max(total, 1)), seed).select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    centres = np.array(KMeans(k=cells, seed=seed, maxIter=10).fit(sample).clusterCenters())
+    known = vectors.where("embedding is not null").select("vec_id", "agent_id", "embedding")
+    total = known.count()
+    if not total:
+        return exact_top(vectors, queries, n)
+    cells = cells or min(1024, max(4, round(math.sqrt(total) / 4)))
+    # The first by hash: the same sample in every run.
+    sample = staged(known.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(FIT_VECTORS), "sample")
+    centres = np.array(KMeans(k=min(cells, total), seed=seed, maxIter=10).fit(sample.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))).clusterCenters())
+    rows = sample.select("agent_id", "embedding").toArrow()
+    probe = probes(_matrix(rows["embedding"]), rows["agent_id"].to_numpy(), centres, n, target)
     sent = vectors.sparkSession.sparkContext.broadcast(centres)
 
     def near(count: int) -> Callable:
         def file(batches):
             for batch in batches:
                 rows = _matrix(batch.column(batch.schema.get_field_index("embedding")))
-                d = (sent.value**2).sum(axis=1) - 2 * rows @ sent.value.T if len(rows) else np.zeros((0, cells))
+                d = (sent.value**2).sum(axis=1) - 2 * rows @ sent.value.T if len(rows) else np.zeros((0, len(sent.value)))
                 yield batch.append_column("cells", pa.array(np.argsort(d, axis=1)[:, :count].astype(np.int32).tolist(), pa.list_(pa.int32())))
 
         return file
@@ -89,25 +139,31 @@ def approximate_top(vectors: DataFrame, queries: DataFrame, n: int, cells: int =
     def filed(df: DataFrame, count: int) -> DataFrame:
         return df.mapInArrow(near(min(count, len(centres))), df.withColumn("cells", F.array().cast("array<int>")).schema).withColumn("cell", F.explode("cells")).drop("cells")
 
-    corpus = filed(vectors.where("embedding is not null").select("vec_id", "agent_id", "embedding"), 1)
-    asked = filed(queries.select("query_id", "agent_id", F.col("embedding")), probe).withColumnRenamed("embedding", "q")
+    corpus = filed(known, 1)
+    asked = filed(queries.where("embedding is not null").select("query_id", "agent_id", F.col("embedding")), probe).withColumnRenamed("embedding", "q")
     from ..functions.items import dot
 
     pairs = corpus.join(asked, ["agent_id", "cell"]).select("query_id", "agent_id", "vec_id", F.round(dot(F.col("q"), F.col("embedding")), 6).alias("sim"))
     return ranked(pairs, n)
 
 
-def recall(vectors: DataFrame, queries: DataFrame, k: int, now: int, policy: Policy = Policy()) -> DataFrame:
+def recall(vectors: DataFrame, queries: DataFrame, k: int, now: int | None = None, policy: Policy = Policy()) -> DataFrame:
     """The k best by blended score among the max(4k, 20) nearest: an item outside that shortlist can't come back.
-    vectors: vec_id, agent_id, embedding, created_day, importance and, if there, ttl_days, superseded_by."""
+    vectors: vec_id, agent_id, embedding, created_day, importance and, if there, ttl_days, superseded_by. The day is
+    now, or each query's own in a column `day`."""
+    if now is None and "day" not in queries.columns:
+        raise ValueError("a day is needed: now, or queries with a column day")
+    asked = queries if now is None else queries.withColumn("day", F.lit(now))
     pool = vectors
     if "superseded_by" in pool.columns:
         pool = pool.where("superseded_by is null")
     if "ttl_days" in pool.columns:
-        pool = pool.where(~expired(F.col("created_day"), F.col("ttl_days"), F.lit(now)))
-    short = exact_top(pool, queries, max(4 * k, 20)).drop("rank")
+        pool = pool.withColumn("until", F.col("created_day") + F.col("ttl_days"))
+        pool = pool if now is None else pool.where(~expired(F.col("created_day"), F.col("ttl_days"), F.lit(now)))
+    short = exact_top(pool, asked, max(4 * k, 20)).drop("rank")
     items = pool.select("vec_id", "created_day", "importance")
-    scored = short.join(items, "vec_id").withColumn("score", blended(F.col("sim"), F.col("created_day"), F.col("importance"), F.lit(now), policy))
+    short = short.withColumn("_day", F.lit(now)) if now is not None else short.join(asked.select("query_id", F.col("day").alias("_day")), "query_id")
+    scored = short.join(items, "vec_id").withColumn("score", blended(F.col("sim"), F.col("created_day"), F.col("importance"), F.col("_day"), policy)).drop("_day")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("sim"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -123,8 +179,8 @@ def public_hits(hits: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def vector_ids(items: DataFrame) -> DataFrame:
-    """A number for each item that stays over rebuilds."""
-    return items.withColumn("vec_id", F.xxhash64("agent_id", "id"))
+    """A number of 60 bits for each item that stays over rebuilds: the first digits of an MD5 of its agent and id."""
+    return items.withColumn("vec_id", F.conv(F.substring(F.md5(F.concat_ws("|", F.col("agent_id").cast("string"), "id").cast("binary")), 1, 15), 16, 10).cast("long"))
 
 
 def without(vectors: DataFrame, ids: DataFrame) -> DataFrame:

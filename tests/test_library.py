@@ -13,7 +13,7 @@ from palimpsest.plans import registry
 from palimpsest.sources import records
 
 TABLES = "documents embeddings benchmark conversations events".split()
-FAST = ["p1_ingest", "a1_dedupe", "a2_consolidate", "a3_consolidation_audit", "a4_stats", "p6_retention", "p7_candidates", "w4_working_memory", "j4_lineage", "t1_exact_top", "t3_recall", "u4_hit_flags", "a5_ablation", "a6_retrieval_metrics", "x4_chain_build", "w3_chain_verify", "r2_stream_current", "r4_stream_working_memory", "r6_stream_chain"]
+FAST = ["p1_ingest", "a1_dedupe", "a2_consolidate", "a3_consolidation_audit", "a4_stats", "p6_retention", "p7_candidates", "w4_working_memory", "j4_lineage", "t1_exact_top", "t3_recall", "u4_hit_flags", "a5_ablation", "a6_retrieval_metrics", "s7_report_rows", "t3_recall_by_day", "w6_vector_ids", "x4_chain_build", "x4_attested_chain", "s5_snapshot", "w3_chain_verify", "r2_stream_current", "r4_stream_working_memory", "r6_stream_chain"]
 
 
 def rows(frame):
@@ -193,3 +193,101 @@ def test_evaluation_by_search_equals_brute_force(spark, small):
         row = np.where(stated.agent_id == agent, np.round(made @ asked, 6), -9)
         best = np.lexsort((stated.seq, -row))[:5]
         assert [v if isinstance(v, str) else None for v in hits[f"{agent}|{subject}|{attribute}"]] == [value[i] if isinstance(value[i], str) else None for i in best if row[i] > -9]
+
+
+def test_chain_of_two_writers_and_gaps(spark):
+    log = spark.createDataFrame([(c, n, n, "write", f"M{n}", "x") for c in (1, 2) for n in range(6)], LOG)
+    log = log.withColumn("actor_id", F.when(F.col("seq") % 2 == 1, "planner")).withColumn("model_id", F.when(F.col("seq") % 2 == 1, "modèle"))
+    built = chain.build(chain.attested(log, chain.attest(64))).cache()
+    first = built.where("chain_id = 1").orderBy("seq").collect()
+    assert [r.seq for r in first] == list(range(7)) and first[0].op == "model-attest" and first[0].detail == "hashing-bow-64 (config-hash)"
+    assert [r.agent_id for r in first] == ["memory-service"] * 2 + ["planner", "memory-service"] * 2 + ["planner"]
+    assert {r.model_id for r in first} == {"hashing-bow-64", "modèle"} and chain.declared("m")["grade"] == "declared"
+    report = {r.chain_id: r for r in chain.verify(built).collect()}
+    assert all(r.ok and r.content_ok and r.length == 7 for r in report.values())
+    at = lambda df: {r.chain_id: r.broken_at for r in chain.verify(df).collect()}
+    one = F.col("chain_id") == 1
+    assert at(built.where(~one | (F.col("seq") != 3))) == {1: 4, 2: None}
+    assert at(built.where(~one | (F.col("seq") != 0))) == {1: 1, 2: None}
+    assert at(built.withColumn("agent_id", F.when(one & (F.col("seq") == 2), "other").otherwise(F.col("agent_id")))) == {1: 2, 2: None}
+    assert at(built.unionAll(built.where(one & (F.col("seq") == 4)))) == {1: 5, 2: None}
+    assert chain.verify(built.where("false")).count() == 0
+
+
+def test_plain_rows_stay_in_the_jvm(spark):
+    plan = chain.hashed(chain.build(spark.createDataFrame([], LOG))).where("payload is null")._jdf.queryExecution().optimizedPlan().toString()
+    # Python is above the filter of rows that aren't plain.
+    assert "ArrowEvalPython" in plan and plan.index("Union") < plan.index("ArrowEvalPython")
+
+
+#: Attribute, value, last day, statements, in the order of ids, of the golden consolidation.
+STATED = [
+    ("name", "Jordan Ellison", 10, 2), ("employee_id", "E-44817", 17, 2), ("home_city", "Denver", 15, 2), ("hire_date", "2019-06-03", 17, 2), ("timezone", "Mountain Time", 3, 1),
+    ("current_manager", "Alice Reyes", 6, 2), ("current_manager", "Bob Tran", 40, 1), ("current_project", "Project Atlas", 23, 2), ("current_project", "Project Borealis", 28, 1), ("current_project", "Project Cygnus", 62, 1),
+    ("job_title", "Senior Analyst", 22, 2), ("job_title", "Staff Analyst", 55, 1), ("office_location", "Floor 3, Building A", 4, 1), ("office_location", "fully remote", 70, 1),
+    ("primary_metric", "weekly active users", 12, 2), ("primary_metric", "net revenue retention", 33, 1), ("preferred_ide", "VS Code", 10, 2), ("preferred_ide", "PyCharm", 48, 1),
+    ("sprint_goal", "ship the ingestion API", 15, 2), ("sprint_goal", "cut p99 latency below 200ms", 24, 1), ("sprint_goal", "instrument retention dashboards", 38, 1), ("sprint_goal", "harden the eval harness", 66, 1),
+]
+
+
+def test_golden_run_of_interactions(spark, tmp_path):
+    """Files to the searchable set: 42 statements, 22 active items, 10 superseded ones."""
+    import json
+
+    rows = []
+    for attribute, value, day, times in STATED:
+        for back in reversed(range(times)):
+            rows.append({"id": f"M{len(rows) + 1:04d}", "ts_day": day - back, "text": f"My {attribute} is {value}.", "type": "episodic", "subject": "user", "attribute": attribute, "value": value, "importance": 0.8})
+    rows += [{"id": f"M{33 + i:04d}", "ts_day": i, "text": f"Thing number {i}.", "type": "episodic", "subject": None, "attribute": None, "value": None, "importance": 0.3, "provenance": f"session:{i}"} for i in range(10)]
+    assert len(rows) == 42
+    (tmp_path / "interactions.jsonl").write_text("\n\n".join(map(json.dumps, rows)))
+    found = records.interactions(spark, str(tmp_path / "interactions.jsonl"))
+    assert found.count() == 42 and found.agg(F.max("seq")).first()[0] == 42
+    memories = lifecycle.ingest(found)
+    semantic = lifecycle.consolidate(memories)
+    pool = lifecycle.candidates(memories, semantic, 71)
+    assert pool.count() == 22 and semantic.where("superseded_by is not null").count() == 10 and semantic.agg(F.sum("support")).first()[0] == 32
+    current = {r.attribute: (r.value, r.created_day, r.support) for r in lifecycle.active(semantic).collect()}
+    assert current == {a: (v, d, n) for a, v, d, n in STATED}
+    asked = spark.createDataFrame([(1, 0, "Who is my current manager? current_manager")], "query_id long, agent_id int, content string")
+    held = search.embed(search.vector_ids(pool))
+    hits = search.recall(held, search.embed(asked), 5, 71).join(held.select("vec_id", "content"), "vec_id")
+    said = " ".join(r.content for r in hits.collect())
+    assert "Bob Tran" in said and "Alice Reyes" not in said
+
+
+def test_gold_queries_reader(spark, tmp_path):
+    (tmp_path / "q.jsonl").write_text('{"id": "Q1", "query": "Who?", "subject": "user", "attribute": "a", "gold_value": "x", "prior_values": ["y", "z"], "category": "changing"}\n\n{"id": "Q2", "query": "What?", "subject": null, "attribute": "b", "gold_value": "v", "prior_values": [], "category": "stable"}\n')
+    got = {r.id: r for r in records.gold_queries(spark, str(tmp_path / "q.jsonl")).collect()}
+    assert set(got) == {"Q1", "Q2"} and got["Q1"].prior_values == ["y", "z"] and got["Q2"].prior_values == []
+
+
+def test_another_encoder(spark):
+    import numpy as np
+
+    def factory():
+        return lambda texts: np.array([[len(t), t.count("a"), 1] for t in texts], np.float32)
+
+    rows = spark.createDataFrame([(1, "banana"), (2, None), (3, "x" * 70)], "id long, content string")
+    got = {r.id: list(r.embedding) for r in search.embed(rows, encode=factory, batch=2).collect()}
+    assert got == {1: [6.0, 3.0, 1.0], 2: [0.0, 0.0, 1.0], 3: [70.0, 0.0, 1.0]}
+
+
+def test_approximate_search_reaches_its_recall(spark, small):
+    v = records.vectors_of(spark.read.parquet(f"{small}/embeddings.parquet"))
+    q = records.vector_queries(v)
+    exact = {(r.query_id, r.vec_id) for r in search.exact_top(v, q, 10).collect()}
+    near = {(r.query_id, r.vec_id) for r in search.approximate_top(v, q, 10).collect()}
+    assert len(exact & near) >= 0.9 * len(exact)
+    assert search.approximate_top(v.where("false"), q, 10).count() == 0
+
+
+def test_exact_search_in_blocks_and_days(spark, small, monkeypatch):
+    v = records.vectors_of(spark.read.parquet(f"{small}/embeddings.parquet")).withColumn("until", F.when(F.col("vec_id") % 2 == 0, 5)).repartition(3)
+    q = records.vector_queries(v).withColumn("day", (F.col("query_id") / 25 % 10).cast("int"))
+    rows = lambda: sorted((r.query_id, r.rank, r.vec_id, r.sim) for r in search.exact_top(v, q, 4).collect())
+    whole = rows()
+    monkeypatch.setattr(search, "QUERY_BLOCK", 6)
+    assert rows() == whole
+    day = {r.query_id: r.day for r in q.collect()}
+    assert all(vec % 2 or day[query] <= 5 for query, _, vec, _ in whole) and any(vec % 2 == 0 for _, _, vec, _ in whole)
