@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .batches import replaced, with_columns, without
 
 #: Distinct pre-tokens, of at most LONGEST_KEPT characters, whose ids a task keeps; beyond, it starts anew.
-KEPT, LONGEST_KEPT = 200_000, 64
+KEPT, LONGEST_KEPT = 100_000, 64
 
 #: Characters of texts that a task splits at once, if not one text has more, and of those whose new pre-tokens are
 #: merged together, so that a step of the queue has many positions.
-GROUP_CHARS, MERGED_CHARS = 1_000_000, 4_000_000
+GROUP_CHARS, MERGED_CHARS = 250_000, 1_000_000
 
 #: Positions of a bucket that are worked off one by one.
 FEW = 60
@@ -344,7 +344,7 @@ _coders: dict[int, Coder] = {}
 
 
 def _coder(sent, name: int) -> Coder:
-    # A worker's later tasks use the coder, and what it has kept, again.
+    # A worker's later tasks use the coder again, but not the ids it has kept.
     if name not in _coders:
         _coders.clear()
         _coders[name] = Coder(sent.value)
@@ -381,6 +381,8 @@ def _encode(batches, text: str, sent, name: int, new: tuple[str, ...]):
             chars = 0
     if held:
         yield from done()
+    # Workers outlive the stage, and so would this.
+    coder.kept = {}
 
 
 def _sent(spark: SparkSession, path: str):

@@ -68,11 +68,13 @@ def shingles(column, size: int) -> tuple[np.ndarray, np.ndarray]:
     for length in sorted({min(size, n) for n in np.unique(counts).tolist() if n}):
         at, h = words.windows(length)
         own = np.minimum(counts[words.doc[at]], size) == length
-        rows.append(words.doc[at[own]])
+        rows.append(words.doc[at[own]].astype(np.int32))
         hashes.append(mix(h[own] + U64(length)))
+    del words
     if not rows:
         return np.zeros(0, U64), np.zeros(len(counts) + 1, np.int64)
     row, h = np.concatenate(rows), np.concatenate(hashes)
+    del rows, hashes
     order = np.lexsort((h, row))
     row, h = row[order], h[order]
     new = np.ones(len(h), bool)
