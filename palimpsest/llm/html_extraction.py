@@ -5,7 +5,8 @@ notices, adverts, forms or comments are left out. Of what remains, every block's
 of article and main elements (not these themselves); Spark counts on how many distinct pages of a host each hash
 occurs, and subtrees that recur on many of them are deleted. A page with an article or main element gives what is left
 of these; others give all that is left. Inside and outside are counted apart: what is a box around the articles can be
-quoted in one.
+quoted in one. Inside, only boxes are hashed (div, section, list, table and the like): a heading or paragraph that
+articles share, as near copies and license lines do, is their text and no part of a template.
 
 Cases: null html is empty, and gives an empty text; pages with a null url, or one without "://", are of no host and have
 no templates; pages of a host whose text is equal before the deletion count as one, so copies don't make their own text
@@ -44,6 +45,9 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 #: Elements that begin and end a block of text.
 BLOCKS = set("html address article aside blockquote body caption center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 
+#: Blocks of text; an article's own aren't templates, however many articles share them.
+TEXT_BLOCKS = set("address blockquote caption center dd dt figcaption h1 h2 h3 h4 h5 h6 hr legend li p pre summary tbody td tfoot th thead tr".split())
+
 #: Words of class, id and role that mark what isn't main text.
 MARKS = set("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent disqus footer header menu modal nav navbar navigation newsletter notice notices popup promo related search share sharing sidebar social sponsor sponsored subscribe toolbar".split())
 
@@ -113,7 +117,7 @@ def scan_page(page: str, is_template: Callable[[int], bool] | None = None, want_
                 del trail[start:]
                 h = _hash(whole)
                 trail.append(f"{h:x}")
-                if len(blocks) > n_blocks and (own or articles == before) and tag not in ("html", "body", "article", "main"):
+                if len(blocks) > n_blocks and tag not in UNMARKED and (tag not in TEXT_BLOCKS if own else articles == before):
                     h = _hash(f"{host}\0{h:x}", b"own" if own else b"")
                     if want_hashes:
                         hashes.add(h)

@@ -452,9 +452,14 @@ def test_html_templates_inside_articles(spark):
     rows = [(i, f"http://h.net/{i}", article.format(i)) for i in range(8)]
     # Copies of an article, in pages that differ around it, keep their text; so does a box of one page only.
     rows += [(10 + i, f"http://c.net/{i}", f"<nav>{i}</nav>" + article.format("x")) for i in range(8)] + [(20, "http://o.net/", article.format("y"))]
+    # Headings and paragraphs that unlike articles of a host share stay; outside of articles such paragraphs go.
+    rows += [(30 + i, f"http://n.net/{i}", f"<p>Around</p><article><h1>Same title</h1><p>Story {i}</p><ul><li>Part {i}<li>Same part</ul><p>Same end</p></article>") for i in range(8)]
+    rows += [(40 + i, f"http://p.net/{i}", f"<p>Around</p><p>Story {i}</p>") for i in range(8)]
     got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert [got[i] for i in range(8)] == [f"Title {i}\nStory {i}" for i in range(8)]
     assert {got[10 + i] for i in range(8)} == {"Title x\nStory x\nAbout the author\nWrites here since long ago"} and got[20].endswith("long ago")
+    assert [got[30 + i] for i in range(8)] == [f"Same title\nStory {i}\nPart {i}\nSame part\nSame end" for i in range(8)]
+    assert [got[40 + i] for i in range(8)] == [f"Story {i}" for i in range(8)]
 
 
 @pytest.mark.parametrize("broadcast", [1_000_000, 0])
