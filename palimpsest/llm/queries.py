@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, html_extraction, language_id, ngram_jaccard, pii, quality_rules, sharding, substring_dedup, url_filters
+from . import bpe, decontamination, fill_in_middle, html_extraction, language_id, lexical_search, ngram_jaccard, pii, quality_rules, sequence_packing, sharding, substring_dedup, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vocabulary() -> str:
-    """The place of the tokenizer's vocabulary on this machine."""
+def vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
+    """The place of a tokenizer's file on this machine."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return public_tokenizers.path(name)
 
 
 #: The key of surrogates over the test tables; production runs have a secret one.
@@ -72,7 +74,23 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_substring_dedup, op3_byte_bpe, op4_pii, op5_quality_rules, op6_decontamination, op7_ngram_jaccard, op8_url_filters, op9_language_id, op10_html_extraction)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fill_in_middle.transform(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blob = Path(vocabulary("byte_bpe_50k.json")).read_text()
+    pieces = sequence_packing.pieces(_table(spark, sf_dir, "documents").select("doc_id", "text"), blob, ids=False)
+    return sequence_packing.packed(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_substring_dedup, op3_byte_bpe, op4_pii, op5_quality_rules, op6_decontamination, op7_ngram_jaccard, op8_url_filters, op9_language_id, op10_html_extraction, op11_fill_in_middle, op12_best_fit_packing, op13_lexical_search)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -133,6 +151,29 @@ CASE {verdict} WHEN f.allow THEN 'allow' WHEN NOT f.allow THEN 'block' ELSE 'all
 """
 
 
+_OP11 = r"""
+WITH h AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, 'null')) AS x FROM documents),
+u AS (SELECT doc_id, text, t, len(t)::BIGINT AS n, ('0x' || substr(x, 1, 8))::BIGINT AS h1, ('0x' || substr(x, 9, 8))::BIGINT AS h2, ('0x' || substr(x, 17, 8))::BIGINT AS h3, ('0x' || substr(x, 25, 8))::BIGINT AS h4 FROM h),
+c AS (SELECT doc_id, text, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b, t,
+ CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT doc_id, text, n, form, array_to_string(t[1:a], '') AS pre, array_to_string(t[a + 1:b], '') AS mid, array_to_string(t[b + 1:], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+ sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE text END) AS output_sha256, sha256(text) AS restored_sha256 FROM p
+"""
+
+_OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_OP6_WORDS} AS w FROM documents),
+c AS (SELECT count(*) AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+i AS (SELECT row_number() OVER () AS i, item_id, {_OP6_WORDS} AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+q AS (SELECT i, t, count(*) AS times FROM (SELECT i, unnest(w) AS t FROM i) GROUP BY i, t),
+p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY r, t),
+f AS (SELECT t, floor(1000 * ln((2 * c.n + 2) / (2 * df + 1)))::BIGINT AS weight FROM (SELECT t, count(*) AS df FROM p GROUP BY t), c),
+m AS (SELECT r, doc_id, 100 - 25 + (25 * len(w) * c.n) // c.l AS m FROM d, c WHERE len(w) > 0),
+s AS (SELECT i, r, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM q JOIN p USING (t) JOIN f USING (t) JOIN m USING (r) GROUP BY i, r)
+SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s JOIN m USING (r) JOIN i USING (i) WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
 #: Level by level, the least -ln(u) / weight of all children; the checksum by its table, byte by byte.
 def _op1() -> str:
     nodes = sharding.tree()
@@ -174,4 +215,4 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard, (row_number() OVER (PARTIT
 """
 
 
-ORACLE_SQL = {"op1_sharding": _op1(), "op2_substring_dedup": _OP2, "op6_decontamination": _OP6, "op7_ngram_jaccard": _OP7, "op8_url_filters": _op8()}
+ORACLE_SQL = {"op1_sharding": _op1(), "op2_substring_dedup": _OP2, "op6_decontamination": _OP6, "op7_ngram_jaccard": _OP7, "op8_url_filters": _op8(), "op11_fill_in_middle": _OP11, "op13_lexical_search": _OP13}
