@@ -491,35 +491,58 @@ def s5(spark, d):
     return chain.heads(chain.restore(spark, path))
 
 
+def _in_runs(spark, d, by: str, job) -> DataFrame:
+    """What job(stream, checkpoint) gives at last over the events in three parts, in the order of an expression: a part
+    arrives, the job runs and stops, the next one arrives. Each run goes on where the one before has stopped."""
+    folder = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
+    events = _read(spark, d, "events").withColumn("_at", F.expr(by).cast("double"))
+    first, second = events.approxQuantile("_at", [1 / 3, 2 / 3], 0.01) or (0.0, 0.0)
+    out = None
+    for part in (F.col("_at") <= first, (F.col("_at") > first) & (F.col("_at") <= second), (F.col("_at") > second) | F.col("_at").isNull()):
+        events.where(part).drop("_at").write.mode("append").parquet(f"{folder}/events")
+        out = job(jobs.event_stream(spark, f"{folder}/events", 64), f"{folder}/job")
+    return out
+
+
 @query("r1_stream_ingest", _AUDIT + " SELECT agent_id, seq, day, op, item_id, detail FROM au")
 def r1(spark, d):
-    return jobs.continuous_ingest(jobs.event_stream(spark, f"{d}/events.parquet"))[1]
+    return _in_runs(spark, d, "event_id", lambda stream, at: jobs.continuous_ingest(stream, at)[1])
+
+
+@query("r1_stream_upsert", S.replace("printf('M%07d', event_id)", "printf('U%05d-%02d', user_id, event_id % 7)") + f" SELECT {_EP} FROM st QUALIFY row_number() OVER (PARTITION BY agent_id, id ORDER BY seq DESC) = 1")
+def r1u(spark, d):
+    """Seven ids a user, written again and again in all batches: the last one of an id stays."""
+    again = F.format_string("U%05d-%02d", F.regexp_extract("subject", r"(\d+)", 1).cast("int"), F.col("seq") % 7)
+    return _in_runs(spark, d, "event_id", lambda stream, at: jobs.continuous_ingest(stream.withColumn("id", again), at)[0]).select(*_EP.split(", "))
 
 
 @query("r2_stream_current", SEM + ", n AS (SELECT agent_id, subject, attribute, sum(support)::BIGINT AS statements FROM sem GROUP BY ALL) SELECT agent_id, subject, attribute, value, created_day, statements FROM sem JOIN n USING (agent_id, subject, attribute) WHERE superseded_by IS NULL")
 def r2(spark, d):
-    return jobs.current_facts(jobs.event_stream(spark, f"{d}/events.parquet"))
+    return _in_runs(spark, d, "event_id", jobs.current_facts)
 
 
 @query("r3_stream_changes", S + ", l AS (SELECT agent_id, subject, attribute, lag(value) OVER w AS old_value, value AS new_value, created_day AS day, seq FROM st WHERE attribute IS NOT NULL WINDOW w AS (PARTITION BY agent_id, subject, attribute ORDER BY created_day, seq)) SELECT * FROM l WHERE old_value IS NOT NULL AND old_value <> new_value")
 def r3(spark, d):
-    return jobs.change_log(jobs.event_stream(spark, f"{d}/events.parquet"))
+    return _in_runs(spark, d, "datediff(ts, date '2024-01-01')", jobs.change_log)
 
 
 @query("r4_stream_working_memory", S + " SELECT agent_id, id, importance, created_day AS day, seq FROM st QUALIFY row_number() OVER (PARTITION BY agent_id ORDER BY importance DESC, created_day, seq DESC) > 8")
 def r4(spark, d):
-    return jobs.bounded_memory(jobs.event_stream(spark, f"{d}/events.parquet"))
+    return _in_runs(spark, d, "event_id", lambda stream, at: jobs.bounded_memory(stream, checkpoint=at))
 
 
 @query("r5_stream_expiry", S + " SELECT agent_id, id, created_day + ttl_days + 1 AS day FROM st WHERE created_day + ttl_days + 1 <= 28")
 def r5(spark, d):
-    return jobs.expiry(jobs.event_stream(spark, f"{d}/events.parquet"), 28)
+    return _in_runs(spark, d, "datediff(ts, date '2024-01-01')", lambda stream, at: jobs.expiry(stream, 28, at))
+
+
+def _log_of(stream: DataFrame) -> DataFrame:
+    return stream.select(F.regexp_extract("subject", r"(\d+)", 1).cast("int").alias("chain_id"), "seq", F.col("ts_day").alias("day"), F.lit("write").alias("op"), F.col("id").alias("item_id"), F.coalesce(F.concat("attribute", F.lit("="), "value"), F.lit("episodic")).alias("detail"))
 
 
 @query("r6_stream_chain", _CHAIN + " SELECT chain_id, true AS ok, count(*) AS length, arg_max(entry_hash, seq) AS head FROM ch WHERE seq >= 0 GROUP BY chain_id")
 def r6(spark, d):
-    log = jobs.event_stream(spark, f"{d}/events.parquet").select(F.regexp_extract("subject", r"(\d+)", 1).cast("int").alias("chain_id"), "seq", F.col("ts_day").alias("day"), F.lit("write").alias("op"), F.col("id").alias("item_id"), F.coalesce(F.concat("attribute", F.lit("="), "value"), F.lit("episodic")).alias("detail"))
-    entries = staged(jobs.append_chain(log), "chain")
+    entries = _in_runs(spark, d, "event_id", lambda stream, at: jobs.append_chain(_log_of(stream), checkpoint=at))
     return chain.verify(entries).select("chain_id", "ok", "length").join(chain.heads(entries).select("chain_id", "head"), "chain_id")
 
 
@@ -527,9 +550,9 @@ def r6(spark, d):
 def r7(spark, d):
     def rebuild(rows: DataFrame) -> DataFrame:
         m = lifecycle.ingest(rows)
-        return lifecycle.candidates(m, lifecycle.consolidate(m), NOW)
+        return lifecycle.candidates(m, lifecycle.consolidate(m, lineage=False), NOW)
 
-    return jobs.refresh(jobs.event_stream(spark, f"{d}/events.parquet"), rebuild).select("agent_id", "id", "content", "mtype", "created_day", "importance")
+    return _in_runs(spark, d, "event_id", lambda stream, at: jobs.refresh(stream, rebuild, at)).select("agent_id", "id", "content", "mtype", "created_day", "importance")
 
 
 @query("x3_extract_facts", S + " SELECT agent_id, id, split_part(content, ' ', 1) AS attribute, content AS value FROM st WHERE attribute IS NOT NULL UNION ALL SELECT agent_id, id, NULL, NULL FROM st WHERE attribute IS NULL")

@@ -1,35 +1,68 @@
-"""The same jobs on streams. Each runs over what has arrived and stops; state and progress are in its checkpoint."""
+"""The same jobs on streams.
+
+Each job runs over what has arrived and stops. With a `checkpoint` (a folder in storage that all executors share) it can
+be called again, by this session or another one after a restart: it goes on behind the last file it has read, with its
+state, and gives the whole result so far. Without one it runs once, in a folder of its own.
+
+What a job keeps: Spark's offsets and state in checkpoint/progress; rows that only grow in checkpoint/<name>, by batch,
+so that a batch that is run again replaces itself; rows that change in tables of buckets (sources/buckets.py), of which
+a batch reads and writes the buckets it touches. A micro-batch is as large as the stream's files for each trigger.
+"""
 
 from __future__ import annotations
 
-import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from ..operators.chain import ENTRY, GENESIS, entry_of
-from ..operators.lifecycle import ingest, write_audit
-from ..session import shared_dir, staged
+from ..operators import chain
+from ..operators.lifecycle import KEY, ingest, write_audit
+from ..session import shared_dir
+from ..sources.buckets import Buckets
 from ..sources.records import statements
 
 EPOCH = "2024-01-01"
 
+#: State of typed processors is kept by RocksDB.
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+#: Buckets of the tables that a job keeps, where the caller gives no number.
+BUCKETS = 16
+
 
 def event_stream(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
-    """The event table's files as a stream of statements."""
+    """The event table's files as a stream of statements, some files a micro-batch."""
     schema = spark.read.parquet(path).schema
     return statements(spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path[:-1] + "[" + path[-1] + "]"))
 
 
-def drain(stream: DataFrame, each: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> DataFrame | None:
-    """Runs the stream over all that is there. each gets the batches, else their rows are returned."""
+def _folder(spark: SparkSession, checkpoint: str | None) -> str:
+    return checkpoint or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def _typed_state(spark: SparkSession) -> Iterator[None]:
+    """The state store of typed processors, for queries that start meanwhile."""
+    old = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, old)
+
+
+def drain(stream: DataFrame, folder: str, each: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> DataFrame | None:
+    """Runs the stream over all that is there and not read yet. each gets the batches with their numbers, else the rows
+    of all runs so far are returned."""
     spark = stream.sparkSession
-    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    writer = stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").outputMode(mode).trigger(availableNow=True)
+    writer = stream.writeStream.option("checkpointLocation", f"{folder}/progress").outputMode(mode).trigger(availableNow=True)
     if each:
         writer.foreachBatch(each).start().awaitTermination()
         return None
@@ -37,129 +70,203 @@ def drain(stream: DataFrame, each: Callable[[DataFrame, int], None] | None = Non
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-def continuous_ingest(stream: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(episodic memories, write-audit rows), appended batch by batch; a batch that is run again replaces itself."""
-    spark = stream.sparkSession
-    folder = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+def _appended(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows that batches have written below path."""
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs)
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path) if there else spark.createDataFrame([], schema)
+
+
+def _written(rows: DataFrame, path: str, number: int) -> DataFrame:
+    rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/batch={number}")
+
+
+def continuous_ingest(stream: DataFrame, checkpoint: str | None = None, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
+    """(episodic memories, write-audit rows). Of rows with one id the last ingested counts, over all batches; the audit
+    log only grows: it has a row for each batch that wrote the id."""
+    spark, folder = stream.sparkSession, _folder(stream.sparkSession, checkpoint)
+    schema = ingest(spark.createDataFrame([], stream.schema)).schema
+    table = Buckets(spark, f"{folder}/memories", ["agent_id", "id"], schema, buckets)
 
     def each(batch: DataFrame, number: int) -> None:
-        memories = ingest(batch)
-        memories.write.mode("overwrite").parquet(f"{folder}/memories/batch={number}")
-        write_audit(memories).write.mode("overwrite").parquet(f"{folder}/audit/batch={number}")
+        memories = _written(ingest(batch), f"{folder}/arrived", 0)
+        _written(write_audit(memories), f"{folder}/audit", number)
+        table.upsert(memories, number, ["agent_id", "id"], ["seq"])
 
-    drain(stream, each)
-    return spark.read.parquet(f"{folder}/memories").drop("batch"), spark.read.parquet(f"{folder}/audit").drop("batch")
+    drain(stream, folder, each)
+    return table.read(), _appended(spark, f"{folder}/audit", write_audit(spark.createDataFrame([], schema)).schema)
 
 
-def current_facts(stream: DataFrame) -> DataFrame:
+def current_facts(stream: DataFrame, checkpoint: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """The value of each key by day and seq, whatever order statements arrive in: one row of state a key."""
-    spark = stream.sparkSession
-    folder = f"{shared_dir(spark)}/current-{uuid.uuid4().hex}"
+    spark, folder = stream.sparkSession, _folder(stream.sparkSession, checkpoint)
     order = F.struct(F.col("ts_day").alias("created_day"), F.col("seq"))
-    keyed = stream.where("attribute is not null and attribute <> ''").groupBy("agent_id", "subject", "attribute").agg(F.max_by("value", order).alias("value"), F.max(order).alias("last"), F.count("*").alias("statements"))
+    keyed = stream.where("attribute is not null and attribute <> ''").groupBy(*KEY).agg(F.max_by("value", order).alias("value"), F.max(order).alias("last"), F.count("*").alias("statements"))
+    keyed = keyed.select(*KEY, "value", F.col("last.created_day").alias("created_day"), "statements")
+    table = Buckets(spark, f"{folder}/current", KEY, keyed.schema, buckets)
 
     def each(batch: DataFrame, number: int) -> None:
-        batch.withColumn("number", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        # A batch has the whole state of the keys it touches; reading it twice would run the aggregation twice.
+        table.upsert(_written(batch, f"{folder}/arrived", 0), number, KEY)
 
-    drain(keyed, each, "update")
-    rows = spark.read.parquet(folder)
-    newest = rows.groupBy("agent_id", "subject", "attribute").agg(F.max_by(F.struct("value", "last", "statements"), "number").alias("v"))
-    return newest.select("agent_id", "subject", "attribute", "v.value", F.col("v.last.created_day").alias("created_day"), "v.statements")
+    drain(keyed, folder, each, "update")
+    return table.read()
 
 
-def change_log(stream: DataFrame) -> DataFrame:
-    """A row whenever the active value of a key changes."""
-    schema = "agent_id int, subject string, attribute string, old_value string, new_value string, day int, seq long"
+class _Changes(StatefulProcessor):
+    """The last value of a key, by day and seq."""
 
-    def step(key, frames, state: GroupState):
-        value, day, seq = state.get if state.exists else (None, -1, -1)
+    NAMES = ["agent_id", "subject", "attribute", "old_value", "new_value", "day", "seq"]
+
+    def init(self, handle) -> None:
+        self.last = handle.getValueState("last", "value string, day int, seq long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        value, day, seq = self.last.get() if self.last.exists() else (None, -1, -1)
         out = []
-        rows = pd.concat(list(frames)).sort_values(["ts_day", "seq"])
-        for r in rows.itertuples():
+        for r in pd.concat(list(rows)).sort_values(["ts_day", "seq"]).itertuples():
             if (r.ts_day, r.seq) > (day, seq):
-                if seq >= 0 and r.value != value:
-                    out.append((*key, value, r.value, r.ts_day, r.seq))
-                value, day, seq = r.value, int(r.ts_day), int(r.seq)
-        state.update((value, day, seq))
-        yield pd.DataFrame(out, columns=["agent_id", "subject", "attribute", "old_value", "new_value", "day", "seq"])
+                new = None if pd.isna(r.value) else r.value
+                if seq >= 0 and new != value:
+                    out.append((*key, value, new, r.ts_day, r.seq))
+                value, day, seq = new, int(r.ts_day), int(r.seq)
+        self.last.update((value, day, seq))
+        yield pd.DataFrame(out, columns=self.NAMES)
 
-    facts = stream.where("attribute is not null and attribute <> ''")
-    return drain(facts.groupBy("agent_id", "subject", "attribute").applyInPandasWithState(step, schema, "value string, day int, seq long", "append", GroupStateTimeout.NoTimeout))
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        row = initialState.iloc[0]
+        self.last.update((None if pd.isna(row["value"]) else row["value"], int(row["day"]), int(row["seq"])))
 
+    def close(self) -> None:
+        pass
 
-def bounded_memory(stream: DataFrame, capacity: int = 8) -> DataFrame:
-    """A row for each eviction; what isn't evicted is in memory. State: at most capacity rows an agent."""
-    schema = "agent_id int, id string, importance double, day int, seq long"
 
-    def step(key, frames, state: GroupState):
-        held = [tuple(x) for x in json.loads(state.get[0])] if state.exists else []
-        out = []
-        for r in pd.concat(list(frames)).sort_values("seq").itertuples():
+def change_log(stream: DataFrame, checkpoint: str | None = None, known: DataFrame | None = None) -> DataFrame:
+    """A row whenever the active value of a key changes. known (KEY, value, day, seq) is what held before the stream
+    began; it counts at the first run of a checkpoint."""
+    spark, folder = stream.sparkSession, _folder(stream.sparkSession, checkpoint)
+    schema = "agent_id int, subject string, attribute string, old_value string, new_value string, day int, seq long"
+    facts = stream.where("attribute is not null and attribute <> ''").select(*KEY, "value", "ts_day", "seq")
+    start = known.select(*KEY, "value", F.col("day").cast("int").alias("day"), F.col("seq").cast("long").alias("seq")).groupBy(*KEY) if known is not None else None
+    with _typed_state(spark):
+        return drain(facts.groupBy(*KEY).transformWithStateInPandas(_Changes(), schema, "append", "none", start), folder)
+
+
+class _Bounded(StatefulProcessor):
+    """At most capacity rows of an agent."""
+
+    NAMES = ["agent_id", "id", "importance", "day", "seq"]
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+
+    def init(self, handle) -> None:
+        self.held = handle.getListState("held", "importance double, age int, seq long, id string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        held, out = list(self.held.get()) if self.held.exists() else [], []
+        for r in pd.concat(list(rows)).sort_values("seq").itertuples():
             held.append((float(r.importance), -int(r.ts_day), int(r.seq), r.id))
-            if len(held) > capacity:
+            if len(held) > self.capacity:
                 victim = min(held, key=lambda h: h[:3])
                 held.remove(victim)
                 out.append((key[0], victim[3], victim[0], -victim[1], victim[2]))
-        state.update((json.dumps(held),))
-        yield pd.DataFrame(out, columns=["agent_id", "id", "importance", "day", "seq"])
+        self.held.put([tuple(h) for h in held])
+        yield pd.DataFrame(out, columns=self.NAMES)
 
-    return drain(stream.groupBy("agent_id").applyInPandasWithState(step, schema, "held string", "append", GroupStateTimeout.NoTimeout))
+    def close(self) -> None:
+        pass
 
 
-def expiry(stream: DataFrame, now: int) -> DataFrame:
-    """Forget rows of items whose time to live has passed by day now, as event time gets there."""
-    at = lambda day: F.timestamp_seconds(F.unix_timestamp(F.lit(EPOCH).cast("timestamp")) + F.lit(86400) * day)
-    lived = stream.where("ttl_days is not null").withColumn("at", at(F.col("ts_day"))).withWatermark("at", "0 seconds")
-    schema = "agent_id int, id string, day int"
-
-    def step(key, frames, state: GroupState):
-        if state.hasTimedOut:
-            day = state.get[0]
-            state.remove()
-            yield pd.DataFrame([(*key, day)], columns=["agent_id", "id", "day"])
-            return
-        row = next(iter(frames)).iloc[0]
-        day = int(row.ts_day) + int(row.ttl_days) + 1
-        due = pd.Timestamp(EPOCH, tz="UTC").value // 10**6 + day * 86_400_000
-        if state.getCurrentWatermarkMs() >= due:
-            yield pd.DataFrame([(*key, day)], columns=["agent_id", "id", "day"])
+def bounded_memory(stream: DataFrame, capacity: int = 8, checkpoint: str | None = None) -> DataFrame:
+    """A row for each eviction; what isn't evicted is in memory. State: at most capacity rows an agent."""
+    spark, folder = stream.sparkSession, _folder(stream.sparkSession, checkpoint)
+    rows = stream.select("agent_id", "id", F.coalesce("importance", F.lit(0.5)).alias("importance"), F.coalesce("ts_day", F.lit(0)).alias("ts_day"), "seq")
+    with _typed_state(spark):
+        return drain(rows.groupBy("agent_id").transformWithStateInPandas(_Bounded(capacity), "agent_id int, id string, importance double, day int, seq long", "append", "none"), folder)
+
+
+class _Expiry(StatefulProcessor):
+    """The day after an item's last one, with a timer."""
+
+    NAMES = ["agent_id", "id", "day"]
+
+    def init(self, handle) -> None:
+        self.handle, self.day = handle, handle.getValueState("day", "day int")
+
+    def handleInputRows(self, key, rows, timerValues):
+        row = pd.concat(list(rows)).sort_values("seq").iloc[-1]
+        day = int(row["ts_day"]) + int(row["ttl_days"]) + 1
+        if self.day.exists():
+            self.handle.deleteTimer(_ms(self.day.get()[0]))
+            self.day.clear()
+        if timerValues.getCurrentWatermarkInMs() >= _ms(day):
+            yield pd.DataFrame([(*key, day)], columns=self.NAMES)
         else:
-            state.update((day,))
-            state.setTimeoutTimestamp(due)
-            yield pd.DataFrame([], columns=["agent_id", "id", "day"])
+            self.day.update((day,))
+            self.handle.registerTimer(_ms(day))
+            yield pd.DataFrame([], columns=self.NAMES)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        day = self.day.get()[0]
+        self.day.clear()
+        yield pd.DataFrame([(*key, day)], columns=self.NAMES)
 
-    fired = drain(lived.groupBy("agent_id", "id").applyInPandasWithState(step, schema, "day int", "append", GroupStateTimeout.EventTimeTimeout))
+    def close(self) -> None:
+        pass
+
+
+def _ms(day: int) -> int:
+    return pd.Timestamp(EPOCH, tz="UTC").value // 10**6 + day * 86_400_000
+
+
+def expiry(stream: DataFrame, now: int, checkpoint: str | None = None) -> DataFrame:
+    """Forget rows of items whose time to live has passed by day now, as event time gets there."""
+    spark, folder = stream.sparkSession, _folder(stream.sparkSession, checkpoint)
+    at = lambda day: F.timestamp_seconds(F.unix_timestamp(F.lit(EPOCH).cast("timestamp")) + F.lit(86400) * day)
+    # Rows of all items move the clock; those of items that stay aren't held. The condition names the event time: else
+    # it would be pushed below the watermark, and only items that go would move the clock.
+    held = F.when(F.col("at").isNotNull(), F.col("ttl_days")).isNotNull()
+    lived = stream.withColumn("at", at(F.col("ts_day"))).withWatermark("at", "0 seconds").where(held).select("agent_id", "id", "ts_day", "ttl_days", "seq", "at")
+    with _typed_state(spark):
+        fired = drain(lived.groupBy("agent_id", "id").transformWithStateInPandas(_Expiry(), "agent_id int, id string, day int", "append", "EventTime"), folder)
     return fired.where(F.col("day") <= now)
 
 
-def append_chain(stream: DataFrame, key: bytes | None = None) -> DataFrame:
-    """Chain entries of audit rows in order of arrival; a chain's state is its length and head, so a restart continues it."""
+def append_chain(stream: DataFrame, key: bytes | None = None, checkpoint: str | None = None, heads: DataFrame | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """Chain entries of audit rows in order of arrival, and of seq within a micro-batch. heads (chain_id, last_seq, head)
+    are those of chains that exist already: the stream continues them; they count at the first run of a checkpoint.
 
-    def step(chain, frames, state: GroupState):
-        n, head = state.get if state.exists else (0, GENESIS)
-        out = []
-        for r in pd.concat(list(frames)).sort_values("seq").itertuples():
-            made = entry_of(head, n, int(r.day), r.op, r.item_id, r.detail, None, key)
-            n, head = n + 1, made["entry_hash"]
-            out.append({"chain_id": chain[0], **made})
-        state.update((n, head))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in ENTRY.split(", ")])
+    A batch joins the heads of its chains from a table of buckets, is sorted and folded as a stream of rows by
+    `chain.build`, so a task holds no chain, and leaves new heads."""
+    spark, folder = stream.sparkSession, _folder(stream.sparkSession, checkpoint)
+    schema = T._parse_datatype_string("chain_id int, last_seq long, head string")
+    table = Buckets(spark, f"{folder}/heads", ["chain_id"], schema, buckets)
+    if heads is not None and table.latest() is None:
+        table.write(heads.select("chain_id", "last_seq", "head"), 0)
 
-    return drain(stream.groupBy("chain_id").applyInPandasWithState(step, ENTRY, "n long, head string", "append", GroupStateTimeout.NoTimeout))
+    def each(batch: DataFrame, number: int) -> None:
+        # Version 0 is what was given.
+        known = table.read(table.touched(batch), number + 1)
+        made = _written(chain.build(batch, key, known), f"{folder}/entries", number)
+        table.upsert(chain.heads(made).select("chain_id", "last_seq", "head"), number + 1, ["chain_id"], ["last_seq"])
 
+    drain(stream, folder, each)
+    return _appended(spark, f"{folder}/entries", T._parse_datatype_string(chain.ENTRY))
 
-def refresh(stream: DataFrame, rebuild: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The searchable set after each batch: only agents with new statements are rebuilt, from all of theirs."""
-    spark = stream.sparkSession
-    folder = f"{shared_dir(spark)}/refresh-{uuid.uuid4().hex}"
+
+def refresh(stream: DataFrame, rebuild: Callable[[DataFrame], DataFrame], checkpoint: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """The searchable set after each batch: only agents in buckets with new statements are rebuilt, from all of theirs.
+    Statements and searchable rows are tables of the same buckets; of rows with one id the last ingested counts."""
+    spark, folder = stream.sparkSession, _folder(stream.sparkSession, checkpoint)
+    said = Buckets(spark, f"{folder}/statements", ["agent_id"], stream.schema, buckets)
+    shown = Buckets(spark, f"{folder}/searchable", ["agent_id"], rebuild(spark.createDataFrame([], stream.schema)).schema, buckets)
 
     def each(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/statements/batch={number}")
-        touched = staged(batch.select("agent_id").distinct(), "touched")
-        # The number of agents touched is small beside their statements, but isn't bounded: no broadcast is forced.
-        rows = spark.read.parquet(f"{folder}/statements").drop("batch").join(touched, "agent_id", "left_semi")
-        rebuild(rows).withColumn("version", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/searchable/batch={number}")
-
-    drain(stream, each)
-    versions = spark.read.parquet(f"{folder}/searchable").drop("batch")
-    return versions.join(versions.groupBy("agent_id").agg(F.max("version").alias("version")), ["agent_id", "version"]).drop("version")
+        said.upsert(batch, number, ["agent_id", "id"], ["seq"])
+        touched = said.touched(batch)
+        shown.write(rebuild(said.read(touched, number + 1)), number, touched)
+
+    drain(stream, folder, each)
+    return shown.read()
