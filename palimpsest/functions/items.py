@@ -64,7 +64,8 @@ def blended(similarity: Column, created_day: Column, importance: Column, now: Co
     score = similarity * policy.w_similarity
     if policy.recency:
         score = score + policy.w_recency * recency(created_day, now, policy.half_life) + policy.w_importance * importance
-    return F.round(score, 6)
+    # What is beyond is noise of the order of summation, and would decide ties.
+    return F.round(score, 12)
 
 
 def tokens(text: Column) -> Column:

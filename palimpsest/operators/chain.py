@@ -6,6 +6,7 @@ import hashlib
 import hmac
 import json
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..session import staged
+
 #: What the first entry of a chain continues, the actor that entries name where none is given, the
 #: embedder's algorithm, the operation and item of an attestation, and the tag of snapshots.
 GENESIS = "pag:genesis"
@@ -111,15 +114,18 @@ def _escaped(rows: pd.DataFrame) -> pd.Series:
 
 def _plain() -> Column:
     """Rows whose JSON Spark writes as canonical JSON does: printable ASCII and no payload."""
-    return F.concat_ws("", "op", "item_id", "detail", *ACTOR).rlike("^[ -~]*$") & F.col("payload").isNull()
+    return F.concat_ws("", "op", "item_id", "detail", *ACTOR).rlike(r"\A[ -~]*\z") & F.col("payload").isNull()
 
 
-def hashed(entries: DataFrame) -> DataFrame:
-    """entries with _content and _entry, what content_hash and entry_hash should be. Only rows that aren't plain go to Python."""
+def hashed(entries: DataFrame, apart: bool = True) -> DataFrame:
+    """entries with _content and _entry, what content_hash and entry_hash should be. Rows that aren't plain go to
+    Python; apart: only these, in a branch of their own, else all rows stay in their order and partition."""
     none = F.lit(None).cast("string").alias("payload")
     json_ = lambda names: F.to_json(F.struct(*[none if n == "payload" else F.col(n) for n in sorted(names)]), {"ignoreNullFields": "false"})
     own = {"_content": F.sha2(json_(CONTENT), 256), "_entry": F.sha2(F.concat("prev_hash", json_(BODY)), 256)}
     odd = {"_content": F.sha2(_escaped(F.struct(*CONTENT)), 256), "_entry": F.sha2(F.concat("prev_hash", _escaped(F.struct(*BODY))), 256)}
+    if not apart:
+        return entries.withColumn("_plain", _plain()).withColumns({c: F.when(F.col("_plain"), own[c]).otherwise(odd[c]) for c in own}).drop("_plain")
     return entries.where(_plain()).withColumns(own).unionByName(entries.where(~_plain()).withColumns(odd))
 
 
@@ -130,23 +136,97 @@ def hmac_sha256(message: Column, key: bytes) -> Column:
     return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
 
 
-def verify(entries: DataFrame, key: bytes | None = None) -> DataFrame:
+#: Numbers of a chain that are checked together, and signature failures that a report names.
+SEGMENT, NAMED = 4096, 100
+
+_SUMMARY = "chain_id int, segment long, n long, first long, first_prev string, first_prev_2 string, last long, last_n long, last_hash string, bad long, forged long, forged_at array<long>, content_ok boolean"
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
+_SUMMARY_ARROW = pa.schema([(name, _ARROW[kind]) for name, kind in (c.split(" ") for c in _SUMMARY.split(", "))])
+
+
+def _segments(batches, genesis: str, length: int, named: int):
+    """A row for each segment of sorted rows: what its ends are, and the first number that doesn't continue the one
+    before, the segment's own first number apart, which waits for the segment before."""
+    held: pa.Table | None = None
+    done: dict | None = None
+
+    def out(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist(rows, schema=_SUMMARY_ARROW)
+
+    def fold(table: pa.Table) -> list[dict]:
+        """Whole groups of one number each, in order."""
+        nonlocal done
+        chain, seq = table["chain_id"].to_numpy(zero_copy_only=False), table["seq"].to_numpy(zero_copy_only=False)
+        segment = seq // length
+        start = np.flatnonzero(np.concatenate([[True], (chain[1:] != chain[:-1]) | (seq[1:] != seq[:-1])]))
+        size = np.diff(np.append(start, len(seq)))
+        prev, entry = table["prev_hash"].to_pylist(), table["entry_hash"].to_pylist()
+        fits, forged, content = (table[c].to_pylist() for c in ("fits", "forged", "content_fits"))
+        closed = []
+        for a, n in zip(start.tolist(), size.tolist()):
+            own = (chain[a].item(), segment[a].item())
+            at = seq[a].item()
+            if done is None or (done["chain_id"], done["segment"]) != own:
+                if done is not None:
+                    closed.append(done)
+                came = prev[a : a + n]
+                done = {"chain_id": own[0], "segment": own[1], "n": 0, "first": at, "first_prev": came[0], "first_prev_2": next((p for p in came if p != came[0]), came[0]), "bad": None, "forged": 0, "forged_at": [], "content_ok": True}
+                linked = at != 0 or all(p == genesis for p in came)
+            else:
+                linked = done["last"] == at - 1 and done["last_n"] == 1 and all(p == done["last_hash"] for p in prev[a : a + n])
+            if done["bad"] is None and not (linked and all(fits[a : a + n])):
+                done["bad"] = at
+            if done["bad"] is None and (k := sum(forged[a : a + n])):
+                done["forged"] += k
+                done["forged_at"] += [at] * min(k, named - len(done["forged_at"]))
+            done |= {"n": done["n"] + n, "last": at, "last_n": n, "last_hash": entry[a], "content_ok": done["content_ok"] and all(content[a : a + n])}
+        return closed
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        # The last number of a batch may have a twin in the next one.
+        chain, seq = table["chain_id"].to_numpy(zero_copy_only=False), table["seq"].to_numpy(zero_copy_only=False)
+        odd = np.flatnonzero((chain != chain[-1]) | (seq != seq[-1]))
+        cut = int(odd[-1]) + 1 if len(odd) else 0
+        held = table.slice(cut)
+        if cut and (closed := fold(table.slice(0, cut))):
+            yield out(closed)
+    if held is not None:
+        closed = fold(held)
+        yield out([*closed, done])
+
+
+def verify(entries: DataFrame, key: bytes | None = None, ordered: bool = False) -> DataFrame:
     """A row for each chain: ok, length, broken_at (the first entry that doesn't continue the one before), signed,
-    sig_failures before it, and whether all content hashes fit.
+    sig_failures before it (the first NAMED of them) and their number, and whether all content hashes fit.
 
-    An entry meets the one before it by an equi-join of chain and number, so that a chain's entries are spread over
-    tasks; one without a predecessor, or with two, is broken.
-    """
-    before = entries.groupBy("chain_id", (F.col("seq") + 1).alias("seq")).agg(F.min("entry_hash").alias("_before"), F.count("*").alias("_twins"))
-    linked = hashed(entries).join(before, ["chain_id", "seq"], "left")
-    first = F.when(F.col("seq") == 0, F.lit(GENESIS)).when(F.col("_twins") == 1, F.col("_before"))
-    fits = (F.col("prev_hash") == first) & (F.col("entry_hash") == F.col("_entry"))
+    The log is shuffled once, by chain and segment of SEGMENT numbers, without its texts: a long chain is spread over
+    tasks. A segment is read in order as a stream and leaves one row; a segment's first entry is held against the end
+    of the segment before by a join of these rows. An entry without a predecessor, or with two, is broken. ordered:
+    entries lie so already (each segment in one partition, by chain_id and seq), and aren't shuffled."""
+    length, named = SEGMENT, NAMED
     forged = F.lit(False) if not key else ~F.coalesce(F.col("sig") == hmac_sha256(F.col("entry_hash"), key), F.lit(False))
-    judged = linked.select("chain_id", "seq", (~F.coalesce(fits, F.lit(False))).alias("bad"), forged.alias("forged"), F.coalesce(F.col("content_hash") == F.col("_content"), F.lit(False)).alias("content_fits"))
-    report = judged.groupBy("chain_id").agg(F.count("*").alias("length"), F.min(F.when(F.col("bad"), F.col("seq"))).alias("broken_at"), F.min("content_fits").alias("content_ok"), F.collect_list(F.when(F.col("forged"), F.col("seq"))).alias("_forged"))
-    sigs = F.array_sort(F.filter("_forged", lambda s: F.col("broken_at").isNull() | (s < F.col("broken_at"))))
-    report = report.withColumn("sig_failures", sigs)
-    return report.select("chain_id", (F.col("broken_at").isNull() & (F.size("sig_failures") == 0)).alias("ok"), "length", "broken_at", F.lit(bool(key)).alias("signed"), "sig_failures", "content_ok")
+    fits = F.coalesce(F.col("entry_hash") == F.col("_entry"), F.lit(False))
+    judged = hashed(entries, apart=not ordered).select("chain_id", "seq", "prev_hash", "entry_hash", fits.alias("fits"), forged.alias("forged"), F.coalesce(F.col("content_hash") == F.col("_content"), F.lit(False)).alias("content_fits"))
+    if not ordered:
+        judged = judged.withColumn("_segment", F.floor(F.col("seq") / SEGMENT)).repartition("chain_id", "_segment").sortWithinPartitions("chain_id", "seq").drop("_segment")
+    parts = staged(judged.mapInArrow(lambda batches: _segments(batches, GENESIS, length, named), _SUMMARY), "segments")
+    ends = parts.select("chain_id", (F.col("segment") + 1).alias("segment"), F.col("last").alias("_last"), F.col("last_n").alias("_last_n"), F.col("last_hash").alias("_hash"))
+    joined = parts.join(ends, ["chain_id", "segment"], "left")
+    seam = (F.col("first") == 0) | F.coalesce((F.col("_last") == F.col("first") - 1) & (F.col("_last_n") == 1) & (F.col("first_prev") == F.col("_hash")) & (F.col("first_prev_2") == F.col("_hash")), F.lit(False))
+    joined = joined.withColumn("at", F.when(~seam, F.col("first")).otherwise(F.col("bad"))).withColumn("k", F.when(seam, F.col("forged")).otherwise(0)).withColumn("ks", F.when(seam, F.col("forged_at")).otherwise(F.array().cast("array<bigint>")))
+    broken = joined.groupBy("chain_id").agg(F.sum("n").alias("length"), F.min("at").alias("broken_at"), F.min("content_ok").alias("content_ok"))
+    before = F.col("broken_at").isNull() | (F.col("first") <= F.col("broken_at"))
+    some = joined.where("k > 0").join(broken.select("chain_id", "broken_at"), "chain_id").where(before)
+    # Segments beyond the first that name NAMED failures add nothing to the list.
+    first = Window.partitionBy("chain_id").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    some = some.withColumn("_named", F.coalesce(F.sum("k").over(first), F.lit(0)))
+    failures = some.groupBy("chain_id").agg(F.sum("k").alias("n_sig_failures"), F.slice(F.array_sort(F.flatten(F.collect_list(F.when(F.col("_named") < NAMED, F.col("ks"))))), 1, NAMED).alias("sig_failures"))
+    report = broken.join(failures, "chain_id", "left")
+    none = F.coalesce("n_sig_failures", F.lit(0))
+    return report.select("chain_id", (F.col("broken_at").isNull() & (none == 0)).alias("ok"), "length", "broken_at", F.lit(bool(key)).alias("signed"), F.coalesce("sig_failures", F.array().cast("array<bigint>")).alias("sig_failures"), none.alias("n_sig_failures"), "content_ok")
 
 
 def heads(entries: DataFrame) -> DataFrame:

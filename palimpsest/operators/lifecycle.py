@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.items import expired, fact_content, is_fact
+from ..session import staged
 
 KEY = ["agent_id", "subject", "attribute"]
 
@@ -43,21 +44,44 @@ def fact_id(*columns: Column) -> Column:
     return F.sha2(F.concat_ws("|", *[c.cast("string") for c in columns]), 256)
 
 
+#: A key with more values than this is joined with its winner by broadcast, while such keys are few enough.
+HOT_VALUES, BROADCAST_KEYS = 10_000, 1_000_000
+
+
+def _current(values: DataFrame) -> DataFrame:
+    """values (written, with KEY, id and _last) with _active, the id of the last one of their key.
+
+    The last one comes from an aggregation, which is partial before it is shuffled. Keys of many values aren't shuffled
+    to meet it: there are fewer of them than values divided by HOT_VALUES, so their winners are broadcast."""
+    named = {c: f"_{c}" for c in KEY}
+    winners = values.groupBy(*[F.col(c).alias(n) for c, n in named.items()]).agg(F.max_by("id", "_last").alias("_active"), F.count("*").alias("_n"))
+    same = lambda right: [values[c].eqNullSafe(right[n]) for c, n in named.items()]
+    hot = staged(winners.where(F.col("_n") > HOT_VALUES), "hot-keys")
+    count = hot.count()
+    if not count or count > BROADCAST_KEYS:
+        return values.join(winners, same(winners)).drop("_n", *named.values())
+    few, hot = winners.where(F.col("_n") <= HOT_VALUES), F.broadcast(hot)
+    return values.join(few, same(few)).unionByName(values.join(hot, same(hot))).drop("_n", *named.values())
+
+
 def consolidate(memories: DataFrame, supersession: bool = True, lineage: bool = True) -> DataFrame:
     """One semantic row a value of a key: newest day, highest importance, number of statements; with supersession
     all but the last stated value point at it. lineage: also provenance, the statements' ids in order; leave it out
-    where a value may have very many, and join `lineage_links` instead."""
+    where a value may have very many, and take `lineage_links` instead."""
     stated = facts(memories).withColumn("subject", F.coalesce("subject", F.lit("")))
     aggregates = [F.max(F.struct("created_day", "seq")).alias("_last"), F.max("created_day").alias("created_day"), F.max("importance").alias("importance"), F.count("*").alias("support")]
     if lineage:
         aggregates.append(F.transform(F.array_sort(F.collect_list(F.struct("created_day", "seq", "id"))), lambda s: s["id"]).alias("provenance"))
     values = stated.groupBy(*KEY, "value").agg(*aggregates)
-    values = values.withColumn("id", fact_id(F.col("agent_id"), F.col("subject"), F.col("attribute"), F.coalesce(F.concat(F.lit("="), "value"), F.lit("null")))).withColumn("content", fact_content(F.col("attribute"), F.col("value")))
-    # The window sees values, not statements.
-    newest = Window.partitionBy(*KEY).orderBy(F.desc("_last"))
-    active = F.first("id").over(newest.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    by = F.when(active != F.col("id"), active) if supersession else F.lit(None).cast("string")
-    return values.withColumn("superseded_by", by).withColumn("seq", F.col("_last.seq")).drop("_last")
+    values = values.withColumn("id", _id_of_value()).withColumn("content", fact_content(F.col("attribute"), F.col("value")))
+    if supersession:
+        values = _current(staged(values, "values"))
+    by = F.when(F.col("_active") != F.col("id"), F.col("_active")) if supersession else F.lit(None).cast("string")
+    return values.withColumn("superseded_by", by).withColumn("seq", F.col("_last.seq")).drop("_last", "_active")
+
+
+def _id_of_value() -> Column:
+    return fact_id(F.col("agent_id"), F.col("subject"), F.col("attribute"), F.coalesce(F.concat(F.lit("="), "value"), F.lit("null")))
 
 
 def active(semantic: DataFrame) -> DataFrame:
@@ -127,10 +151,24 @@ def prior_values(semantic: DataFrame) -> DataFrame:
     return now.join(semantic.where("superseded_by is not null").select(*KEY, F.col("value").alias("prior"), F.col("created_day").alias("prior_day")), KEY)
 
 
-def lineage_links(semantic: DataFrame, memories: DataFrame) -> DataFrame:
-    """Facts with the statements they rest on."""
-    links = semantic.select("agent_id", F.col("id").alias("fact_id"), F.posexplode("provenance").alias("place", "id"))
-    return links.join(memories.select("agent_id", "id", F.col("created_day").alias("stated_day"), F.col("content").alias("statement")), ["agent_id", "id"])
+def lineage_links(semantic: DataFrame, memories: DataFrame, parts: int | None = None) -> DataFrame:
+    """The statements that facts rest on, a row each: agent_id, id, fact_id, place (from 0 in the order of day and seq),
+    stated_day and statement. A statement's fact follows from its own key and value, so nothing is collected, and the
+    join only leaves the facts that semantic has.
+
+    Links are dealt by ranges of (fact, day, seq), so a fact of many statements lies in several parts; the place is the
+    number inside the part, plus what earlier parts hold of the fact (a row a part and fact)."""
+    stated = facts(memories).withColumn("subject", F.coalesce("subject", F.lit("")))
+    links = stated.select("agent_id", "id", _id_of_value().alias("fact_id"), "seq", F.col("created_day").alias("stated_day"), F.col("content").alias("statement"))
+    links = links.join(semantic.select("agent_id", F.col("id").alias("fact_id")).distinct(), ["agent_id", "fact_id"], "left_semi")
+    order = ["fact_id", "stated_day", "seq"]
+    ranged = links.repartitionByRange(*([parts] if parts else []), *order).withColumn("_part", F.spark_partition_id())
+    # Written, so that a part's number stays what it was.
+    ranged = staged(ranged, "links")
+    before = ranged.groupBy("fact_id", "_part").agg(F.count("*").alias("_n"))
+    before = before.withColumn("_before", F.sum("_n").over(Window.partitionBy("fact_id").orderBy("_part")) - F.col("_n"))
+    inside = F.row_number().over(Window.partitionBy("_part", "fact_id").orderBy("stated_day", "seq")) - 1
+    return ranged.withColumn("_place", inside).join(before.where("_before > 0").drop("_n"), ["fact_id", "_part"], "left").select("agent_id", "id", "fact_id", (F.col("_place") + F.coalesce("_before", F.lit(0))).cast("long").alias("place"), "stated_day", "statement")
 
 
 def clock(memories: DataFrame) -> DataFrame:

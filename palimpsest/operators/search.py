@@ -5,22 +5,33 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import uuid
 from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.items import Policy, blended, expired
-from ..session import staged
+from ..session import shared_dir, staged
+from ..sources.buckets import Buckets
 
-#: Queries that are sent to all tasks at once; more are taken in blocks, a scan each.
+#: Queries that are sent to all tasks at once; more of them meet the vectors in blocks.
 QUERY_BLOCK = 4096
 
+#: Vectors, and queries, of a block; queries whose similarities a task holds at once.
+BLOCK, AT_ONCE = 8192, 256
+
+#: Agents of many rows that are broadcast at most; beyond that they are joined by shuffle.
+BROADCAST_AGENTS = 1_000_000
+
+#: Digits that decide ranks: what is left of a similarity beyond the noise of the order of summation.
+DIGITS = 12
+
 HITS = "query_id long, agent_id int, vec_id long, sim double"
 
 
@@ -36,54 +47,116 @@ def _first(sim: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     return np.take_along_axis(sim, order, 1), np.take_along_axis(ids, order, 1)
 
 
+def _top(sim: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """As _first where all rows have the same ids, which are in order: only rows with a tie at the edge are sorted whole."""
+    if sim.shape[1] > 4 * n:
+        part = np.sort(np.argpartition(-sim, n - 1, axis=1)[:, :n], axis=1)
+        held = np.take_along_axis(sim, part, 1)
+        for row in np.flatnonzero((sim >= held.min(axis=1)[:, None]).sum(axis=1) > n):
+            part[row] = np.sort(np.argsort(-sim[row], kind="stable")[:n])
+            held[row] = sim[row, part[row]]
+        return _first(held, ids[part], n)
+    order = np.argsort(-sim, axis=1, kind="stable")[:, :n]
+    return np.take_along_axis(sim, order, 1), ids[order]
+
+
+def _similar(asks: np.ndarray, day: np.ndarray, rows: np.ndarray, until: np.ndarray) -> np.ndarray:
+    sim = np.round(asks @ rows.T, DIGITS)
+    sim[day[:, None] > until[None, :]] = -np.inf
+    return sim
+
+
+def _hits(query: np.ndarray, agent: int, sim: np.ndarray, vec: np.ndarray) -> pa.RecordBatch:
+    q, k = np.nonzero(sim > -np.inf)
+    return pa.record_batch([pa.array(query[q]), pa.array(np.full(len(q), agent, np.int32)), pa.array(vec[q, k]), pa.array(sim[q, k])], names=["query_id", "agent_id", "vec_id", "sim"])
+
+
+def dated(vectors: DataFrame) -> DataFrame:
+    """vec_id, agent_id, until (the last day, far away where none is given) and embedding of vectors that have one."""
+    never = F.lit(2**31 - 1)
+    until = F.coalesce(F.col("until").cast("int"), never) if "until" in vectors.columns else never
+    return vectors.where("embedding is not null").select("vec_id", F.col("agent_id").cast("int").alias("agent_id"), until.alias("until"), "embedding")
+
+
+def asked_on(queries: DataFrame) -> DataFrame:
+    """query_id, agent_id, day (long ago where none is given) and embedding of queries that have one."""
+    day = F.coalesce(F.col("day").cast("int"), F.lit(-(2**31))) if "day" in queries.columns else F.lit(-(2**31))
+    return queries.where("embedding is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("agent_id").cast("int").alias("agent_id"), day.alias("day"), F.col("embedding").alias("embedding"))
+
+
 def exact_top(vectors: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     """query_id, agent_id, vec_id, sim and rank of the n nearest vectors of the query's agent (fewer if it has fewer).
     Where vectors have a last day, `until`, and queries a `day`, a query doesn't see vectors whose last day has passed.
 
-    Queries (query_id, agent_id, embedding) go to the tasks in blocks of bounded size, one block after the other; a
-    task multiplies each batch of vectors by those of its agents and keeps the n best so far of each query, so only
-    its winners are shuffled.
+    Up to QUERY_BLOCK queries go to all tasks: vectors stay where they are, and a task sends each query's best only.
+    More queries are dealt with the vectors: one pass over both, see block_top.
     """
-    spark = vectors.sparkSession
-    never = F.lit(2**31 - 1)
-    until = F.coalesce(F.col("until").cast("int"), never) if "until" in vectors.columns else never
-    corpus = vectors.where("embedding is not null").select("vec_id", F.col("agent_id").cast("int").alias("agent_id"), until.alias("until"), "embedding")
-    day = F.coalesce(F.col("day").cast("int"), F.lit(-(2**31))) if "day" in queries.columns else F.lit(-(2**31))
-    asked = queries.where("embedding is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("agent_id").cast("int").alias("agent_id"), day.alias("day"), "embedding")
-    blocks, out = max(1, math.ceil(asked.count() / QUERY_BLOCK)), None
-    asked = staged(asked, "asked") if blocks > 1 else asked
-    for block in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()
-        sent = spark.sparkContext.broadcast((part["query_id"].to_numpy(), part["agent_id"].to_numpy(), part["day"].to_numpy(), _matrix(part["embedding"])))
-
-        def best(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterable[pa.RecordBatch]:
-            ids, agents, days, matrix = sent.value
-            held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-            for batch in batches:
-                agent, vec, last, rows = batch.column("agent_id").to_numpy(), batch.column("vec_id").to_numpy(), batch.column("until").to_numpy(), _matrix(batch.column("embedding"))
-                for a in np.unique(agent).tolist():
-                    mine, asks = np.flatnonzero(agent == a), np.flatnonzero(agents == a)
-                    if not len(asks):
-                        continue
-                    mine = mine[np.argsort(vec[mine], kind="stable")]
-                    sim = np.round(matrix[asks] @ rows[mine].T, 6)
-                    sim[days[asks][:, None] > last[mine][None, :]] = -np.inf
-                    # Vectors are in order of ids, so a stable order of similarities settles ties.
-                    order = np.argsort(-sim, axis=1, kind="stable")[:, :n]
-                    sim, own = np.take_along_axis(sim, order, 1), vec[mine][order]
-                    if a in held:
-                        sim, own = _first(np.concatenate([held[a][1], sim], axis=1), np.concatenate([held[a][2], own], axis=1), n)
-                    held[a] = (asks, sim, own)
-            for a, (asks, sim, own) in held.items():
-                q, k = np.nonzero(sim > -np.inf)
-                yield pa.record_batch([pa.array(ids[asks[q]]), pa.array(np.full(len(q), a, np.int32)), pa.array(own[q, k]), pa.array(sim[q, k])], names=["query_id", "agent_id", "vec_id", "sim"])
-
-        found = corpus.mapInArrow(best, HITS)
-        if blocks > 1:
-            found = staged(found, "hits")
-            sent.unpersist()
-        out = found if out is None else out.unionAll(found)
-    return ranked(out, n)
+    corpus, asked = dated(vectors), asked_on(queries)
+    if asked.count() > QUERY_BLOCK:
+        return ranked(block_top(corpus, asked, n), n)
+    part = asked.toArrow()
+    sent = vectors.sparkSession.sparkContext.broadcast((part["query_id"].to_numpy(), part["agent_id"].to_numpy(), part["day"].to_numpy(), _matrix(part["embedding"])))
+
+    def best(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        ids, agents, days, matrix = sent.value
+        held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            agent, vec, last, rows = batch.column("agent_id").to_numpy(), batch.column("vec_id").to_numpy(), batch.column("until").to_numpy(), _matrix(batch.column("embedding"))
+            for a in np.unique(agent).tolist():
+                mine, asks = np.flatnonzero(agent == a), np.flatnonzero(agents == a)
+                if not len(asks):
+                    continue
+                mine = mine[np.argsort(vec[mine], kind="stable")]
+                sim, own = _top(_similar(matrix[asks], days[asks], rows[mine], last[mine]), vec[mine], n)
+                if a in held:
+                    sim, own = _first(np.concatenate([held[a][1], sim], axis=1), np.concatenate([held[a][2], own], axis=1), n)
+                held[a] = (asks, sim, own)
+        for a, (asks, sim, own) in held.items():
+            yield _hits(ids[asks], a, sim, own)
+
+    return ranked(corpus.mapInArrow(best, HITS), n)
+
+
+def block_top(corpus: DataFrame, asked: DataFrame, n: int) -> DataFrame:
+    """The n nearest of each query in each block of vectors that it meets.
+
+    Vectors and queries are dealt by agent: those of small agents by the agent's hash, so that a block has about BLOCK
+    rows; those of an agent with more of either are cut into blocks by their ids, and each block of its vectors meets
+    each block of its queries in a task of its own. A row is sent as often as the other side has blocks.
+    """
+    sizes = corpus.groupBy("agent_id").agg(F.count("*").alias("v")).join(asked.groupBy("agent_id").agg(F.count("*").alias("q")), "agent_id")
+    sizes = staged(sizes, "agents")
+    agents, rows = sizes.agg(F.count("*"), F.greatest(F.sum("v"), F.sum("q"))).first()
+    cells = max(1, math.ceil((rows or 0) / BLOCK))
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    large = sizes.where((F.col("v") > BLOCK) | (F.col("q") > BLOCK)).select("agent_id", blocks("v").alias("vs"), blocks("q").alias("qs"))
+    large = F.broadcast(large) if large.count() <= BROADCAST_AGENTS else large
+    # Vectors of agents that nobody asks stay behind, if the list of the others is short.
+    corpus = corpus.join(F.broadcast(sizes.select("agent_id")), "agent_id", "left_semi") if agents <= BROADCAST_AGENTS else corpus
+
+    def dealt(df: DataFrame, key: str, own: str, other: str, mine: str, theirs: str) -> DataFrame:
+        df = df.join(large, "agent_id", "left").withColumn("cell", F.when(F.col("vs").isNull(), F.pmod(F.xxhash64("agent_id"), F.lit(cells))).otherwise(-1 - F.col("agent_id").cast("long")))
+        df = df.withColumn(mine, F.pmod(F.xxhash64(key), F.coalesce(own, F.lit(1))).cast("int"))
+        return df.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))).drop("vs", "qs")
+
+    left, right = dealt(corpus, "vec_id", "vs", "qs", "i", "j"), dealt(asked, "query_id", "qs", "vs", "j", "i")
+    key = ["cell", "i", "j"]
+
+    def best(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        found = [pa.record_batch([pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.float64())], names=["query_id", "agent_id", "vec_id", "sim"])]
+        if vectors.num_rows and queries.num_rows:
+            agent, vec, until, rows = vectors["agent_id"].to_numpy(), vectors["vec_id"].to_numpy(), vectors["until"].to_numpy(), _matrix(vectors["embedding"])
+            whose, ids, day, matrix = queries["agent_id"].to_numpy(), queries["query_id"].to_numpy(), queries["day"].to_numpy(), _matrix(queries["embedding"])
+            order, turn = np.lexsort((vec, agent)), np.argsort(whose, kind="stable")
+            every, first = np.unique(agent[order], return_index=True)
+            for a, x, y in zip(every.tolist(), first.tolist(), [*first[1:].tolist(), len(order)]):
+                asks, mine = turn[np.searchsorted(whose[turn], a) : np.searchsorted(whose[turn], a, side="right")], order[x:y]
+                for at in range(0, len(asks), AT_ONCE):
+                    some = asks[at : at + AT_ONCE]
+                    found.append(_hits(ids[some], a, *_top(_similar(matrix[some], day[some], rows[mine], until[mine]), vec[mine], n)))
+        return pa.Table.from_batches(found)
+
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(best, HITS)
 
 
 def ranked(hits: DataFrame, n: int) -> DataFrame:
@@ -91,66 +164,20 @@ def ranked(hits: DataFrame, n: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-#: Vectors that cells are fitted on, at most, and queries among them that the number of probed cells is found with.
-FIT_VECTORS, TRIED = 20_000, 200
-
+def approximate_top(vectors: DataFrame, queries: DataFrame, n: int, cells: int | None = None, target: float = 0.97, seed: int = 7) -> DataFrame:
+    """As exact_top, by an index that is built for this search: see operators/quantised.py for one that is kept."""
+    from . import quantised
 
-def probes(sample: np.ndarray, agents: np.ndarray, centres: np.ndarray, n: int, target: float) -> int:
-    """The least number of nearest cells that hold the target's share of the n nearest, over vectors of the sample."""
-    far = lambda rows: (centres**2).sum(axis=1) - 2 * rows @ centres.T
-    cell = far(sample).argmin(axis=1)
-    depths = []
-    for i in np.linspace(0, len(sample) - 1, min(TRIED, len(sample))).astype(int).tolist():
-        mine = np.flatnonzero(agents == agents[i])
-        top = mine[np.argsort(-(sample[mine] @ sample[i]), kind="stable")[:n]]
-        depths.append(np.argsort(np.argsort(far(sample[i : i + 1])[0]))[cell[top]])
-    depths = np.concatenate(depths) if depths else np.zeros(1)
-    return int(np.quantile(depths, target, method="higher")) + 1
+    path = f"{shared_dir(vectors.sparkSession)}/index-{uuid.uuid4().hex}"
+    quantised.build(vectors, path, cells, target, seed)
+    return quantised.search(vectors.sparkSession, path, queries, n)
 
 
-def approximate_top(vectors: DataFrame, queries: DataFrame, n: int, cells: int | None = None, target: float = 0.97, seed: int = 7) -> DataFrame:
-    """As exact_top over the vectors of the query's nearest cells only: k-means centres are fitted on a bounded sample,
-    every vector is filed under its nearest one, and a query probes as many as a recall of target needs, measured on
-    the sample. The number of cells follows the number of vectors. Scores are exact."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    known = vectors.where("embedding is not null").select("vec_id", "agent_id", "embedding")
-    total = known.count()
-    if not total:
-        return exact_top(vectors, queries, n)
-    cells = cells or min(1024, max(4, round(math.sqrt(total) / 4)))
-    # The first by hash: the same sample in every run.
-    sample = staged(known.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(FIT_VECTORS), "sample")
-    centres = np.array(KMeans(k=min(cells, total), seed=seed, maxIter=10).fit(sample.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))).clusterCenters())
-    rows = sample.select("agent_id", "embedding").toArrow()
-    probe = probes(_matrix(rows["embedding"]), rows["agent_id"].to_numpy(), centres, n, target)
-    sent = vectors.sparkSession.sparkContext.broadcast(centres)
-
-    def near(count: int) -> Callable:
-        def file(batches):
-            for batch in batches:
-                rows = _matrix(batch.column(batch.schema.get_field_index("embedding")))
-                d = (sent.value**2).sum(axis=1) - 2 * rows @ sent.value.T if len(rows) else np.zeros((0, len(sent.value)))
-                yield batch.append_column("cells", pa.array(np.argsort(d, axis=1)[:, :count].astype(np.int32).tolist(), pa.list_(pa.int32())))
-
-        return file
-
-    def filed(df: DataFrame, count: int) -> DataFrame:
-        return df.mapInArrow(near(min(count, len(centres))), df.withColumn("cells", F.array().cast("array<int>")).schema).withColumn("cell", F.explode("cells")).drop("cells")
-
-    corpus = filed(known, 1)
-    asked = filed(queries.where("embedding is not null").select("query_id", "agent_id", F.col("embedding")), probe).withColumnRenamed("embedding", "q")
-    from ..functions.items import dot
-
-    pairs = corpus.join(asked, ["agent_id", "cell"]).select("query_id", "agent_id", "vec_id", F.round(dot(F.col("q"), F.col("embedding")), 6).alias("sim"))
-    return ranked(pairs, n)
-
-
-def recall(vectors: DataFrame, queries: DataFrame, k: int, now: int | None = None, policy: Policy = Policy()) -> DataFrame:
+def recall(vectors: DataFrame, queries: DataFrame, k: int, now: int | None = None, policy: Policy = Policy(), index: str | None = None) -> DataFrame:
     """The k best by blended score among the max(4k, 20) nearest: an item outside that shortlist can't come back.
     vectors: vec_id, agent_id, embedding, created_day, importance and, if there, ttl_days, superseded_by. The day is
-    now, or each query's own in a column `day`."""
+    now, or each query's own in a column `day`. index: the folder of a kept index of the vectors; the shortlist is
+    then the nearest that it finds (vectors that aren't in the pool any more are left out of it)."""
     if now is None and "day" not in queries.columns:
         raise ValueError("a day is needed: now, or queries with a column day")
     asked = queries if now is None else queries.withColumn("day", F.lit(now))
@@ -160,7 +187,14 @@ def recall(vectors: DataFrame, queries: DataFrame, k: int, now: int | None = Non
     if "ttl_days" in pool.columns:
         pool = pool.withColumn("until", F.col("created_day") + F.col("ttl_days"))
         pool = pool if now is None else pool.where(~expired(F.col("created_day"), F.col("ttl_days"), F.lit(now)))
-    short = exact_top(pool, asked, max(4 * k, 20)).drop("rank")
+    if index:
+        from . import quantised
+
+        # Some of what the index holds may have been superseded since: a longer list, of which those in the pool count.
+        near = quantised.search(pool.sparkSession, index, asked, 2 * max(4 * k, 20)).drop("rank")
+        short = ranked(near.join(pool.select("vec_id"), "vec_id", "left_semi"), max(4 * k, 20)).drop("rank")
+    else:
+        short = exact_top(pool, asked, max(4 * k, 20)).drop("rank")
     items = pool.select("vec_id", "created_day", "importance")
     short = short.withColumn("_day", F.lit(now)) if now is not None else short.join(asked.select("query_id", F.col("day").alias("_day")), "query_id")
     scored = short.join(items, "vec_id").withColumn("score", blended(F.col("sim"), F.col("created_day"), F.col("importance"), F.col("_day"), policy)).drop("_day")
@@ -187,8 +221,22 @@ def without(vectors: DataFrame, ids: DataFrame) -> DataFrame:
     return vectors.join(ids.select("vec_id"), "vec_id", "left_anti")
 
 
+def vector_table(spark: SparkSession, path: str, buckets: int = 16) -> Buckets:
+    """The table of vectors at path, in buckets of agents: `write`, `upsert` and `read`."""
+    return Buckets(spark, path, ["agent_id"], n=buckets)
+
+
 def save_vectors(vectors: DataFrame, path: str, buckets: int = 16) -> None:
-    vectors.withColumn("bucket", F.pmod(F.xxhash64("agent_id"), F.lit(buckets)).cast("int")).write.mode("overwrite").partitionBy("bucket").parquet(path)
+    """A new version of the table at path: readers of the one before aren't disturbed."""
+    table = vector_table(vectors.sparkSession, path, buckets)
+    last = table.latest()
+    table.write(vectors, 0 if last is None else last + 1)
+
+
+def load_vectors(spark: SparkSession, path: str, queries: DataFrame | None = None, buckets: int = 16) -> DataFrame:
+    """The table's vectors, or only the buckets that hold agents of the queries (agent_id)."""
+    table = vector_table(spark, path, buckets)
+    return table.read(None if queries is None else table.touched(queries.select(F.col("agent_id").cast("int").alias("agent_id"))))
 
 
 def hash_embed(texts: pd.Series, dim: int) -> np.ndarray:

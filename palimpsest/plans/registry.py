@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import items
 from ..operators import chain, evaluate, lifecycle, search
 from ..session import shared_dir, staged
-from ..sources import records
+from ..sources import audit, records
 from ..streaming import jobs
 
 NOW = 30
@@ -127,9 +127,30 @@ def u1(spark, d):
 _AUDIT = S + ", au AS (SELECT agent_id, seq, created_day AS day, 'write' AS op, id AS item_id, coalesce(attribute || '=' || value, 'episodic') AS detail FROM st)"
 
 
-@query("p8_audit_lookup", _AUDIT + " SELECT * FROM au WHERE op = 'write' AND item_id LIKE 'M00001%'")
+def _kept_log(spark, d) -> str:
+    """The folder of an audit log of writes, consolidation and retention."""
+    path = f"{shared_dir(spark)}/audit-{uuid.uuid4().hex}"
+    m = _memories(spark, d)
+    semantic = staged(lifecycle.consolidate(m, lineage=False), "semantic")
+    gone = lifecycle.retain(m.select("agent_id", "id", "created_day", "ttl_days"), NOW)[2]
+    for rows in (lifecycle.write_audit(m).drop("seq"), lifecycle.consolidation_audit(semantic, True, NOW), gone):
+        audit.append_log(rows.select("agent_id", "day", "op", "item_id", "detail"), path)
+    return path
+
+
+@query("p8_audit_lookup", _AUDIT + " SELECT agent_id, day, op, item_id, detail FROM au WHERE item_id LIKE 'M00011%' AND day BETWEEN 2 AND 20")
 def p8(spark, d):
-    return lifecycle.write_audit(_memories(spark, d)).where("op = 'write' and item_id like 'M00001%'")
+    return audit.by_op(spark, _kept_log(spark, d), "write", 2, 20).where("item_id like 'M00011%'")
+
+
+@query("p8_for_item", _AUDIT + f" SELECT agent_id, day, op, item_id, detail FROM au WHERE item_id = 'M0000123' UNION ALL SELECT agent_id, {NOW}, 'forget', id, 'ttl-expired' FROM st WHERE id = 'M0000123' AND {NOW} - created_day > ttl_days")
+def p8i(spark, d):
+    return audit.for_item(spark, _kept_log(spark, d), "M0000123")
+
+
+@query("p8_by_op", _AUDIT + f" SELECT agent_id, {NOW} AS day, 'forget' AS op, count(*) AS n FROM st WHERE {NOW} - created_day > ttl_days GROUP BY agent_id")
+def p8o(spark, d):
+    return audit.by_op(spark, _kept_log(spark, d), "forget", NOW).groupBy("agent_id", "day", "op").agg(F.count("*").alias("n"))
 
 
 @query("a3_consolidation_audit", SEM + f""" SELECT agent_id, {NOW} AS day, 'supersede' AS op, id AS item_id, 'superseded-by:' || superseded_by AS detail FROM sem WHERE superseded_by IS NOT NULL
@@ -173,9 +194,10 @@ def j3(spark, d):
     return lifecycle.prior_values(_semantic(spark, d))
 
 
-@query("j4_lineage", SEM + " SELECT s.agent_id, s.id AS fact_id, st.id, st.created_day AS stated_day, st.content AS statement FROM sem s JOIN st USING (agent_id, subject, attribute, value)")
+@query("j4_lineage", SEM + " SELECT s.agent_id, s.id AS fact_id, st.id, row_number() OVER (PARTITION BY s.id ORDER BY st.created_day, st.seq) - 1 AS place, st.created_day AS stated_day, st.content AS statement FROM sem s JOIN st USING (agent_id, subject, attribute, value)")
 def j4(spark, d):
-    return lifecycle.lineage_links(_semantic(spark, d), _memories(spark, d)).drop("place")
+    m = _memories(spark, d)
+    return lifecycle.lineage_links(lifecycle.consolidate(m, lineage=False), m)
 
 
 @query("f3_words_and_recency", S + f" SELECT id, len(list_filter(string_split_regex(content, '\\s+'), lambda x: x <> ''))::BIGINT AS words, round(pow(0.5, greatest(0, {NOW} - created_day) / 21.0), 6) AS recency FROM st")
@@ -224,24 +246,32 @@ def j6(spark, d):
 
 
 _SIM = """WITH v AS (SELECT vec_id, label::INT AS agent_id, embedding::DOUBLE[] AS e, (vec_id % 30)::INT AS created_day, (vec_id % 10) / 10.0 AS importance FROM embeddings),
- s AS (SELECT q.vec_id AS query_id, m.agent_id, m.vec_id, m.created_day, m.importance, round(list_dot_product(q.e, m.e), 6) AS sim FROM v q JOIN v m USING (agent_id) WHERE q.vec_id % 25 = 0)"""
+ s AS (SELECT q.vec_id AS query_id, m.agent_id, m.vec_id, m.created_day, m.importance, round(list_dot_product(q.e, m.e), 12) AS sim FROM v q JOIN v m USING (agent_id) WHERE q.vec_id % 25 = 0)"""
 
 
-@query("t1_exact_top", _SIM + " SELECT query_id, agent_id, vec_id, sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id)::INT AS rank FROM s QUALIFY rank <= 10")
+@query("t1_exact_top", _SIM + " SELECT query_id, agent_id, vec_id, round(sim, 6) AS sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id)::INT AS rank FROM s QUALIFY rank <= 10")
 def t1(spark, d):
     v = _vectors(spark, d)
-    return search.exact_top(v, records.vector_queries(v), 10)
+    return search.exact_top(v, records.vector_queries(v), 10).withColumn("sim", F.round("sim", 6))
+
+
+@query("t1_block_join", _SIM.replace(" WHERE q.vec_id % 25 = 0", "") + " SELECT query_id, agent_id, vec_id, round(sim, 6) AS sim FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) <= 10")
+def t1b(spark, d):
+    """Every vector asks for its nearest: vectors and queries meet in blocks."""
+    v = _vectors(spark, d)
+    found = search.block_top(search.dated(v), search.asked_on(v.withColumnRenamed("vec_id", "query_id")), 10)
+    return search.ranked(found, 10).select("query_id", "agent_id", "vec_id", F.round("sim", 6).alias("sim"))
 
 
 _T3 = _SIM + f""", sl AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) <= 20),
- sc AS (SELECT *, round(sim + 0.25 * pow(0.5, greatest(0, {NOW} - created_day) / 21.0) + 0.1 * importance, 6) AS score FROM sl),
+ sc AS (SELECT *, round(sim + 0.25 * pow(0.5, greatest(0, {NOW} - created_day) / 21.0) + 0.1 * importance, 12) AS score FROM sl),
  hit AS (SELECT query_id, agent_id, vec_id, sim, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, sim DESC, vec_id)::INT AS rank FROM sc QUALIFY rank <= 5)"""
 
 
-@query("t3_recall", _T3 + " SELECT * FROM hit")
+@query("t3_recall", _T3 + " SELECT * REPLACE (round(sim, 6) AS sim, round(score, 6) AS score) FROM hit")
 def t3(spark, d):
     v = _vectors(spark, d)
-    return search.recall(v, records.vector_queries(v), 5, NOW).select("query_id", "agent_id", "vec_id", "sim", "score", "rank")
+    return search.recall(v, records.vector_queries(v), 5, NOW).select("query_id", "agent_id", "vec_id", F.round("sim", 6).alias("sim"), F.round("score", 6).alias("score"), "rank")
 
 
 @query("t4_recall_audit", _T3 + f" SELECT agent_id, {NOW} AS day, 'recall' AS op, vec_id::VARCHAR AS item_id, left('vector ' || query_id, 48) AS detail FROM hit")
@@ -251,12 +281,12 @@ def t4(spark, d):
     return search.recall_audit(search.recall(v, q, 5, NOW), q, NOW)
 
 
-@query("a8_access", _T3 + f" SELECT agent_id, vec_id::VARCHAR AS item_id, count(*) AS access_count, {NOW} AS last_access_day FROM hit GROUP BY agent_id, vec_id")
+@query("a8_access", _T3 + """ SELECT agent_id, vec_id::VARCHAR AS item_id, count(*) AS access_count, arg_max((query_id * 7 % 31)::INT, (rank, query_id)) AS last_access_day FROM hit GROUP BY agent_id, vec_id""")
 def a8(spark, d):
+    """Hits as a log in the order of rank and query; days go up and down in it, so the last row's isn't the greatest."""
     v = _vectors(spark, d)
-    q = records.vector_queries(v)
-    hits = search.recall(v, q, 5, NOW)
-    log = search.recall_audit(hits, q, NOW).withColumn("seq", F.xxhash64("item_id", "detail"))
+    hits = search.recall(v, records.vector_queries(v), 5, NOW)
+    log = hits.select("agent_id", (F.col("query_id") * 7 % 31).cast("int").alias("day"), F.lit("recall").alias("op"), F.col("vec_id").cast("string").alias("item_id"), F.struct("rank", "query_id").alias("seq"))
     return lifecycle.access(log)
 
 
@@ -292,7 +322,16 @@ def w6(spark, d):
 def s4(spark, d):
     path = f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}"
     search.save_vectors(_vectors(spark, d), path)
-    return spark.read.parquet(path).groupBy("agent_id").agg(F.count("*").alias("n"))
+    return search.load_vectors(spark, path).groupBy("agent_id").agg(F.count("*").alias("n"))
+
+
+@query("s4_pruned_recall", _T3 + " SELECT query_id, vec_id, rank FROM hit WHERE agent_id IN (3, 7)")
+def s4p(spark, d):
+    """Recall of two agents over a kept table of vectors: only the buckets that hold them are read."""
+    v, path = _vectors(spark, d), f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    search.save_vectors(v, path)
+    asked = records.vector_queries(v).where("agent_id in (3, 7)")
+    return search.recall(search.load_vectors(spark, path, asked), asked, 5, NOW).select("query_id", "vec_id", "rank")
 
 
 _EV = """WITH q AS (SELECT item_id, lower(text) AS t, CASE item_id % 3 WHEN 0 THEN 5 ELSE (item_id % 3)::INT END AS category FROM benchmark),
@@ -399,9 +438,9 @@ def s7(spark, d):
 
 @query("t3_recall_by_day", """WITH v AS (SELECT vec_id, label::INT AS agent_id, embedding::DOUBLE[] AS e, (vec_id % 30)::INT AS created_day, (vec_id % 10) / 10 AS importance, CASE WHEN vec_id % 3 = 0 THEN 5 END AS ttl FROM embeddings),
  q AS (SELECT vec_id AS query_id, agent_id, e, (10 + vec_id % 20)::INT AS day FROM v WHERE vec_id % 25 = 0),
- p AS (SELECT query_id, vec_id, round(list_dot_product(q.e, v.e), 6) AS sim, created_day, importance, day FROM q JOIN v USING (agent_id) WHERE ttl IS NULL OR day - created_day <= ttl),
+ p AS (SELECT query_id, vec_id, round(list_dot_product(q.e, v.e), 12) AS sim, created_day, importance, day FROM q JOIN v USING (agent_id) WHERE ttl IS NULL OR day - created_day <= ttl),
  s AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) <= 20),
- b AS (SELECT query_id, vec_id, sim, round(sim + 0.25 * pow(0.5, greatest(0, day - created_day) / 21.0) + 0.1 * importance, 6) AS score FROM s)
+ b AS (SELECT query_id, vec_id, sim, round(sim + 0.25 * pow(0.5, greatest(0, day - created_day) / 21.0) + 0.1 * importance, 12) AS score FROM s)
  SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, sim DESC, vec_id) AS rank FROM b QUALIFY rank <= 5""")
 def t3d(spark, d):
     """Recall on a day of each query's own; every third vector lives five days."""
@@ -471,8 +510,8 @@ def x4(spark, d):
 def x4a(spark, d):
     """Chains of two writers, one with a model of its own; each begins with the attestation of the embedder."""
     odd = F.col("chain_id") % 2 == 1
-    audit = _audit(spark, d).withColumns({"actor_id": F.when(odd, "planner"), "model_id": F.when(odd, "m-1"), "attestation_level": F.when(odd, "declared")})
-    return chain.build(chain.attested(audit, chain.attest(64))).select("chain_id", "seq", "op", "agent_id", "model_id", "attestation_level", "content_hash", "prev_hash", "entry_hash")
+    log = _audit(spark, d).withColumns({"actor_id": F.when(odd, "planner"), "model_id": F.when(odd, "m-1"), "attestation_level": F.when(odd, "declared")})
+    return chain.build(chain.attested(log, chain.attest(64))).select("chain_id", "seq", "op", "agent_id", "model_id", "attestation_level", "content_hash", "prev_hash", "entry_hash")
 
 
 @query("w3_chain_verify", S + """, n AS (SELECT replace(subject, 'user:', '')::INT AS chain_id, count(*) AS length FROM st GROUP BY subject)
@@ -481,7 +520,7 @@ def w3(spark, d):
     """Every third chain has its third entry changed."""
     entries = staged(chain.build(_audit(spark, d), KEY), "chain")
     touched = entries.withColumn("detail", F.when((F.col("chain_id") % 3 == 0) & (F.col("seq") == 2), "changed").otherwise(F.col("detail")))
-    return chain.verify(touched, KEY).drop("sig_failures")
+    return chain.verify(touched, KEY).drop("sig_failures", "n_sig_failures")
 
 
 @query("s5_snapshot", _CHAIN + " SELECT chain_id, max(seq) AS last_seq, arg_max(entry_hash, seq) AS head, count(*) AS length FROM ch WHERE seq >= 0 GROUP BY chain_id")
