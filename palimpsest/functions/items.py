@@ -85,10 +85,3 @@ def l2_normalised(v: Column) -> Column:
     """Unit length; a vector of zeros stays."""
     scaled = lambda p: F.transform(p["v"], lambda x: x.cast("double") / F.when(p["n"] == 0, F.lit(1.0)).otherwise(p["n"]))
     return _let(v, lambda u: _let(F.struct(u.alias("v"), F.sqrt(dot(u, u)).alias("n")), scaled))
-
-
-def md5_bag(words: Column, dim: int) -> Column:
-    """Unit vector of counts of words by bucket: the first 8 hexadecimal digits of MD5, modulo dim."""
-    buckets = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dim)
-    count = lambda b: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(b, lambda x: x == i)).cast("double"))
-    return l2_normalised(_let(buckets, count))

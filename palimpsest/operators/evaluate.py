@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
@@ -12,6 +13,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from ..functions.items import Policy
+from ..session import staged
+from .search import recall
 
 #: ASCII punctuation, without the comma that goes first.
 PUNCTUATION = "!\"#$%&'()*+-./:;<=>?@[\\]^_`{|}~"
@@ -36,21 +42,45 @@ def scorable(questions: DataFrame) -> DataFrame:
     return questions.where((F.col("category") != 5) & (F.size("evidence") > 0))
 
 
-def retrieval_metrics(results: DataFrame, ks: tuple[int, ...] = (1, 5, 10, 20)) -> DataFrame:
-    """Means over results (category, ranked, gold), by category and overall (null)."""
-    scores = [F.round(F.avg(recall_at(F.col("ranked"), F.col("gold"), k)), 6).alias(f"recall_{k}") for k in ks]
-    return results.rollup("category").agg(*scores, F.round(F.avg(reciprocal_rank(F.col("ranked"), F.col("gold"))), 6).alias("mrr_10"), F.count("*").alias("n"))
-
-
 def metrics_of_rows(ranked: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 5, 10, 20), cutoff: int = 10) -> DataFrame:
-    """As retrieval_metrics, from rows: ranked (query_id, doc_id, rank) and gold (query_id, category, doc_id), both
-    without repeated rows. No query's ids are collected."""
+    """Means by category and overall (null), from rows: ranked (query_id, doc_id, rank) and gold (query_id, category,
+    doc_id), both without repeated rows. No query's ids are collected."""
     found = gold.join(ranked, ["query_id", "doc_id"], "left").groupBy("query_id", "category")
     scores = found.agg(*[(F.count_if(F.col("rank") <= k) / F.count("*")).alias(f"recall_{k}") for k in ks], F.min("rank").alias("first"))
     first = F.coalesce(F.when(F.col("first") <= cutoff, 1 / F.col("first")), F.lit(0.0))
     return scores.rollup("category").agg(*[F.round(F.avg(f"recall_{k}"), 6).alias(f"recall_{k}") for k in ks], F.round(F.avg(first), 6).alias(f"mrr_{cutoff}"), F.count("*").alias("n"))
 
 
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """rows (written) with a column of numbers from 0 without gaps; each task numbers its own part."""
+    rows = staged(rows.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright(name, 33)
+    parts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    # A row a partition.
+    before = parts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
+    return rows.join(F.broadcast(before), part == F.col("_part")).withColumn(name, F.col(name) - F.shiftleft(F.col("_part"), 33) + F.col("_before")).drop("_part", "_before")
+
+
+def conversation_benchmark(turns: DataFrame, questions: DataFrame, embedded: Callable[[DataFrame], DataFrame], ks: tuple[int, ...] = (1, 5, 10, 20)) -> DataFrame:
+    """Recall of evidence turns, by category and overall: each question that can be scored searches the turns of its
+    own conversation by similarity. turns and questions as `records.conversations` gives them; a session's rank is its
+    day, a question's day is the one after the last. embedded adds `embedding` to rows with `content`."""
+    samples = numbered(turns.groupBy("sample_id").agg((F.max("session") + 1).cast("int").alias("day")), "agent_id").withColumn("agent_id", F.col("agent_id").cast("int"))
+    # Vectors are numbered in the order of the conversation: equal similarities go to the turn that came first.
+    number = F.shiftleft(F.col("agent_id").cast("long"), 32) + F.shiftleft(F.col("session").cast("long"), 16) + F.col("place")
+    said = turns.join(samples, "sample_id").select("agent_id", "dia_id", F.col("session").alias("created_day"), F.lit(0.5).alias("importance"), F.concat("speaker", F.lit(": "), "text").alias("content"), number.alias("vec_id"))
+    # Of turns with one id the last counts, as for any other memory.
+    said = said.groupBy("agent_id", "dia_id").agg(F.max_by(F.struct("vec_id", "created_day", "importance", "content"), "vec_id").alias("t")).select("agent_id", "dia_id", "t.*")
+    said = staged(embedded(said).drop("content"), "turns")
+    asked = numbered(scorable(questions).join(samples, "sample_id"), "query_id").select("query_id", "agent_id", "category", "day", "evidence", F.col("question").alias("content"))
+    asked = staged(asked, "questions")
+    hits = recall(said, staged(embedded(asked.select("query_id", "agent_id", "day", "content")), "asked"), max(ks), policy=Policy(recency=False))
+    # Evidence that no turn has can't be found, but counts.
+    gold = asked.select("query_id", "category", "agent_id", F.explode("evidence").alias("dia_id")).join(said.select("agent_id", "dia_id", "vec_id"), ["agent_id", "dia_id"], "left")
+    gold = gold.select("query_id", "category", F.coalesce("vec_id", -1 - F.row_number().over(Window.partitionBy("query_id").orderBy("dia_id"))).alias("doc_id"))
+    return metrics_of_rows(hits.select("query_id", F.col("vec_id").alias("doc_id"), "rank"), gold, ks)
+
+
 def _gram(kind: str, n: int, text: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}{n}:{text}".encode(errors="surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
@@ -103,14 +133,15 @@ def holding(docs: DataFrame, items: DataFrame) -> DataFrame:
     return held.select(*[c for c in items.columns if c != "t"], "doc_id")
 
 
-def hit_flags(hits: DataFrame, gold: DataFrame, k: int = 5) -> DataFrame:
+def hit_flags(hits: DataFrame, gold: DataFrame, prior: DataFrame, k: int = 5) -> DataFrame:
     """For each policy and query: right at rank 1, found in k, stale in k, and words of context.
-    hits: policy, query_id, rank, value, words; gold: query_id, category, gold_value, prior_values."""
-    lists = hits.where(F.col("rank") <= k).groupBy("policy", "query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda s: s["value"]).alias("values"), F.sum("words").alias("words"))
-    joined = lists.join(gold, "query_id")
-    values = F.col("values")
-    one = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
-    return joined.select("policy", "query_id", "category", one(values[0] == F.col("gold_value")).alias("acc_1"), one(F.array_contains(values, F.col("gold_value"))).alias("found_k"), one(F.arrays_overlap(values, F.col("prior_values"))).alias("stale_k"), "words")
+    hits: policy, query_id, rank, value, words; gold: query_id, category, gold_value; prior: query_id, value, a row for
+    each value that held before. Lists are joined, not collected: a key may have any number of prior values."""
+    old = prior.select("query_id", "value").distinct().withColumn("_stale", F.lit(True))
+    rows = hits.where(F.col("rank") <= k).join(old, ["query_id", "value"], "left").join(gold.select("query_id", "category", "gold_value"), "query_id")
+    right = F.coalesce(F.col("value") == F.col("gold_value"), F.lit(False))
+    any_ = lambda c, name: F.max(c.cast("double")).alias(name)
+    return rows.groupBy("policy", "query_id", "category").agg(any_(right & (F.col("rank") == 1), "acc_1"), any_(right, "found_k"), any_(F.coalesce("_stale", F.lit(False)), "stale_k"), F.sum("words").alias("words"))
 
 
 def ablation(flags: DataFrame) -> DataFrame:
@@ -156,11 +187,19 @@ def _measure(word: str) -> int:
 
 
 def _ends_cvc(word: str) -> bool:
-    return _shape(word)[-3:] == "cvc" and word[-1] not in "wxy"
+    """The extended rules take a word of a vowel and a consonant (as in "ow(e)") for one that needs its e, too."""
+    shape = _shape(word)
+    return shape[-3:] == "cvc" and word[-1] not in "wxy" or shape == "vc"
+
 
+#: Words with a stem of their own.
+IRREGULAR = {
+    "sky": "sky", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news", "innings": "inning", "inning": "inning",
+    "outings": "outing", "outing": "outing", "cannings": "canning", "canning": "canning", "howe": "howe", "proceed": "proceed", "exceed": "exceed", "succeed": "succeed",
+}
 
 #: Suffixes of the stemmer's second, third and fourth steps.
-STEP_2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble")]
+STEP_2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("bli", "ble"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"), ("fulli", "ful")]
 STEP_3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
 STEP_4 = "al ance ence er ic able ible ant ement ment ent ou ism ate iti ous ive ize".split()
 
@@ -172,31 +211,54 @@ def _replaced(word: str, rules: list[tuple[str, str]]) -> str:
     return word
 
 
+def _plurals(word: str) -> str:
+    """-ies becomes -y, which a later step makes -i, but -ie in a word of four letters."""
+    if word.endswith("sses"):
+        return word[:-2]
+    if word.endswith("ies"):
+        return word[:-1] if len(word) == 4 else word[:-2]
+    return word[:-1] if word.endswith("s") and not word.endswith("ss") else word
+
+
+def _endings(word: str) -> str:
+    """-eed, -ed and -ing; -ied like -ies."""
+    if word.endswith("ied"):
+        return word[:-1] if len(word) == 4 else word[:-2]
+    if word.endswith("eed"):
+        return word[:-1] if _measure(word[:-3]) > 0 else word
+    for suffix in ("ed", "ing"):
+        if word.endswith(suffix) and "v" in _shape(word[: -len(suffix)]):
+            word = word[: -len(suffix)]
+            if word.endswith(("at", "bl", "iz")):
+                return word + "e"
+            if len(word) > 1 and word[-1] == word[-2] and _shape(word)[-1] == "c":
+                return word if word[-1] in "lsz" else word[:-1]
+            return word + "e" if _measure(word) == 1 and _ends_cvc(word) else word
+    return word
+
+
+def _second(word: str) -> str:
+    """The second step; -alli is undone first and what is left goes through the step again, and -logi loses its i after
+    a stem that has a measure with the l."""
+    if word.endswith("alli") and _measure(word[:-4]) > 0:
+        return _second(word[:-2])
+    if word.endswith("logi"):
+        return word[:-1] if _measure(word[:-3]) > 0 else word
+    return _replaced(word, STEP_2)
+
+
 @cache
 def stem(word: str) -> str:
-    """Porter's stemmer (1980)."""
+    """Porter's stemmer with the common extensions to the rules of 1980: words with a stem of their own, -ies and -ied
+    in short words, y to i only after a consonant that isn't the first letter, -bli, -fulli and -logi."""
+    if word in IRREGULAR:
+        return IRREGULAR[word]
     if len(word) <= 2:
         return word
-    if word.endswith("sses") or word.endswith("ies"):
-        word = word[:-2]
-    elif word.endswith("s") and not word.endswith("ss"):
-        word = word[:-1]
-    if word.endswith("eed"):
-        word = word[:-1] if _measure(word[:-3]) > 0 else word
-    else:
-        for suffix in ("ed", "ing"):
-            if word.endswith(suffix) and "v" in _shape(word[: -len(suffix)]):
-                word = word[: -len(suffix)]
-                if word.endswith(("at", "bl", "iz")):
-                    word += "e"
-                elif len(word) > 1 and word[-1] == word[-2] and _shape(word)[-1] == "c" and word[-1] not in "lsz":
-                    word = word[:-1]
-                elif _measure(word) == 1 and _ends_cvc(word):
-                    word += "e"
-                break
-    if word.endswith("y") and "v" in _shape(word[:-1]):
+    word = _endings(_plurals(word))
+    if word.endswith("y") and len(word) > 2 and _shape(word[:-1])[-1] == "c":
         word = word[:-1] + "i"
-    word = _replaced(_replaced(word, STEP_2), STEP_3)
+    word = _replaced(_second(word), STEP_3)
     for suffix in sorted([*STEP_4, "ion"], key=len, reverse=True):
         if word.endswith(suffix):
             rest = word[: -len(suffix)]
@@ -205,7 +267,7 @@ def stem(word: str) -> str:
             break
     if word.endswith("e") and (_measure(word[:-1]) > 1 or _measure(word[:-1]) == 1 and not _ends_cvc(word[:-1])):
         word = word[:-1]
-    if word.endswith("ll") and _measure(word) > 1:
+    if word.endswith("ll") and _measure(word[:-1]) > 1:
         word = word[:-1]
     return word
 

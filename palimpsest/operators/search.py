@@ -239,19 +239,35 @@ def load_vectors(spark: SparkSession, path: str, queries: DataFrame | None = Non
     return table.read(None if queries is None else table.touched(queries.select(F.col("agent_id").cast("int").alias("agent_id"))))
 
 
-def hash_embed(texts: pd.Series, dim: int) -> np.ndarray:
-    """Unit vectors of word counts by bucket: an 8-byte BLAKE2b digest as a number, modulo dim."""
+def blake2b_number(word: str) -> int:
+    """An 8-byte BLAKE2b digest as a number."""
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
+
+
+def md5_number(word: str) -> int:
+    """The first 8 hexadecimal digits of an MD5 as a number: SQL has it too."""
+    return int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+
+
+def hash_embed(texts: Iterable[str | None], dim: int, number: Callable[[str], int] = blake2b_number) -> np.ndarray:
+    """Unit vectors of word counts by bucket: a word's number modulo dim."""
     known: dict[str, int] = {}
+    texts = list(texts)
     out = np.zeros((len(texts), dim), np.float32)
     for row, text in zip(out, texts):
         for w in re.findall("[a-z0-9]+", (text or "").lower()):
             if w not in known:
-                known[w] = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big") % dim
+                known[w] = number(w) % dim
             row[known[w]] += 1
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(norm == 0, 1, norm)
 
 
+def md5_encoder(dim: int = 64) -> Callable[[], Callable[[list[str]], np.ndarray]]:
+    """For `embed`: the hashing embedder by MD5."""
+    return lambda: lambda texts: hash_embed(texts, dim, md5_number)
+
+
 def embed(df: DataFrame, dim: int = 384, text: str = "content", encode: Callable[[], Callable[[list[str]], np.ndarray]] | None = None, batch: int = 64) -> DataFrame:
     """df with embedding added. encode: a factory of another encoder, called once a task, given batches of texts."""
     schema = T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
@@ -260,7 +276,7 @@ def embed(df: DataFrame, dim: int = 384, text: str = "content", encode: Callable
         model = encode() if encode else None
         for rows in batches:
             texts = [t or "" for t in rows.column(rows.schema.get_field_index(text)).to_pylist()]
-            made = np.concatenate([model(texts[i : i + batch]) for i in range(0, len(texts), batch)]) if model and texts else hash_embed(pd.Series(texts), dim)
+            made = np.concatenate([model(texts[i : i + batch]) for i in range(0, len(texts), batch)]) if model and texts else hash_embed(texts, dim)
             yield rows.append_column("embedding", pa.array(list(made.astype(np.float32)), pa.list_(pa.float32())))
 
     return df.mapInArrow(run, schema)

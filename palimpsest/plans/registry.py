@@ -224,10 +224,10 @@ def f6(spark, d):
 
 
 @query("x1_md5_embedding", r"""WITH t AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark), b AS (SELECT item_id, (('0x' || substr(md5(w), 1, 8))::BIGINT % 64)::INT AS bucket, count(*) AS n FROM t GROUP BY ALL)
- SELECT item_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY item_id)), 6) AS weight FROM b""")
+ SELECT item_id, bucket, round((n::FLOAT / sqrt(sum(n * n) OVER (PARTITION BY item_id))::FLOAT)::DOUBLE, 6) AS weight FROM b""")
 def x1(spark, d):
-    made = _read(spark, d, "benchmark").select("item_id", F.posexplode(items.md5_bag(items.tokens(F.col("text")), 64)).alias("bucket", "weight"))
-    return made.where("weight > 0").select("item_id", "bucket", F.round("weight", 6).alias("weight"))
+    made = search.embed(_read(spark, d, "benchmark"), text="text", encode=search.md5_encoder(64)).select("item_id", F.posexplode("embedding").alias("bucket", "weight"))
+    return made.where("weight > 0").select("item_id", "bucket", F.round(F.col("weight").cast("double"), 6).alias("weight"))
 
 
 @query("x1_blake2b_embedding")
@@ -347,7 +347,8 @@ def _gold(spark, d) -> DataFrame:
 
 @query("p10_scorable", _EV + " SELECT item_id, category FROM g WHERE category <> 5")
 def p10(spark, d):
-    return _gold(spark, d).where("category <> 5").select("item_id", "category").distinct()
+    asked = _gold(spark, d).groupBy("item_id", "category").agg(F.collect_set("doc_id").alias("evidence"))
+    return evaluate.scorable(asked).select("item_id", "category")
 
 
 @query("a6_retrieval_metrics", _EV + """, r AS (SELECT item_id, category, list_prepend(-1::BIGINT, ids) AS ranked, ids FROM g),
@@ -360,16 +361,76 @@ def a6(spark, d):
     return evaluate.metrics_of_rows(gold.withColumn("rank", place).where("rank < 20").select("query_id", "doc_id", F.col("rank") + 1).toDF("query_id", "doc_id", "rank"), gold)
 
 
-@query("a6_searched_metrics")
+#: Bags of words by MD5, 64 buckets, as floats; similarity over buckets in common; the shortlist of 20, then the score.
+_W = "(n::FLOAT / sqrt(sum(n * n) OVER (PARTITION BY {0}))::FLOAT)::DOUBLE AS w"
+_BUCKET = "(('0x' || substr(md5(t), 1, 8))::BIGINT % 64)::INT AS b"
+
+
+def _bag(table: str, key: str, text: str) -> str:
+    """SQL: weights of buckets of a table's texts."""
+    return f"SELECT {key}, b, {_W.format(key)} FROM (SELECT {key}, b, count(*) AS n FROM (SELECT {key}, {_BUCKET} FROM (SELECT {key}, unnest(regexp_extract_all(lower({text}), '[a-z0-9]+')) AS t FROM {table})) GROUP BY ALL)"
+
+
+_A6S = _EV + f""", db AS ({_bag('documents', 'doc_id', 'text')}), qb AS ({_bag('benchmark', 'item_id', 'text')}),
+ sp AS (SELECT item_id, doc_id, sum(qb.w * db.w) AS s FROM qb JOIN db USING (b) GROUP BY ALL),
+ r AS (SELECT b.item_id, d.doc_id, row_number() OVER (PARTITION BY b.item_id ORDER BY round(coalesce(s, 0), 12) DESC, d.doc_id) AS rank FROM (SELECT DISTINCT item_id FROM h) b, documents d LEFT JOIN sp ON sp.item_id = b.item_id AND sp.doc_id = d.doc_id QUALIFY rank <= 20),
+ f AS (SELECT h.item_id, h.category, count(*) AS g, count(*) FILTER (rank <= 1) AS r1, count(*) FILTER (rank <= 5) AS r5, count(*) FILTER (rank <= 10) AS r10, count(*) FILTER (rank <= 20) AS r20, min(rank) AS first FROM h LEFT JOIN r ON r.item_id = h.item_id AND r.doc_id = h.doc_id GROUP BY ALL)
+ SELECT category, round(avg(r1 / g), 6) AS recall_1, round(avg(r5 / g), 6) AS recall_5, round(avg(r10 / g), 6) AS recall_10, round(avg(r20 / g), 6) AS recall_20, round(avg(CASE WHEN first <= 10 THEN 1 / first ELSE 0 END), 6) AS mrr_10, count(*) AS n FROM f GROUP BY ROLLUP (category)"""
+
+
+@query("a6_searched_metrics", _A6S)
 def a6s(spark, d):
     """Items search all documents by similarity only; gold are the documents that hold the item."""
     docs = _read(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.lit(0).alias("agent_id"), F.col("text").alias("content"), F.lit(0).alias("created_day"), F.lit(0.0).alias("importance"))
     asked = _read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.lit(0).alias("agent_id"), F.col("text").alias("content"))
-    hits = search.recall(staged(search.embed(docs).drop("content"), "vectors"), staged(search.embed(asked), "asked"), 20, NOW, items.Policy(recency=False))
+    bag = search.md5_encoder(64)
+    hits = search.recall(staged(search.embed(docs, encode=bag).drop("content"), "vectors"), staged(search.embed(asked, encode=bag), "asked"), 20, NOW, items.Policy(recency=False))
     return evaluate.metrics_of_rows(hits.select("query_id", F.col("vec_id").alias("doc_id"), "rank"), _gold(spark, d).withColumnRenamed("item_id", "query_id"))
 
 
-def _recalled(spark, d) -> tuple[DataFrame, DataFrame]:
+@query("u2_u3_columns", _EV + """, r AS (SELECT item_id, list_prepend(-1::BIGINT, ids) AS ranked, ids FROM g)
+ SELECT item_id, round(len(list_intersect(ranked[1:5], ids)) / len(ids), 6) AS recall_5, 0.5 AS rr FROM r""")
+def u2(spark, d):
+    """The column functions over a list of each item: a miss, then the gold."""
+    lists = _gold(spark, d).groupBy("item_id").agg(F.array_sort(F.collect_set("doc_id")).alias("gold")).withColumn("ranked", F.concat(F.array(F.lit(-1).cast("long")), "gold"))
+    return lists.select("item_id", F.round(evaluate.recall_at(F.col("ranked"), F.col("gold"), 5), 6).alias("recall_5"), evaluate.reciprocal_rank(F.col("ranked"), F.col("gold")).alias("rr"))
+
+
+def _conversation_file(spark, d) -> str:
+    """The conversations as a benchmark's file, one a line: sessions of two turns; a user's turn asks, the one after it
+    is the evidence, and the answer is its length. Categories go around, 5 among them; every third evidence is a text."""
+    t = _read(spark, d, "conversations").withColumn("session", F.floor(F.col("turn") / 2).cast("int"))
+    t = t.withColumn("dia_id", F.concat(F.lit("D"), (F.col("session") + 1).cast("string"), F.lit(":"), F.col("turn").cast("string")))
+    sessions = t.groupBy("conv_id", "session").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "dia_id", F.col("role").alias("speaker"), "text"))), lambda x: F.struct(x["dia_id"].alias("dia_id"), x["speaker"].alias("speaker"), x["text"].alias("text"))).alias("turns"))
+    talks = sessions.groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("session_"), (F.col("session") + 1).cast("string")), "turns"))).alias("conversation"))
+    after = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("dia_id").alias("evidence"), F.length("text").alias("answer"))
+    asked = t.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question")).join(after, ["conv_id", "turn"])
+    listed = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("['"), "evidence", F.lit("', 'x']"))).otherwise(F.to_json(F.array("evidence")))
+    qa = asked.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "question", "answer", listed.alias("evidence"), (F.col("turn") % 5 + 1).cast("int").alias("category")))).alias("qa"))
+    path = f"{shared_dir(spark)}/conversations-{uuid.uuid4().hex}"
+    talks.join(qa, "conv_id", "left").select(F.col("conv_id").cast("string").alias("sample_id"), "conversation", "qa").write.json(path)
+    return path
+
+
+@query("s3_read_turns", "SELECT conv_id::VARCHAR AS sample_id, (turn // 2)::INT AS session, 'D' || ((turn // 2) + 1) || ':' || turn AS dia_id, role AS speaker, text FROM conversations WHERE text IS NOT NULL")
+def s3r(spark, d):
+    return records.conversations(spark, _conversation_file(spark, d), True)[0].select("sample_id", "session", "dia_id", "speaker", "text")
+
+
+@query("wc_conversation_benchmark", f"""WITH t AS (SELECT conv_id * 1000 + turn AS id, conv_id, turn, role || ': ' || text AS said, text, role FROM conversations),
+ q AS (SELECT t.id, t.conv_id, t.text, (t.turn % 5 + 1)::INT AS category, e.id AS gold FROM t JOIN t e ON e.conv_id = t.conv_id AND e.turn = t.turn + 1 WHERE t.role = 'user' AND t.turn % 5 <> 4),
+ qb AS ({_bag('q', 'id', 'text')}), tb AS ({_bag('t', 'id', 'said')}),
+ sp AS (SELECT qb.id AS a, tb.id AS b, sum(qb.w * tb.w) AS s FROM qb JOIN tb USING (b) WHERE qb.id // 1000 = tb.id // 1000 GROUP BY ALL),
+ r AS (SELECT q.id, q.category, q.gold, t.id AS e, row_number() OVER (PARTITION BY q.id ORDER BY round(coalesce(s, 0), 12) DESC, t.turn) AS rank FROM q JOIN t USING (conv_id) LEFT JOIN sp ON a = q.id AND sp.b = t.id)
+ SELECT category, round(avg((rank <= 1)::INT), 6) AS recall_1, round(avg((rank <= 5)::INT), 6) AS recall_5, round(avg((rank <= 10)::INT), 6) AS recall_10, round(avg((rank <= 20)::INT), 6) AS recall_20,
+ round(avg(CASE WHEN rank <= 10 THEN 1 / rank ELSE 0 END), 6) AS mrr_10, count(*) AS n FROM r WHERE e = gold GROUP BY ROLLUP (category)""")
+def wc(spark, d):
+    """From the file to the metrics."""
+    turns, questions = records.conversations(spark, _conversation_file(spark, d), True)
+    return evaluate.conversation_benchmark(turns, questions, lambda rows: search.embed(rows, encode=search.md5_encoder(64)))
+
+
+def _recalled(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Under each policy, what recall inside a key gives; the key's values as gold. Similarity is alike inside a key."""
     m, sem = _memories(spark, d), _semantic(spark, d)
     stated = lifecycle.facts(m).select(*lifecycle.KEY, "value", "content", "created_day", "importance", "seq", F.lit(False).alias("consolidated"), F.lit(False).alias("superseded"))
@@ -381,9 +442,14 @@ def _recalled(spark, d) -> tuple[DataFrame, DataFrame]:
     order = Window.partitionBy("policy", "query_id").orderBy(F.desc("score"), "seq")
     hits = pool.withColumns({"score": score, "query_id": query_id}).withColumn("rank", F.row_number().over(order)).where("rank <= 5")
     hits = hits.select("policy", "query_id", "rank", "value", items.word_count(F.col("content")).alias("words"))
-    gold = sem.groupBy(*lifecycle.KEY).agg(F.max(F.when(F.col("superseded_by").isNull(), F.col("value"))).alias("gold_value"), F.collect_list(F.when(F.col("superseded_by").isNotNull(), F.col("value"))).alias("prior_values"))
-    gold = gold.select(query_id.alias("query_id"), "gold_value", "prior_values", F.when(F.size("prior_values") > 0, "changing").otherwise("stable").alias("category"))
-    return hits, gold
+    return hits, *_gold_of(sem.withColumn("query_id", query_id))
+
+
+def _gold_of(sem: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of semantic rows with query_id: the current value and category of each key, and its prior values as rows."""
+    old = F.col("superseded_by").isNotNull()
+    gold = sem.groupBy("query_id").agg(F.max(F.when(~old, F.col("value"))).alias("gold_value"), F.when(F.max(old.cast("int")) == 1, "changing").otherwise("stable").alias("category"))
+    return gold, sem.where(old).select("query_id", "value")
 
 
 _FLAGS = SEM + f""", p AS (SELECT * FROM (VALUES ('flat-vector', false, false, false), ('recency', true, false, false), ('recency+consolidation', true, true, false), ('recency+consolidation+supersession', true, true, true)) t(policy, r, c, s)),
@@ -405,7 +471,7 @@ def a5(spark, d):
     return evaluate.ablation(evaluate.hit_flags(*_recalled(spark, d)))
 
 
-def _searched(spark, d) -> tuple[DataFrame, DataFrame]:
+def _searched(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     """As _recalled, by search: a key's subject and attribute are asked in the agent's whole pool under each policy, so
     that memories of other keys compete. Values carry their key: another key's equal value isn't right."""
     m, sem = _memories(spark, d), search.vector_ids(_semantic(spark, d))
@@ -415,9 +481,9 @@ def _searched(spark, d) -> tuple[DataFrame, DataFrame]:
     # Statements of no fact are in the pool under every policy, as in lifecycle.candidates.
     others = m.withColumn("vec_id", F.col("seq")).where("attribute is null").select(*columns, F.lit(True).alias("consolidated"), F.lit(False).alias("superseded"))
     known = sem.select(*columns, F.lit(True).alias("consolidated"), F.col("superseded_by").isNotNull().alias("superseded"))
-    pool = staged(search.embed(stated.unionByName(others).unionByName(known), text="said").drop("said"), "pool")
+    pool = staged(search.embed(stated.unionByName(others).unionByName(known), text="said", encode=search.md5_encoder(64)).drop("said"), "pool")
     keys = lifecycle.facts(m).select(*lifecycle.KEY).distinct().select("agent_id", key.alias("key"), F.xxhash64(key).alias("query_id"), F.concat_ws(" ", "subject", F.replace("attribute", F.lit("_"), F.lit(" "))).alias("asked"))
-    keys = staged(search.embed(keys, text="asked"), "asked")
+    keys = staged(search.embed(keys, text="asked", encode=search.md5_encoder(64)), "asked")
     out = None
     for policy in (items.Policy(False, False, False), items.Policy(False, False, True), items.Policy(True, False, True), items.Policy(True, True, True)):
         mine = pool.where(F.col("consolidated") == policy.consolidation)
@@ -425,9 +491,7 @@ def _searched(spark, d) -> tuple[DataFrame, DataFrame]:
         hits = search.recall(mine, keys, 5, NOW, policy).select("query_id", "vec_id", "rank").join(mine.select("vec_id", "value", "content"), "vec_id")
         hits = hits.join(keys.select("query_id", "key"), "query_id").select(F.lit(policy.label).alias("policy"), F.col("key").alias("query_id"), "rank", "value", items.word_count(F.col("content")).alias("words"))
         out = hits if out is None else out.unionByName(hits)
-    own = sem.withColumn("value", F.concat(key, F.lit("="), "value"))
-    gold = own.groupBy(key.alias("query_id")).agg(F.max(F.when(F.col("superseded_by").isNull(), F.col("value"))).alias("gold_value"), F.collect_list(F.when(F.col("superseded_by").isNotNull(), F.col("value"))).alias("prior_values"))
-    return out, gold.withColumn("category", F.when(F.size("prior_values") > 0, "changing").otherwise("stable"))
+    return out, *_gold_of(sem.select(key.alias("query_id"), F.concat(key, F.lit("="), "value").alias("value"), "superseded_by"))
 
 
 @query("s7_report_rows", _FLAGS + """, m AS (SELECT policy, category, avg(acc_1) AS acc_1, avg(found_k) AS found_k, avg(stale_k) AS stale_k, avg(words) AS ctx_words, count(*)::DOUBLE AS n FROM fl GROUP BY GROUPING SETS ((policy), (policy, category)))
@@ -449,12 +513,29 @@ def t3d(spark, d):
     return search.recall(v, asked, 5).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("u4_searched_flags")
+_SEARCHED = SEM + f""", u AS (SELECT agent_id, seq AS vec_id, concat_ws('|', agent_id, subject, attribute) || '=' || "value" AS v, content, concat_ws(' ', subject, content) AS said, created_day, importance, false AS cons, false AS sup FROM st
+ UNION ALL SELECT agent_id, seq, NULL, content, concat_ws(' ', subject, content), created_day, importance, true, false FROM st WHERE attribute IS NULL
+ UNION ALL SELECT agent_id, ('0x' || substr(md5(agent_id || '|' || id), 1, 15))::BIGINT, agent_id || '|' || subject || '|' || attribute || '=' || "value", content, subject || ' ' || content, created_day, importance, true, superseded_by IS NOT NULL FROM sem),
+ ub AS (SELECT cons, vec_id, b, {_W.format('cons, vec_id')} FROM (SELECT cons, vec_id, b, count(*) AS n FROM (SELECT cons, vec_id, {_BUCKET} FROM (SELECT cons, vec_id, unnest(regexp_extract_all(lower(said), '[a-z0-9]+')) AS t FROM u)) GROUP BY ALL)),
+ k AS (SELECT DISTINCT agent_id, agent_id || '|' || subject || '|' || attribute AS q, subject || ' ' || replace(attribute, '_', ' ') AS asked FROM st WHERE attribute IS NOT NULL),
+ kb AS (SELECT q, b, {_W.format('q')} FROM (SELECT q, b, count(*) AS n FROM (SELECT q, {_BUCKET} FROM (SELECT q, unnest(regexp_extract_all(lower(asked), '[a-z0-9]+')) AS t FROM k)) GROUP BY ALL)),
+ sp AS (SELECT q, cons, vec_id, sum(kb.w * ub.w) AS s FROM kb JOIN ub USING (b) GROUP BY ALL),
+ si AS (SELECT k.q, u.*, round(coalesce(sp.s, 0), 12) AS sim FROM k JOIN u USING (agent_id) LEFT JOIN sp ON sp.q = k.q AND sp.vec_id = u.vec_id AND sp.cons = u.cons),
+ p AS (SELECT * FROM (VALUES ('flat-vector', false, false, false), ('recency', true, false, false), ('recency+consolidation', true, true, false), ('recency+consolidation+supersession', true, true, true)) t(policy, r, c, s)),
+ sh AS (SELECT * FROM si JOIN p ON cons = c AND NOT (s AND sup) QUALIFY row_number() OVER (PARTITION BY policy, q ORDER BY sim DESC, vec_id) <= 20),
+ sc AS (SELECT *, round(sim + CASE WHEN r THEN 0.25 * pow(0.5, greatest(0, {NOW} - created_day) / 21.0) + 0.1 * importance ELSE 0 END, 12) AS score FROM sh),
+ hi AS (SELECT *, row_number() OVER (PARTITION BY policy, q ORDER BY score DESC, sim DESC, vec_id) AS rank FROM sc QUALIFY rank <= 5),
+ gd AS (SELECT agent_id || '|' || subject || '|' || attribute AS q, max(agent_id || '|' || subject || '|' || attribute || '=' || "value") FILTER (superseded_by IS NULL) AS gv, CASE WHEN count(superseded_by) > 0 THEN 'changing' ELSE 'stable' END AS category FROM sem GROUP BY 1),
+ pv AS (SELECT DISTINCT agent_id || '|' || subject || '|' || attribute AS q, agent_id || '|' || subject || '|' || attribute || '=' || "value" AS v, true AS old FROM sem WHERE superseded_by IS NOT NULL),
+ fl AS (SELECT policy, hi.q AS query_id, category, max(coalesce(rank = 1 AND hi.v = gv, false)::INT)::DOUBLE AS acc_1, max(coalesce(hi.v = gv, false)::INT)::DOUBLE AS found_k, max(coalesce(old, false)::INT)::DOUBLE AS stale_k, sum(len(string_split(content, ' ')))::BIGINT AS words FROM hi JOIN gd ON gd.q = hi.q LEFT JOIN pv ON pv.q = hi.q AND pv.v = hi.v GROUP BY ALL)"""
+
+
+@query("u4_searched_flags", _SEARCHED + " SELECT * FROM fl")
 def u4s(spark, d):
     return evaluate.hit_flags(*_searched(spark, d))
 
 
-@query("a5_searched_ablation")
+@query("a5_searched_ablation", _SEARCHED + " SELECT policy, category, round(avg(acc_1), 3) AS acc_1, round(avg(found_k), 3) AS found_k, round(avg(stale_k), 3) AS stale_k, round(avg(words), 3) AS ctx_words, count(*) AS n FROM fl GROUP BY GROUPING SETS ((policy), (policy, category))")
 def a5s(spark, d):
     return evaluate.ablation(evaluate.hit_flags(*_searched(spark, d)))
 
@@ -489,14 +570,15 @@ _CHAIN = S.replace("WITH st", "WITH RECURSIVE st", 1) + """, au AS (SELECT repla
 
 def _CHAIN_OF(first: str) -> str:
     """As _CHAIN, with an attestation at 0 and the writers of x4_attested_chain."""
-    identity = chain.attest(64)
+    # Fixed values, written here and not taken from the code that is held against them.
+    identity = '{"fingerprint":"cfg:852089a94b29860c4d0ee67505cfd6f0","grade":"config-hash","model":"hashing-bow-64"}'
     named = lambda odd, even: f"CASE WHEN chain_id % 2 = 1 THEN '{odd}' ELSE '{even}' END"
-    model, grade = identity["model"], identity["grade"]
+    model, grade = "hashing-bow-64", "config-hash"
     return S.replace("WITH st", "WITH RECURSIVE st", 1) + f""", a0 AS (SELECT replace(subject, 'user:', '')::INT AS chain_id, row_number() OVER (PARTITION BY subject ORDER BY seq) AS seq, created_day AS day, 'write' AS op, id AS item_id, coalesce(attribute || '=' || value, 'episodic') AS detail, 'null' AS payload FROM st),
  au AS (SELECT *, {named('planner', 'memory-service')} AS agent_id, {named('m-1', model)} AS model_id, {named('declared', grade)} AS attestation_level FROM a0
- UNION ALL SELECT DISTINCT chain_id, 0, 0, '{first}', 'embedder', '{model} ({grade})', '{chain.canonical(identity)}', 'memory-service', '{model}', '{grade}' FROM a0),
+ UNION ALL SELECT DISTINCT chain_id, 0, 0, '{first}', 'embedder', '{model} ({grade})', '{identity}', 'memory-service', '{model}', '{grade}' FROM a0),
  b AS (SELECT *, sha256('{{"detail":' || to_json(detail) || ',"item_id":' || to_json(item_id) || ',"op":' || to_json(op) || ',"payload":' || payload || '}}') AS content_hash FROM au),
- ch AS (SELECT chain_id, -1::BIGINT AS seq, NULL::VARCHAR AS op, NULL::VARCHAR AS agent_id, NULL::VARCHAR AS model_id, NULL::VARCHAR AS attestation_level, NULL::VARCHAR AS content_hash, NULL::VARCHAR AS prev_hash, '{chain.GENESIS}' AS entry_hash FROM (SELECT DISTINCT chain_id FROM b)
+ ch AS (SELECT chain_id, -1::BIGINT AS seq, NULL::VARCHAR AS op, NULL::VARCHAR AS agent_id, NULL::VARCHAR AS model_id, NULL::VARCHAR AS attestation_level, NULL::VARCHAR AS content_hash, NULL::VARCHAR AS prev_hash, 'pag:genesis' AS entry_hash FROM (SELECT DISTINCT chain_id FROM b)
  UNION ALL SELECT b.chain_id, b.seq, b.op, b.agent_id, b.model_id, b.attestation_level, b.content_hash, ch.entry_hash, sha256(ch.entry_hash || '{{"agent_id":' || to_json(b.agent_id) || ',"attestation_level":' || to_json(b.attestation_level) || ',"content_hash":"' || b.content_hash || '","day":' || b.day || ',"detail":' || to_json(b.detail) || ',"item_id":' || to_json(b.item_id) || ',"model_id":' || to_json(b.model_id) || ',"op":' || to_json(b.op) || ',"payload":' || b.payload || ',"seq":' || b.seq || '}}')
  FROM ch JOIN b ON b.chain_id = ch.chain_id AND b.seq = ch.seq + 1)"""
 

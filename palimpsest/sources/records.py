@@ -12,10 +12,14 @@ SAMPLE = "sample_id string, conversation string, qa array<struct<question: strin
 
 
 def interactions(spark: SparkSession, path: str, agent_id: int = 0) -> DataFrame:
-    """JSON lines; blank ones are skipped. seq is the order of ids where the file has none."""
-    rows = spark.read.schema(INTERACTION).json(path).where("id is not null").withColumn("agent_id", F.coalesce("agent_id", F.lit(agent_id)))
-    # An order inside the agent, for files that carry none.
-    return rows.withColumn("seq", F.coalesce("seq", F.row_number().over(Window.partitionBy("agent_id").orderBy("id")).cast("long")))
+    """JSON lines; blank ones are skipped. seq is the order of ingest: as given, else the place in the files (by path,
+    block and line), which tasks number each for themselves."""
+    rows = spark.read.schema(INTERACTION).json(path).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    rows = rows.where("id is not null").withColumns({"agent_id": F.coalesce("agent_id", F.lit(agent_id)), "_line": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+    # A row for each block that files are read in.
+    blocks = rows.select("_file", "_start").distinct().withColumn("_block", F.row_number().over(Window.orderBy("_file", "_start")) - 1)
+    place = F.shiftleft(F.col("_block").cast("long"), 33) + F.col("_line")
+    return rows.join(F.broadcast(blocks), ["_file", "_start"]).withColumn("seq", F.coalesce("seq", place)).drop("_file", "_start", "_line", "_block")
 
 
 def gold_queries(spark: SparkSession, path: str) -> DataFrame:
@@ -28,10 +32,10 @@ def evidence_ids(raw: Column) -> Column:
     return F.array_distinct(F.filter(listed, lambda e: e.startswith("D")))
 
 
-def conversations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(turns, questions) of a JSON array of conversations. Sessions are numbered by rank from 0; turns without a
+def conversations(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(turns, questions) of a JSON array of conversations, or of files with one a line. Sessions are numbered by rank from 0; turns without a
     text or an id go after that."""
-    samples = spark.read.schema(SAMPLE).option("multiLine", True).json(path)
+    samples = spark.read.schema(SAMPLE).option("multiLine", not lines).json(path)
     sessions = samples.select("sample_id", F.explode(F.from_json("conversation", "map<string,string>")).alias("name", "body")).where(F.col("name").rlike(r"^session_\d+$"))
     sessions = sessions.withColumn("number", F.regexp_extract("name", r"(\d+)$", 1).cast("int"))
     sessions = sessions.withColumn("session", F.dense_rank().over(Window.partitionBy("sample_id").orderBy("number")) - 1)

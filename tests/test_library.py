@@ -13,7 +13,7 @@ from palimpsest.plans import registry
 from palimpsest.sources import records
 
 TABLES = "documents embeddings benchmark conversations events".split()
-FAST = ["p1_ingest", "a1_dedupe", "a2_consolidate", "a3_consolidation_audit", "a4_stats", "p6_retention", "p7_candidates", "w4_working_memory", "j4_lineage", "t1_exact_top", "t3_recall", "u4_hit_flags", "a5_ablation", "a6_retrieval_metrics", "s7_report_rows", "t3_recall_by_day", "w6_vector_ids", "x4_chain_build", "x4_attested_chain", "s5_snapshot", "w3_chain_verify", "r1_stream_upsert", "r2_stream_current", "r3_stream_changes", "r7_stream_refresh"]
+FAST = ["p1_ingest", "a1_dedupe", "a2_consolidate", "a3_consolidation_audit", "a4_stats", "p6_retention", "p7_candidates", "w4_working_memory", "j4_lineage", "t1_exact_top", "t3_recall", "u4_hit_flags", "a5_ablation", "a6_retrieval_metrics", "a6_searched_metrics", "a5_searched_ablation", "wc_conversation_benchmark", "p8_for_item", "a8_access", "t1_block_join", "s7_report_rows", "t3_recall_by_day", "w6_vector_ids", "x4_chain_build", "x4_attested_chain", "s5_snapshot", "w3_chain_verify", "r1_stream_upsert", "r2_stream_current", "r3_stream_changes", "r7_stream_refresh"]
 
 
 def rows(frame):
@@ -119,6 +119,40 @@ def test_answer_f1_golden(spark):
     assert all(abs(got[str(i)] - f) < 1e-5 for i, (*_, f) in enumerate(pairs))
 
 
+#: Words and stems, of the published examples of the rules and of their common extensions.
+STEMS = """caresses caress, ponies poni, ties tie, caress caress, cats cat, feed feed, agreed agre, plastered plaster, bled bled, motoring motor, sing sing, conflated conflat, troubled troubl,
+ sized size, hopping hop, tanned tan, falling fall, hissing hiss, fizzed fizz, failing fail, filing file, happy happi, sky sky, relational relat, conditional condit, rational ration,
+ valenci valenc, hesitanci hesit, digitizer digit, conformabli conform, radicalli radic, differentli differ, vileli vile, analogousli analog, vietnamization vietnam, predication predic,
+ operator oper, feudalism feudal, decisiveness decis, hopefulness hope, callousness callous, formaliti formal, sensitiviti sensit, sensibiliti sensibl, triplicate triplic, formative form,
+ formalize formal, electriciti electr, electrical electr, hopeful hope, goodness good, revival reviv, allowance allow, inference infer, airliner airlin, gyroscopic gyroscop,
+ adjustable adjust, defensible defens, irritant irrit, replacement replac, adjustment adjust, dependent depend, adoption adopt, homologou homolog, communism commun, activate activ,
+ angulariti angular, homologous homolog, effective effect, bowdlerize bowdler, probate probat, rate rate, cease ceas, controll control, roll roll, dying die, die die, lying lie, tying tie, skies sky,
+ news news, innings inning, inning inning, outings outing, cannings canning, howe howe, proceed proceed, exceed exceed, succeed succeed, enjoy enjoy, enjoys enjoy, enjoyed enjoy, played play, plays play,
+ playing play, say say, cry cri, by by, dies die, died die, cried cri, cries cri, tied tie, spied spi, flies fli, dogs dog, gently gentli, geology geolog, geologi geolog, biologi biolog, usefulli use, carefulli care,
+ running run, was wa, activity activ, caroline carolin, visited visit, museum museum, information inform, available avail, owed owe, used use, using use, is is, as as, his hi, this thi, buses buse, boxes box, churches church,
+ generalizations gener, oscillators oscil, abilities abil, happiness happi, quickly quickli, possibly possibl, capable capabl, stopped stop, planning plan, hoped hope, hoping hope, trying tri, tries tri, babies babi,
+ wolves wolv, mice mice, children children, women women, argument argument, arguing argu, argued argu, argues argu, national nation, nationality nation, organization organ, organizer organ, universities univers, university univers"""
+
+
+def test_stems_golden():
+    pairs = [p.split() for p in STEMS.replace("\n", " ").split(",")]
+    assert len(pairs) > 150 and {w: evaluate.stem(w) for w, s in pairs if evaluate.stem(w) != s} == {}
+
+
+def test_conversation_benchmark(spark, tmp_path):
+    """Two conversations, one with a repeated turn and evidence that isn't there, by hand."""
+    talk = lambda *turns: [{"dia_id": i, "speaker": "A", "text": t} for i, t in turns]
+    ask = lambda q, e, c: {"question": q, "answer": "x", "evidence": e, "category": c}
+    samples = [
+        {"sample_id": "one", "conversation": {"session_1": talk(("D1:1", "red apple"), ("D1:2", "blue sky")), "session_2": talk(("D2:1", "green tree"), ("D1:1", "red wine"))}, "qa": [ask("wine", ["D1:1"], 1), ask("sky", ["D1:2", "D9:9"], 2), ask("red", [], 2), ask("red", ["D1:1"], 5)]},
+        {"sample_id": "two", "conversation": {"session_1": talk(("D1:1", "red apple"), ("D1:2", "apple pie"))}, "qa": [ask("apple", "['D1:2']", 1)]},
+    ]
+    (tmp_path / "talks.json").write_text(json.dumps(samples))
+    turns, questions = records.conversations(spark, str(tmp_path / "talks.json"))
+    got = {r.category: r for r in evaluate.conversation_benchmark(turns, questions, lambda rows: search.embed(rows, encode=search.md5_encoder(4096))).collect()}
+    assert got[None].n == 3 and (got[1].recall_1, got[1].recall_5, got[1].mrr_10) == (0.5, 1.0, 0.75) and (got[2].recall_1, got[2].recall_20, got[2].mrr_10) == (0.5, 0.5, 1.0)
+
+
 def test_rank_metrics_golden(spark):
     d = spark.createDataFrame([(["D1:1", "D2:3", "D5:2", "D1:9"], ["D2:3", "D1:9"]), (["D1:1", "D2:3"], ["D2:3", "D9:9"]), (["D1:1"], [])], "r array<string>, g array<string>")
     got = d.select(evaluate.recall_at(F.col("r"), F.col("g"), 5).alias("a"), evaluate.reciprocal_rank(F.col("r"), F.col("g")).alias("b")).collect()
@@ -167,10 +201,9 @@ def test_gold_pairs_are_all_found_without_a_nested_loop(spark, small):
 
 
 def test_evaluation_by_search_equals_brute_force(spark, small):
-    import pandas as pd
-
     items_, docs = (spark.read.parquet(f"{small}/{t}.parquet").toPandas() for t in ("benchmark", "documents"))
-    sim = np.round(search.hash_embed(items_.text, 384).astype(float) @ search.hash_embed(docs.text, 384).astype(float).T, 6)
+    bag = lambda texts: search.hash_embed(texts, 64, search.md5_number).astype(float)
+    sim = np.round(bag(items_.text) @ bag(docs.text).T, 12)
     recalls, ranks = [], []
     for item, text, row in zip(items_.item_id, items_.text, sim):
         gold = {i for i, body in zip(docs.doc_id, docs.text) if text.lower() in body.lower()}
@@ -183,14 +216,14 @@ def test_evaluation_by_search_equals_brute_force(spark, small):
 
     stated = registry._memories(spark, small).toPandas()
     facts = stated[stated.attribute.notna()]
-    made = search.hash_embed(stated.subject + " " + stated.content, 384).astype(float)
+    made = bag(stated.subject + " " + stated.content)
     hits = registry._searched(spark, small)[0].where("policy = 'flat-vector'").toPandas().sort_values("rank").groupby("query_id").value.apply(list)
     keys = facts[["agent_id", "subject", "attribute"]].drop_duplicates()
     assert len(keys) == len(hits)
     value = stated.agent_id.astype(str) + "|" + stated.subject + "|" + stated.attribute + "=" + stated.value
     for agent, subject, attribute in keys.itertuples(index=False):
-        asked = search.hash_embed(pd.Series([subject + " " + attribute.replace("_", " ")]), 384)[0].astype(float)
-        row = np.where(stated.agent_id == agent, np.round(made @ asked, 6), -9)
+        asked = bag([subject + " " + attribute.replace("_", " ")])[0]
+        row = np.where(stated.agent_id == agent, np.round(made @ asked, 12), -9)
         best = np.lexsort((stated.seq, -row))[:5]
         assert [v if isinstance(v, str) else None for v in hits[f"{agent}|{subject}|{attribute}"]] == [value[i] if isinstance(value[i], str) else None for i in best if row[i] > -9]
 
@@ -242,7 +275,7 @@ def test_golden_run_of_interactions(spark, tmp_path):
     assert len(rows) == 42
     (tmp_path / "interactions.jsonl").write_text("\n\n".join(map(json.dumps, rows)))
     found = records.interactions(spark, str(tmp_path / "interactions.jsonl"))
-    assert found.count() == 42 and found.agg(F.max("seq")).first()[0] == 42
+    assert found.count() == 42 and [r.id for r in found.orderBy("seq").collect()] == [r["id"] for r in rows]
     memories = lifecycle.ingest(found)
     semantic = lifecycle.consolidate(memories)
     pool = lifecycle.candidates(memories, semantic, 71)
@@ -256,6 +289,31 @@ def test_golden_run_of_interactions(spark, tmp_path):
     assert "Bob Tran" in said and "Alice Reyes" not in said
 
 
+def test_order_of_ingest_is_the_place_in_the_files(spark, tmp_path):
+    said = [{"id": f"Z{9 - i}", "ts_day": 1, "text": "x" * 50, "subject": "u", "attribute": "a", "value": f"v{i}"} for i in range(9)]
+    (tmp_path / "b.jsonl").write_text("\n".join(map(json.dumps, said[5:])))
+    (tmp_path / "a.jsonl").write_text("\n".join(map(json.dumps, said[:5])))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "200b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            found = records.interactions(spark, str(tmp_path))
+            assert [r.id for r in found.orderBy("seq").collect()] == [r["id"] for r in said]
+            assert lifecycle.active(lifecycle.consolidate(lifecycle.ingest(found))).first().value == "v8"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_no_temporary_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from palimpsest import session
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(far)
+
+
 def test_gold_queries_reader(spark, tmp_path):
     (tmp_path / "q.jsonl").write_text('{"id": "Q1", "query": "Who?", "subject": "user", "attribute": "a", "gold_value": "x", "prior_values": ["y", "z"], "category": "changing"}\n\n{"id": "Q2", "query": "What?", "subject": null, "attribute": "b", "gold_value": "v", "prior_values": [], "category": "stable"}\n')
     got = {r.id: r for r in records.gold_queries(spark, str(tmp_path / "q.jsonl")).collect()}
