@@ -383,13 +383,30 @@ def test_blocks_of_items_are_bounded(spark, monkeypatch):
     items = spark.createDataFrame([(1, " ".join(long))] + [(2, " ".join(long[50:90]) + ", copied.")] * 300, "item_id long, text string")
     docs = spark.createDataFrame([(i, " ".join(["a", *long[k : k + 25], "b"])) for i, k in enumerate(range(0, 2990, 7))], "doc_id long, text string")
     rows = lambda: sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in decontamination.report(docs, items).collect())
-    expected, sizes, windows = rows(), [], decontamination.item_windows
+    expected, sizes, windows = rows(), [], decontamination.Windows.__init__
     monkeypatch.setattr(decontamination, "BLOCK_BYTES", 4000)
-    monkeypatch.setattr(decontamination, "item_windows", lambda part, size: sizes.append(sum(len(t) for _, t in part)) or windows(part, size))
+    monkeypatch.setattr(decontamination.Windows, "__init__", lambda self, pieces: sizes.append(sum(len(t) for t in pieces["words"].to_pylist())) or windows(self, pieces))
     assert rows() == expected and sum(r[2] > 0 for r in expected) == len(expected)
     assert len(sizes) > 1 and max(sizes) <= 8000
 
 
+def test_many_items_with_one_prompt(spark):
+    """80,000 items that begin with the same line: arrays stay small, and the line finds all of them."""
+    import time
+
+    prompt = "answer the following question with one of the four choices given below it please"
+    items = spark.range(80_000).select(F.col("id").alias("item_id"), F.concat(F.lit(prompt + " "), F.sha2(F.col("id").cast("string"), 256), F.lit(" "), F.col("id").cast("string")).alias("text"))
+    docs = spark.createDataFrame([(1, f"x {prompt} y"), (2, "nothing here"), (3, prompt.upper())], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in decontamination.report(docs, items).collect()}
+    assert got == {1: (14, 80_000), 2: (0, 0), 3: (14, 80_000)} and time.time() - began < 60
+    known = items.selectExpr("cast(item_id as string) AS item", "text").limit(60_000)
+    block = decontamination.Windows(known.mapInArrow(lambda b: decontamination.piece_windows(b, 10), decontamination.PIECES).toArrow())
+    assert len(block.text) > 8 << 20 and block.nbytes() < 100 << 20
+    # 16 words an item, so 7 windows, of which the 5 inside the prompt are there once.
+    assert len(block.start) == 5 + 60_000 * 2
+
+
 @pytest.mark.parametrize("region", [2000, 3])
 def test_ngram_jaccard(docs, region, monkeypatch):
     monkeypatch.setattr(ngram_jaccard, "REGION", region)
