@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -68,18 +69,18 @@ def attested(audit: DataFrame, identity: dict, agent_id: str = ACTOR["agent_id"]
     return first.unionByName(rows)
 
 
-def build(audit: DataFrame, key: bytes | None = None, heads: DataFrame | None = None) -> DataFrame:
+def build(audit: DataFrame, key: bytes | None = None, heads: DataFrame | None = None, by: Sequence[str] = ("chain_id",)) -> DataFrame:
     """ENTRY rows of audit (chain_id, seq, day, op, item_id, detail and, if there, payload, actor_id, model_id and
     attestation_level), numbered from 0 in each chain in the order of seq.
 
     A chain is serial by nature. Rows are dealt by chain and sorted, and a task reads them as a stream, so its memory
     holds a batch and not a chain; a single chain's time follows its length. heads (chain_id, last_seq, head) continues
-    stored chains.
+    stored chains. by: what a chain is, if not all of a chain_id; see `segments`.
     """
     actor = [_given(audit, c, ACTOR[n]).alias(n) for n, c in (("agent_id", "actor_id"), ("model_id", "model_id"), ("attestation_level", "attestation_level"))]
     rows = audit.select("chain_id", "seq", "day", "op", "item_id", "detail", _given(audit, "payload", None).alias("payload"), *actor)
     rows = rows.join(heads.select("chain_id", "last_seq", "head"), "chain_id", "left") if heads is not None else rows.withColumns({"last_seq": F.lit(None).cast("long"), "head": F.lit(None).cast("string")})
-    ordered = rows.repartition("chain_id").sortWithinPartitions("chain_id", "seq")
+    ordered = rows.repartition(*by).sortWithinPartitions(*by, "seq")
     schema = T._parse_datatype_string(ENTRY)
 
     def fold(batches):
@@ -87,11 +88,11 @@ def build(audit: DataFrame, key: bytes | None = None, heads: DataFrame | None =
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                if r["chain_id"] != chain:
-                    chain, prev, n = r["chain_id"], r["head"] or GENESIS, (r["last_seq"] if r["last_seq"] is not None else -1) + 1
+                if (own := tuple(r[c] for c in by)) != chain:
+                    chain, prev, n = own, r["head"] or GENESIS, (r["last_seq"] if r["last_seq"] is not None else -1) + 1
                 made = entry_of(prev, n, r["day"], r["op"], r["item_id"], r["detail"], r["payload"], key, {a: r[a] for a in ACTOR})
                 prev, n = made["entry_hash"], n + 1
-                out.append({"chain_id": chain, **made})
+                out.append({"chain_id": r["chain_id"], **made})
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -139,7 +140,7 @@ def hmac_sha256(message: Column, key: bytes) -> Column:
 #: Numbers of a chain that are checked together, and signature failures that a report names.
 SEGMENT, NAMED = 4096, 100
 
-_SUMMARY = "chain_id int, segment long, n long, first long, first_prev string, first_prev_2 string, last long, last_n long, last_hash string, bad long, forged long, forged_at array<long>, content_ok boolean"
+_SUMMARY = "chain_id long, segment long, n long, first long, first_prev string, first_prev_2 string, last long, last_n long, last_hash string, bad long, forged long, forged_at array<long>, content_ok boolean"
 _ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
 _SUMMARY_ARROW = pa.schema([(name, _ARROW[kind]) for name, kind in (c.split(" ") for c in _SUMMARY.split(", "))])
 
@@ -209,7 +210,7 @@ def verify(entries: DataFrame, key: bytes | None = None, ordered: bool = False)
     length, named = SEGMENT, NAMED
     forged = F.lit(False) if not key else ~F.coalesce(F.col("sig") == hmac_sha256(F.col("entry_hash"), key), F.lit(False))
     fits = F.coalesce(F.col("entry_hash") == F.col("_entry"), F.lit(False))
-    judged = hashed(entries, apart=not ordered).select("chain_id", "seq", "prev_hash", "entry_hash", fits.alias("fits"), forged.alias("forged"), F.coalesce(F.col("content_hash") == F.col("_content"), F.lit(False)).alias("content_fits"))
+    judged = hashed(entries, apart=not ordered).select(F.col("chain_id").cast("long").alias("chain_id"), "seq", "prev_hash", "entry_hash", fits.alias("fits"), forged.alias("forged"), F.coalesce(F.col("content_hash") == F.col("_content"), F.lit(False)).alias("content_fits"))
     if not ordered:
         judged = judged.withColumn("_segment", F.floor(F.col("seq") / SEGMENT)).repartition("chain_id", "_segment").sortWithinPartitions("chain_id", "seq").drop("_segment")
     parts = staged(judged.mapInArrow(lambda batches: _segments(batches, GENESIS, length, named), _SUMMARY), "segments")
@@ -226,13 +227,71 @@ def verify(entries: DataFrame, key: bytes | None = None, ordered: bool = False)
     failures = some.groupBy("chain_id").agg(F.sum("k").alias("n_sig_failures"), F.slice(F.array_sort(F.flatten(F.collect_list(F.when(F.col("_named") < NAMED, F.col("ks"))))), 1, NAMED).alias("sig_failures"))
     report = broken.join(failures, "chain_id", "left")
     none = F.coalesce("n_sig_failures", F.lit(0))
-    return report.select("chain_id", (F.col("broken_at").isNull() & (none == 0)).alias("ok"), "length", "broken_at", F.lit(bool(key)).alias("signed"), F.coalesce("sig_failures", F.array().cast("array<bigint>")).alias("sig_failures"), none.alias("n_sig_failures"), "content_ok")
+    return report.select(F.col("chain_id").cast(entries.schema["chain_id"].dataType).alias("chain_id"), (F.col("broken_at").isNull() & (none == 0)).alias("ok"), "length", "broken_at", F.lit(bool(key)).alias("signed"), F.coalesce("sig_failures", F.array().cast("array<bigint>")).alias("sig_failures"), none.alias("n_sig_failures"), "content_ok")
 
 
 def heads(entries: DataFrame) -> DataFrame:
     return entries.groupBy("chain_id").agg(F.max("seq").alias("last_seq"), F.max_by("entry_hash", "seq").alias("head"), F.count("*").alias("length"))
 
 
+#: The operation of a summary's entries, and days that a chain can have, for numbers of segments.
+SEGMENT_OP, DAYS = "segment", 1 << 20
+
+
+def segments(audit: DataFrame, key: bytes | None = None) -> tuple[DataFrame, DataFrame]:
+    """(entries, summary): a chain for each chain_id and day, and one for each chain_id above them, with an entry for
+    each day that names its segment's length and head. A chain of many days is built by many tasks; the summary has a
+    row a day. Days are from 0 to before DAYS, entries of a segment are numbered from 0."""
+    entries = staged(build(audit, key, by=("chain_id", "day")), "segment-entries")
+    ends = entries.groupBy("chain_id", "day").agg(F.max_by("entry_hash", "seq").alias("head"), F.count("*").alias("n"))
+    named = ends.select("chain_id", F.col("day").cast("long").alias("seq"), "day", F.lit(SEGMENT_OP).alias("op"), F.col("day").cast("string").alias("item_id"), _named(F.col("n"), F.col("head")).alias("detail"))
+    return entries, staged(build(named, key), "segment-summary")
+
+
+def _named(n: Column, head: Column) -> Column:
+    return F.concat_ws(":", n.cast("string"), head)
+
+
+def verify_segments(entries: DataFrame, summary: DataFrame, key: bytes | None = None) -> DataFrame:
+    """A row for each chain_id: ok, days, length, broken_day (the first day whose segment doesn't verify, or isn't what
+    the summary names) and whether the summary verifies."""
+    number = F.col("chain_id").cast("long") * DAYS + F.col("day")
+    ends = entries.groupBy("chain_id", "day").agg(F.max_by("entry_hash", "seq").alias("head"), F.count("*").alias("n"), number.alias("_c"))
+    report = verify(entries.withColumn("chain_id", number), key).select(F.col("chain_id").alias("_c"), F.col("ok").alias("_ok"))
+    named = summary.where(F.col("op") == SEGMENT_OP).select("chain_id", "day", "detail")
+    days = ends.join(report, "_c").join(named, ["chain_id", "day"], "full")
+    fits = F.coalesce(F.col("_ok") & (F.col("detail") == _named(F.col("n"), F.col("head"))), F.lit(False))
+    found = days.groupBy("chain_id").agg(F.count("*").alias("days"), F.sum(F.coalesce("n", F.lit(0))).alias("length"), F.min(F.when(~fits, F.col("day"))).alias("broken_day"))
+    above = verify(summary, key).select("chain_id", F.col("ok").alias("summary_ok"))
+    found = found.join(above, "chain_id", "left").withColumn("summary_ok", F.coalesce("summary_ok", F.lit(False)))
+    return found.select("chain_id", (F.col("broken_day").isNull() & F.col("summary_ok")).alias("ok"), "days", "length", "broken_day", "summary_ok")
+
+
+def proof(entries: DataFrame, summary: DataFrame, chain_id: int, day: int, seq: int) -> dict:
+    """That an entry is in its chain: its segment's entries from it on, and the summary's from its day on."""
+    rows = lambda df: [r.asDict() for r in df.where(F.col("chain_id") == chain_id).orderBy("seq").collect()]
+    return {"segment": rows(entries.where((F.col("day") == day) & (F.col("seq") >= seq))), "summary": rows(summary.where(F.col("day") >= day))}
+
+
+def proven(shown: dict, head: str, key: bytes | None = None) -> bool:
+    """Whether a proof leads from its first entry to the summary's head, which the reader knows and trusts."""
+
+    def end(rows: list[dict]) -> str | None:
+        prev = rows[0]["prev_hash"] if rows else None
+        for r in rows:
+            made = entry_of(prev, r["seq"], r["day"], r["op"], r["item_id"], r["detail"], r["payload"], key, {a: r[a] for a in ACTOR})
+            if r["prev_hash"] != prev or any(made[c] != r[c] for c in ("content_hash", "entry_hash", *(["sig"] if key else []))):
+                return None
+            prev = r["entry_hash"]
+        return prev
+
+    segment, summary = shown["segment"], shown["summary"]
+    top = end(segment)
+    if top is None or end(summary) != head:
+        return False
+    return summary[0]["op"] == SEGMENT_OP and summary[0]["day"] == segment[0]["day"] and summary[0]["detail"] == f"{segment[-1]['seq'] + 1}:{top}"
+
+
 def export(entries: DataFrame, path: str) -> None:
     """A snapshot: the entries, and a manifest with each chain's head."""
     entries.write.mode("overwrite").json(f"{path}/entries")

@@ -596,6 +596,28 @@ def x4a(spark, d):
     return chain.build(chain.attested(log, chain.attest(64))).select("chain_id", "seq", "op", "agent_id", "model_id", "attestation_level", "content_hash", "prev_hash", "entry_hash")
 
 
+@query("x4_segmented_chain", S.replace("WITH st", "WITH RECURSIVE st", 1) + """, au AS (SELECT agent_id, row_number() OVER (PARTITION BY agent_id, created_day ORDER BY seq) - 1 AS seq, created_day AS day, id AS item_id, coalesce(attribute || '=' || value, 'episodic') AS detail FROM st),
+ b AS (SELECT *, sha256('{"detail":' || to_json(detail) || ',"item_id":' || to_json(item_id) || ',"op":"write","payload":null}') AS content_hash FROM au),
+ ch AS (SELECT agent_id, day, -1::BIGINT AS seq, 'pag:genesis' AS entry_hash FROM (SELECT DISTINCT agent_id, day FROM b)
+ UNION ALL SELECT b.agent_id, b.day, b.seq, sha256(ch.entry_hash || '{"agent_id":"memory-service","attestation_level":"none","content_hash":"' || b.content_hash || '","day":' || b.day || ',"detail":' || to_json(b.detail) || ',"item_id":' || to_json(b.item_id) || ',"model_id":null,"op":"write","payload":null,"seq":' || b.seq || '}')
+ FROM ch JOIN b ON b.agent_id = ch.agent_id AND b.day = ch.day AND b.seq = ch.seq + 1)
+ SELECT agent_id AS chain_id, day, max(seq) + 1 AS n, arg_max(entry_hash, seq) AS head FROM ch GROUP BY agent_id, day""")
+def x4s(spark, d):
+    """Ten agents' logs, cut by day: each segment's length and head, as the summary names them."""
+    log = lifecycle.write_audit(_memories(spark, d)).withColumnRenamed("agent_id", "chain_id")
+    summary = chain.segments(log)[1]
+    named = F.split("detail", ":")
+    return summary.select("chain_id", "day", named[0].cast("long").alias("n"), named[1].alias("head"))
+
+
+@query("w3_verify_segments", S + """ SELECT agent_id AS chain_id, agent_id % 2 = 0 AS ok, count(DISTINCT created_day) AS days, count(*) AS length, CASE WHEN agent_id % 2 = 1 THEN 7 END AS broken_day, true AS summary_ok FROM st GROUP BY agent_id""")
+def w3s(spark, d):
+    """Every second agent's first entry of day 7 is changed: its chain breaks on that day."""
+    entries, summary = chain.segments(lifecycle.write_audit(_memories(spark, d)).withColumnRenamed("agent_id", "chain_id"), KEY)
+    hit = (F.col("chain_id") % 2 == 1) & (F.col("day") == 7) & (F.col("seq") == 0)
+    return chain.verify_segments(entries.withColumn("detail", F.when(hit, "changed").otherwise(F.col("detail"))), summary, KEY)
+
+
 @query("w3_chain_verify", S + """, n AS (SELECT replace(subject, 'user:', '')::INT AS chain_id, count(*) AS length FROM st GROUP BY subject)
  SELECT chain_id, NOT (chain_id % 3 = 0 AND length > 2) AS ok, length, CASE WHEN chain_id % 3 = 0 AND length > 2 THEN 2::BIGINT END AS broken_at, true AS signed, NOT (chain_id % 3 = 0 AND length > 2) AS content_ok FROM n""")
 def w3(spark, d):

@@ -186,6 +186,27 @@ def test_verification_by_segments(spark, monkeypatch, segment):
     assert {r.broken_at is None for r in found.values()} == {True, False}
 
 
+def test_segmented_chain_and_its_proofs(spark):
+    log = spark.createDataFrame([(c, n, n // 4, "write", f"M{n}", "x") for c in (1, 2) for n in range(18)], LOG)
+    entries, summary = (df.cache() for df in chain.segments(log, KEY))
+    good = {r.chain_id: r for r in chain.verify_segments(entries, summary, KEY).collect()}
+    assert all(r.ok and r.days == 5 and r.length == 18 and r.summary_ok for r in good.values()) and len(good) == 2
+    # A chain's days are dealt apart.
+    assert "hashpartitioning(chain_id" in (plan := chain.build(log, by=("chain_id", "day"))._jdf.queryExecution().executedPlan().toString()) and "day#" in plan.split("hashpartitioning(")[1].split(")")[0]
+    head = {r.chain_id: r["head"] for r in chain.heads(summary).collect()}
+    shown = chain.proof(entries, summary, 1, 2, 1)
+    assert [r["item_id"] for r in shown["segment"]] == ["M9", "M10", "M11"] and len(shown["summary"]) == 3
+    assert chain.proven(shown, head[1], KEY) and not chain.proven(shown, head[2], KEY) and not chain.proven(shown, head[1], b"another")
+    changed = {**shown, "segment": [{**shown["segment"][0], "detail": "y"}, *shown["segment"][1:]]}
+    assert not chain.proven(changed, head[1], KEY) and not chain.proven({**shown, "segment": shown["segment"][:-1]}, head[1], KEY)
+    one = (F.col("chain_id") == 1) & (F.col("day") == 3)
+    at = lambda e, s: {r.chain_id: (r.ok, r.broken_day) for r in chain.verify_segments(e, s, KEY).collect()}
+    assert at(entries.where(~(one & (F.col("seq") == 3))), summary) == {1: (False, 3), 2: (True, None)}
+    assert at(entries.where(~one), summary) == {1: (False, 3), 2: (True, None)}
+    assert at(entries, summary.where(~one)) == {1: (False, 3), 2: (True, None)}
+    assert at(entries.withColumn("item_id", F.when(one & (F.col("seq") == 1), "Z").otherwise(F.col("item_id"))), summary) == {1: (False, 3), 2: (True, None)}
+
+
 def test_a_wrong_key_names_the_first_failures_only(spark, monkeypatch):
     monkeypatch.setattr(chain, "SEGMENT", 10)
     monkeypatch.setattr(chain, "NAMED", 12)
