@@ -41,7 +41,7 @@ _SMALL = f"(?:(?:{PARTICLES}) ){{0,2}}"
 _RUN = rf"{_TITLE}\.?(?: {_TITLE}\.?(?= ))*+"
 #: A run of titles and up to three names with particles; in capitals after a title in capitals, two.
 NAME = (
-    rf"(?:(?<![\p{{L}}\p{{N}}])(?:(?={GERMAN}){_RUN} {_SMALL}{_PART}(?:[ \-]{_SMALL}{_PART})?|{_RUN} {_SMALL}{_PART}(?:[ \-]{_SMALL}{_PART}){{0,2}}"
+    rf"(?:(?<![\p{{L}}\p{{N}}])(?={_TITLE}[. ])(?:(?={GERMAN}){_RUN} {_SMALL}{_PART}(?:[ \-]{_SMALL}{_PART})?|{_RUN} {_SMALL}{_PART}(?:[ \-]{_SMALL}{_PART}){{0,2}}"
     rf"|(?=\p{{Lu}}{{2}}){_RUN} \p{{Lu}}{{2,}}+(?:[ \-]\p{{Lu}}{{2,}}+)?(?!\p{{Ll}}))|[{HAN_SURNAMES}]\p{{IsHan}}{{1,2}}(?:{HAN_TITLES}))"
 )
 
@@ -52,7 +52,7 @@ PATTERNS = {
     "key": r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64}+)(?![0-9A-Za-z])",
     "hex": r"[0-9A-Fa-f]{32,128}+(?![0-9A-Za-z])",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
-    "ip6": r"(?<![:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})(?![0-9A-Za-z:]|\.[0-9])",
+    "ip6": r"(?=[0-9A-Fa-f]{1,4}:)(?<![:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})(?![0-9A-Za-z:]|\.[0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
     "phone": r"(?<![0-9A-Za-z+])(?:(?:\+[0-9]{1,3}[ .\-]?)?\([0-9]{2,4}\)[ .\-]?[0-9]{3,4}[ .\-]?[0-9]{3,4}(?![0-9])|\+[0-9]{1,3}(?:[ .\-][0-9](?=[ .\-]))?(?:[ .\-]?[0-9]{2,4}){2,5}(?![0-9])|(?<![.\-])[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}(?![0-9\-]))",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
@@ -62,7 +62,7 @@ PATTERNS = {
 
 #: Every text with an entity has one of these; cheap tests before the patterns.
 SIGNS = [r"[0-9](?:[0-9]|\.[0-9]{1,3}\.[0-9])", r"[0-9A-Fa-f]{32}"]
-MARKS = ["@", "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "::", "Mr", "Ms", "Mx", "Miss", "Dr", "Prof", "Sir", "Lord", "Lady", "Herr", "Fr", "Mon", "Mad", "Mme", "Mlle", "Señor", "Sra", "Srta", "Господин", "Госпожа", "Κύριος", "Κυρία", "MR", "MISS", "DR", "PROF", "HERR", "FRAU", "MME", *HAN_TITLES.split("|")]
+MARKS = ["@", "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "::", "Mr", "Ms", "Mx", "Miss", "Dr.", "Dr ", "Prof", "Sir ", "Lord ", "Lady ", "Herr", "Frau", "Fräulein", "Monsieur", "Madame", "Mademoiselle", "Mme", "Mlle", "Señor", "Sra", "Srta", "Господин", "Госпожа", "Κύριος", "Κυρία", "MR", "MISS", "DR ", "DR.", "PROF", "HERR", "FRAU", "MME", *HAN_TITLES.split("|")]
 
 #: Telephone codes of countries by their number of digits, one or two; the others have three.
 COUNTRY = r"^(\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})|[0-9])"
