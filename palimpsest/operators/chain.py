@@ -244,7 +244,7 @@ def segments(audit: DataFrame, key: bytes | None = None) -> tuple[DataFrame, Dat
     row a day. Days are from 0 to before DAYS, entries of a segment are numbered from 0."""
     entries = staged(build(audit, key, by=("chain_id", "day")), "segment-entries")
     ends = entries.groupBy("chain_id", "day").agg(F.max_by("entry_hash", "seq").alias("head"), F.count("*").alias("n"))
-    named = ends.select("chain_id", F.col("day").cast("long").alias("seq"), "day", F.lit(SEGMENT_OP).alias("op"), F.col("day").cast("string").alias("item_id"), _named(F.col("n"), F.col("head")).alias("detail"))
+    named = ends.select("chain_id", F.col("day").cast("long").alias("seq"), "day", F.lit(SEGMENT_OP).alias("op"), F.concat_ws("/", F.col("chain_id").cast("string"), F.col("day").cast("string")).alias("item_id"), _named(F.col("n"), F.col("head")).alias("detail"))
     return entries, staged(build(named, key), "segment-summary")
 
 
@@ -289,7 +289,8 @@ def proven(shown: dict, head: str, key: bytes | None = None) -> bool:
     top = end(segment)
     if top is None or end(summary) != head:
         return False
-    return summary[0]["op"] == SEGMENT_OP and summary[0]["day"] == segment[0]["day"] and summary[0]["detail"] == f"{segment[-1]['seq'] + 1}:{top}"
+    first = segment[0]
+    return summary[0]["op"] == SEGMENT_OP and summary[0]["item_id"] == f"{first['chain_id']}/{first['day']}" and summary[0]["detail"] == f"{segment[-1]['seq'] + 1}:{top}"
 
 
 def export(entries: DataFrame, path: str) -> None:

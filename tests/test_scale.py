@@ -196,7 +196,7 @@ def test_segmented_chain_and_its_proofs(spark):
     head = {r.chain_id: r["head"] for r in chain.heads(summary).collect()}
     shown = chain.proof(entries, summary, 1, 2, 1)
     assert [r["item_id"] for r in shown["segment"]] == ["M9", "M10", "M11"] and len(shown["summary"]) == 3
-    assert chain.proven(shown, head[1], KEY) and not chain.proven(shown, head[2], KEY) and not chain.proven(shown, head[1], b"another")
+    assert chain.proven(shown, head[1], KEY) and head[1] != head[2] and not chain.proven(shown, head[2], KEY) and not chain.proven(shown, head[1], b"another")
     changed = {**shown, "segment": [{**shown["segment"][0], "detail": "y"}, *shown["segment"][1:]]}
     assert not chain.proven(changed, head[1], KEY) and not chain.proven({**shown, "segment": shown["segment"][:-1]}, head[1], KEY)
     one = (F.col("chain_id") == 1) & (F.col("day") == 3)
