@@ -55,6 +55,12 @@ MARKS = set("ad ads advert adverts advertisement advertising banner breadcrumb b
 #: class tells something about the page or its article (no-sidebar, header-fixed, has-navigation, share-enabled).
 PLACES = set("area bar block bottom box button buttons container content global inner left links list main outer page panel primary right row secondary section site top widget widgets wrap wrapper".split())
 
+#: Words that mark whatever stands beside them (post-comments, related-posts), unless the class tells
+#: something about a page (has-comments), and words in a row that do so together.
+STRONG = set("comment comments commentlist respond disqus related relatedposts breadcrumb breadcrumbs newsletter advert adverts advertisement advertising sponsored sharedaddy".split())
+ABOUT = set("no not has have is are with without can open opened closed enabled disabled on off hide hidden show count".split())
+TOGETHER = ["widget area", "post meta", "entry meta", "article meta", "post tags", "post footer", "entry footer", "post navigation", "post nav", "author box", "author bio", "about author", "share buttons", "social share", "most read", "more stories", "read more", "read next", "see also", "also like", "skip link", "screen reader text", "back to top"]
+
 #: Elements that are never left out for a mark, and those that an open head can hold.
 UNMARKED = set("html body main article".split())
 IN_HEAD = set("base basefont bgsound link meta noframes noscript script style template title".split())
@@ -64,26 +70,44 @@ TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^<>\"']|\"[^\"]*\"|'[^']*'
 MARKED = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 
 
-def _marked(attributes: str) -> bool:
-    """Is a whole token of class, id or role a mark: made of words of MARKS, and PLACES at most?"""
-    tokens = [t for m in MARKED.findall(attributes) for t in m.strip("\"'").lower().split()]
-    words = [[w for w in re.split(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])", t) if w] for t in tokens]
-    return any(any(w in MARKS for w in ws) and all(w in MARKS or w in PLACES or w.isdigit() for w in ws) for ws in words)
+#: Fixed value: what isn't shown.
+HIDDEN = re.compile(r"""^(?:[^"'=]|=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))*?\shidden(?=[\s=/]|$)|\sstyle\s*=\s*["']?[^"'>]*?display\s*:\s*none""", re.I)
+
+
+def _mark(attributes: str) -> int:
+    """1 if a whole token of class, id or role is a mark, made of words of MARKS, and PLACES at most; 2 if one has a
+    strong word, or words that mark together."""
+    found = 0
+    for m in MARKED.findall(attributes):
+        for token in m.strip("\"'").lower().split():
+            words = [w for w in re.split(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])", token) if w]
+            if not any(w in ABOUT for w in words):
+                line = f" {' '.join(words)} "
+                if any(w in STRONG for w in words) or any(f" {t} " in line for t in TOGETHER):
+                    return 2
+            if any(w in MARKS for w in words) and all(w in MARKS or w in PLACES or w.isdigit() for w in words):
+                found = 1
+    return found
 
 
-def _left_out(tag: str, attributes: str) -> bool:
-    return tag in LEFT_OUT or bool(attributes) and tag not in UNMARKED and _marked(attributes)
+def _left_out(tag: str, attributes: str) -> int:
+    """0: stays; 1: left out, though an article in it would stay; 2: left out with all that is in it."""
+    if tag in LEFT_OUT:
+        return 2 if attributes and _mark(attributes) == 2 else 1
+    if not attributes or tag in UNMARKED:
+        return 0
+    return 2 if HIDDEN.search(attributes) else _mark(attributes)
 
 
 def _hash(text: str, key: bytes = b"") -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(errors="surrogatepass"), digest_size=8, key=key).digest(), "big", signed=True)
 
 
-def scan_page(page: str, is_template: Callable[[int], bool] | None = None, want_hashes: bool = False, host: str = "") -> tuple[str, set[int]]:
+def scan_page(page: str, is_template: Callable[[int], bool] | None = None, want_hashes: bool = False, host: str = "", firm: bool = True) -> tuple[str, set[int]]:
     """The page's text without what is left out and without templates; hashes of its subtrees that have text, with
-    the host in each."""
+    the host in each. firm: an article in a box of comments or the like isn't the page's; where that leaves no text, it is."""
     # Tag, and blocks, parts of the trail and articles before it, and whether what is around it is left out or in an article.
-    stack: list[tuple[str, int, int, int, bool, bool]] = []
+    stack: list[tuple[str, int, int, int, int, bool]] = []
     opened: Counter[str] = Counter()
     # What has been read, with the digest of each closed block in place of its content.
     trail: list[str] = []
@@ -91,8 +115,8 @@ def scan_page(page: str, is_template: Callable[[int], bool] | None = None, want_
     blocks: list[tuple[str, bool]] = []
     words: list[str] = []
     hashes: set[int] = set()
-    articles = 0
-    out = own = False
+    articles, passed = 0, False
+    out, own = 0, False
 
     def read(text: str) -> None:
         words.append(text)
@@ -159,11 +183,12 @@ def scan_page(page: str, is_template: Callable[[int], bool] | None = None, want_
         if tag == "p" and stack and stack[-1][0] == "p":
             close()
         main = tag in ("article", "main")
-        if main and out and not own and not _marked(m[4]):
-            # An article isn't part of a menu or an advert that was left open, if it isn't a comment or the like itself.
-            while out:
+        if main and out and not own and not _mark(m[4]):
+            # An article isn't part of a menu that was left open, if it isn't a comment or the like itself, or in a box of these.
+            passed = passed or out == 2
+            while out and not (firm and out == 2):
                 close()
-        leaves = out or _left_out(tag, m[4])
+        leaves = max(out, _left_out(tag, m[4])) if out < 2 else out
         stack.append((tag, len(blocks), len(trail), articles, out, own))
         opened[tag] += 1
         if hashing and not leaves:
@@ -176,7 +201,8 @@ def scan_page(page: str, is_template: Callable[[int], bool] | None = None, want_
     while stack:
         close()
     flush()
-    return "\n".join(t for t, o in blocks if o or not articles), hashes
+    text = "\n".join(t for t, o in blocks if o or not articles)
+    return (text, hashes) if text or not (firm and passed) else scan_page(page, is_template, want_hashes, host, False)
 
 
 TEXT = {"text": "string"}
