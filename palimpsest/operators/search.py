@@ -9,7 +9,6 @@ import uuid
 from collections.abc import Callable, Iterable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F

@@ -13,7 +13,7 @@ from palimpsest.plans import registry
 from palimpsest.sources import records
 
 TABLES = "documents embeddings benchmark conversations events".split()
-FAST = ["p1_ingest", "a1_dedupe", "a2_consolidate", "a3_consolidation_audit", "a4_stats", "p6_retention", "p7_candidates", "w4_working_memory", "j4_lineage", "t1_exact_top", "t3_recall", "u4_hit_flags", "a5_ablation", "a6_retrieval_metrics", "a6_searched_metrics", "a5_searched_ablation", "wc_conversation_benchmark", "p8_for_item", "a8_access", "t1_block_join", "s7_report_rows", "t3_recall_by_day", "w6_vector_ids", "x4_chain_build", "x4_attested_chain", "s5_snapshot", "w3_chain_verify", "r1_stream_upsert", "r2_stream_current", "r3_stream_changes", "r7_stream_refresh"]
+FAST = ["p1_ingest", "a1_dedupe", "a2_consolidate", "a3_consolidation_audit", "a4_stats", "p6_retention", "p7_candidates", "w4_working_memory", "j4_lineage", "t1_exact_top", "t3_recall", "u4_hit_flags", "a5_ablation", "a6_retrieval_metrics", "a6_searched_metrics", "a5_searched_ablation", "wc_conversation_benchmark", "p8_for_item", "a8_access", "t1_block_join", "s7_report_rows", "t3_recall_by_day", "w6_vector_ids", "x4_chain_build", "x4_attested_chain", "s5_snapshot", "w3_chain_verify", "r2_stream_current"]
 
 
 def rows(frame):

@@ -23,11 +23,12 @@ def rebuild(rows):
 
 
 def run_all(spark, folder):
-    """Every job over what is in folder/events, going on from folder/<job>."""
-    stream = jobs.event_stream(spark, f"{folder}/events", 64)
+    """Every job over what is in folder/events, a file a micro-batch, going on from folder/<job>."""
+    stream = jobs.event_stream(spark, f"{folder}/events")
     at = lambda name: f"{folder}/{name}"
+    memories, log = jobs.continuous_ingest(stream, at("ingest"))
     return {
-        "memories": jobs.continuous_ingest(stream, at("ingest"))[0], "audit": jobs.continuous_ingest(stream, at("ingest"))[1], "current": jobs.current_facts(stream, at("current")), "changes": jobs.change_log(stream, at("changes")),
+        "memories": memories, "audit": log, "current": jobs.current_facts(stream, at("current")), "changes": jobs.change_log(stream, at("changes")),
         "evicted": jobs.bounded_memory(stream, 5, at("bounded")), "forgotten": jobs.expiry(stream, NOW, at("expiry")), "chain": jobs.append_chain(registry._log_of(stream), registry.KEY, at("chain")), "shown": jobs.refresh(stream, rebuild, at("refresh")),
     }
 
@@ -47,17 +48,17 @@ def rows(df):
 
 
 def test_jobs_go_on_after_a_restart(spark, small, tmp_path):
-    """The first part runs in a process of its own, which ends; two more files arrive, with a run here for each."""
+    """Two files are read by a process of its own, which ends; another file arrives, and this session goes on."""
     folder, tests = str(tmp_path), Path(__file__).resolve().parent
     events = spark.read.parquet(f"{small}/events.parquet").withColumn("_day", F.expr("datediff(ts, date '2024-01-01')"))
     parts = [events.where(c).drop("_day").coalesce(1) for c in ("_day < 9", "_day between 9 and 20", "_day > 20")]
-    parts[0].write.parquet(f"{folder}/events")
+    for part in parts[:2]:
+        part.write.mode("append").parquet(f"{folder}/events")
     env = os.environ | {"PYTHONPATH": os.pathsep.join([str(tests.parent), str(tests), os.environ.get("PYTHONPATH", "")])}
     done = subprocess.run([sys.executable, "-c", FIRST_RUN.format(root=str(tests.parent), tests=str(tests), folder=folder)], env=env, capture_output=True, text=True, timeout=600)
     assert done.returncode == 0, done.stderr[-2000:]
-    for part in parts[1:]:
-        part.write.mode("append").parquet(f"{folder}/events")
-        got = run_all(spark, folder)
+    parts[2].write.mode("append").parquet(f"{folder}/events")
+    got = run_all(spark, folder)
     stated = records.statements(events.drop("_day"))
     memories = lifecycle.ingest(stated)
     assert rows(got["memories"]) == rows(memories)
