@@ -25,7 +25,6 @@ import json
 import os
 import zlib
 from collections import defaultdict
-from collections.abc import Callable
 from functools import cache
 
 import numpy as np
