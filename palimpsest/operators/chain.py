@@ -76,11 +76,14 @@ def build(audit: DataFrame, key: bytes | None = None, heads: DataFrame | None =
     A chain is serial by nature. Rows are dealt by chain and sorted, and a task reads them as a stream, so its memory
     holds a batch and not a chain; a single chain's time follows its length. heads (chain_id, last_seq, head) continues
     stored chains. by: what a chain is, if not all of a chain_id; see `segments`.
+
+    Rows are dealt by a hash of the chain, not by its columns alone: rows that a union or a join has dealt by the columns
+    would not be dealt again, and adaptive execution may merge or cut those partitions, and chains with them.
     """
     actor = [_given(audit, c, ACTOR[n]).alias(n) for n, c in (("agent_id", "actor_id"), ("model_id", "model_id"), ("attestation_level", "attestation_level"))]
     rows = audit.select("chain_id", "seq", "day", "op", "item_id", "detail", _given(audit, "payload", None).alias("payload"), *actor)
     rows = rows.join(heads.select("chain_id", "last_seq", "head"), "chain_id", "left") if heads is not None else rows.withColumns({"last_seq": F.lit(None).cast("long"), "head": F.lit(None).cast("string")})
-    ordered = rows.repartition(*by).sortWithinPartitions(*by, "seq")
+    ordered = rows.repartition(*by, F.xxhash64(*by)).sortWithinPartitions(*by, "seq")
     schema = T._parse_datatype_string(ENTRY)
 
     def fold(batches):

@@ -7,8 +7,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from palimpsest.operators import chain, lifecycle, quantised, search
+from palimpsest.session import staged
 from palimpsest.sources import audit
 
 KEY = b"test-signing-key"
@@ -244,3 +246,20 @@ def test_audit_log_reads_what_it_needs(spark, tmp_path):
     # The item's own row groups at most; one that isn't there is ruled out by the filters nearly everywhere.
     assert scanned(audit.for_item(spark, path, some.item_id)) < 20_000
     assert scanned(audit.for_item(spark, path, "I5" + "0" * 8)) < 10_000
+
+
+def test_chains_under_a_union_stay_whole(spark):
+    """Both sides of the union are dealt by chain already, and adaptive execution merges their partitions each in its own way."""
+    log = spark.range(40_000).select((F.col("id") % 50).cast("int").alias("chain_id"), F.col("id").alias("seq"), F.lit(1).alias("day"), F.lit("write").alias("op"), F.concat(F.lit("M"), F.col("id").cast("string")).alias("item_id"), F.sha2(F.col("id").cast("string"), 512).alias("detail"))
+    numbered = log.withColumn("seq", (F.row_number().over(Window.partitionBy("chain_id").orderBy("seq")) - 1).cast("long"))
+    small = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k", "spark.sql.shuffle.partitions": "16"}
+    old = {c: spark.conf.get(c) for c in small}
+    try:
+        for c, v in small.items():
+            spark.conf.set(c, v)
+        built = staged(chain.build(chain.attested(numbered, chain.attest(64))), "chain")
+        assert built.where("seq = 0").select("op").distinct().collect() == [(chain.ATTEST,)] and built.where("seq = 0").count() == 50
+        assert built.groupBy("chain_id").agg(F.max("seq").alias("n")).where("n <> 800").count() == 0
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
