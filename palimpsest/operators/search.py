@@ -59,6 +59,34 @@ def _top(sim: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
     return np.take_along_axis(sim, order, 1), ids[order]
 
 
+def _better(held: tuple[np.ndarray, np.ndarray, np.ndarray] | None, sim: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n greatest of what is held and of sim, whose ids are in order; rows that nothing new can enter stay as they are."""
+    if held is None:
+        return _top(sim, ids, n)
+    _, best, own = held
+    if best.shape[1] < n:
+        sim, new = _top(sim, ids, n)
+        return _first(np.concatenate([best, sim], axis=1), np.concatenate([own, new], axis=1), n)
+    edge, last = best[:, -1:], own[:, -1:]
+    rows = np.flatnonzero(((sim > edge) | (sim == edge) & (ids[None, :] < last)).any(axis=1))
+    if len(rows):
+        more, new = _top(sim[rows], ids, n)
+        best[rows], own[rows] = _first(np.concatenate([best[rows], more], axis=1), np.concatenate([own[rows], new], axis=1), n)
+    return best, own
+
+
+def _blocks(batches: Iterable[pa.RecordBatch], size: int) -> Iterable[pa.Table]:
+    """Batches put together until they have size rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= size:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _similar(asks: np.ndarray, day: np.ndarray, rows: np.ndarray, until: np.ndarray) -> np.ndarray:
     sim = np.round(asks @ rows.T, DIGITS)
     sim[day[:, None] > until[None, :]] = -np.inf
@@ -98,19 +126,16 @@ def exact_top(vectors: DataFrame, queries: DataFrame, n: int) -> DataFrame:
 
     def best(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         ids, agents, days, matrix = sent.value
-        held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            agent, vec, last, rows = batch.column("agent_id").to_numpy(), batch.column("vec_id").to_numpy(), batch.column("until").to_numpy(), _matrix(batch.column("embedding"))
+        held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for rows in _blocks(batches, BLOCK):
+            agent, vec, last, every = rows["agent_id"].to_numpy(), rows["vec_id"].to_numpy(), rows["until"].to_numpy(), _matrix(rows["embedding"])
             for a in np.unique(agent).tolist():
                 mine, asks = np.flatnonzero(agent == a), np.flatnonzero(agents == a)
-                if not len(asks):
-                    continue
                 mine = mine[np.argsort(vec[mine], kind="stable")]
-                sim, own = _top(_similar(matrix[asks], days[asks], rows[mine], last[mine]), vec[mine], n)
-                if a in held:
-                    sim, own = _first(np.concatenate([held[a][1], sim], axis=1), np.concatenate([held[a][2], own], axis=1), n)
-                held[a] = (asks, sim, own)
-        for a, (asks, sim, own) in held.items():
+                for at in range(0, len(asks), AT_ONCE):
+                    some = asks[at : at + AT_ONCE]
+                    held[a, at] = (some, *_better(held.get((a, at)), _similar(matrix[some], days[some], every[mine], last[mine]), vec[mine], n))
+        for (a, _), (asks, sim, own) in held.items():
             yield _hits(ids[asks], a, sim, own)
 
     return ranked(corpus.mapInArrow(best, HITS), n)
@@ -176,10 +201,14 @@ def recall(vectors: DataFrame, queries: DataFrame, k: int, now: int | None = Non
     """The k best by blended score among the max(4k, 20) nearest: an item outside that shortlist can't come back.
     vectors: vec_id, agent_id, embedding, created_day, importance and, if there, ttl_days, superseded_by. The day is
     now, or each query's own in a column `day`. index: the folder of a kept index of the vectors; the shortlist is
-    then the nearest that it finds (vectors that aren't in the pool any more are left out of it)."""
+    then the nearest that it finds (vectors that aren't in the pool any more are left out of it).
+
+    Queries of one agent and day with equal embeddings find the same: one of them searches for all."""
     if now is None and "day" not in queries.columns:
         raise ValueError("a day is needed: now, or queries with a column day")
-    asked = queries if now is None else queries.withColumn("day", F.lit(now))
+    every = queries if now is None else queries.withColumn("day", F.lit(now))
+    every = every.where("embedding is not null").select("query_id", "agent_id", "day", "embedding")
+    asked = staged(every.groupBy("agent_id", "day", "embedding").agg(F.min("query_id").alias("query_id")), "distinct-queries")
     pool = vectors
     if "superseded_by" in pool.columns:
         pool = pool.where("superseded_by is null")
@@ -198,7 +227,11 @@ def recall(vectors: DataFrame, queries: DataFrame, k: int, now: int | None = Non
     short = short.withColumn("_day", F.lit(now)) if now is not None else short.join(asked.select("query_id", F.col("day").alias("_day")), "query_id")
     scored = short.join(items, "vec_id").withColumn("score", blended(F.col("sim"), F.col("created_day"), F.col("importance"), F.col("_day"), policy)).drop("_day")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("sim"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    hits = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    # Each query by the one that searched for it.
+    by = asked.select(F.col("query_id").alias("_by"), F.col("agent_id").alias("_agent"), F.col("day").alias("_day"), F.col("embedding").alias("_embedding"))
+    whose = every.join(by, F.col("agent_id").eqNullSafe(F.col("_agent")) & F.col("day").eqNullSafe(F.col("_day")) & (F.col("embedding") == F.col("_embedding"))).select("query_id", "_by")
+    return hits.withColumnRenamed("query_id", "_by").join(whose, "_by").select("query_id", *[c for c in hits.columns if c != "query_id"])
 
 
 def recall_audit(hits: DataFrame, queries: DataFrame, now: int) -> DataFrame:

@@ -263,3 +263,23 @@ def test_chains_under_a_union_stay_whole(spark):
     finally:
         for c, v in old.items():
             spark.conf.set(c, v)
+
+
+def test_equal_queries_search_once(spark, monkeypatch):
+    """200 queries of 10 texts and 2 agents over vectors with many copies, in many small blocks: as each by itself."""
+    monkeypatch.setattr(search, "BLOCK", 40)
+    monkeypatch.setattr(search, "AT_ONCE", 3)
+    rng = np.random.default_rng(3)
+    points = rng.integers(0, 3, (30, 4)).astype(float)
+    held = [(int(i), int(i % 2), int(i % 7), float(i % 5) / 10, points[int(p)].tolist()) for i, p in zip(rng.permutation(900), rng.integers(0, 30, 900))]
+    asked = [(q, q % 2, points[q % 10].tolist()) for q in range(200)]
+    v = spark.createDataFrame(held, "vec_id long, agent_id int, created_day int, importance double, embedding array<double>").repartition(3)
+    q = spark.createDataFrame(asked, "query_id long, agent_id int, embedding array<double>")
+    seen, exact = [], search.exact_top
+    monkeypatch.setattr(search, "exact_top", lambda vectors, queries, n: seen.append(queries.count()) or exact(vectors, queries, n))
+    got = {(r.query_id, r.agent_id, r.rank): (r.vec_id, round(r.score, 9)) for r in search.recall(v, q, 5, 30).collect()}
+    assert seen == [len({(a, tuple(e)) for _, a, e in asked})] == [10]
+    for i, agent, e in asked[::7]:
+        near = sorted((-float(np.dot(e, x)), n, day, w) for n, a, day, w, x in held if a == agent)[:20]
+        best = sorted((-round(-s + 0.25 * 0.5 ** ((30 - day) / 21) + 0.1 * w, 12), s, n) for s, n, day, w in near)[:5]
+        assert [got[i, agent, k + 1] for k in range(5)] == [(n, round(-s, 9)) for s, _, n in best]
