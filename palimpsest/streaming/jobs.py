@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+from pyspark.sql.window import Window
 
 from ..operators import chain
 from ..operators.lifecycle import KEY, ingest, write_audit
@@ -27,8 +28,6 @@ from ..session import shared_dir
 from ..sources.buckets import Buckets
 from ..sources.records import statements
 
-EPOCH = "2024-01-01"
-
 #: State of typed processors is kept by RocksDB.
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -187,51 +186,31 @@ def bounded_memory(stream: DataFrame, capacity: int = 8, checkpoint: str | None
         return drain(rows.groupBy("agent_id").transformWithStateInPandas(_Bounded(capacity), "agent_id int, id string, importance double, day int, seq long", "append", "none"), folder)
 
 
-class _Expiry(StatefulProcessor):
-    """The day after an item's last one, with a timer."""
-
-    NAMES = ["agent_id", "id", "day"]
-
-    def init(self, handle) -> None:
-        self.handle, self.day = handle, handle.getValueState("day", "day int")
-
-    def handleInputRows(self, key, rows, timerValues):
-        row = pd.concat(list(rows)).sort_values("seq").iloc[-1]
-        day = int(row["ts_day"]) + int(row["ttl_days"]) + 1
-        if self.day.exists():
-            self.handle.deleteTimer(_ms(self.day.get()[0]))
-            self.day.clear()
-        if timerValues.getCurrentWatermarkInMs() >= _ms(day):
-            yield pd.DataFrame([(*key, day)], columns=self.NAMES)
-        else:
-            self.day.update((day,))
-            self.handle.registerTimer(_ms(day))
-            yield pd.DataFrame([], columns=self.NAMES)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        day = self.day.get()[0]
-        self.day.clear()
-        yield pd.DataFrame([(*key, day)], columns=self.NAMES)
+def expiry(stream: DataFrame, now: int, checkpoint: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """Forget rows of items whose time to live has passed by day now, as event time gets there: rows of all items move
+    the clock, which is the last day seen. Of the rows of one id in a batch the one with the last seq counts, and a
+    later batch's counts instead of an earlier one's that isn't forgotten yet.
 
-    def close(self) -> None:
-        pass
-
-
-def _ms(day: int) -> int:
-    return pd.Timestamp(EPOCH, tz="UTC").value // 10**6 + day * 86_400_000
-
-
-def expiry(stream: DataFrame, now: int, checkpoint: str | None = None) -> DataFrame:
-    """Forget rows of items whose time to live has passed by day now, as event time gets there."""
+    A batch reads and writes what waits: items whose day hasn't come, however many have gone before."""
     spark, folder = stream.sparkSession, _folder(stream.sparkSession, checkpoint)
-    at = lambda day: F.timestamp_seconds(F.unix_timestamp(F.lit(EPOCH).cast("timestamp")) + F.lit(86400) * day)
-    # Rows of all items move the clock; those of items that stay aren't held. The condition names the event time: else
-    # it would be pushed below the watermark, and only items that go would move the clock.
-    held = F.when(F.col("at").isNotNull(), F.col("ttl_days")).isNotNull()
-    lived = stream.withColumn("at", at(F.col("ts_day"))).withWatermark("at", "0 seconds").where(held).select("agent_id", "id", "ts_day", "ttl_days", "seq", "at")
-    with _typed_state(spark):
-        fired = drain(lived.groupBy("agent_id", "id").transformWithStateInPandas(_Expiry(), "agent_id int, id string, day int", "append", "EventTime"), folder)
-    return fired.where(F.col("day") <= now)
+    lived = stream.select("agent_id", "id", "ts_day", (F.col("ts_day") + F.col("ttl_days") + 1).cast("int").alias("day"), "seq")
+    schema = T._parse_datatype_string("agent_id int, id string, day int")
+    waiting = Buckets(spark, f"{folder}/waiting", ["agent_id", "id"], schema, buckets)
+    clock = Buckets(spark, f"{folder}/clock", ["name"], T._parse_datatype_string("name string, day int"), 1)
+
+    def each(batch: DataFrame, number: int) -> None:
+        rows = _written(batch, f"{folder}/arrived", 0)
+        clock.upsert(rows.groupBy(F.lit("day").alias("name")).agg(F.max("ts_day").cast("int").alias("day")).where("day is not null"), number, ["name"], ["day"])
+        day = (clock.read(before=number + 1).first() or {"day": None})["day"]
+        said = rows.where("day is not null").groupBy("agent_id", "id").agg(F.max_by("day", F.struct("seq", "day")).alias("day"))
+        both = waiting.read(before=number).withColumn("_new", F.lit(0)).unionByName(said.withColumn("_new", F.lit(1)))
+        held = _written(both.groupBy("agent_id", "id").agg(F.max_by("day", "_new").alias("day")), f"{folder}/held", 0)
+        come = F.coalesce(F.col("day") <= F.lit(day).cast("int"), F.lit(False))
+        _written(held.where(come), f"{folder}/forgotten", number)
+        waiting.write(held.where(~come), number)
+
+    drain(lived, folder, each)
+    return _appended(spark, f"{folder}/forgotten", schema).where(F.col("day") <= now)
 
 
 def append_chain(stream: DataFrame, key: bytes | None = None, checkpoint: str | None = None, heads: DataFrame | None = None, buckets: int = BUCKETS) -> DataFrame:

@@ -155,3 +155,13 @@ def test_table_of_buckets(spark, tmp_path):
         table.write(frame([(i, "a", i) for i in range(20)]), 5, [0])
     table.write(frame([]), 6, table.touched(frame([(5, "", 0)])))
     assert table.read().where("k = 5").count() == 0 and table.read().count() > 0
+
+
+def test_expiry_keeps_no_python_state(spark, tmp_path):
+    """An item's state isn't handed to Python one by one. A is said again before its day comes."""
+    job = f"{tmp_path}/gone"
+    assert jobs.expiry(arrive(spark, tmp_path, [said(0, 5, "A", "Rome", 4, 3), said(0, 6, "B", "Rome", 4, 9), said(0, 8, "D", None, 6), said(3, 1, "E", "Bern", 2)]), 30, job).count() == 0
+    second = arrive(spark, tmp_path, [said(0, 9, "A", "Oslo", 7, 2), said(0, 10, "H", "Oslo", 12), said(3, 2, "I", "Bern", 9)])
+    assert {(r.id, r.day) for r in jobs.expiry(second, 30, job).collect()} == {("A", 10)}
+    assert {(r.id, r.day) for r in jobs.expiry(arrive(spark, tmp_path, [said(0, 11, "K", "x", 40, 1)]), 30, job).collect()} == {("A", 10), ("B", 14)}
+    assert not (tmp_path / "gone" / "progress" / "state").exists()
