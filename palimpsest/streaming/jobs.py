@@ -113,43 +113,35 @@ def current_facts(stream: DataFrame, checkpoint: str | None = None, buckets: int
     return table.read()
 
 
-class _Changes(StatefulProcessor):
-    """The last value of a key, by day and seq."""
-
-    NAMES = ["agent_id", "subject", "attribute", "old_value", "new_value", "day", "seq"]
-
-    def init(self, handle) -> None:
-        self.last = handle.getValueState("last", "value string, day int, seq long")
-
-    def handleInputRows(self, key, rows, timerValues):
-        value, day, seq = self.last.get() if self.last.exists() else (None, -1, -1)
-        out = []
-        for r in pd.concat(list(rows)).sort_values(["ts_day", "seq"]).itertuples():
-            if (r.ts_day, r.seq) > (day, seq):
-                new = None if pd.isna(r.value) else r.value
-                if seq >= 0 and new != value:
-                    out.append((*key, value, new, r.ts_day, r.seq))
-                value, day, seq = new, int(r.ts_day), int(r.seq)
-        self.last.update((value, day, seq))
-        yield pd.DataFrame(out, columns=self.NAMES)
-
-    def handleInitialState(self, key, initialState, timerValues) -> None:
-        row = initialState.iloc[0]
-        self.last.update((None if pd.isna(row["value"]) else row["value"], int(row["day"]), int(row["seq"])))
-
-    def close(self) -> None:
-        pass
-
-
-def change_log(stream: DataFrame, checkpoint: str | None = None, known: DataFrame | None = None) -> DataFrame:
+def change_log(stream: DataFrame, checkpoint: str | None = None, known: DataFrame | None = None, buckets: int = BUCKETS) -> DataFrame:
     """A row whenever the active value of a key changes. known (KEY, value, day, seq) is what held before the stream
-    began; it counts at the first run of a checkpoint."""
+    began; it counts at the first run of a checkpoint.
+
+    The last value of each key is a table of buckets; a batch is put behind it by a window, rows that come too late
+    for it (by day and seq) are left out."""
     spark, folder = stream.sparkSession, _folder(stream.sparkSession, checkpoint)
-    schema = "agent_id int, subject string, attribute string, old_value string, new_value string, day int, seq long"
-    facts = stream.where("attribute is not null and attribute <> ''").select(*KEY, "value", "ts_day", "seq")
-    start = known.select(*KEY, "value", F.col("day").cast("int").alias("day"), F.col("seq").cast("long").alias("seq")).groupBy(*KEY) if known is not None else None
-    with _typed_state(spark):
-        return drain(facts.groupBy(*KEY).transformWithStateInPandas(_Changes(), schema, "append", "none", start), folder)
+    facts = stream.where("attribute is not null and attribute <> ''").select(*KEY, "value", F.col("ts_day").cast("int").alias("day"), F.col("seq").cast("long").alias("seq")).where("day is not null and seq is not null")
+    table = Buckets(spark, f"{folder}/last", KEY, facts.schema, buckets)
+    if known is not None and table.latest() is None:
+        # Version 0 is what was given.
+        table.write(known.select(*KEY, "value", F.col("day").cast("int").alias("day"), F.col("seq").cast("long").alias("seq")), 0)
+    order, key = F.struct("day", "seq"), Window.partitionBy(*KEY)
+    in_turn = key.orderBy("day", "seq")
+
+    def each(batch: DataFrame, number: int) -> None:
+        rows = _written(batch, f"{folder}/arrived", 0)
+        touched = table.touched(rows)
+        both = table.read(touched, number + 1).withColumn("_old", F.lit(True)).unionByName(rows.withColumn("_old", F.lit(False)))
+        held = both.withColumn("_last", F.max(F.when(F.col("_old"), order)).over(key)).where(F.col("_old") | F.col("_last").isNull() | (order > F.col("_last")))
+        # Of rows of one day and seq one counts.
+        held = held.withColumn("_n", F.row_number().over(Window.partitionBy(*KEY, "day", "seq").orderBy(F.desc("_old"), "value"))).where("_n = 1")
+        told = held.select(*KEY, F.lag("value").over(in_turn).alias("old_value"), F.col("value").alias("new_value"), "day", "seq", "_old", F.lag("seq").over(in_turn).alias("_before"))
+        told = told.where(~F.col("_old") & F.col("_before").isNotNull() & ~F.col("old_value").eqNullSafe(F.col("new_value")))
+        _written(told.drop("_old", "_before"), f"{folder}/changes", number)
+        table.write(held.groupBy(*KEY).agg(F.max_by(F.struct("value", "day", "seq"), order).alias("_row")).select(*KEY, "_row.*"), number + 1, touched)
+
+    drain(facts, folder, each)
+    return _appended(spark, f"{folder}/changes", T._parse_datatype_string("agent_id int, subject string, attribute string, old_value string, new_value string, day int, seq long"))
 
 
 class _Bounded(StatefulProcessor):

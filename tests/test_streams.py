@@ -165,3 +165,14 @@ def test_expiry_keeps_no_python_state(spark, tmp_path):
     assert {(r.id, r.day) for r in jobs.expiry(second, 30, job).collect()} == {("A", 10)}
     assert {(r.id, r.day) for r in jobs.expiry(arrive(spark, tmp_path, [said(0, 11, "K", "x", 40, 1)]), 30, job).collect()} == {("A", 10), ("B", 14)}
     assert not (tmp_path / "gone" / "progress" / "state").exists()
+
+
+def test_changes_keep_no_python_state(spark, tmp_path):
+    """A key's state isn't handed to Python one by one; late rows, equal rows and null values count as before."""
+    job = f"{tmp_path}/log"
+    log = jobs.change_log(arrive(spark, tmp_path, [said(0, 5, "A", "Rome", 4), said(0, 6, "B", "Rome", 4), said(0, 7, "C", None, 5), said(0, 8, "D", None, 6), said(3, 1, "E", "Bern", 2)]), job)
+    assert [(r.old_value, r.new_value, r.seq) for r in log.collect()] == [("Rome", None, 7)]
+    # A late row, one of the same day and seq, and a change behind them.
+    second = arrive(spark, tmp_path, [said(0, 4, "F", "late", 3), said(0, 8, "G", "twin", 6), said(0, 9, "A", "Oslo", 7), said(0, 10, "H", "Oslo", 12), said(3, 2, "I", "Bern", 9)])
+    assert {(r.agent_id, r.old_value, r.new_value, r.seq) for r in jobs.change_log(second, job).collect()} == {(0, "Rome", None, 7), (0, None, "Oslo", 9)}
+    assert not (tmp_path / "log" / "progress" / "state").exists()
