@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Callable
 from functools import cache
@@ -81,8 +80,32 @@ def conversation_benchmark(turns: DataFrame, questions: DataFrame, embedded: Cal
     return metrics_of_rows(hits.select("query_id", F.col("vec_id").alias("doc_id"), "rank"), gold, ks)
 
 
+#: Fixed value: an odd number with bits all over, for hashes of windows.
+ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _grams(units: list[str] | str, sizes: list[int]) -> np.ndarray:
+    """Hashes of all windows of these sizes over words or characters: each unit is hashed once."""
+    codes = pd.util.hash_array(np.array(list(units), dtype=object), categorize=False) if units else np.zeros(0, np.uint64)
+    made = [np.zeros(0, np.uint64)]
+    for n in sizes:
+        if 0 < (m := len(codes) - n + 1):
+            own = np.full(m, n, np.uint64)
+            for j in range(n):
+                own = (own ^ (own >> np.uint64(29))) * ODD + codes[j : j + m]
+            made.append(own)
+    return np.concatenate(made).view(np.int64)
+
+
 def _gram(kind: str, n: int, text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{kind}{n}:{text}".encode(errors="surrogatepass"), digest_size=8).digest(), "big", signed=True)
+    return int(_grams(text.split(" ") if kind == "w" else text, [n])[0]) if n else 0
+
+
+def _among(own: np.ndarray, every: np.ndarray) -> np.ndarray:
+    """Those of own that are in every, which is in order."""
+    if not len(every):
+        return own[:0]
+    return own[every[np.minimum(np.searchsorted(every, own), len(every) - 1)] == own]
 
 
 def _anchor(text: str) -> tuple[str, int, str]:
@@ -94,7 +117,8 @@ def _anchor(text: str) -> tuple[str, int, str]:
 def holding(docs: DataFrame, items: DataFrame) -> DataFrame:
     """items (with a text t) by the docs (doc_id, body) whose body contains t: the columns of items but t, and doc_id.
 
-    Bodies are searched for the hash of a window of each item, in Python workers; what is found is compared exactly."""
+    Bodies are searched for the hash of a window of each item, by arrays of a body's words; what is found is compared
+    exactly."""
     spark = docs.sparkSession
 
     def anchors(batches):
@@ -106,6 +130,7 @@ def holding(docs: DataFrame, items: DataFrame) -> DataFrame:
     keyed = rows.mapInArrow(anchors, rows.withColumns({"kind": F.lit(""), "size": F.lit(0), "anchor": F.lit(0).cast("long")}).schema)
     # At most 2 * ANCHOR kinds of windows.
     kinds = [(r["kind"], r["size"]) for r in keyed.select("kind", "size").distinct().collect()]
+    sizes = {k: sorted(n for kind, n in kinds if kind == k and n) for k in "wc"}
     wanted = keyed.select("anchor").distinct()
     blocks, found = max(1, math.ceil(wanted.count() / ANCHOR_BLOCK)), None
     texts = docs.where("body is not null")
@@ -118,10 +143,9 @@ def holding(docs: DataFrame, items: DataFrame) -> DataFrame:
                 at = batch.schema.get_field_index("doc_id")
                 rows, hits = [], []
                 for i, body in enumerate(batch.column(batch.schema.get_field_index("body")).to_pylist()):
-                    words = body.split()
-                    grams = {_gram(k, n, " ".join(words[j : j + n]) if k == "w" else body[j : j + n]) for k, n in kinds for j in range(len(words if k == "w" else body) - n + 1)}
-                    own = np.fromiter(grams, np.int64, len(grams))
-                    own = own[np.isin(own, every)]
+                    own = np.unique(np.concatenate([_among(_grams(units, sizes[k]), every) for k, units in (("w", body.split() if sizes["w"] else []), ("c", body if sizes["c"] else ""))]))
+                    if ("c", 0) in kinds:
+                        own = np.union1d(own, np.zeros(1, np.int64))
                     rows += [i] * len(own)
                     hits += own.tolist()
                 yield pa.record_batch([batch.column(at).take(pa.array(rows, pa.int64())), pa.array(hits, pa.int64())], names=["doc_id", "anchor"])

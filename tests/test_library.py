@@ -349,3 +349,15 @@ def test_exact_search_in_blocks_and_days(spark, small, monkeypatch):
     assert rows() == whole
     day = {r.query_id: r.day for r in q.collect()}
     assert all(vec % 2 or day[query] <= 5 for query, _, vec, _ in whole) and any(vec % 2 == 0 for _, _, vec, _ in whole)
+
+
+def test_windows_are_hashed_by_arrays():
+    """Equal windows have equal hashes wherever they stand; others differ."""
+    words = [f"w{i % 97}" for i in range(500)]
+    made, at = evaluate._grams(words, [1, 8]), 0
+    for n in (1, 8):
+        own = made[at : at + 500 - n + 1].tolist()
+        texts = [" ".join(words[i : i + n]) for i in range(500 - n + 1)]
+        assert own == [evaluate._gram("w", n, t) for t in texts] and len(set(own)) == len(set(texts)) == 97
+        at += len(own)
+    assert at == len(made) and len(evaluate._grams([], [1])) == len(evaluate._grams(["a"], [2])) == 0
